@@ -62,3 +62,25 @@ def carry_forward(
     )
     keep = [F.col(f"l.{c}") for c in df.columns if c not in values]
     return out.select(*keep, *[F.coalesce(f"l._here_{v}", f"c._in_{v}").alias(v) for v in values])
+
+
+_RUN = "[a-z0-9]"
+
+
+def _grams(text: Column) -> Column:
+    parts = [F.regexp_extract_all(text, F.lit(f"(?=({_RUN}{{{n}}}))"), F.lit(1)) for n in (1, 2, 4)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
+
+
+def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, on: list[str] = ()) -> DataFrame:
+    """Pairs whose lower-case ``text`` contains ``term``, as an equi-join.
+
+    A contained term brings its first run of letters or digits into the text, so
+    the first 4 (or 2, or 1) characters of that run are the join key; the
+    substring test then decides.
+    """
+    run = F.regexp_extract(term, f"{_RUN}+", 0)
+    size = F.when(F.length(run) >= 4, 4).when(F.length(run) >= 2, 2).otherwise(F.length(run))
+    right = terms.withColumn("_gram", run.substr(F.lit(1), size))
+    left = texts.withColumn("_gram", F.explode(_grams(F.col(text))))
+    return left.join(right, [*on, "_gram"]).where(F.col(text).contains(F.col(term))).drop("_gram")

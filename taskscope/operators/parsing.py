@@ -586,7 +586,9 @@ def log_counts(text: Column) -> Column:
 def _payload_strings(payload: Column) -> Column:
     """``(key, value)`` of every string value of a JSON text, in order."""
     masked = F.replace(F.replace(clean(payload), F.lit("\\\\"), F.lit(_END)), F.lit('\\"'), F.lit(_MARK))
-    pairs = F.regexp_extract_all(masked, F.lit(r'(?:"[^"]*"\s*:\s*)?"[^"]*"(?!\s*:)'), F.lit(0))
+    # a key with its string value, a key of another value (dropped), or a bare string
+    found = F.regexp_extract_all(masked, F.lit(r'"[^"]*"\s*:\s*"[^"]*"|"[^"]*"\s*:|"[^"]*"'), F.lit(0))
+    pairs = F.filter(found, lambda p: ~p.endswith(":"))
 
     def unmask(c: Column) -> Column:
         return F.replace(F.replace(c, F.lit(_MARK), F.lit('"')), F.lit(_END), F.lit("\\"))

@@ -158,3 +158,79 @@ SELECT page_id, array_join(transform(filter(regexp_extract_all(html, '<li><a hre
    u -> concat('- **[n ', u, '](', u, ')** - about ', u)), chr(10)) || chr(10) || '- [img](a.png) - x' || chr(10) || '- [top](#top)' AS text
 FROM {pages}
 """
+
+# tasks with open files
+OPEN_TASKS = f"""
+SELECT repo, task_id, prompt, CASE WHEN conv_id % 4 = 1 THEN array('src/user.service.ts', 'lib/x.ts') ELSE array() END AS open_files FROM ({TASKS}) t
+"""
+
+# parts as files of one repository per brand, and tasks that name some of them
+FILES = """
+SELECT DISTINCT p_brand AS repo,
+  CASE WHEN p_partkey % 40 = 0 THEN 'prisma/schema.prisma' WHEN p_partkey % 41 = 0 THEN 'packages/w' || CAST(p_partkey % 9 AS VARCHAR(20)) || '/prisma/schema.prisma'
+  WHEN p_partkey % 43 = 0 THEN 'package.json' ELSE
+  CASE p_partkey % 8 WHEN 0 THEN 'lib/f' || CAST(p_partkey % 50 AS VARCHAR(20)) || '.ts'
+    WHEN 1 THEN 'src/modules/m' || CAST(p_partkey % 50 AS VARCHAR(20)) || '/a.controller.ts'
+    WHEN 2 THEN 'src/modules/m' || CAST(p_partkey % 50 AS VARCHAR(20)) || '/b.service.ts'
+    WHEN 3 THEN 'src/modules/m' || CAST(p_partkey % 50 AS VARCHAR(20)) || '/c.module.ts'
+    WHEN 4 THEN 'src/modules/m' || CAST(p_partkey % 50 AS VARCHAR(20)) || '/dto/d.ts'
+    WHEN 5 THEN 'src/modules/m' || CAST(p_partkey % 50 AS VARCHAR(20)) || '/index.ts'
+    WHEN 6 THEN 'packages/w' || CAST(p_partkey % 9 AS VARCHAR(20)) || '/package.json'
+    ELSE 'packages/w' || CAST(p_partkey % 9 AS VARCHAR(20)) || '/lib/f' || CAST(p_partkey % 50 AS VARCHAR(20)) || '.ts' END END AS path
+FROM {part}
+"""
+PACKAGES = f"SELECT DISTINCT repo, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS dir FROM ({FILES}) f WHERE path LIKE 'packages/%/package.json'"
+FILE_TASKS = f"""
+SELECT 'Brand#' || CAST(1 + conv_id % 25 AS VARCHAR(20)) AS repo, task_id,
+       prompt || CASE turn % 3 WHEN 0 THEN ' build the app in w' || CAST(conv_id % 9 AS VARCHAR(20)) ELSE ' change the status enum' END AS prompt
+FROM ({MENTION_TASKS}) t
+"""
+# candidates of three sources for every task
+CANDIDATES = """
+SELECT conv_id AS task_id, 'f' || CAST((turn * 7 + conv_id) % 13 AS VARCHAR(20)) || '.ts' AS path,
+       CAST((conv_id + turn * 3) % 17 AS DOUBLE) AS score, role AS source, turn AS pos FROM {conversations}
+"""
+# parts as catalog items of a brand
+SCORED_PARTS = """
+SELECT p_brand AS task_id, 'part ' || CAST(p_partkey AS VARCHAR(20)) AS name, p_type AS bucket, round(CAST((p_partkey * 7919) % 1000 AS DOUBLE) / 1000, 3) AS score,
+       p_partkey AS pos, p_size FROM {part}
+"""
+# order pairs of parts as relations
+PART_EDGES = """
+SELECT DISTINCT 'all' AS repo, a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b
+  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey
+"""
+# page links as source files and imports of one repository
+LINK_FILES = """
+SELECT DISTINCT split_part(url, '/', 3) AS repo, 'src/' || split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1) ||
+   CASE page_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.js' ELSE '.tsx' END AS path FROM {pages}
+"""
+LINK_IMPORTS = """
+SELECT split_part(url, '/', 3) AS repo, 'src/lib/p' || CAST(page_id AS VARCHAR(20)) || '.ts' AS path,
+  CASE page_id % 4 WHEN 0 THEN '../' || CAST(page_id AS VARCHAR(20)) WHEN 1 THEN './../' || split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1)
+    WHEN 2 THEN '../' || split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1) || '.ts' ELSE '../../../x' END AS specifier FROM {pages}
+"""
+# suppliers as catalog items, nations as repositories with evidence
+CATALOG = """
+SELECT 'item ' || CAST(s_suppkey AS VARCHAR(20)) AS id, 'item ' || CAST(s_suppkey AS VARCHAR(20)) AS name,
+  CASE s_suppkey % 5 WHEN 0 THEN 'azure upload tool' WHEN 1 THEN 'review notifications flow' WHEN 2 THEN 'python login' WHEN 3 THEN 'moderation of uploads' ELSE 'plain text' END AS description,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'project' ELSE 'global' END AS scope,
+  CASE WHEN s_suppkey % 4 = 0 THEN '/h/.config/skillshare/skills/x' ELSE '/h/.codex/skills/x' END AS path,
+  CASE s_suppkey % 6 WHEN 0 THEN 'upload flow' WHEN 1 THEN 'ui' WHEN 2 THEN 'notifications' WHEN 3 THEN 'kiem duyet' WHEN 4 THEN 'review' ELSE 'nothing like it' END AS trig,
+  CASE s_suppkey % 4 WHEN 0 THEN 'payment' ELSE 'zzz' END AS neg,
+  'dep' || CAST(s_suppkey % 30 AS VARCHAR(20)) AS dep,
+  CASE s_suppkey % 3 WHEN 0 THEN 'docker/*' WHEN 1 THEN 'cfg' || CAST(s_suppkey % 7 AS VARCHAR(20)) || '.json' ELSE 'none.txt' END AS fil,
+  s_suppkey AS ord
+FROM {supplier}
+"""
+CATALOG_META = f"""
+SELECT id, name, description, scope, path, ord, named_struct('intent', array(), 'positive_prompts', array(trig), 'files', array(fil), 'dependencies', array(dep),
+  'negative_prompts', array(neg), 'negative_files', array(), 'negative_dependencies', array(), 'workflows', array(), 'related_skills', array(),
+  'depends_on', array(), 'provides', array(), 'requires', array(), 'suggested_files', array()) AS meta FROM ({CATALOG}) c
+"""
+EVIDENCE = """
+SELECT DISTINCT 'Brand#' || CAST(1 + c_custkey % 25 AS VARCHAR(20)) AS repo, CASE c_custkey % 3 WHEN 0 THEN 'dependency' ELSE 'file' END AS kind,
+  CASE c_custkey % 3 WHEN 0 THEN 'Dep' || CAST(c_custkey % 31 AS VARCHAR(20)) WHEN 1 THEN 'docker/c' || CAST(c_custkey % 5 AS VARCHAR(20)) ELSE 'a/CFG' || CAST(c_custkey % 11 AS VARCHAR(20)) || '.json' END AS value
+FROM {customer} WHERE c_custkey % 4 > 0
+"""
+CATALOG_TASKS = f"SELECT 'Brand#' || CAST(1 + conv_id % 25 AS VARCHAR(20)) AS repo, task_id, prompt || CASE WHEN turn % 4 = 0 THEN ' $item-7' ELSE '' END AS prompt FROM ({TASKS}) t"

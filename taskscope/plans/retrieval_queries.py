@@ -40,7 +40,7 @@ def broken_imports(t: Tables):
 
 
 @query("expanded_imports", "R2", f"""
-WITH edges AS ({plain(B.PART_EDGES)}), seeds AS (SELECT o_orderkey AS task_id, 'all' AS repo, l_partkey AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+WITH edges AS ({plain(B.PART_EDGES)}), seeds AS (SELECT DISTINCT o_orderkey AS task_id, 'all' AS repo, l_partkey AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
 h AS (SELECT task_id, dst AS path, 4 AS p FROM seeds JOIN edges ON src = path UNION ALL SELECT task_id, src, 5 FROM seeds JOIN edges ON dst = path),
 g AS (SELECT task_id, path, sum(p)::BIGINT AS score FROM h WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.task_id = h.task_id AND s.path = h.path) GROUP BY ALL)
 SELECT task_id, path, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, path) AS rank FROM g) WHERE rank <= 6
@@ -72,7 +72,7 @@ def catalog_relations(t: Tables):
 
 
 @query("expanded_catalog", "R4", _REL_SQL + """
-, seeds AS (SELECT o_orderkey AS task_id, 'part-' || l_partkey AS id, l_linenumber AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2),
+, seeds AS (SELECT o_orderkey AS task_id, 'part-' || l_partkey AS id, l_linenumber * 10000000 + l_partkey AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2),
 nodes AS (SELECT DISTINCT src AS id FROM edges),
 s1 AS (SELECT task_id, dst AS id, src, type, place, pos FROM seeds JOIN edges ON src = seeds.id),
 f1 AS (SELECT *, row_number() OVER (PARTITION BY task_id, id ORDER BY place, pos, id) AS k FROM s1 WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.task_id = s1.task_id AND s.id = s1.id)),
@@ -88,7 +88,7 @@ def expanded_catalog(t: Tables):
     edges = _relations(t)
     orders = t.orders.select(F.col("o_orderkey").alias("task_id"))
     seeds = t.lineitem.where("l_linenumber <= 2").select(
-        F.col("l_orderkey").alias("task_id"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_linenumber").alias("rank")
+        F.col("l_orderkey").alias("task_id"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("id"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("rank")
     ).join(orders, "task_id", "left_semi")
     out = graph.expand_catalog(seeds, edges, edges.select(F.col("src").alias("id")), depth=2)
     return out.select("task_id", "id", "level", "reason")
@@ -134,8 +134,8 @@ _ROUTE = "CASE WHEN contains(prompt, 'GET /') THEN CASE WHEN path LIKE '%.contro
 
 @query("basename_candidates", "J6", _FILES_SQL + _MENTION_SQL + f"""
 , hits AS (SELECT n.task_id, n.mention, n.pos, f.path, prompt, {_PRIO} AS prio FROM names n JOIN files f ON f.repo = n.repo AND regexp_extract(f.path, '([^/]*)$', 1) = n.mention JOIN tasks t ON t.task_id = n.task_id),
-a AS (SELECT *, row_number() OVER (PARTITION BY task_id, mention ORDER BY prio DESC, path) AS at FROM hits),
-r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY pos, at) AS rank FROM a WHERE at <= 12)
+a AS (SELECT *, row_number() OVER (PARTITION BY task_id, mention ORDER BY prio DESC, path) AS nth FROM hits),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY pos, nth) AS rank FROM a WHERE nth <= 12)
 SELECT task_id, path, CAST(900 + {_ROUTE} AS DOUBLE) AS score, 'prompt-filename' AS source FROM r WHERE rank <= 12
 """)
 def basename_candidates(t: Tables):

@@ -64,6 +64,27 @@ def carry_forward(
     return out.select(*keep, *[F.coalesce(f"l._here_{v}", f"c._in_{v}").alias(v) for v in values])
 
 
+def running_count(
+    df: DataFrame, keys: list[str], ts: str, counted: Column, name: str, span_seconds: int = 3600, tie: list[str] | None = None
+) -> DataFrame:
+    """Number of ``counted`` rows of the key at or before each row.
+
+    Like ``carry_forward``: a window inside each time span plus a prefix sum over spans.
+    """
+    tie = tie or []
+    cut = df.withColumn("_span", F.floor(F.unix_micros(ts) / F.lit(span_seconds * 1_000_000)).cast("long")).withColumn(
+        "_one", F.when(counted, 1).otherwise(0).cast("long")
+    )
+    inside = Window.partitionBy(*keys, "_span").orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("_here", F.sum("_one").over(inside))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_span").agg(F.sum("_one").alias("_n"))
+    shift = totals.select(*keys, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = F.expr(" AND ".join([f"l.{k} <=> c.{k}" for k in keys] + ["l._span = c._span"]))
+    out = local.alias("l").join(shift.alias("c"), on)
+    return out.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._here") + F.col("c._before")).alias(name))
+
+
 _RUN = "[a-z0-9]"
 
 

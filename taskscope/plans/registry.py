@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -34,7 +34,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return instants(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def derive(self, sql: str) -> DataFrame:
         """Run a binding, whose tables are written as ``{table}``."""
@@ -45,6 +45,11 @@ class Tables:
         return self.spark.sql(text, **used)
 
 
+def instants(df: DataFrame) -> DataFrame:
+    """Zone-less timestamps as points in time, which watermarks and time spans need."""
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
+
+
 def plain(sql: str) -> str:
     """A binding as text for an engine where the tables are views."""
     for table in TABLES:

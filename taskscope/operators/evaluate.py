@@ -192,7 +192,9 @@ def rubric(checks: DataFrame, gates: DataFrame, weights: dict[str, float] = C.RU
     for name, value in weights.items():
         share = F.when(F.col("category") == name, value) if share is None else share.when(F.col("category") == name, value)
     scored = per.withColumn("score", F.when(F.col("max") > 0, F.round(F.col("earned") / F.col("max") * share, 2)).otherwise(0.0))
-    total = scored.groupBy("release").agg(F.round(F.sum("score"), 1).alias("score"))
+    # category scores have two decimals; their sum is exact as a decimal
+    exact = F.sum(F.col("score").cast("decimal(12,2)"))
+    total = scored.groupBy("release").agg(F.round(exact, 1).cast("double").alias("score"))
     passed = gates.groupBy("release").agg(F.bool_and("passed").alias("gates_passed"), F.count_if(F.col("passed")).alias("gates"))
     out = total.join(passed, "release", "left").na.fill(0, ["gates"]).withColumn("gates_passed", F.coalesce("gates_passed", F.lit(False)))
     return out.withColumn("ready", (F.col("score") > C.RELEASE_READY_SCORE) & F.col("gates_passed"))

@@ -7,7 +7,7 @@ from .registry import QUERIES, Query
 
 def catalogue() -> dict[str, Query]:
     from . import (  # noqa: F401  (each module registers its queries)
-        finding_queries, ranking_queries, retrieval_queries, telemetry_queries, text_queries,
+        compliance_queries, finding_queries, ranking_queries, retrieval_queries, telemetry_queries, text_queries,
     )
 
     return dict(QUERIES)

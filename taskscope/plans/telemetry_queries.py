@@ -136,24 +136,25 @@ def streamed_latest_reports(t: Tables):
 
 
 _GATE_SQL = """
-WITH RECURSIVE n AS (SELECT e.{k} AS k, e.ts, min(f.ts) AS nx FROM events e JOIN events f ON e.{k} = f.{k} AND f.ts {op} e.ts + INTERVAL {s} SECOND GROUP BY ALL),
-a AS (SELECT {k} AS k, min(ts) AS ts FROM events GROUP BY 1 UNION ALL SELECT n.k, n.nx FROM a JOIN n ON n.k = a.k AND n.ts = a.ts WHERE n.nx IS NOT NULL)
+WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT {k} AS k, ts FROM events),
+n AS MATERIALIZED (SELECT e.k, e.ts, f.ts AS nx FROM (SELECT k, ts, ts + INTERVAL {s} SECOND AS due FROM d) e ASOF LEFT JOIN d f ON e.k = f.k AND e.due {op} f.ts),
+a AS (SELECT k, min(ts) AS ts FROM d GROUP BY 1 UNION ALL SELECT n.k, n.nx FROM a JOIN n ON n.k = a.k AND n.ts = a.ts WHERE n.nx IS NOT NULL)
 """
 
 
-@query("cooldown_starts", "W3", _GATE_SQL.format(k="event_type", op=">=", s=C.COOLDOWN_SECONDS) + "SELECT e.event_type AS workspace, e.event_id, a.ts IS NOT NULL AS started FROM events e LEFT JOIN a ON a.k = e.event_type AND a.ts = e.ts")
+@query("cooldown_starts", "W3", _GATE_SQL.format(k="event_type", op="<=", s=C.COOLDOWN_SECONDS) + "SELECT e.event_type AS workspace, e.event_id, a.ts IS NOT NULL AS started FROM events e LEFT JOIN a ON a.k = e.event_type AND a.ts = e.ts")
 def cooldown_starts(t: Tables):
     events = t.events.select(F.col("event_type").alias("workspace"), "ts", "event_id")
     return gates.cooldown(events).select("workspace", "event_id", "started")
 
 
-@query("streamed_cooldown_starts", "W3", _GATE_SQL.format(k="event_type", op=">=", s=C.COOLDOWN_SECONDS) + "SELECT e.event_type AS workspace, e.event_id, a.ts IS NOT NULL AS started FROM events e LEFT JOIN a ON a.k = e.event_type AND a.ts = e.ts")
+@query("streamed_cooldown_starts", "W3", _GATE_SQL.format(k="event_type", op="<=", s=C.COOLDOWN_SECONDS) + "SELECT e.event_type AS workspace, e.event_id, a.ts IS NOT NULL AS started FROM events e LEFT JOIN a ON a.k = e.event_type AND a.ts = e.ts")
 def streamed_cooldown_starts(t: Tables):
     stream = _stream(t).select(F.col("event_type").alias("workspace"), "ts", "event_id").withWatermark("ts", "10 minutes")
     return ev.run_available(gates.stream_cooldown(stream))
 
 
-@query("repeat_requests", "W4", _GATE_SQL.format(k="event_type", op=">", s=600) + "SELECT e.event_id, a.ts IS NULL AS cache_hit FROM events e LEFT JOIN a ON a.k = e.event_type AND a.ts = e.ts")
+@query("repeat_requests", "W4", _GATE_SQL.format(k="event_type", op="<", s=600) + "SELECT e.event_id, a.ts IS NULL AS cache_hit FROM events e LEFT JOIN a ON a.k = e.event_type AND a.ts = e.ts")
 def repeat_requests(t: Tables):
     requests = t.events.select(gates.request_key(["event_type"]).alias("key"), "ts", F.col("event_id").alias("request_id"))
     return gates.repeat_requests(requests, seconds=600).select(F.col("request_id").alias("event_id"), "cache_hit")

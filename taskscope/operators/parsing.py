@@ -41,11 +41,15 @@ _SOURCE = r"^## Source:\s+(.+)$"
 
 
 def _line_kind(line: Column) -> Column:
+    """S source, X flush, B bullet or heading, P prose. First characters decide before any pattern."""
     bare = strip(line)
+    first = F.substring(bare, 1, 1)
+    bullet = first.isin("-", "*", "+", "#", *"0123456789") & line.rlike(_BULLET)
     return (
-        F.when(bare.rlike(_SOURCE), "S")
-        .when((bare == "") | bare.rlike(r"^-{3,}$"), "X")
-        .when(line.rlike(_BULLET), "B")
+        F.when(bare == "", "X")
+        .when(bare.startswith("## Source:") & bare.rlike(_SOURCE), "S")
+        .when(bare.startswith("---") & bare.rlike(r"^-{3,}$"), "X")
+        .when(bullet, "B")
         .otherwise("P")
     )
 
@@ -69,16 +73,19 @@ def parse_rules(
     """
     keep = [c for c in docs.columns if c != text]
     lines = docs.withColumn("_lines", numbered_lines(_plain(F.col(text)))).drop(text)
-    zipped = lines.withColumn("_zip", F.arrays_zip(F.col("_lines").alias("line"), _shift(F.col("_lines")).alias("prev")))
+    kinds = lines.withColumn("_kinds", F.transform("_lines", _line_kind))
+    zipped = kinds.withColumn(
+        "_zip", F.arrays_zip(F.col("_lines").alias("line"), F.col("_kinds").alias("kind"), _shift(F.col("_kinds")).alias("before"))
+    )
 
     def piece(z: Column) -> Column:
-        kind = _line_kind(z["line"])
-        folds = (kind == "P") & z["prev"].isNotNull() & (_line_kind(z["prev"]) == "P")
+        kind = z["kind"]
+        folds = (kind == "P") & (z["before"] == "P")
         body = (
-            F.when(kind == "S", strip(F.regexp_extract(strip(z["line"]), _SOURCE, 1)))
-            .when(kind == "X", "")
+            F.when(kind == "P", strip(z["line"]))
             .when(kind == "B", _clean_rule(z["line"]))
-            .otherwise(strip(z["line"]))
+            .when(kind == "X", "")
+            .otherwise(strip(F.regexp_extract(strip(z["line"]), _SOURCE, 1)))
         )
         return F.concat(F.when(folds, " ").otherwise(F.concat(F.lit(_MARK), kind)), body)
 
@@ -86,7 +93,10 @@ def parse_rules(
 
     def rule(segment: Column, source: Column) -> Column:
         kind, rest = F.substring(segment, 1, 1), F.substring(segment, 2, 2147483647)
-        folded = F.when(kind == "P", _clean_rule(F.regexp_replace(rest, r"\s+", " "))).otherwise(rest)
+        wide = rest.contains("  ") | rest.contains("\t")
+        prose = F.when(wide, F.regexp_replace(rest, r"\s+", " ")).otherwise(rest)
+        marked = F.substring(prose, 1, 1).isin("-", "*", "+", "#", " ", *"0123456789")
+        folded = F.when((kind == "P") & marked, _clean_rule(prose)).when(kind == "P", strip(prose)).otherwise(rest)
         return F.struct(source.alias("source"), kind.alias("kind"), folded.alias("content"))
 
     def section(body: Column, index: Column) -> Column:
@@ -126,7 +136,9 @@ def parse_rules(
             )
         ).alias("_rules"),
     )
-    rules = F.col("_rules")
+    # An exploded column would be tested for emptiness in the scan, and so computed twice;
+    # an expression is not.
+    rules = F.filter("_rules", lambda r: r["content"].isNotNull())
     if only_actionable:
         rules = F.filter(rules, lambda r: ~is_environment_rule(r["content"]) & ~is_documentation_only(r["content"]))
     return firsts.select(*keep, F.posexplode(rules).alias("pos", "_rule")).select(
@@ -139,7 +151,14 @@ def parse_rules(
 
 
 def is_environment_rule(content: Column) -> Column:
-    return any_of(clean(content), C.ENVIRONMENT_RULE_PATTERNS, ignore_case=True)
+    text = clean(content)
+    lower = F.lower(text)
+    # every pattern needs one of these, which is cheaper to look for
+    likely = (
+        lower.contains("command") | lower.contains("sequence") | lower.contains("context") | lower.contains("prefix")
+        | (lower.contains("su") & lower.contains("-"))
+    )
+    return likely & any_of(text, C.ENVIRONMENT_RULE_PATTERNS, ignore_case=True)
 
 
 def is_file_reference(content: Column) -> Column:

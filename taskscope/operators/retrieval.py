@@ -134,8 +134,13 @@ def text_match(tasks: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame
     """
     tokens = tasks.select("task_id", "repo", F.explode(tokenize(F.col("prompt"), "file")).alias("token"))
     distinct = tokens.select("repo", "token").distinct()
-    hay = index.select("repo", "path", F.lower(F.concat_ws(" ", "path", "text")).alias("_hay"))
-    hits = contains_join(hay, "_hay", distinct, "token", ["repo"]).select("repo", "path", "token")
+    # A token is one run of letters and digits, so it lies inside one word of a text:
+    # tokens are matched with the distinct words once, not with every text.
+    hay = F.lower(F.concat_ws(" ", "path", "text"))
+    words = index.select("repo", "path", F.explode(F.array_distinct(F.regexp_extract_all(hay, F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    terms = tokens.select("token").distinct()
+    inside = contains_join(words.select("word").distinct().where(F.length("word") >= 3), "word", terms, "token").select("word", "token")
+    hits = words.join(inside, "word").select("repo", "path", "token").distinct().join(distinct, ["repo", "token"], "left_semi")
     points = F.lit(4) + F.when(F.lower(paths.basename(F.col("path"))).contains(F.col("token")), 3).otherwise(0)
     scored = tokens.join(hits.withColumn("points", points), ["repo", "token"]).groupBy("task_id", "path").agg(
         F.sum("points").alias("score"), F.sort_array(F.collect_set("token")).alias("_tokens")
@@ -200,7 +205,7 @@ def similarity_top_k(queries: DataFrame, index: DataFrame, k: int, min_score: fl
             "s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
         )
         right = index.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("s")).withColumn(
-            "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")
+            "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
         )
 
         def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,10 @@ TABLES = [
 ]
 
 
+# tables whose rows are long texts, so that the work per row is large
+TEXT_TABLES = ["documents", "pages", "conversations"]
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -34,7 +38,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return instants(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+        df = instants(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+        return self.spread(df) if name in TEXT_TABLES else df
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Use every core for a table that is scanned in fewer tasks than there are cores.
+
+        A large table is scanned in many tasks and stays as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def derive(self, sql: str) -> DataFrame:
         """Run a binding, whose tables are written as ``{table}``."""

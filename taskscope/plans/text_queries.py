@@ -97,7 +97,7 @@ statements AS (SELECT repo, path, g, trim(regexp_replace(string_agg(l, ' ' ORDER
 SELECT repo, path, stmt, CAST(line AS INTEGER) AS line FROM statements WHERE stmt <> ''
 """)
 def sql_statements(t: Tables):
-    return parsing.split_sql(t.derive(B.SQL_FILES)).drop("ord")
+    return parsing.split_sql(t.spread(t.derive(B.SQL_FILES))).drop("ord")
 
 
 def _not_then(head: str, tail: str) -> str:
@@ -123,7 +123,7 @@ def _not_then(head: str, tail: str) -> str:
 SELECT repo, path AS file, id, severity, CAST(line AS INTEGER) AS line, stmt AS evidence FROM hits
 """)
 def migration_findings(t: Tables):
-    found = checks_text.check_sql(t.derive(B.SQL_FILES))
+    found = checks_text.check_sql(t.spread(t.derive(B.SQL_FILES)))
     return found.select("repo", "file", "id", "severity", "line", "evidence")
 
 
@@ -148,7 +148,7 @@ SELECT repo, file, model, name AS field, type, is_list, CAST(line AS INTEGER) AS
        array_to_string(regexp_extract_all(text, '@@?[A-Za-z_][\\w.]*(\\([^)]*\\))?', 0), ' ') AS attributes FROM fields
 """)
 def schema_fields(t: Tables):
-    models = parsing.schema_models(parsing.parse_schema_blocks(t.derive(B.SCHEMA_FILES)))
+    models = parsing.schema_models(parsing.parse_schema_blocks(t.spread(t.derive(B.SCHEMA_FILES))))
     return parsing.schema_fields(models).select(
         "repo", "file", "model", "field", "type", "is_list", "line", F.array_join("attributes", " ").alias("attributes")
     )
@@ -171,7 +171,7 @@ UNION ALL SELECT repo, file, 'PRISMA-005', 'HIGH', 'certain', CAST(mline AS INTE
   WHERE kind = 'datasource' AND regexp_matches(text, '^url\\s*=') AND NOT regexp_matches(text, '^url\\s*=\\s*env\\(')
 """)
 def schema_findings(t: Tables):
-    return checks_text.check_schema(t.derive(B.SCHEMA_FILES)).select(
+    return checks_text.check_schema(t.spread(t.derive(B.SCHEMA_FILES))).select(
         "repo", "file", "id", "severity", "confidence", "line", "evidence"
     )
 

@@ -50,6 +50,15 @@ def fold_accents(col: Column) -> Column:
     return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 
 
+def each(name: str) -> Column:
+    """A computed array column, to be exploded.
+
+    Spark tests an exploded column for emptiness as early as the scan, which would
+    compute the array twice; an expression over it is left alone.
+    """
+    return F.filter(name, lambda x: x.isNotNull())
+
+
 def clean(col: Column) -> Column:
     """Null-safe text."""
     return F.coalesce(col, F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
 from ..functions import paths
@@ -106,7 +106,9 @@ def expand_catalog(
             F.min("_o").alias("_o"), F.min_by(F.struct("src", "type"), "_o").alias("_via")
         )
         # queue order of this level, the starting order of the next one
-        front = top_n(firsts, ["task_id"], [F.col("_o")], 2_000_000, rank="place") if level < depth else firsts.withColumn("place", F.lit(0))
+        # one window holds the new items of one task
+        order = Window.partitionBy("task_id").orderBy("_o")
+        front = firsts.withColumn("place", F.row_number().over(order))
         if level < depth:
             front = checkpointed(front)
         reached = front.select("task_id", "id", F.lit(level).alias("level"), "_o", "_via")

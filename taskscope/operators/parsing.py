@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions import paths
 from ..functions.skew import top_n
 from ..functions.text import (
-    any_of, clean, first_pattern, literal_array, matches, normalize, numbered_lines, pattern, squash, strip, tokenize, truncate,
+    any_of, clean, each, first_pattern, literal_array, matches, normalize, numbered_lines, pattern, squash, strip, tokenize, truncate,
 )
 
 # Control characters that tag lines; they are removed from the input first.
@@ -136,9 +136,7 @@ def parse_rules(
             )
         ).alias("_rules"),
     )
-    # An exploded column would be tested for emptiness in the scan, and so computed twice;
-    # an expression is not.
-    rules = F.filter("_rules", lambda r: r["content"].isNotNull())
+    rules = each("_rules")
     if only_actionable:
         rules = F.filter(rules, lambda r: ~is_environment_rule(r["content"]) & ~is_documentation_only(r["content"]))
     return firsts.select(*keep, F.posexplode(rules).alias("pos", "_rule")).select(
@@ -282,7 +280,7 @@ def schema_models(blocks: DataFrame) -> DataFrame:
 
 def schema_fields(models: DataFrame) -> DataFrame:
     keep = [c for c in models.columns if c not in ("fields", "block_attributes", "kind", "name", "line")]
-    return models.select(*keep, "kind", F.col("name").alias("model"), F.explode("fields").alias("_f")).select(
+    return models.select(*keep, "kind", F.col("name").alias("model"), F.explode(each("fields")).alias("_f")).select(
         *keep, "kind", "model", F.col("_f.name").alias("field"), F.col("_f.type").alias("type"),
         F.col("_f.is_list").alias("is_list"), F.col("_f.is_optional").alias("is_optional"),
         F.col("_f.attributes").alias("attributes"), F.col("_f.line").alias("line"), F.col("_f.text").alias("text"),
@@ -291,7 +289,7 @@ def schema_fields(models: DataFrame) -> DataFrame:
 
 def schema_block_attributes(models: DataFrame) -> DataFrame:
     keep = [c for c in models.columns if c not in ("fields", "block_attributes", "kind", "name", "line")]
-    return models.select(*keep, F.col("name").alias("model"), F.explode("block_attributes").alias("_a")).select(
+    return models.select(*keep, F.col("name").alias("model"), F.explode(each("block_attributes")).alias("_a")).select(
         *keep, "model", F.col("_a.text").alias("text"), F.col("_a.line").alias("line")
     )
 

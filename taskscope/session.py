@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "taskscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -16,6 +16,8 @@ def build_session(app: str = "taskscope", master: str | None = None, **conf: str
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a hot join key even where that costs one more shuffle for the aggregate after it
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -39,8 +41,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"taskscope-{os.getpid()}"))
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
-    """Broadcast only a side whose row count was measured and is within the bound."""
-    return F.broadcast(df) if rows <= max_rows else df

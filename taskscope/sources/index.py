@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_index(df: DataFrame, path: str) -> None:
-    """Replace all rows of every (kind, model) present in ``df``; other partitions stay."""
+def write_index(df: DataFrame, path: str, slices: int = 16) -> None:
+    """Replace all rows of every (kind, model) present in ``df``; other partitions stay.
+
+    A kind is written by up to ``slices`` tasks, so one large kind is not one task.
+    """
     (
-        df.repartition("kind", "model", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.repartition("kind", "model", F.pmod(F.xxhash64("id"), F.lit(slices))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("kind", "model").parquet(path)
     )
 

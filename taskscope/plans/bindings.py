@@ -231,6 +231,6 @@ SELECT id, name, description, scope, path, ord, named_struct('intent', array(),
 EVIDENCE = """
 SELECT DISTINCT 'Brand#' || CAST(1 + c_custkey % 25 AS VARCHAR(20)) AS repo, CASE c_custkey % 3 WHEN 0 THEN 'dependency' ELSE 'file' END AS kind,
   CASE c_custkey % 3 WHEN 0 THEN 'Dep' || CAST(c_custkey % 31 AS VARCHAR(20)) WHEN 1 THEN 'docker/c' || CAST(c_custkey % 5 AS VARCHAR(20)) ELSE 'a/CFG' || CAST(c_custkey % 11 AS VARCHAR(20)) || '.json' END AS value
-FROM {customer} WHERE c_custkey % 4 > 0
+FROM {customer}
 """
 CATALOG_TASKS = f"SELECT 'Brand#' || CAST(1 + conv_id % 25 AS VARCHAR(20)) AS repo, task_id, prompt || CASE WHEN turn % 4 = 0 THEN ' $item-7' ELSE '' END AS prompt FROM ({TASKS}) t"

@@ -83,9 +83,9 @@ def compliance_reports(t: Tables):
 
 # findings of order lines as structural items, next to rules of order comments
 _ITEM_SQL = f"""
-WITH f AS ({plain(FINDINGS)}), i AS (SELECT line AS change_id, category, severity, confidence, 'ignored' AS status FROM f WHERE repo % 20 = 0
- UNION ALL SELECT o_orderkey % 300, CASE o_orderkey % 4 WHEN 0 THEN 'Security' WHEN 1 THEN 'Database' WHEN 2 THEN 'Testing' ELSE 'Architecture' END, CASE o_orderkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END, 'heuristic',
-   CASE o_orderstatus WHEN 'F' THEN 'followed' WHEN 'O' THEN 'unknown' ELSE 'unmeasurable' END FROM orders WHERE o_custkey % 50 = 0),
+WITH f AS ({plain(FINDINGS)}), i AS (SELECT repo * 1000 + line AS change_id, category, severity, confidence, 'ignored' AS status FROM f
+ UNION ALL SELECT (o_custkey % 100) * 1000 + o_orderkey % 300, CASE o_orderkey % 4 WHEN 0 THEN 'Security' WHEN 1 THEN 'Database' WHEN 2 THEN 'Testing' ELSE 'Architecture' END, CASE o_orderkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END, 'heuristic',
+   CASE o_orderstatus WHEN 'F' THEN 'followed' WHEN 'O' THEN 'unknown' ELSE 'unmeasurable' END FROM orders),
 cats AS (SELECT unnest({Q.str_list(C.REPORT_CATEGORIES)}) AS category), ch AS (SELECT DISTINCT change_id FROM i),
 fl AS (SELECT change_id, category, bool_or(status = 'ignored' AND severity IN ('HIGH', 'CRITICAL')) AS fail, bool_or(status IN ('ignored', 'unknown')) AS warn FROM i WHERE status <> 'unmeasurable' GROUP BY ALL),
 st AS (SELECT ch.change_id, cats.category, CASE WHEN fail IS NULL THEN 'NOT_EVALUATED' WHEN fail THEN 'FAIL' WHEN warn THEN 'WARNING' ELSE 'PASS' END AS status FROM ch CROSS JOIN cats LEFT JOIN fl ON fl.change_id = ch.change_id AND fl.category = cats.category),
@@ -96,12 +96,12 @@ card AS (SELECT st.*, CASE WHEN status <> 'NOT_EVALUATED' THEN greatest(0, 100 -
 
 
 def _items(t: Tables):
-    structural = compliance.structural_verdicts(findings(t).where("repo % 20 = 0").withColumn("change_id", F.col("line").cast("bigint")))
+    structural = compliance.structural_verdicts(findings(t).withColumn("change_id", (F.col("repo") * 1000 + F.col("line")).cast("bigint")))
     text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'hash the password' WHEN 1 THEN 'add an index' WHEN 2 THEN 'write a test' ELSE 'keep layers' END")
     status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'followed' WHEN 'O' THEN 'unknown' ELSE 'unmeasurable' END")
     none = F.lit(None).cast("string")
-    written = t.orders.where("o_custkey % 50 = 0").select(
-        (F.col("o_orderkey") % 300).alias("change_id"), F.col("o_orderkey").cast("string").alias("rule_id"), text.alias("content"), status.alias("status"),
+    written = t.orders.select(
+        (F.col("o_custkey") % 100 * 1000 + F.col("o_orderkey") % 300).alias("change_id"), F.col("o_orderkey").cast("string").alias("rule_id"), text.alias("content"), status.alias("status"),
         F.lit("required").alias("kind"), F.array().cast("array<string>").alias("keywords"), none.alias("evidence"), none.alias("file"), F.lit(None).cast("int").alias("line"),
         F.lit(False).alias("structural"), none.alias("category"), none.alias("severity"), none.alias("confidence"),
     )
@@ -251,7 +251,7 @@ def middle_risk(t: Tables):
 
 
 _READY = """
-SELECT p_partkey % 211 AS repo, p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN 'a/AGENTS.md' WHEN 1 THEN 'AGENTS.md' ELSE '~/AGENTS.md' END AS source_path, CASE WHEN p_size % 5 = 0 THEN 'Always lint' ELSE 'Lint it' END AS content FROM {part} WHERE p_partkey % 3 > 0
+SELECT p_partkey % 211 AS repo, p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN 'a/AGENTS.md' WHEN 1 THEN 'AGENTS.md' ELSE '~/AGENTS.md' END AS source_path, CASE WHEN p_size % 5 = 0 THEN 'Always lint' ELSE 'Lint it' END AS content FROM {part}
 """
 _READY_SQL = f"""
 WITH p AS ({plain(_READY)}), repos AS (SELECT repo, bool_or(p_size = 7) AS d FROM (SELECT p_partkey % 211 AS repo, p_size FROM part) GROUP BY 1),

@@ -138,23 +138,23 @@ def proxy_similarities(t: Tables):
 
 
 @query("vector_top_k", "J2 K1", """
-WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE label = 0),
+WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings),
 s AS (SELECT query_id, vec_id AS id, round(greatest(0, least(1, (list_cosine_similarity(list_transform(v, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)) + 1) / 2)), 3) AS score FROM q, embeddings)
 SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5
 """)
 def vector_top_k(t: Tables):
     index = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = t.embeddings.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.similarity_top_k(queries, index, 5)
 
 
 @query("vector_file_candidates", "F11", """
-WITH s AS (SELECT q.vec_id AS task_id, e.vec_id AS path, round(greatest(0, least(1, (list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)) + 1) / 2)), 3) AS sc FROM embeddings q, embeddings e WHERE q.label = 1)
+WITH s AS (SELECT q.vec_id AS task_id, e.vec_id AS path, round(greatest(0, least(1, (list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)) + 1) / 2)), 3) AS sc FROM embeddings q, embeddings e)
 SELECT task_id, path, round(sc * 10) AS score, 'embedding' AS source FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sc DESC, path) AS rank FROM s WHERE sc >= 0.45) WHERE rank <= 10
 """)
 def vector_file_candidates(t: Tables):
     index = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = t.embeddings.where("label = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.vector_candidates(queries, index).select("task_id", "path", "score", "source")
 
 

@@ -325,7 +325,7 @@ SELECT DISTINCT c_nationkey * 100 + c_custkey % 90 AS repo, CASE WHEN element LI
 """
 _STACK_CONTENT = """
 SELECT c_nationkey * 100 + c_custkey % 90 AS repo, CASE c_custkey % 4 WHEN 0 THEN 'prismaSchema' WHEN 1 THEN 'compose' WHEN 2 THEN 'envExample' ELSE 'dataSource' END AS kind,
-  CASE c_custkey % 8 WHEN 0 THEN 'datasource db { provider = "postgresql" }' WHEN 1 THEN 'image: redis:7' WHEN 2 THEN 'URL=postgres://x' WHEN 3 THEN '"type": "postgres"' WHEN 5 THEN 'image: postgis/x' ELSE 'none' END AS text FROM {customer} WHERE c_custkey % 5 = 0
+  CASE c_custkey % 8 WHEN 0 THEN 'datasource db { provider = "postgresql" }' WHEN 1 THEN 'image: redis:7' WHEN 2 THEN 'URL=postgres://x' WHEN 3 THEN '"type": "postgres"' WHEN 5 THEN 'image: postgis/x' ELSE 'none' END AS text FROM {customer}
 """
 
 

@@ -6,6 +6,7 @@ shuffle and no Python worker.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -18,8 +19,18 @@ _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
 def pattern(regex: str) -> str:
-    r"""Give ``\b`` its ASCII meaning on every Java version."""
-    return regex.replace(r"\b", _BOUNDARY)
+    r"""Give ``\b`` its ASCII meaning on every Java version.
+
+    Next to a literal letter or digit one look to the other side is enough.
+    """
+    parts = regex.split(r"\b")
+    out = parts[0]
+    for before, after in zip(parts, parts[1:]):
+        opens = re.match(r"[A-Za-z0-9_](?![*?{])", after)
+        closes = re.search(r"(?:^|[^\\])[A-Za-z0-9_]$", before)
+        out += f"(?<!{_WORD})" if opens else f"(?!{_WORD})" if closes else _BOUNDARY
+        out += after
+    return out
 
 
 def matches(col: Column, regex: str, ignore_case: bool = False) -> Column:

@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions import paths
 from ..functions.skew import top_n
 from ..functions.text import (
-    any_of, clean, each, first_pattern, literal_array, matches, normalize, numbered_lines, pattern, squash, strip, tokenize, truncate,
+    any_of, clean, each, first_pattern, literal_array, matches, normalize, numbered_lines, pattern, squash, strip, tokenize,
 )
 
 # Control characters that tag lines; they are removed from the input first.

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions import vectors
 from ..functions.skew import first_per, top_n
-from ..functions.text import any_of, clean, clamp01, half_up, literal_map, matches, strip, tokenize
+from ..functions.text import clean, clamp01, half_up, literal_map, matches, strip, tokenize
 from .parsing import identifiers, is_documentation_only, is_environment_rule, phrases
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions import paths
 from ..functions.skew import first_per, top_n
-from ..functions.text import any_of, clean, first_pattern, matches, normalize, pattern
+from ..functions.text import clean, first_pattern, matches, normalize, pattern
 
 
 def normalised_score(df: DataFrame, columns: list[str] = ("confidence", "rank_score", "embedding_score", "score")) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import telemetry
 from ..sources import corpus, diffs, index, manifests, rules as rule_sources
 from ..streaming import events as ev, gates
-from . import bindings as B, sql as Q
+from . import bindings as B
 from .. import constants as C
 from .registry import Tables, instants, plain, query
 

@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substrings
+from . import pieces, substrings
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _pieces_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(_docs(spark, folder), _pieces_model())
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.removal_report(_docs(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_substring_dedup,)
+    f.__name__: f for f in (op8_sentencepiece, op9_substring_dedup)
 }
 
 SQL: dict[str, str] = {}

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, substrings
+from . import duplicates, pieces, substrings
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates.report(_docs(spark, folder))
+
+
 def _pieces_model() -> str:
     import public_tokenizers
 
@@ -28,7 +32,14 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_sentencepiece, op9_substring_dedup)
+    f.__name__: f for f in (op7_exact_dedup, op8_sentencepiece, op9_substring_dedup)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_exact_dedup": """
+        WITH rows AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), classes AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM rows JOIN classes USING (t)
+    """,
+}

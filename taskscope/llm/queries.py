@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import duplicates, pieces, substrings
+from . import duplicates, pieces, shards, substrings, urls
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.places(_docs(spark, folder))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return duplicates.report(_docs(spark, folder))
 
@@ -31,8 +35,12 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.removal_report(_docs(spark, folder))
 
 
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.verdicts(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_exact_dedup, op8_sentencepiece, op9_substring_dedup)
+    f.__name__: f for f in (op5_sharding, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
 }
 
 SQL: dict[str, str] = {

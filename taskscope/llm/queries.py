@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import duplicates, pieces, shards, substrings, urls
+from . import duplicates, pieces, secrets, shards, substrings, urls
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(_docs(spark, folder))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.places(_docs(spark, folder))
 
@@ -40,7 +44,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_sharding, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
+    f.__name__: f for f in (op4_secret_scan, op5_sharding, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
 }
 
 SQL: dict[str, str] = {

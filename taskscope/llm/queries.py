@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import duplicates, pieces, secrets, shards, substrings, urls
+from . import duplicates, pieces, quality, secrets, shards, substrings, toxicity, urls
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(_docs(spark, folder), _labels(spark, folder))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(_docs(spark, folder))
 
@@ -21,6 +29,10 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.places(_docs(spark, folder))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(_docs(spark, folder), _labels(spark, folder))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return duplicates.report(_docs(spark, folder))
 
@@ -44,7 +56,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_secret_scan, op5_sharding, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
+    f.__name__: f for f in (op3_quality_classifier, op4_secret_scan, op5_sharding, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
 }
 
 SQL: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, duplicates, pieces, quality, secrets, shards, substrings, toxicity, urls
+from . import decontamination, duplicates, near_duplicates, pieces, quality, secrets, shards, substrings, toxicity, urls
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(_docs(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.report(_docs(spark, folder))
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(_docs(spark, folder), _labels(spark, folder))
 
@@ -60,7 +64,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op4_secret_scan, op5_sharding, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
+    f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_quality_classifier, op4_secret_scan, op5_sharding, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
 }
 
 SQL: dict[str, str] = {

@@ -111,9 +111,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one for each text, with all their columns."""
-    stay = classes(docs, id_col, text_col).where("id <=> keep_id").groupBy("id", "place").agg(F.count(F.lit(1)).alias("_n"))
-    stay = written(stay.select(F.col("id").alias("_id"), F.col("place").alias("_place"), "_n"), "dedup-stay")
+    stay = classes(docs, id_col, text_col).where("id <=> keep_id").groupBy("id", "place").agg(F.count(F.lit(1)).alias("__n"))
+    stay = written(stay.select(F.col("id").alias("__id"), F.col("place").alias("__place"), "__n"), "dedup-stay")
     columns = [F.col(c) for c in docs.columns]
-    joined = docs.withColumn("_p", F.xxhash64(folded(F.col(text_col)))).join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & F.expr("_p = _place"))
-    # rows that repeat an id and a text are rare; only they are gathered
-    return joined.where("_n = 1").select(*columns).unionAll(joined.where("_n > 1").dropDuplicates(["_id", "_place"]).select(*columns))
+    joined = docs.withColumn("__p", F.xxhash64(folded(F.col(text_col)))).join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & F.expr("__p = __place"))
+    if stay.where("__n > 1").isEmpty():
+        return joined.select(*columns)
+    # of rows that repeat an id and a text, one stays
+    return joined.where("__n = 1").select(*columns).unionAll(joined.where("__n > 1").dropDuplicates(["__id", "__place"]).select(*columns))

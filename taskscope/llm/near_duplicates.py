@@ -245,8 +245,8 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents whose id names their class, and those without an id's class, with all their columns."""
-    kept = classes(docs, id_col, text_col, **options).where("id <=> class_id").select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = classes(docs, id_col, text_col, **options).where("id <=> class_id").select(F.col("id").alias("__kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def report(docs: DataFrame) -> DataFrame:

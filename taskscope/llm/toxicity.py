@@ -321,8 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     known = labelled(labels, label, id_col)
     share = known.agg(F.avg("y")).first()[0]
     chosen = F.broadcast(bounded(known, sample))  # at most twice the sample
-    rows = docs.join(chosen, F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("text"), "y").collect()
-    return train([(r.text, r.y) for r in sorted(rows, key=lambda r: (r._id, r.text or ""))], share if share is not None else 0.5)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.expr("id = _id")).select("id", "text", "y").collect()
+    return train([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.text or ""))], share if share is not None else 0.5)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,6 +338,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents below the threshold, as they are. Each is judged where it lies; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in T.slices(whole, text_col, _SLICE):
+                yield batch.filter(pa.array(shared.value.scores(*T.flat(batch.column(text_col))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     return score(docs, fit(docs, labels)).select(
         F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),

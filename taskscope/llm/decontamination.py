@@ -41,13 +41,10 @@ _SLICE = 2 << 20
 _K1, _B = 1.2, 0.75
 RANGE = 4  # items of a block
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the normalised words, and the first word of each row. Upper case of Latin-1 letters is folded too."""
-    low = _LOWER[data]
+    low = T.LOWER[data]
     if len(low) > 1:
         upper = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
         low[upper] += 32

@@ -5,13 +5,13 @@ regions by hashing (a Poisson process for each element and unit of weight, so eq
 document), and each dart names one of ``BANDS * ROWS`` coordinates. Of the darts within a document's region, up to a
 rank at which about k ln k + 4k darts are expected whatever the document's weight, the earliest of each coordinate is
 kept. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Elements are
-shingles of five words, of weight one, or of the number of their occurrences (``weighted``).
+shingles of five words (A-Z as a-z), of weight one, or of the number of their occurrences (``weighted``).
 
 Candidates. Equal texts are one node. Nodes that agree in all coordinates of a band share a bucket. In a bucket, each
-node is paired with the bucket's most central node (whose buckets are the largest together), and with its next
-``NEIGHBOURS`` when the bucket is sorted by the following bands; that is linear in the size of a bucket, and the many
-buckets of a group give a node many partners. Where nodes of a bucket are still in different components, it is sorted anew by
-other bands, and neighbours from different components are paired, until ``ROUNDS`` rounds are done.
+node is paired with the bucket's most central node (whose buckets are the largest together). After these pairs are
+judged, buckets are sorted by the following bands, and a node is paired with those of its next ``NEIGHBOURS`` that are in
+another component so far. Both are linear in the size of a bucket, and the many buckets of a group give a node many
+partners.
 
 Links. Pairs whose signatures agree in at least ``LEAST_AGREEMENT`` of the coordinates (far below the threshold, so that
 chance doesn't lose a link) are verified on all their shingles. Connected components over the links are the classes.
@@ -38,8 +38,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 LEAST_AGREEMENT = 0.55
-ROUNDS = 3
-NEIGHBOURS = 4
+NEIGHBOURS = 8
 _SLICE = 2 << 20
 _ODD, _DART = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
@@ -47,7 +46,7 @@ _ODD, _DART = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 def elements(data: np.ndarray, offsets: np.ndarray, size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text (or their occurrences, numbered), and the first of each text."""
     starts, ends, first = T.words(data, offsets)
-    hashes = T.hashes(data, starts, ends)
+    hashes = T.hashes(T.LOWER[data], starts, ends)
     found, at = T.windows(hashes, first, size)
     counts = np.diff(first)
     row = np.searchsorted(first, at, "right") - 1
@@ -130,16 +129,17 @@ def _sets(size: int, weighted: bool):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each row and the next ``NEIGHBOURS`` rows of its bucket."""
-    key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Pairs of each row and those of the next rows of its bucket that are in another component."""
+    names = ["key", "node", "root"]
+    key, node, root = (np.zeros(0, np.int64) for _ in names)
     for b in batches:
         old = len(key)
-        key, node = np.append(key, b.column("key").to_numpy()), np.append(node, b.column("node").to_numpy())
+        key, node, root = (np.append(x, b.column(c).to_numpy()) for x, c in zip((key, node, root), names, strict=True))
         for k in range(1, NEIGHBOURS + 1):
-            same = np.flatnonzero(key[k:] == key[:-k])
+            same = np.flatnonzero((key[k:] == key[:-k]) & (root[k:] != root[:-k]))
             same = same[same + k >= old]  # the others were paired with the batch before
             yield pa.RecordBatch.from_arrays([pa.array(node[same]), pa.array(node[same + k])], ["a", "b"])
-        key, node = key[-NEIGHBOURS:], node[-NEIGHBOURS:]
+        key, node, root = key[-NEIGHBOURS:], node[-NEIGHBOURS:], root[-NEIGHBOURS:]
 
 
 def _agreeing(least: float):
@@ -147,7 +147,7 @@ def _agreeing(least: float):
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+                yield b.select(["a", "b", "id_a", "id_b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
     return run
 
@@ -170,77 +170,64 @@ _PAIR = "a long, b long"
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, weighted: bool, threshold: float, least: float) -> DataFrame:
     """The pairs that are similar enough, judged on all their elements."""
-    sig = reps.select("node", "sig")
-    likely = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    likely = written(likely.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(least), _PAIR), "near-likely")
-    wanted = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct()
-    chosen = reps.join(wanted, "node", "left_semi").select(F.col("node").alias("_node"), F.col("id").alias("_id"))
+    kind = dict(reps.dtypes)["id"]
+    for end in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("id").alias(f"id_{end}")), end)
+    likely = pairs.select("a", "b", "id_a", "id_b", "sig_a", "sig_b").mapInArrow(_agreeing(least), f"a long, b long, id_a {kind}, id_b {kind}")
+    likely = written(likely, "near-likely")
+    wanted = likely.select(F.col("a").alias("_node"), F.col("id_a").alias("_id")).unionAll(likely.select("b", "id_b")).distinct()
     # one row of each text: by its id too, as copies may be many
-    found = texts.join(chosen, F.expr("node = _node and id <=> _id")).select("node", "text")
+    found = texts.join(wanted, F.expr("node = _node and id <=> _id")).select("node", "text")
     sets = written(found.mapInArrow(_sets(size, weighted), "node long, elements binary").dropDuplicates(["node"]), "near-elements")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), _PAIR)
+    return written(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), _PAIR), "near-links")
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, whichever way round; the end that leads stays behind."""
+    pairs = pairs.where("a <> b").select("a", "b", F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g"))
+    return pairs.groupBy("_l", "_g").agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
 
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD,
-    bands: int = BANDS, rows: int = ROWS, least: float = LEAST_AGREEMENT, rounds: int = ROUNDS, weighted: bool = False,
+    bands: int = BANDS, rows: int = ROWS, least: float = LEAST_AGREEMENT, weighted: bool = False,
 ) -> DataFrame:
-    """One row per document: (id, class_id, class_size, links). A class is named by its least id; links are verified ones of its text."""
+    """One row per document: (id, class_id, class_size). A class is named by its least id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     kind = dict(texts.dtypes)["id"]
     signed = written(texts.mapInArrow(_signed(size, weighted, bands * rows), f"id {kind}, node long, sig binary"), "near-signatures")
-    reps = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "near-texts")
+    reps = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "near-texts")
     band = [F.xxhash64(F.lit(b), F.substring("sig", b * rows * 4 + 1, rows * 4)) for b in range(bands)]
     keys = reps.where("sig is not null").select("node", F.array(*band).alias("keys"))
+    then = [f"then{k}" for k in range(3)]
     spread = keys.select("node", F.posexplode("keys").alias("band", "key"), "keys").select(
-        "key", "node", *(F.element_at("keys", (F.col("band") + 1 + k) % bands + 1).alias(f"then{k}") for k in range(3)),
+        "key", "node", *(F.element_at("keys", (F.col("band") + 1 + k) % bands + 1).alias(c) for k, c in enumerate(then)),
     )
     sizes = spread.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(spread.join(sizes, "key"), "near-buckets")
-    central = written(shared.groupBy("node").agg(F.sum("n").alias("c")), "near-central")
+    central = shared.groupBy("node").agg(F.sum("n").alias("c"))
     members = written(shared.select("key", "node").join(central, "node"), "near-members")
     leader = members.groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("leader"))
-    order = ["key", "then0", "then1", "then2", "node"]
+    pairs = members.join(leader, "key").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = _links(_once(pairs), reps, texts, size, weighted, threshold, least)
+    root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("_node"), "root")
+    # neighbours in other components
+    order = ["key", *then, "node"]
+    placed = shared.join(root, F.expr("node = _node"), "left").select(*order, F.coalesce("root", "node").alias("root"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    beside = shared.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "node").mapInArrow(_neighbours, _PAIR)
-    pairs = members.join(leader, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    pairs = written(_once(pairs.unionAll(beside)), "near-pairs")
-    links = written(_links(pairs, reps, texts, size, weighted, threshold, least), "near-links")
-    component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    tried = pairs
-    for r in range(1, rounds):
-        # where a bucket holds several components, its nodes meet other neighbours, in the order of other bands
-        root = component.select(F.col("node").alias("_node"), "root")
-        now = shared.select("key", "node").join(root, F.expr("node = _node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        apart = now.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l <> g").select("key")
-        now = written(now.join(apart, "key"), "near-apart")
-        order = ["key", *(f"then{k}" for k in range(3)), "node"]
-        rows_ = now.select("key", "node").join(keys, "node").select("key", "node", *(F.element_at("keys", (7 * r + 2 * k) % bands + 1).alias(f"then{k}") for k in range(3)))
-        beside = rows_.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "node").mapInArrow(_neighbours, _PAIR)
-        pairs = _once(beside).join(root.select(F.col("_node").alias("a"), F.col("root").alias("root_a")), "a", "left")
-        pairs = pairs.join(root.select(F.col("_node").alias("b"), F.col("root").alias("root_b")), "b", "left")
-        pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        known = tried.select(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g"))
-        pairs = written(pairs.join(known, F.expr("least(a, b) = _l and greatest(a, b) = _g"), "left_anti"), "near-pairs")
-        more = written(_links(pairs, reps, texts, size, weighted, threshold, least), "near-links")
-        links, tried = links.unionAll(more), tried.unionAll(pairs)
-        component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    ends = links.select(F.col("a").alias("_node")).unionAll(links.select(F.col("b").alias("_node"))).groupBy("_node").agg(F.count(F.lit(1)).alias("links"))
-    root = component.select(F.col("node").alias("_root_of"), "root")
-    nodes = reps.select("node").join(root, F.expr("node = _root_of"), "left").join(ends, F.expr("node = _node"), "left").select(
-        F.col("node").alias("_n"), F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"),
+    beside = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "node", "root").mapInArrow(_neighbours, _PAIR)
+    more = _links(_once(beside), reps, texts, size, weighted, threshold, least)
+    ends = links.unionAll(more)
+    root = connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    linked = written(root.unionAll(root.select(F.col("root").alias("node"), "root").distinct()).join(reps.select("node", "id", "copies"), "node"), "near-linked")
+    named = linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
+    linked = linked.select("node", "root").join(named, "root").select(F.col("node").alias("_linked"), "class_id", F.col("class_size").alias("_size"))
+    nodes = reps.join(linked, F.expr("node = _linked"), "left").select(
+        F.col("node").alias("_node"), F.when(F.col("_linked").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("_size", "copies").alias("class_size"),
     )
-    placed = signed.select("id", "node").join(nodes, F.expr("node = _n")).select("id", "root", "links")
-    named = placed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).withColumnRenamed("root", "_root")
-    return placed.join(named, F.expr("root = _root")).select("id", "class_id", "class_size", "links")
-
-
-def _once(pairs: DataFrame) -> DataFrame:
-    """Each pair once, whichever way round; the end that leads stays behind."""
-    pairs = pairs.where("a <> b").select("a", "b", F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g"))
-    return pairs.groupBy("_l", "_g").agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
+    return signed.select("id", "node").join(nodes, F.expr("node = _node")).select("id", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -22,6 +22,10 @@ SEPARATOR[128:] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     SEPARATOR[_a:_b] = False
 
+#: A-Z to a-z, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits (in place)."""

@@ -183,7 +183,7 @@ def brute_near(rows):
     names = list(texts)
     sets = []
     for t in names:
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
         k = min(5, len(w))
         sets.append({tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if w else set())
     up = list(range(len(names)))
@@ -263,7 +263,7 @@ def test_classifiers_on_held_out_rows(spark, module, label, least):
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_stand_odd_tables(spark, module, label):
     one = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").selectExpr("*", "1 AS y", "2 AS text")
-    assert {r.score for r in module.score(odd_docs(spark), module.fit(odd_docs(spark), one, label)).collect()} <= {1.0, pytest.approx(1.0, abs=1e-4)}
+    assert all(r.score > 0.999 for r in module.score(odd_docs(spark), module.fit(odd_docs(spark), one, label)).collect())
     both = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (8, 1, 1), (9, 1, 1), (7, 1, 1), (3, 0, 0), (4, 1, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
     got = module.report(odd_docs(spark), both).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)

@@ -31,8 +31,10 @@ def _decorated(decorators: DataFrame, kind: str, names: list[str], keys: list[st
     return decorators.where((F.col("owner_kind") == kind) & F.col("name").isin(names)).select(*keys).distinct()
 
 
-_CLASS = ["repo", "class"]
-_MEMBER = ["repo", "class", "member"]
+# a class is one declaration in one file; only references across files go by its name
+_CLASS = ["repo", "file", "class"]
+_MEMBER = ["repo", "file", "class", "member"]
+_NAME = ["repo", "class"]
 
 
 # --- routes -------------------------------------------------------------------
@@ -43,13 +45,13 @@ def routes(decorators: DataFrame) -> DataFrame:
     controllers = decorators.where((F.col("owner_kind") == "class") & (F.col("name") == "Controller")).groupBy(*_CLASS).agg(
         F.min("first_string").alias("base")
     )
-    handlers = decorators.where((F.col("owner_kind") == "method") & F.col("name").isin(C.HTTP_DECORATORS)).groupBy(*_MEMBER, "file").agg(
+    handlers = decorators.where((F.col("owner_kind") == "method") & F.col("name").isin(C.HTTP_DECORATORS)).groupBy(*_MEMBER).agg(
         F.min(F.struct("line", "name", "first_string")).alias("_h")
     )
     own = F.coalesce("_h.first_string", F.lit(""))
     both = F.array_join(F.filter(F.array(F.coalesce("base", F.lit("")), own), lambda p: p != ""), "/")
     return handlers.join(controllers, _CLASS).select(
-        *_MEMBER, "file", F.col("_h.line").alias("line"), F.col("_h.name").alias("verb"), own.alias("path"), both.alias("route")
+        *_MEMBER, F.col("_h.line").alias("line"), F.col("_h.name").alias("verb"), own.alias("path"), both.alias("route")
     )
 
 
@@ -114,7 +116,7 @@ def entity_columns(decorators: DataFrame, members: DataFrame) -> DataFrame:
     columns = members.where(F.col("kind") == "property").select(*_MEMBER).distinct()
     return columns.join(entities, _CLASS, "left_semi").join(excluded, _MEMBER, "left_anti").where(is_sensitive(F.col("member"))).select(
         "repo", F.col("class").alias("entity"), F.col("member").alias("column")
-    )
+    ).distinct()
 
 
 def method_entities(returns: DataFrame, members: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def method_entities(returns: DataFrame, members: DataFrame) -> DataFrame:
     fields = repository_fields(members).withColumnRenamed("field", "via_field").where(F.col("entity").isNotNull())
     reads = returns.where(F.col("via_method").isin([*C.ENTITY_READ_METHODS, "save"]))
     hits = reads.join(fields, ["repo", "class", "via_field"])
-    return hits.groupBy(*_MEMBER).agg(F.min_by("entity", "line").alias("entity"))
+    return hits.groupBy(*_NAME, "member").agg(F.min_by("entity", "line").alias("entity"))
 
 
 def check_exposed_entity(decorators: DataFrame, members: DataFrame, returns: DataFrame) -> DataFrame:
@@ -132,17 +134,17 @@ def check_exposed_entity(decorators: DataFrame, members: DataFrame, returns: Dat
     serial = (F.col("name") == "SerializeOptions") | ((F.col("name") == "UseInterceptors") & F.col("arg_text").contains("ClassSerializerInterceptor"))
     serialized = decorators.where(serial)
     services = members.where(F.col("kind") == "ctor_param").select(
-        "repo", "class", F.col("member").alias("via_field"), F.col("type_name").alias("service")
+        *_CLASS, F.col("member").alias("via_field"), F.col("type_name").alias("service")
     ).distinct()
     target = method_entities(returns, members).select("repo", F.col("class").alias("service"), F.col("member").alias("via_method"), "entity")
     exposed = entity_columns(decorators, members).select("repo", "entity").distinct()
     shown = (
-        returns.select(*_MEMBER, "file", "line", "via_field", "via_method")
+        returns.select(*_MEMBER, "line", "via_field", "via_method")
         .join(handlers, _MEMBER, "left_semi")
         .join(dto, _MEMBER, "left_anti")
         .join(serialized.where(F.col("owner_kind") == "class").select(*_CLASS).distinct(), _CLASS, "left_anti")
         .join(serialized.where(F.col("owner_kind") == "method").select(*_MEMBER).distinct(), _MEMBER, "left_anti")
-        .join(services, ["repo", "class", "via_field"])
+        .join(services, [*_CLASS, "via_field"])
         .join(target, ["repo", "service", "via_method"])
         .join(exposed, ["repo", "entity"], "left_semi")
     )
@@ -200,7 +202,7 @@ def repository_calls(calls: DataFrame, members: DataFrame, classes: DataFrame) -
     """
     fields = repository_fields(members).select("repo", "class", "field", F.lit(True).alias("_typed")).distinct()
     subclasses = classes.where(F.col("base_class").isin(C.REPOSITORY_TYPES)).select("repo", "class", F.lit(True).alias("_sub")).distinct()
-    df = calls.join(fields, ["repo", "class", "field"], "left").join(subclasses, _CLASS, "left")
+    df = calls.join(fields, ["repo", "class", "field"], "left").join(subclasses, _NAME, "left")
     on_field = F.col("root_this") & F.col("field").isNotNull()
     named = F.col("base_text").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$") & F.col("base_text").rlike(C.REPOSITORY_NAME_PATTERN)
     target = (
@@ -245,14 +247,14 @@ def check_entities(decorators: DataFrame) -> DataFrame:
     """TORM-004 eager relation, TORM-005 relation or lookup column without an index."""
     entities = _decorated(decorators, "class", ["Entity", "ViewEntity"], _CLASS)
     props = decorators.where(F.col("owner_kind") == "property").join(entities, _CLASS, "left_semi")
-    eager = props.where(F.col("name").isin(C.RELATION_DECORATORS) & F.array_contains("true_keys", "eager")).groupBy(*_MEMBER, "file").agg(F.min("line").alias("line"))
-    per = props.groupBy(*_MEMBER, "file").agg(
+    eager = props.where(F.col("name").isin(C.RELATION_DECORATORS) & F.array_contains("true_keys", "eager")).groupBy(*_MEMBER).agg(F.min("line").alias("line"))
+    per = props.groupBy(*_MEMBER).agg(
         F.min("line").alias("line"), F.bool_or(F.col("name") == "ManyToOne").alias("relation"), F.bool_or(F.col("name") == "Column").alias("column"),
         F.bool_or(F.col("name").isin("Index", "PrimaryColumn", "PrimaryGeneratedColumn", "Unique")).alias("indexed"),
         F.bool_or(F.array_contains("true_keys", "unique")).alias("unique"),
     )
     quoted = F.array_distinct(F.regexp_extract_all("arg_text", F.lit("[\"']([^\"']+)[\"']"), F.lit(1)))
-    named = decorators.where((F.col("owner_kind") == "class") & (F.col("name") == "Index")).select("repo", "class", F.explode(quoted).alias("member")).distinct()
+    named = decorators.where((F.col("owner_kind") == "class") & (F.col("name") == "Index")).select(*_CLASS, F.explode(quoted).alias("member")).distinct()
     bare = per.where(~F.col("indexed") & ~F.col("unique")).join(named, _MEMBER, "left_anti")
     lookup = F.col("column") & matches(F.col("member"), C.LOOKUP_COLUMN_PATTERN) & (F.lower("member") != "id")
     label = F.concat_ws(".", "class", "member")
@@ -309,7 +311,7 @@ def prisma_calls(calls: DataFrame, members: DataFrame, classes: DataFrame) -> Da
         "repo", "class", F.col("member").alias("field"), F.lit(True).alias("_typed")
     ).distinct()
     clients = classes.where(F.col("base_class").rlike(C.PRISMA_TYPE_PATTERN)).select("repo", "class", F.lit(True).alias("_client")).distinct()
-    df = calls.join(typed, ["repo", "class", "field"], "left").join(clients, _CLASS, "left")
+    df = calls.join(typed, ["repo", "class", "field"], "left").join(clients, _NAME, "left")
     own = F.col("root_this") & (F.col("_typed").isNotNull() | (F.col("_client").isNotNull() & F.col("field").isNotNull()))
     path = F.coalesce(F.col("callee_path").rlike(r"(?i)(^|\.)prisma(\.|$)"), F.lit(False))
     return df.where(own | path).drop("_typed", "_client")
@@ -427,7 +429,7 @@ def check_replicas(calls: DataFrame, decorators: DataFrame, sources: DataFrame)
         F.col("method").isin(C.LOCAL_WRITE_CALLS) & F.col("base_text").isNotNull() & ~matches(clean(F.col("arg0_text")), C.TEMP_TARGET_PATTERN)
         & clean(F.col("arg0_text")).rlike(C.USER_CONTENT_PATTERN)
     )
-    jobs = decorators.where((F.col("owner_kind") == "method") & F.col("name").isin(C.JOB_DECORATORS)).groupBy(*_MEMBER, "file").agg(F.min("line").alias("line"))
+    jobs = decorators.where((F.col("owner_kind") == "method") & F.col("name").isin(C.JOB_DECORATORS)).groupBy(*_MEMBER).agg(F.min("line").alias("line"))
     sessions = calls.where((F.col("method") == "session") & F.col("base_text").isNull() & ~F.col("root_this") & ~_has_key("store"))
     return union([
         finding(limits, "SCALE-002", "Scalability", "MEDIUM", "high", SCALE, "Rate limiting counts requests per replica", F.col("base_text")),

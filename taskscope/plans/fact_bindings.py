@@ -14,7 +14,7 @@ from .registry import Tables
 _P = "'C' || CAST({k} % 40 AS VARCHAR(20)) AS class"
 
 CALLS = """
-SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(n * 10 + o % 7 AS INT) AS line, CAST(o AS INT) AS col, CAST(o AS VARCHAR(20)) || '-' || CAST(k % 2 AS VARCHAR(20)) AS fn_id,
+SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(k / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(n * 10 + o % 7 AS INT) AS line, CAST(o AS INT) AS col, CAST(o AS VARCHAR(20)) || '-' || CAST(k % 2 AS VARCHAR(20)) AS fn_id,
   'C' || CAST(k % 40 AS VARCHAR(20)) AS class, 'm' || CAST(n % 4 AS VARCHAR(20)) AS member, k % 3 = 0 AS root_this,
   CASE WHEN k % 3 = 0 AND k % 5 > 0 THEN CASE k % 4 WHEN 0 THEN 'products' WHEN 1 THEN 'userRepo' ELSE 'db' END WHEN k % 3 = 1 THEN CASE WHEN q % 2 = 0 THEN 'items.slice(0, 3)' ELSE 'items' END END AS field,
   CASE q % 5 WHEN 0 THEN 'prisma.user.x' WHEN 1 THEN 'new Pool' ELSE 'a.b' END AS callee_path,
@@ -30,7 +30,7 @@ SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, CAST
 FROM (SELECT l_partkey AS k, l_orderkey AS o, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q FROM {lineitem}) x
 """
 DECORATORS = """
-SELECT c % 11 AS repo, 'f' || CAST(c % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(o % 500 AS INT) AS line, 'C' || CAST(c % 40 AS VARCHAR(20)) AS class,
+SELECT c % 11 AS repo, 'f' || CAST(c % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(c / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(o % 500 AS INT) AS line, 'C' || CAST(c % 40 AS VARCHAR(20)) AS class,
   CASE o % 5 WHEN 0 THEN 'class' WHEN 3 THEN 'property' WHEN 4 THEN 'param' ELSE 'method' END AS owner_kind,
   CASE WHEN o % 5 = 0 THEN CAST(NULL AS VARCHAR(20)) WHEN o % 5 = 3 THEN CASE o % 6 WHEN 0 THEN 'password' WHEN 1 THEN 'email' WHEN 2 THEN 'slug' WHEN 3 THEN 'ownerId' WHEN 4 THEN 'price' ELSE 'token' END
     WHEN o % 11 = 0 THEN 'login' ELSE 'm' || CAST(o % 4 AS VARCHAR(20)) END AS member,
@@ -45,7 +45,7 @@ SELECT c % 11 AS repo, 'f' || CAST(c % 11 AS VARCHAR(20)) || '.ts' AS file, CAST
 FROM (SELECT o_custkey AS c, o_orderkey AS o FROM {orders}) x
 """
 MEMBERS = """
-SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(k % 300 AS INT) AS line, CASE WHEN k % 7 = 6 THEN CAST(NULL AS VARCHAR(20)) ELSE 'C' || CAST(k % 40 AS VARCHAR(20)) END AS class,
+SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(k / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(k % 300 AS INT) AS line, CASE WHEN k % 7 = 6 THEN CAST(NULL AS VARCHAR(20)) ELSE 'C' || CAST(k % 40 AS VARCHAR(20)) END AS class,
   CASE k % 7 WHEN 0 THEN CASE k % 4 WHEN 0 THEN 'products' WHEN 1 THEN 'db' ELSE 'svc' END WHEN 1 THEN CASE k % 3 WHEN 0 THEN 'password' WHEN 1 THEN 'email' ELSE 'apiKey' END WHEN 2 THEN 'm' || CAST(k % 4 AS VARCHAR(20))
      WHEN 6 THEN CASE k % 3 WHEN 0 THEN 'sessionCache' ELSE 'plain' END WHEN 5 THEN 'locks' ELSE 'name' END AS member,
   CASE k % 7 WHEN 0 THEN 'ctor_param' WHEN 2 THEN 'method' WHEN 6 THEN 'variable' ELSE 'property' END AS kind,
@@ -55,11 +55,11 @@ SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, CAST
 FROM (SELECT p_partkey AS k, p_size AS s FROM {part}) x
 """
 PARAMS = """
-SELECT c % 11 AS repo, 'f' || CAST(c % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(o % 500 AS INT) AS line, 'C' || CAST(c % 40 AS VARCHAR(20)) AS class, CASE WHEN o % 11 = 0 THEN 'login' ELSE 'm' || CAST(o % 4 AS VARCHAR(20)) END AS member,
+SELECT c % 11 AS repo, 'f' || CAST(c % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(c / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(o % 500 AS INT) AS line, 'C' || CAST(c % 40 AS VARCHAR(20)) AS class, CASE WHEN o % 11 = 0 THEN 'login' ELSE 'm' || CAST(o % 4 AS VARCHAR(20)) END AS member,
   'body' || CAST(o % 3 AS VARCHAR(20)) AS param, CASE WHEN o % 2 = 0 THEN 'C' || CAST(o % 40 AS VARCHAR(20)) END AS type_name, o % 16 = 0 AS is_any FROM (SELECT o_custkey AS c, o_orderkey AS o FROM {orders}) x WHERE o % 5 = 4
 """
 RETURNS = """
-SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(n * 10 + o % 7 AS INT) AS line, 'C' || CAST(k % 40 AS VARCHAR(20)) AS class, 'm' || CAST(n % 4 AS VARCHAR(20)) AS member,
+SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(k / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(n * 10 + o % 7 AS INT) AS line, 'C' || CAST(k % 40 AS VARCHAR(20)) AS class, 'm' || CAST(n % 4 AS VARCHAR(20)) AS member,
   CASE WHEN o % 2 = 0 THEN 'products' ELSE 'svc' END AS via_field, CASE o % 5 WHEN 0 THEN 'findOne' WHEN 1 THEN 'save' WHEN 2 THEN 'm1' WHEN 3 THEN 'm2' ELSE 'm3' END AS via_method
 FROM (SELECT l_partkey AS k, l_orderkey AS o, l_linenumber AS n FROM {lineitem}) x
 """
@@ -72,29 +72,29 @@ CLASSES = """
 SELECT DISTINCT k % 11 AS repo, 'C' || CAST(k % 40 AS VARCHAR(20)) AS class, CASE k % 9 WHEN 0 THEN 'Repository' WHEN 1 THEN 'PrismaClient' ELSE CAST(NULL AS VARCHAR(20)) END AS base_class FROM (SELECT p_partkey AS k FROM {part}) x
 """
 CATCH_PROPS = """
-SELECT user_id % 11 AS repo, 'f' || CAST(user_id % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(event_id % 400 AS INT) AS line, 'e' AS catch_var,
+SELECT user_id % 11 AS repo, 'f' || CAST(user_id % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(user_id / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(event_id % 400 AS INT) AS line, 'e' AS catch_var,
   CASE event_id % 3 WHEN 0 THEN 'stack' WHEN 1 THEN 'message' ELSE 'code' END AS prop, CASE event_id % 4 WHEN 0 THEN 'e.stack' WHEN 1 THEN 'e.message' ELSE 'e.code' END AS value_text FROM {events}
 """
 OBJECT_PROPS = """
-SELECT user_id % 11 AS repo, 'f' || CAST(user_id % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(event_id % 400 AS INT) AS line, CAST(floor(event_id / 3) AS BIGINT) % 1000 AS object_id,
+SELECT user_id % 11 AS repo, 'f' || CAST(user_id % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(user_id / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(event_id % 400 AS INT) AS line, CAST(floor(event_id / 3) AS BIGINT) % 1000 AS object_id,
   CASE event_id % 3 WHEN 0 THEN 'origin' WHEN 1 THEN 'credentials' ELSE 'synchronize' END AS prop,
   CASE event_id % 3 WHEN 0 THEN CASE event_id % 4 WHEN 0 THEN '"*"' WHEN 1 THEN 'true' ELSE '"https"' END ELSE CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END END AS value_text FROM {events}
 """
 CONSTANTS = """
-SELECT DISTINCT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, 'K' || CAST(k % 3 AS VARCHAR(20)) AS name FROM (SELECT p_partkey AS k FROM {part}) x
+SELECT DISTINCT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(k / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, 'K' || CAST(k % 3 AS VARCHAR(20)) AS name FROM (SELECT p_partkey AS k FROM {part}) x
 """
 STRINGS = """
-SELECT user_id % 11 AS repo, 'f' || CAST(user_id % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(event_id % 70 AS INT) AS line,
+SELECT user_id % 11 AS repo, 'f' || CAST(user_id % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(user_id / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(event_id % 70 AS INT) AS line,
   CASE event_id % 3 WHEN 0 THEN 'SELECT a FROM t WHERE id = ' || CAST(event_id AS VARCHAR(20)) WHEN 1 THEN 'delete from t where x' ELSE 'selection' END AS value,
   CASE event_id % 4 WHEN 0 THEN 'concat' WHEN 1 THEN 'template' WHEN 2 THEN 'tagged' ELSE 'literal' END AS build FROM {events}
 """
 LOOPS = """
-SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, CAST(o AS VARCHAR(20)) AS fn_id, CAST(n * 10 AS INT) AS start_line, CAST(n * 10 + q % 4 AS INT) AS end_line,
+SELECT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(k / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CAST(o AS VARCHAR(20)) AS fn_id, CAST(n * 10 AS INT) AS start_line, CAST(n * 10 + q % 4 AS INT) AS end_line,
   CASE q % 4 WHEN 0 THEN 'for' WHEN 1 THEN 'for-of' WHEN 2 THEN 'while' ELSE 'for' END AS kind, CAST(q % 2 AS INT) AS await_count, CASE WHEN q % 5 = 0 THEN 'await repo.save(x)' ELSE 'await read(x)' END AS body_text
 FROM (SELECT l_partkey AS k, l_orderkey AS o, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q FROM {lineitem}) x
 """
 FILE_TEXTS = """
-SELECT DISTINCT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || '.ts' AS file, CASE k % 11 % 5 WHEN 0 THEN 'throttler setup' WHEN 1 THEN 'throttle with redis' WHEN 2 THEN 'uses redlock' ELSE 'plain' END AS text FROM (SELECT p_partkey AS k FROM {part}) x
+SELECT DISTINCT k % 11 AS repo, 'f' || CAST(k % 11 AS VARCHAR(20)) || CASE WHEN CAST(floor(k / 440) AS BIGINT) % 2 = 1 THEN 'b' ELSE '' END || '.ts' AS file, CASE k % 11 % 5 WHEN 0 THEN 'throttler setup' WHEN 1 THEN 'throttle with redis' WHEN 2 THEN 'uses redlock' ELSE 'plain' END AS text FROM (SELECT p_partkey AS k FROM {part}) x
 """
 
 BINDINGS = {

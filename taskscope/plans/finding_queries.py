@@ -26,15 +26,15 @@ def _rows(check: str, severity: str, confidence: str, body: str, evidence: str,
 
 
 _ROUTES = f"""
-ctrl AS (SELECT repo, class, min(first_string) AS base FROM decorators WHERE owner_kind = 'class' AND name = 'Controller' GROUP BY ALL),
+ctrl AS (SELECT repo, file, class, min(first_string) AS base FROM decorators WHERE owner_kind = 'class' AND name = 'Controller' GROUP BY ALL),
 hnd AS (SELECT repo, class, member, file, line, name, first_string FROM (SELECT *, row_number() OVER (PARTITION BY repo, class, member, file ORDER BY line, name, first_string NULLS FIRST) AS k FROM decorators WHERE owner_kind = 'method' AND name IN {Q.in_list(C.HTTP_DECORATORS)}) WHERE k = 1),
-routes AS (SELECT h.repo, h.class, h.member, h.file, h.line, h.name AS verb, coalesce(h.first_string, '') AS path, concat_ws('/', nullif(coalesce(base, ''), ''), nullif(coalesce(h.first_string, ''), '')) AS route FROM hnd h JOIN ctrl USING (repo, class))
+routes AS (SELECT h.repo, h.class, h.member, h.file, h.line, h.name AS verb, coalesce(h.first_string, '') AS path, concat_ws('/', nullif(coalesce(base, ''), ''), nullif(coalesce(h.first_string, ''), '')) AS route FROM hnd h JOIN ctrl USING (repo, file, class))
 """
 
 
 def _no(kind: str, cond: str, alias: str = "r") -> str:
     member = f" AND d.member = {alias}.member" if kind == "method" else ""
-    return f"NOT EXISTS (SELECT 1 FROM decorators d WHERE d.repo = {alias}.repo AND d.class = {alias}.class{member} AND d.owner_kind = '{kind}' AND {cond})"
+    return f"NOT EXISTS (SELECT 1 FROM decorators d WHERE d.repo = {alias}.repo AND d.file = {alias}.file AND d.class = {alias}.class{member} AND d.owner_kind = '{kind}' AND {cond})"
 
 
 _MARKS = f"d.name IN {Q.in_list(['UseGuards', *C.PUBLIC_DECORATORS])}"
@@ -47,8 +47,8 @@ _SERIAL = "(d.name = 'SerializeOptions' OR (d.name = 'UseInterceptors' AND conta
           f"FROM routes r WHERE {_no('class', _MARKS)} AND {_no('method', _MARKS)} AND NOT regexp_matches(route, {Q.quote(C.PUBLIC_ROUTE_PATTERN)}) AND NOT regexp_matches(member, {Q.quote(C.PUBLIC_ROUTE_PATTERN)})", "member"),
     _rows("SEC-007", "MEDIUM", "medium",
           f"FROM routes r WHERE verb <> 'Get' AND (regexp_matches(path, {Q.quote(C.AUTH_ROUTE_PATTERN)}) OR regexp_matches(member, {Q.quote(C.AUTH_ROUTE_PATTERN)})) AND {_no('class', _THROTTLED)} AND {_no('method', _THROTTLED)}", "member"),
-    _rows("SEC-004", "MEDIUM", "CASE WHEN is_any OR type_name IS NULL THEN 'certain' ELSE 'high' END", f"""FROM params p WHERE EXISTS (SELECT 1 FROM routes r WHERE r.repo = p.repo AND r.class = p.class AND r.member = p.member)
-      AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = p.repo AND d.class = p.class AND d.member = p.member AND d.param = p.param AND d.owner_kind = 'param' AND d.name = 'Body')
+    _rows("SEC-004", "MEDIUM", "CASE WHEN is_any OR type_name IS NULL THEN 'certain' ELSE 'high' END", f"""FROM params p WHERE EXISTS (SELECT 1 FROM routes r WHERE r.repo = p.repo AND r.file = p.file AND r.class = p.class AND r.member = p.member)
+      AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = p.repo AND d.file = p.file AND d.class = p.class AND d.member = p.member AND d.param = p.param AND d.owner_kind = 'param' AND d.name = 'Body')
       AND (is_any OR type_name IS NULL OR (EXISTS (SELECT 1 FROM members m WHERE m.repo = p.repo AND m.class = p.type_name AND m.kind = 'property')
         AND NOT EXISTS (SELECT 1 FROM decorators d WHERE d.repo = p.repo AND d.class = p.type_name AND d.owner_kind = 'property' AND regexp_matches(d.name, {Q.quote(C.VALIDATOR_PATTERN)}))))""",
           "CASE WHEN is_any OR type_name IS NULL THEN param ELSE type_name END"),
@@ -65,8 +65,8 @@ _ENTITY_CTES = f"""
 fields AS (SELECT DISTINCT repo, class, member AS field, type_arg AS entity FROM members WHERE kind = 'ctor_param' AND type_name IN {Q.in_list(C.REPOSITORY_TYPES)}),
 ment AS (SELECT repo, class, member, arg_min(entity, line) AS entity FROM returns JOIN fields f USING (repo, class) WHERE f.field = via_field AND via_method IN {Q.in_list([*C.ENTITY_READ_METHODS, 'save'])} AND entity IS NOT NULL GROUP BY ALL),
 cols AS (SELECT DISTINCT repo, class AS entity, member AS col FROM members m WHERE kind = 'property' AND (regexp_matches(member, {Q.quote(C.SENSITIVE_COLUMN_PATTERN)}) OR lower(member) IN {Q.in_list(C.SENSITIVE_EXACT_NAMES)})
-   AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = m.repo AND d.class = m.class AND d.owner_kind = 'class' AND d.name IN ('Entity', 'ViewEntity'))
-   AND NOT EXISTS (SELECT 1 FROM decorators d WHERE d.repo = m.repo AND d.class = m.class AND d.member = m.member AND d.owner_kind = 'property' AND d.name = 'Exclude'))
+   AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = m.repo AND d.file = m.file AND d.class = m.class AND d.owner_kind = 'class' AND d.name IN ('Entity', 'ViewEntity'))
+   AND NOT EXISTS (SELECT 1 FROM decorators d WHERE d.repo = m.repo AND d.file = m.file AND d.class = m.class AND d.member = m.member AND d.owner_kind = 'property' AND d.name = 'Exclude'))
 """
 
 
@@ -80,18 +80,18 @@ def entity_facts(t: Tables):
     return cols.unionByName(methods.select("repo", F.lit("method").alias("kind"), F.concat("class", F.lit("."), "member", F.lit(">"), "entity").alias("name")))
 
 
-@query("exposed_entity_findings", "D2", _ctes("members", "decorators", "returns") + "," + _ENTITY_CTES + "," + _ROUTES + ", svc AS (SELECT DISTINCT repo, class, member AS via_field, type_name AS service FROM members WHERE kind = 'ctor_param') "
-       + _rows("SEC-001", "HIGH", "medium", f"""FROM (SELECT r.*, s.service FROM returns r JOIN svc s ON s.repo = r.repo AND s.class = r.class AND s.via_field = r.via_field
+@query("exposed_entity_findings", "D2", _ctes("members", "decorators", "returns") + "," + _ENTITY_CTES + "," + _ROUTES + ", svc AS (SELECT DISTINCT repo, file, class, member AS via_field, type_name AS service FROM members WHERE kind = 'ctor_param') "
+       + _rows("SEC-001", "HIGH", "medium", f"""FROM (SELECT r.*, s.service FROM returns r JOIN svc s ON s.repo = r.repo AND s.file = r.file AND s.class = r.class AND s.via_field = r.via_field
   JOIN ment m ON m.repo = r.repo AND m.class = s.service AND m.member = r.via_method WHERE EXISTS (SELECT 1 FROM cols c WHERE c.repo = r.repo AND c.entity = m.entity)
-  AND EXISTS (SELECT 1 FROM routes x WHERE x.repo = r.repo AND x.class = r.class AND x.member = r.member)
-  AND NOT EXISTS (SELECT 1 FROM members d WHERE d.repo = r.repo AND d.class = r.class AND d.member = r.member AND d.kind = 'method' AND regexp_matches(d.return_type_text, 'Dto\\b'))
+  AND EXISTS (SELECT 1 FROM routes x WHERE x.repo = r.repo AND x.file = r.file AND x.class = r.class AND x.member = r.member)
+  AND NOT EXISTS (SELECT 1 FROM members d WHERE d.repo = r.repo AND d.file = r.file AND d.class = r.class AND d.member = r.member AND d.kind = 'method' AND regexp_matches(d.return_type_text, 'Dto\\b'))
   AND {_no('class', _SERIAL)} AND {_no('method', _SERIAL)}) q""", "class || '.' || member"))
 def exposed_entity_findings(t: Tables):
     f = facts(t)
     return _shown(checks_facts.check_exposed_entity(f["decorators"], f["members"], f["returns"]))
 
 
-_IN_HANDLER = "EXISTS (SELECT 1 FROM routes r WHERE r.repo = c.repo AND r.class = c.class AND r.member = c.member)"
+_IN_HANDLER = "EXISTS (SELECT 1 FROM routes r WHERE r.repo = c.repo AND r.file = c.file AND r.class = c.class AND r.member = c.member)"
 
 
 @query("expression_findings", "D5 D6 D8 D9", _ctes("catch_props", "object_props", "calls", "decorators", "functions") + "," + _ROUTES + """
@@ -101,7 +101,7 @@ _IN_HANDLER = "EXISTS (SELECT 1 FROM routes r WHERE r.repo = c.repo AND r.class
     _rows("SEC-006", "HIGH", "certain", "FROM ob WHERE cred = 'true' AND origin IN ('\"*\"', 'true')", "origin"),
     _rows("SEC-008", "HIGH", "high", f"FROM calls c WHERE method IN {Q.in_list(C.SHELL_FUNCTIONS)} AND arg0_kind <> 'string' AND (method IN ('exec', 'execSync') OR shell_true)", "arg0_text"),
     _rows("SEC-009", "HIGH", "medium", f"""FROM calls c WHERE method IN {Q.in_list(C.FS_PATH_FUNCTIONS)} AND {_IN_HANDLER}
-      AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = c.repo AND d.class = c.class AND d.member = c.member AND d.owner_kind = 'param' AND d.name IN ('Param', 'Query', 'Body') AND regexp_matches(arg0_text, '\\b' || d.param || '\\b'))
+      AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = c.repo AND d.file = c.file AND d.class = c.class AND d.member = c.member AND d.owner_kind = 'param' AND d.name IN ('Param', 'Query', 'Body') AND regexp_matches(arg0_text, '\\b' || d.param || '\\b'))
       AND NOT EXISTS (SELECT 1 FROM functions f WHERE f.repo = c.repo AND f.fn_id = c.fn_id AND regexp_matches(body_text, {Q.quote(C.PATH_SANITIZER_PATTERN)}))""", "arg0_text"),
 ]))
 def expression_findings(t: Tables):
@@ -139,10 +139,10 @@ def repository_findings(t: Tables):
 
 
 @query("entity_findings", "D13 D14", _ctes("decorators") + """
-, ent AS (SELECT DISTINCT repo, class FROM decorators WHERE owner_kind = 'class' AND name IN ('Entity', 'ViewEntity')),
-pr AS (SELECT d.* FROM decorators d JOIN ent USING (repo, class) WHERE owner_kind = 'property'),
+, ent AS (SELECT DISTINCT repo, file, class FROM decorators WHERE owner_kind = 'class' AND name IN ('Entity', 'ViewEntity')),
+pr AS (SELECT d.* FROM decorators d JOIN ent USING (repo, file, class) WHERE owner_kind = 'property'),
 per AS (SELECT repo, class, member, file, min(line) AS line, bool_or(name = 'ManyToOne') AS rel, bool_or(name = 'Column') AS col, bool_or(name IN ('Index', 'PrimaryColumn', 'PrimaryGeneratedColumn', 'Unique')) AS ix, bool_or(contains(trues, 'unique')) AS uq FROM pr GROUP BY ALL),
-bare AS (SELECT * FROM per p WHERE NOT ix AND NOT uq AND NOT EXISTS (SELECT 1 FROM decorators d WHERE d.repo = p.repo AND d.class = p.class AND d.owner_kind = 'class' AND d.name = 'Index' AND contains(d.arg_text, '"' || p.member || '"')))
+bare AS (SELECT * FROM per p WHERE NOT ix AND NOT uq AND NOT EXISTS (SELECT 1 FROM decorators d WHERE d.repo = p.repo AND d.file = p.file AND d.class = p.class AND d.owner_kind = 'class' AND d.name = 'Index' AND contains(d.arg_text, '"' || p.member || '"')))
 """ + "\nUNION ALL\n".join([
     _rows("TORM-004", "MEDIUM", "certain", f"FROM (SELECT repo, class, member, file, min(line) AS line FROM pr WHERE name IN {Q.in_list(C.RELATION_DECORATORS)} AND contains(trues, 'eager') GROUP BY ALL)", "class || '.' || member"),
     _rows("TORM-005", "MEDIUM", "high", "FROM bare WHERE rel", "class || '.' || member"),
@@ -205,7 +205,7 @@ def performance_findings(t: Tables):
 @query("scalability_findings", "D21", _ctes("members", "decorators", "calls", "sources") + f"""
 , held AS (SELECT * FROM members WHERE ((init_kind = 'new' AND init_ctor IN {Q.in_list(C.MUTABLE_CONTAINERS)}) OR init_kind IN ('array', 'empty_object')) AND regexp_matches(member, {Q.quote(C.STATEFUL_NAME_PATTERN)}))
 """ + "\nUNION ALL\n".join([
-    _rows("SCALE-001", "MEDIUM", "medium", "FROM held h WHERE kind = 'variable' OR (kind = 'property' AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = h.repo AND d.class = h.class AND d.owner_kind = 'class' AND d.name = 'Injectable'))", "concat_ws('.', class, member)"),
+    _rows("SCALE-001", "MEDIUM", "medium", "FROM held h WHERE kind = 'variable' OR (kind = 'property' AND EXISTS (SELECT 1 FROM decorators d WHERE d.repo = h.repo AND d.file = h.file AND d.class = h.class AND d.owner_kind = 'class' AND d.name = 'Injectable'))", "concat_ws('.', class, member)"),
     _rows("SCALE-002", "MEDIUM", "high", "FROM calls c WHERE method = 'forRoot' AND regexp_matches(base_text, 'Throttler', 'i') AND EXISTS (SELECT 1 FROM sources s WHERE s.repo = c.repo AND s.file = c.file AND regexp_matches(text, 'throttl|rate ?limit', 'i') AND NOT regexp_matches(text, 'redis|memcach|storage\\s*:|ThrottlerStorage', 'i'))", "base_text"),
     _rows("SCALE-003", "MEDIUM", "medium", f"FROM calls WHERE method IN {Q.in_list(C.LOCAL_WRITE_CALLS)} AND base_text IS NOT NULL AND NOT regexp_matches(arg0_text, {Q.quote(C.TEMP_TARGET_PATTERN)}) AND regexp_matches(arg0_text, {Q.quote(C.USER_CONTENT_PATTERN)})", "arg0_text"),
     _rows("SCALE-004", "MEDIUM", "medium", f"FROM (SELECT repo, class, member, file, min(line) AS line FROM decorators WHERE owner_kind = 'method' AND name IN {Q.in_list(C.JOB_DECORATORS)} GROUP BY ALL) d WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.repo = d.repo AND s.file = d.file AND regexp_matches(text, {Q.quote(C.JOB_COORDINATION_PATTERN)}))", "member"),

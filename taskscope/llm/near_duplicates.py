@@ -177,7 +177,8 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, weigh
     likely = written(likely, "near-likely")
     wanted = likely.select(F.col("a").alias("_node"), F.col("id_a").alias("_id")).unionAll(likely.select("b", "id_b")).distinct()
     # one row of each text: by its id too, as copies may be many
-    found = texts.join(wanted, F.expr("node = _node and id <=> _id")).select("node", "text")
+    # one plan at every size: the ids that are wanted grow with the corpus, so they aren't broadcast while they are few
+    found = texts.join(wanted.hint("merge"), F.expr("node = _node and id <=> _id")).select("node", "text")
     sets = written(found.mapInArrow(_sets(size, weighted), "node long, elements binary").dropDuplicates(["node"]), "near-elements")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), _PAIR), "near-links")

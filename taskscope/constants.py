@@ -105,11 +105,6 @@ SIGNAL_WORDS = [
 ]
 TOOL_SIGNAL_KEYS = ["tool", "tool_name", "toolName", "name", "server", "mcp", "command", "cmd"]
 COMMAND_SIGNAL_KEYS = ["command", "cmd"]
-MAX_SIGNAL_VALUES = 80
-MAX_SIGNAL_CHARS = 500
-MAX_SIGNAL_CHILDREN = 100
-MAX_RECENT_EVENTS = 500
-MAX_EVIDENCE_SOURCES = 20
 
 # --- fixed values: compliance -------------------------------------------------
 
@@ -131,14 +126,11 @@ RUNTIME_RULE_PATTERNS = [
     r"\bkhong\s+the\b",
 ]
 FORBIDDEN_CLAUSE = r"\bno\s|\bnever\b|\bkhong\b"
-MAX_COMPLIANCE_KEYWORDS = 8
 TEXT_EXTENSIONS = [
     ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".json", ".md", ".txt", ".yml", ".yaml", ".sql",
     ".py", ".sh", ".css", ".scss", ".html",
 ]
 STATUS_TEXT_NAMES = ["AGENTS.md", "README.md", "package.json"]
-MAX_STATUS_LINES = 400
-MAX_STATUS_BYTES = 200_000
 
 # (category, severity, pattern): first match wins, else Architecture / INFO
 RULE_CATEGORIES = [
@@ -157,12 +149,11 @@ CONFIDENCE_FACTOR = {"certain": 1.0, "high": 0.9, "medium": 0.6, "low": 0.3, "st
 # --- fixed values: files and retrieval ----------------------------------------
 
 SCAN_PROFILES = {
-    "source": dict(extensions=[".ts", ".mts", ".cts"], max_depth=12, max_files=2000, max_bytes=512_000),
-    "schema": dict(extensions=[".prisma"], max_depth=12, max_files=2000, max_bytes=512_000),
-    "sql": dict(extensions=[".sql"], max_depth=12, max_files=2000, max_bytes=512_000),
+    "source": dict(extensions=[".ts", ".mts", ".cts"]),
+    "schema": dict(extensions=[".prisma"]),
+    "sql": dict(extensions=[".sql"]),
     "search": dict(
         extensions=[".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".sql", ".md", ".json"],
-        max_depth=7, max_files=1200, max_bytes=None,
     ),
 }
 SCAN_EXCLUDED_DIRS = [
@@ -179,7 +170,6 @@ LOOKUP_EXCLUDED_DIRS = [
 IMPORT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 DIRECTORY_INDEX_FILES = ["page.tsx", "page.ts", "page.jsx", "page.js", "layout.tsx", "index.tsx", "index.ts"]
 COMPLETION_EXTENSIONS = [".tsx", ".ts", ".jsx", ".js", ".md", ".json"]
-MAX_PATH_TOKEN = 4096
 DOMAIN_VOCABULARY = [
     ["purchase", "buy", "buyer", "seller", "payment", "pay", "checkout", "billing", "invoice", "order", "transaction", "refund"],
     ["wallet", "balance", "credit", "topup", "ledger", "payout"],
@@ -218,7 +208,6 @@ COMPLEXITY_PATTERNS = [
 # --- fixed values: catalog routing --------------------------------------------
 
 ROUTER_THRESHOLD = 0.35
-CATALOG_VECTOR_LIMIT = 120
 GENERIC_TRIGGERS = ["frontend", "ui", "component", "page", "layout", "button", "modal"]
 AMBIGUOUS_WORDS = ["fix", "add", "update", "debug", "deploy", "deployed", "auth", "cache", "test", "error"]
 # (word in the item, dependency substrings, prompt words)

@@ -413,7 +413,7 @@ def parse_catalog_docs(docs: DataFrame, text: str = "text", path: str = "path")
 
 
 def truncate_description(col: Column) -> Column:
-    return F.substring(squash(col), 1, 500)
+    return squash(col)
 
 
 def infer_meta(name: Column, description: Column) -> Column:
@@ -442,7 +442,7 @@ def merge_meta(*metas: Column) -> Column:
     return F.struct(*[merged(f).alias(f) for f in C.META_FIELDS])
 
 
-def parse_workflow_docs(docs: DataFrame, text: str = "text", path: str = "path", min_bytes: int = 100) -> DataFrame:
+def parse_workflow_docs(docs: DataFrame, text: str = "text", path: str = "path", min_bytes: int = 0) -> DataFrame:
     """Name, title, description and agent chain of workflow documents."""
     keep = [c for c in docs.columns if c != text]
     raw = clean(F.col(text))
@@ -531,7 +531,7 @@ def path_mentions(prompt: Column) -> Column:
     """
     tokens = F.filter(
         F.split(F.regexp_replace(clean(prompt), r"/\s+", "/"), r"\s+"),
-        lambda t: t.contains("/") & (F.length(t) <= C.MAX_PATH_TOKEN),
+        lambda t: t.contains("/"),
     )
     found = F.flatten(F.transform(tokens, lambda t: F.regexp_extract_all(t, F.lit(rf"{_SEGMENT}(?:/{_SEGMENT})+"), F.lit(0))))
     return F.filter(F.transform(found, _clean_mention), lambda p: p != "")
@@ -565,9 +565,11 @@ def identifiers(col: Column) -> Column:
     )
 
 
-def phrases(col: Column, limit: int = 4) -> Column:
-    """Adjacent word pairs of a text, first ``limit``."""
-    head = F.slice(tokenize(col, "graph"), 1, limit + 1)
+def phrases(col: Column, limit: int | None = None) -> Column:
+    """Adjacent word pairs of a text; the first ``limit`` where it is set."""
+    head = tokenize(col, "graph")
+    if limit is not None:
+        head = F.slice(head, 1, limit + 1)
     n = F.greatest(F.size(head) - 1, F.lit(0))
     return F.zip_with(F.slice(head, F.lit(1), n), F.slice(head, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
@@ -601,20 +603,26 @@ def log_counts(text: Column) -> Column:
 
 
 def _payload_strings(payload: Column) -> Column:
-    """``(key, value)`` of every string value of a JSON text, in order."""
+    """``(key, value)`` of every string value of a JSON text, in order; none where the text isn't JSON."""
     masked = F.replace(F.replace(clean(payload), F.lit("\\\\"), F.lit(_END)), F.lit('\\"'), F.lit(_MARK))
     # a key with its string value, a key of another value (dropped), or a bare string
     found = F.regexp_extract_all(masked, F.lit(r'"[^"]*"\s*:\s*"[^"]*"|"[^"]*"\s*:|"[^"]*"'), F.lit(0))
     pairs = F.filter(found, lambda p: ~p.endswith(":"))
 
     def unmask(c: Column) -> Column:
-        return F.replace(F.replace(c, F.lit(_MARK), F.lit('"')), F.lit(_END), F.lit("\\"))
+        return F.replace(F.replace(c, F.lit(_MARK), F.lit('\\"')), F.lit(_END), F.lit("\\\\"))
 
+    def decoded(c: Column) -> Column:
+        # escapes are read as JSON reads them
+        plain = F.replace(F.replace(c, F.lit(_MARK), F.lit('"')), F.lit(_END), F.lit("\\"))
+        return F.when(c.contains("\\") | c.contains(_END), F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), unmask(c), F.lit('"]')), "array<string>"), 0), plain)).otherwise(plain)
+
+    valid = F.try_parse_json(payload).isNotNull()
     return F.transform(
-        pairs,
+        F.when(valid, pairs).otherwise(F.array().cast("array<string>")),
         lambda p: F.struct(
-            unmask(F.regexp_extract(p, r'^"([^"]*)"\s*:', 1)).alias("key"),
-            F.substring(unmask(F.regexp_extract(p, r'"([^"]*)"$', 1)), 1, C.MAX_SIGNAL_CHARS).alias("value"),
+            decoded(F.regexp_extract(p, r'^"([^"]*)"\s*:', 1)).alias("key"),
+            decoded(F.regexp_extract(p, r'"([^"]*)"$', 1)).alias("value"),
         ),
     )
 
@@ -638,7 +646,7 @@ def extract_signals(events: DataFrame, payload: str = "payload") -> DataFrame:
         chosen = F.filter("_pairs", lambda p: p["key"].isin(keys) & hit(p["value"]))
         return F.array_distinct(F.transform(chosen, lambda p: p["value"]))
 
-    values = F.slice(F.transform("_pairs", lambda p: p["value"]), 1, C.MAX_SIGNAL_VALUES)
+    values = F.transform("_pairs", lambda p: p["value"])
     return with_pairs.select(
         *events.columns, signals_in(values).alias("signals"), under(C.TOOL_SIGNAL_KEYS).alias("tool_signals"),
         under(C.COMMAND_SIGNAL_KEYS).alias("command_signals"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -152,68 +151,68 @@ def text_match(tasks: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame
 _PAIRS = "query_id {q}, id {i}, similarity double"
 
 
+#: Bytes of the vectors of one block of queries, and of one slice of the index.
+_BLOCK_BYTES, _SLICE_BYTES = 4 << 20, 32 << 20
+
+
 def _kernels(k: int):
     """Numpy helpers shipped by value with the tasks."""
 
-    def unit_rows(vectors) -> np.ndarray:
-        width = max((len(v) for v in vectors), default=0)
-        out = np.zeros((len(vectors), width))
-        for row, v in enumerate(vectors):
-            out[row, : len(v)] = v
-        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+    def by_length(vectors) -> list:
+        """Rows of each vector length, as one matrix for each."""
+        sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        return [(rows, np.concatenate([vectors[r] for r in rows]).astype(np.float64).reshape(len(rows), n)) for n in np.unique(sizes) if len(rows := np.flatnonzero(sizes == n)) and n]
+
+    def unit(x):
+        norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
     def best(query_ids, q, ids, x) -> pd.DataFrame:
-        """Best ``k`` rows of ``x`` for each row of ``q`` and every row level with the last of them."""
-        width = min(q.shape[1], x.shape[1])
-        sims = q[:, :width] @ x[:, :width].T
+        """Best ``k`` rows of ``x`` for each row of ``q`` and every row level with the last of them.
+
+        Two vectors are compared over the length of the shorter one.
+        """
+        sims = np.zeros((len(q), len(x)))
+        for at_q, a in by_length(q):
+            for at_x, b in by_length(x):
+                n = min(a.shape[1], b.shape[1])
+                sims[np.ix_(at_q, at_x)] = unit(a[:, :n]) @ unit(b[:, :n]).T
         n = min(k, len(ids))
         # scores are compared after rounding to 3 decimals, so the bar leaves room for ties
         bar = np.partition(sims, len(ids) - n, axis=1)[:, len(ids) - n] - 4e-3
         row, at = np.nonzero(sims >= bar[:, None])
         return pd.DataFrame({"query_id": query_ids[row], "id": ids[at], "similarity": sims[row, at]})
 
-    return unit_rows, best
+    return best
+
+
+def _parts(df: DataFrame, limit: int) -> int:
+    """How many parts keep the vectors of each below ``limit`` bytes."""
+    return max(1, -(-(df.agg(F.sum(F.size("vector") * 8)).first()[0] or 0) // limit))
 
 
-def similarity_top_k(queries: DataFrame, index: DataFrame, k: int, min_score: float = 0.0, block: int = 2048, slice_rows: int = 50_000) -> DataFrame:
+def similarity_top_k(
+    queries: DataFrame, index: DataFrame, k: int, min_score: float = 0.0, block_bytes: int = _BLOCK_BYTES, slice_bytes: int = _SLICE_BYTES
+) -> DataFrame:
     """Exact ``k`` most similar index rows per query: ``score = (cosine + 1) / 2``, 3 decimals.
 
-    ``queries(query_id, vector)``, ``index(id, vector)``, vectors of equal length. Up to
-    ``block`` queries are shipped with the scan of the index, which is read once and
-    never shuffled. More queries are cut in blocks and the index in slices, and each
-    task compares one block with one slice. Every task returns only its best rows.
+    ``queries(query_id, vector)``, ``index(id, vector)``; a vector of norm 0 has similarity 0. Queries are cut in
+    blocks and the index in slices, both bounded in bytes, and each task compares one block with one slice and returns
+    only its best rows. The exact scan costs queries x index.
     """
     schema = _PAIRS.format(q=queries.schema["query_id"].dataType.simpleString(), i=index.schema["id"].dataType.simpleString())
-    unit_rows, best = _kernels(k)
-    total = queries.count()
-    if total <= block:
-        rows = queries.select("query_id", "vector").collect()
-        query_ids = np.array([r[0] for r in rows])
-        matrix = unit_rows([r[1] for r in rows])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(query_ids):
-                    yield best(query_ids, matrix, batch["id"].to_numpy(), unit_rows(list(batch["vector"])))
-
-        pairs = index.select("id", "vector").mapInPandas(scan, schema)
-    else:
-        blocks = -(-total // block)
-        slices = max(1, -(-index.count() // slice_rows))
-        left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).withColumn(
-            "s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-        )
-        right = index.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("s")).withColumn(
-            "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-        )
-
-        def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(x):
-                return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-            return best(q["query_id"].to_numpy(), unit_rows(list(q["vector"])), x["id"].to_numpy(), unit_rows(list(x["vector"])))
-
-        pairs = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, schema)
+    best = _kernels(k)
+    blocks, slices = _parts(queries, block_bytes), _parts(index, slice_bytes)
+    number = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).withColumn("s", F.explode(number(slices)))
+    right = index.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("s")).withColumn("b", F.explode(number(blocks)))
+
+    def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        return best(q["query_id"].to_numpy(), q["vector"].to_numpy(), x["id"].to_numpy(), x["vector"].to_numpy())
+
+    pairs = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, schema)
     score = half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("similarity") + 1) / 2)), 3)
     scored = pairs.select("query_id", "id", score.alias("score")).where(F.col("score") >= min_score)
     return top_n(scored, ["query_id"], [F.desc("score"), F.col("id")], k)

@@ -101,10 +101,13 @@ def manual_limit(df: DataFrame, column: str) -> Column:
     ).cast("int")
 
 
-def apply_limit(df: DataFrame, keys: list[str], limit: str, order: list[Column], most: int = 1000) -> DataFrame:
-    """First rows of each group up to the number in its ``limit`` column (null: all, up to ``most``)."""
-    ranked = top_n(df, keys, order, most)
-    return ranked.where(F.col("rank") <= F.coalesce(F.col(limit), F.lit(most)))
+def apply_limit(df: DataFrame, keys: list[str], limit: str, order: list[Column], most: int | None = None) -> DataFrame:
+    """First rows of each group up to the number in its ``limit`` column (null: all), and up to ``most`` where it is set."""
+    if most is not None:
+        ranked = top_n(df, keys, order, most)
+    else:
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(limit).isNull() | (F.col("rank") <= F.col(limit)))
 
 
 def dedupe_catalog(catalog: DataFrame, group: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -132,15 +135,17 @@ def finalise(df: DataFrame, limit: int, keys: list[str] = ("task_id",)) -> DataF
     return top_n(first_per(keep, [*keys, "_key"], order), keys, order, limit).drop("_key")
 
 
-def preselect(df: DataFrame, score: str = "keyword_score", k: int = 40, keys: list[str] = ("task_id",)) -> DataFrame:
-    return top_n(df.where(F.col(score) > 0), list(keys), [F.desc(score), F.col("name")], k)
+def preselect(df: DataFrame, score: str = "keyword_score", k: int | None = None, keys: list[str] = ("task_id",)) -> DataFrame:
+    """Candidates with a score; the best ``k`` of each key where it is set."""
+    found = df.where(F.col(score) > 0)
+    return found if k is None else top_n(found, list(keys), [F.desc(score), F.col("name")], k)
 
 
-def vector_gate(catalog: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Repositories whose catalog may be scored by vectors without an index: 120 items or fewer."""
+def vector_gate(catalog: DataFrame, indexed: DataFrame, most: int | None = None) -> DataFrame:
+    """Repositories whose catalog may be scored by vectors: those with an index, or, where ``most`` is set, with no more items."""
     counts = catalog.groupBy("repo").agg(F.count("*").alias("n"))
     return counts.join(indexed.select("repo").distinct().withColumn("has_index", F.lit(True)), "repo", "left").select(
-        "repo", "n", (F.coalesce("has_index", F.lit(False)) | (F.col("n") <= C.CATALOG_VECTOR_LIMIT)).alias("use_vectors")
+        "repo", "n", (F.coalesce("has_index", F.lit(False)) | F.lit(most is None) | (F.col("n") <= F.lit(most))).alias("use_vectors")
     )
 
 
@@ -164,11 +169,11 @@ def select_cases(cases: DataFrame, groups: list[str], n: int) -> DataFrame:
     order = [F.col("ord"), F.col("case_id")]
     wanted = cases.where(F.col("fixture").isin(groups))
     firsts = first_per(wanted, ["fixture"], order)
-    place = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("fixture")).cast("int")
+    place = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("fixture")).cast("bigint")
     picked = firsts.select("case_id", "fixture", "ord", F.lit(0).alias("phase"), place.alias("place"))
     head = cases.orderBy(*order).limit(n + len(groups))
     rest = head.join(picked.select("case_id"), "case_id", "left_anti").select(
-        "case_id", "fixture", "ord", F.lit(1).alias("phase"), F.col("ord").cast("int").alias("place")
+        "case_id", "fixture", "ord", F.lit(1).alias("phase"), F.col("ord").cast("bigint").alias("place")
     )
     ranked = picked.unionByName(rest)
     return top_n(ranked.withColumn("_all", F.lit(1)), ["_all"], [F.col("phase"), F.col("place"), F.col("case_id")], n).drop("_all")

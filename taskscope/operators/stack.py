@@ -90,7 +90,7 @@ _LANGUAGE_EXT = [
 ]
 
 
-def project_profile(packages: DataFrame, recent: DataFrame, max_chars: int = 500) -> DataFrame:
+def project_profile(packages: DataFrame, recent: DataFrame) -> DataFrame:
     """Profile text of a repository: packages, languages and recent files.
 
     ``packages(repo, ord, path, name, description, keywords, dependencies, scripts, config_files)``
@@ -99,8 +99,8 @@ def project_profile(packages: DataFrame, recent: DataFrame, max_chars: int = 500
     some = lambda c: F.array_join(F.col(c), " ")
     signal = F.array_join(F.filter(F.array(
         F.coalesce("path", F.lit("")), F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")), some("keywords"),
-        F.array_join(F.slice("dependencies", 1, 80), " "),
-        F.when(F.size("scripts") > 0, F.concat(F.lit("scripts "), F.array_join(F.slice("scripts", 1, 30), " "))).otherwise(""), some("config_files"),
+        some("dependencies"),
+        F.when(F.size("scripts") > 0, F.concat(F.lit("scripts "), some("scripts"))).otherwise(""), some("config_files"),
     ), lambda v: v != ""), " ")
     deps = normalize(some("dependencies"))
     from_deps = F.array_compact(F.array(*[
@@ -117,7 +117,7 @@ def project_profile(packages: DataFrame, recent: DataFrame, max_chars: int = 500
     label = None
     for name, exts in _LANGUAGE_EXT:
         label = F.when(ext.isin(exts), name) if label is None else label.when(ext.isin(exts), name)
-    files = recent.where(F.col("rank") <= 20).groupBy("repo").agg(
+    files = recent.groupBy("repo").agg(
         F.sort_array(F.collect_list(F.struct("rank", "file", label.alias("lang")))).alias("_f")
     )
     df = per_repo.join(files, "repo", "full_outer")
@@ -133,4 +133,4 @@ def project_profile(packages: DataFrame, recent: DataFrame, max_chars: int = 500
         F.when(F.size(langs) > 0, F.concat(F.lit("[project languages: "), F.array_join(langs, " "), F.lit("]"))).otherwise(""),
         F.when(F.size(names) > 0, F.concat(F.lit("[recent files: "), F.array_join(names, ", "), F.lit("]"))).otherwise(""),
     ), lambda v: v != ""), " ")
-    return df.select("repo", text.alias("profile"), F.substring(text, 1, max_chars).alias("query_suffix"))
+    return df.select("repo", text.alias("profile"))

@@ -32,7 +32,7 @@ al AS (SELECT *, list_concat(regexp_extract_all(txt, '`([^`]+)`', 1), list_filte
 ex AS (SELECT change_id, rule_id, content, kind, unnest(w) AS kw, generate_subscripts(w, 1) AS i FROM al),
 dk AS (SELECT change_id, rule_id, kw, min(i) AS i FROM ex GROUP BY ALL),
 kp AS (SELECT *, row_number() OVER (PARTITION BY change_id, rule_id ORDER BY i) AS p FROM dk),
-k8 AS (SELECT * FROM kp WHERE p <= 8),
+k8 AS (SELECT * FROM kp),
 ru AS (SELECT tx.*, regexp_matches(content, '\\bquery_graph\\b') OR regexp_matches(content, '\\bmust\\s+run\\b', 'i') AS runtime FROM tx),
 hit AS (SELECT k.change_id, k.rule_id, kw, p, l.ord, l.file, l.line FROM k8 k JOIN ru ON ru.change_id = k.change_id AND ru.rule_id = k.rule_id AND NOT runtime JOIN l ON l.change_id = k.change_id AND regexp_matches(l.content, '(?i)\\b' || regexp_escape(kw) || '\\b')),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY change_id, rule_id ORDER BY p, ord) AS b FROM hit) WHERE b = 1),

@@ -96,7 +96,7 @@ seeds AS (SELECT conv_id AS task_id, 'lib/Seed' || turn || '.spec.ts' AS path, t
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, pos) AS rk FROM r WHERE score >= 0.1 AND conv_id % 2 = 1) WHERE rk <= 4),
 terms AS (SELECT conv_id AS task_id, rk, unnest(l) AS q, generate_subscripts(l, 1) AS b FROM (SELECT conv_id, rk, list_concat(regexp_extract_all(content, '`([^`]+)`', 1),
   list_concat(regexp_extract_all(content, '\\b[A-Z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*)+\\b', 0), list_concat(regexp_extract_all(content, '(?i)\\b[a-z0-9]+(?:[-_.][a-z0-9]+)+\\b', 0),
-  list_transform(range(1, len({Q.graph_terms('content')}[1:5])), lambda i: {Q.graph_terms('content')}[i] || ' ' || {Q.graph_terms('content')}[i + 1])))) AS l FROM best)),
+  list_transform(range(1, len({Q.graph_terms('content')})), lambda i: {Q.graph_terms('content')}[i] || ' ' || {Q.graph_terms('content')}[i + 1])))) AS l FROM best)),
 every AS (SELECT task_id, 0 AS src, 0 AS a, 0 AS b, prompt AS q FROM tasks UNION ALL SELECT task_id, 1, rank, 0, regexp_replace(split_part(path, '/', 2), '\\.[^.]+$', '') FROM seeds WHERE rank <= 5
           UNION ALL SELECT task_id, 2, rk, b, q FROM terms),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY task_id, lower(trim(q)) ORDER BY src, a, b) AS k FROM every WHERE length(trim(q)) >= 3)
@@ -276,18 +276,18 @@ def final_selection(t: Tables):
 
 
 @query("preselected_candidates", "K14", f"""
-SELECT task_id, name, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, name) AS rank FROM ({plain(B.SCORED_PARTS)}) WHERE score > 0) WHERE rank <= 40
+SELECT task_id, name FROM ({plain(B.SCORED_PARTS)}) WHERE score > 0
 """)
 def preselected_candidates(t: Tables):
-    return select.preselect(t.derive(B.SCORED_PARTS), "score").select("task_id", "name", "rank")
+    return select.preselect(t.derive(B.SCORED_PARTS), "score").select("task_id", "name")
 
 
 @query("vector_gate", "K14", """
-SELECT p_brand AS repo, count(*) AS n, count(*) <= 120 OR bool_or(p_size = 50 AND p_partkey % 3 = 0) AS use_vectors FROM part GROUP BY p_brand
+SELECT p_brand AS repo, count(*) AS n, count(*) <= 80 OR bool_or(p_size = 50 AND p_partkey % 3 = 0) AS use_vectors FROM part GROUP BY p_brand
 """)
 def vector_gate(t: Tables):
     indexed = t.part.where("p_size = 50 AND p_partkey % 3 = 0").select(F.col("p_brand").alias("repo"))
-    return select.vector_gate(t.part.select(F.col("p_brand").alias("repo")), indexed)
+    return select.vector_gate(t.part.select(F.col("p_brand").alias("repo")), indexed, most=80)
 
 
 @query("recent_events", "K11", """

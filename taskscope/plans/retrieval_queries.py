@@ -395,7 +395,7 @@ rf AS (SELECT * FROM (SELECT c_nationkey AS repo, c_custkey, 'src/c' || c_custke
 fs AS (SELECT repo, string_agg(file, ', ' ORDER BY rank) AS f, min(rank) FILTER (WHERE file LIKE '%.ts') AS ts, min(rank) FILTER (WHERE file LIKE '%.py') AS py FROM rf GROUP BY repo),
 j AS (SELECT coalesce(sg.repo, fs.repo) AS repo, s, f, ts, py FROM sg FULL OUTER JOIN fs ON fs.repo = sg.repo),
 l AS (SELECT *, array_to_string(list_filter([CASE WHEN s IS NOT NULL THEN 'React' END, CASE WHEN ts IS NOT NULL AND (py IS NULL OR ts < py) THEN 'TypeScript' END, CASE WHEN py IS NOT NULL THEN 'Python' END, CASE WHEN ts IS NOT NULL AND py IS NOT NULL AND ts > py THEN 'TypeScript' END], lambda x: x IS NOT NULL), ' ') AS lg FROM j)
-SELECT repo, substr(array_to_string(list_filter([CASE WHEN s IS NOT NULL THEN '[project packages: ' || s || ']' END, CASE WHEN lg <> '' THEN '[project languages: ' || lg || ']' END, CASE WHEN f IS NOT NULL THEN '[recent files: ' || f || ']' END], lambda x: x IS NOT NULL), ' '), 1, 500) AS query_suffix FROM l
+SELECT repo, array_to_string(list_filter([CASE WHEN s IS NOT NULL THEN '[project packages: ' || s || ']' END, CASE WHEN lg <> '' THEN '[project languages: ' || lg || ']' END, CASE WHEN f IS NOT NULL THEN '[recent files: ' || f || ']' END], lambda x: x IS NOT NULL), ' ') AS profile FROM l
 """)
 def project_profiles(t: Tables):
     key = F.col("s_suppkey").cast("string")
@@ -409,4 +409,4 @@ def project_profiles(t: Tables):
 
     ext = F.expr("CASE c_custkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.txt' END")
     commits = t.customer.select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("ord"), F.concat(F.lit("src/c"), F.col("c_custkey").cast("string"), ext).alias("file"))
-    return stack.project_profile(packages, newest(commits)).select("repo", "query_suffix")
+    return stack.project_profile(packages, newest(commits)).select("repo", "profile")

@@ -38,19 +38,19 @@ p AS (SELECT l.stop_id, n.* FROM l JOIN n ON n.log = l.log AND n.pos > l.last -
 
 @query("evidence_pairs", "J13", _EVIDENCE_SQL + "SELECT stop_id, event_id FROM p")
 def evidence_pairs(t: Tables):
-    return telemetry.evidence_window(t.derive(_LOG_STOPS), t.derive(_EVENTS)).select("stop_id", "event_id")
+    return telemetry.evidence_window(t.derive(_LOG_STOPS), t.derive(_EVENTS), last=500).select("stop_id", "event_id")
 
 
 @query("stop_evidence", "J13 U5", _EVIDENCE_SQL + """
 , g AS (SELECT stop_id, min(pos) AS pos, sig FROM p WHERE sig <> '' GROUP BY ALL), a AS (SELECT stop_id, string_agg(sig, '|' ORDER BY pos) AS signals FROM g GROUP BY stop_id),
-c AS (SELECT stop_id, least(20, count(*))::INT AS sources FROM p WHERE sig <> '' GROUP BY stop_id)
+c AS (SELECT stop_id, count(*)::INT AS sources FROM p WHERE sig <> '' GROUP BY stop_id)
 SELECT s.stop_id, coalesce(a.signals, '') AS signals, coalesce(sources, 0) AS sources FROM s LEFT JOIN a USING (stop_id) LEFT JOIN c USING (stop_id)
 """)
 def stop_evidence(t: Tables):
     none = F.array().cast("array<string>")
     events = t.derive(_EVENTS).withColumn("signals", F.when(F.col("sig") != "", F.array("sig")).otherwise(none))
     events = events.withColumn("tool_signals", none).withColumn("command_signals", none)
-    out = telemetry.runtime_evidence(t.derive(_LOG_STOPS), events)
+    out = telemetry.runtime_evidence(t.derive(_LOG_STOPS), events, last=500)
     from ..operators.compliance import runtime_summary
 
     united = runtime_summary(F.col("tool_signals"), F.col("command_signals"), F.col("signals"))
@@ -168,22 +168,22 @@ SELECT p_brand AS repo, CASE p_size % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'test/' W
 """
 _CORPUS_SQL = f"""
 WITH c AS ({plain(_CORPUS)}), n AS (SELECT repo, replace(path, chr(92), '/') AS path, size FROM c),
-f AS (SELECT * FROM n WHERE regexp_matches(path, '\\.(ts|mts|cts)$') AND NOT path LIKE '%.d.ts' AND NOT path LIKE '.hidden/%' AND NOT path LIKE 'test/%' AND NOT path LIKE 'node_modules/%' AND len(string_split(path, '/')) - 1 <= 12)
+f AS (SELECT * FROM n WHERE regexp_matches(path, '\\.(ts|mts|cts)$') AND NOT path LIKE '%.d.ts' AND NOT path LIKE '.hidden/%' AND NOT path LIKE 'test/%' AND NOT path LIKE 'node_modules/%')
 """
 _CORPUS_DUCK = _CORPUS_SQL
 
 
 @query("scanned_corpus", "S1", _CORPUS_DUCK + """
-SELECT repo, path, CAST(rank AS INTEGER) AS rank, n > 2000 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank, count(*) OVER (PARTITION BY repo) AS n FROM f WHERE size <= 512000) WHERE rank <= 2000
+SELECT repo, path FROM f
 """)
 def scanned_corpus(t: Tables):
     kept, _ = corpus.filter_corpus(t.derive(_CORPUS))
-    return kept.select("repo", "path", "rank", "truncated")
+    return kept.select("repo", "path")
 
 
 @query("search_corpus", "S2", _CORPUS_DUCK.split("f AS (")[0] + """
-f AS (SELECT * FROM n WHERE regexp_matches(path, '\\.(ts|js)$') AND NOT path LIKE '.hidden/%' AND NOT path LIKE 'node_modules/%' AND len(string_split(path, '/')) - 1 <= 7)
-SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank FROM f) WHERE rank <= 1200
+f AS (SELECT * FROM n WHERE regexp_matches(path, '\\.(ts|js)$') AND NOT path LIKE '.hidden/%' AND NOT path LIKE 'node_modules/%')
+SELECT repo, path FROM f
 """)
 def search_corpus(t: Tables):
     return corpus.filter_corpus(t.derive(_CORPUS), "search")[0].select("repo", "path")
@@ -194,12 +194,12 @@ def search_corpus(t: Tables):
 SELECT repo, 'larger than the size limit' AS reason, count(*) AS n, string_agg(path, ', ' ORDER BY path) FILTER (WHERE rank <= 3) AS samples, greatest(0, count(*) - 3) AS more FROM s GROUP BY repo
 """)
 def scan_coverage(t: Tables):
-    return corpus.coverage(corpus.filter_corpus(t.derive(_CORPUS))[1])
+    return corpus.coverage(corpus.filter_corpus(t.derive(_CORPUS), max_bytes=512_000)[1])
 
 
 _RULE_LAYERS = """
 SELECT CAST(p_partkey % 50 AS BIGINT) AS repo, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'src' WHEN 2 THEN 'src/api' ELSE 'lib' END AS dir, min(CASE WHEN p_partkey % 9 = 0 THEN '  ' ELSE p_name END) AS text FROM {part} GROUP BY 1, 2
-UNION ALL SELECT CAST(NULL AS BIGINT), '~', 'global rules'
+UNION ALL SELECT CAST(NULL AS BIGINT), '~', 'global rules' UNION ALL SELECT CAST(NULL AS BIGINT), '~2', 'more global rules'
 """
 
 
@@ -208,7 +208,7 @@ WITH d AS ({plain(_RULE_LAYERS)}), t AS (SELECT o_orderkey AS task_id, o_orderke
 a AS (SELECT task_id, repo, unnest(list_concat([''], list_transform(range(1, CASE WHEN dir = '' THEN 1 ELSE len(string_split(dir, '/')) + 1 END), lambda i: array_to_string(string_split(dir, '/')[1:i], '/')))) AS dir FROM t),
 b AS (SELECT DISTINCT * FROM a)
 SELECT task_id, dir, text, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END::INT AS depth FROM b JOIN d USING (repo, dir) WHERE trim(text) <> ''
-UNION ALL SELECT task_id, '~', 'global rules', -1 FROM t
+UNION ALL SELECT task_id, '~', 'global rules', -1 FROM t UNION ALL SELECT task_id, '~2', 'more global rules', -1 FROM t
 """)
 def layered_rules(t: Tables):
     tasks = t.orders.select(
@@ -270,12 +270,9 @@ SELECT conv_id AS change_id, turn AS pos, CASE turn % 4 WHEN 3 THEN 'bin/x.exe'
 
 
 @query("status_lines", "S11", f"""
-WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY pos) AS k FROM ({plain(_STATUS_FILES)}) WHERE path NOT LIKE '%.exe' AND size <= 200000),
-l AS (SELECT change_id, k, path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f),
-c AS (SELECT *, sum(CASE WHEN trim(content) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY change_id, k ORDER BY line) AS cum FROM l),
-st AS (SELECT change_id, 0::BIGINT AS k, 0::HUGEINT AS taken, 400::HUGEINT AS allowed FROM (SELECT DISTINCT change_id FROM f)
-  UNION ALL SELECT st.change_id, st.k + 1, st.taken + m.cum, 400 - st.taken FROM st JOIN LATERAL (SELECT max(cum) AS cum FROM c WHERE c.change_id = st.change_id AND c.k = st.k + 1 AND c.line <= 400 - st.taken) m ON m.cum IS NOT NULL)
-SELECT c.change_id, c.path AS file, CAST(c.line AS INTEGER) AS line, c.content FROM c JOIN st ON st.change_id = c.change_id AND st.k = c.k WHERE c.line <= st.allowed AND trim(c.content) <> ''
+WITH f AS (SELECT * FROM ({plain(_STATUS_FILES)}) WHERE path NOT LIKE '%.exe'),
+l AS (SELECT change_id, path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f)
+SELECT change_id, path AS file, CAST(line AS INTEGER) AS line, content FROM l WHERE trim(content) <> ''
 """)
 def status_lines(t: Tables):
     return diffs.status_lines(t.derive(_STATUS_FILES)).select("change_id", "file", "line", "content")

@@ -287,7 +287,7 @@ def path_mentions(t: Tables):
 WITH d AS (SELECT doc_id, text, replace(text, '. ', '.') AS glued FROM documents),
 ids AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(glued, '`([^`]+)`', 1),
    list_concat(regexp_extract_all(glued, '\\b[A-Z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*)+\\b', 0), regexp_extract_all(glued, '(?i)\\b[a-z0-9]+(?:[-_.][a-z0-9]+)+\\b', 0)))) AS term, 'identifier' AS kind FROM d),
-terms AS (SELECT doc_id, {Q.graph_terms('text')}[1:5] AS w FROM d),
+terms AS (SELECT doc_id, {Q.graph_terms('text')} AS w FROM d),
 pairs AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term, 'phrase' AS kind FROM terms)
 SELECT doc_id, kind, term, count(*) AS n FROM (SELECT * FROM ids UNION ALL SELECT * FROM pairs) GROUP BY ALL
 """)

@@ -26,10 +26,16 @@ def build_session(app: str = "taskscope", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _local_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"taskscope-{os.getpid()}")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's checkpoint folder; a temporary one only where none is set."""
+    """A new folder below the cluster's checkpoint folder; a temporary one only in a local session without one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or os.path.join(tempfile.gettempdir(), f"taskscope-{os.getpid()}")
+    root = root or _local_folder(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,5 +45,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"taskscope-{os.getpid()}"))
+        context.setCheckpointDir(folder or _local_folder(spark))
     return df.checkpoint(eager=True)

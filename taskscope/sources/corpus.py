@@ -15,12 +15,15 @@ def _dirs(path: Column) -> Column:
     return F.slice(parts, F.lit(1), F.size(parts) - 1)
 
 
-def filter_corpus(files: DataFrame, profile: str = "source", include_tests: bool = False) -> tuple[DataFrame, DataFrame]:
+def filter_corpus(
+    files: DataFrame, profile: str = "source", include_tests: bool = False,
+    max_files: int | None = None, max_bytes: int | None = None, max_depth: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Files of a corpus profile and the ones skipped for their size.
 
-    ``files(repo, path, size, ...)`` with paths relative to the repository. Files are
-    taken in path order up to the limit of the profile; ``truncated`` tells whether the
-    repository had more.
+    ``files(repo, path, size, ...)`` with paths relative to the repository. Every file of
+    the profile is kept, unless a caller sets a limit. With ``max_files``, paths alone are
+    ranked, and ``truncated`` tells whether the repository had more.
     """
     p = C.SCAN_PROFILES[profile]
     search = profile == "search"
@@ -32,24 +35,26 @@ def filter_corpus(files: DataFrame, profile: str = "source", include_tests: bool
     hidden = F.exists(parts, lambda s: s.startswith(".") & (s != ".github")) if search else F.exists(parts, lambda s: s.startswith("."))
     fit = posix.where(
         paths.extension(F.col("path")).isin(p["extensions"]) & ~F.arrays_overlap(_dirs(F.col("path")), literal_array(excluded)) & ~hidden
-        & (F.size(_dirs(F.col("path"))) <= p["max_depth"])
     )
+    if max_depth is not None:
+        fit = fit.where(F.size(_dirs(F.col("path"))) <= max_depth)
     if not search:
         fit = fit.where(~F.col("path").endswith(".d.ts"))
     skipped = fit.limit(0)
-    if p["max_bytes"] is not None:
-        skipped = fit.where(F.col("size") > p["max_bytes"])
-        fit = fit.where(F.col("size") <= p["max_bytes"])
-    counts = fit.groupBy("repo").agg((F.count("*") > p["max_files"]).alias("truncated"))
-    kept = top_n(fit, ["repo"], [F.col("path")], p["max_files"]).join(counts, "repo")
-    return kept, skipped.select("repo", "path", F.lit("larger than the size limit").alias("reason"))
+    if max_bytes is not None:
+        skipped = fit.where(F.col("size") > max_bytes)
+        fit = fit.where(F.col("size") <= max_bytes)
+    if max_files is not None:
+        named = fit.select("repo", "path")
+        counts = named.groupBy("repo").agg((F.count("*") > max_files).alias("truncated"))
+        fit = fit.join(top_n(named, ["repo"], [F.col("path")], max_files).join(counts, "repo"), ["repo", "path"])
+    return fit, skipped.select("repo", "path", F.lit("larger than the size limit").alias("reason"))
 
 
-def scan_corpus(spark: SparkSession, root: str, profile: str = "source", include_tests: bool = False) -> tuple[DataFrame, DataFrame]:
+def scan_corpus(spark: SparkSession, root: str, profile: str = "source", include_tests: bool = False, **limits: int) -> tuple[DataFrame, DataFrame]:
     """Scan a folder of repositories: ``root/<repo>/<path>``, with file texts.
 
-    The listing of the binary file source gives paths and sizes; contents are read
-    only for the files that are kept.
+    Limits are those of ``filter_corpus``; with ``max_files``, contents are joined to the ranked paths.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:").rstrip("/") + "/"
@@ -58,7 +63,7 @@ def scan_corpus(spark: SparkSession, root: str, profile: str = "source", include
         F.substring_index(local, "/", 1).alias("repo"), F.regexp_replace(local, "^[^/]+/", "").alias("path"), F.col("length").alias("size"),
         F.col("content").cast("string").alias("text"),
     )
-    return filter_corpus(listed, profile, include_tests)
+    return filter_corpus(listed, profile, include_tests, **limits)
 
 
 def coverage(skipped: DataFrame, sample: int = 3) -> DataFrame:

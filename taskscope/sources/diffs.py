@@ -53,35 +53,15 @@ def changed_files(diffs: DataFrame, text: str = "diff") -> DataFrame:
     return diffs.select(*keep, F.explode(files).alias("file"))
 
 
-def status_lines(files: DataFrame) -> DataFrame:
-    """Non-blank lines of changed text files when there is no diff.
+def status_lines(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Non-blank lines of changed text files when there is no diff, in the order of ``ord``.
 
-    ``files(change_id, pos, path, size, text)``: files above 200,000 bytes are skipped
-    and the first 400 lines of a change are read.
+    ``files(change_id, pos, path, size, text)``; files above ``max_bytes`` are skipped where a caller sets it.
     """
     named = paths.basename(F.col("path")).isin(C.STATUS_TEXT_NAMES) | paths.extension(F.col("path")).isin(C.TEXT_EXTENSIONS)
-    readable = files.where(named & (F.col("size") <= C.MAX_STATUS_BYTES))
-    # no file can give more than 400 lines, so the rest is cut before any shuffle
-    head = F.slice(F.split("text", "\r?\n"), 1, C.MAX_STATUS_LINES)
-    rows = readable.select("change_id", "pos", F.col("path").alias("file"), F.posexplode(head).alias("_i", "content"))
-    rows = rows.withColumn("line", F.col("_i") + 1)
-    # Each file may give (400 - lines taken before it) of its lines, blank ones included,
-    # while only non-blank lines count as taken: one running state per change.
-    flags = readable.select("change_id", "pos", F.transform(head, lambda l: strip(l) != "").alias("flags"))
-    starts = top_n(flags.where(F.element_at("flags", 1)), ["change_id"], [F.col("pos")], C.MAX_STATUS_LINES)
-    # every file that starts with text takes a line, so no file after the 400th such file is read
-    last = starts.where(F.col("rank") == C.MAX_STATUS_LINES).select("change_id", F.col("pos").alias("_last"))
-    near = flags.join(last, "change_id", "left").where(F.col("_last").isNull() | (F.col("pos") <= F.col("_last")))
-    per_change = near.groupBy("change_id").agg(F.sort_array(F.collect_list(F.struct("pos", "flags"))).alias("_files"))
-    zero = F.struct(F.lit(0).alias("taken"), F.array().cast("array<struct<pos:bigint,allowed:int>>").alias("out"))
-
-    def step(state, f):
-        allowed = C.MAX_STATUS_LINES - state["taken"]
-        used = F.size(F.filter(F.slice(f["flags"], F.lit(1), allowed), lambda x: x))
-        entry = F.struct(f["pos"].cast("bigint").alias("pos"), allowed.cast("int").alias("allowed"))
-        return F.struct((state["taken"] + used).alias("taken"), F.concat(state["out"], F.array(entry)).alias("out"))
-
-    limits = per_change.select("change_id", F.explode(F.aggregate("_files", zero, step)["out"]).alias("_o"))
-    limits = limits.select("change_id", F.col("_o.pos").alias("pos"), F.col("_o.allowed").alias("allowed")).where(F.col("allowed") > 0)
-    kept = rows.where(strip(F.col("content")) != "").join(limits, ["change_id", "pos"]).where(F.col("line") <= F.col("allowed"))
-    return kept.select("change_id", (F.col("pos") * 1000 + F.col("line")).alias("ord"), "file", "line", "content")
+    readable = files.where(named)
+    if max_bytes is not None:
+        readable = readable.where(F.col("size") <= max_bytes)
+    rows = readable.select("change_id", "pos", F.col("path").alias("file"), F.posexplode(F.split("text", "\r?\n")).alias("_i", "content"))
+    kept = rows.withColumn("line", F.col("_i") + 1).where(strip(F.col("content")) != "")
+    return kept.select("change_id", F.struct("pos", "line").alias("ord"), "file", "line", "content")

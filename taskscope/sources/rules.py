@@ -12,14 +12,14 @@ def rules_for(tasks: DataFrame, rule_docs: DataFrame) -> DataFrame:
     """Rule documents that apply to each task, outermost first.
 
     ``tasks(task_id, repo, dir)``, ``rule_docs(repo, dir, text)`` where a null ``repo``
-    marks the global document. Every directory from the root of the repository down to
+    marks a global document; all of them apply to every task. Every directory from the root of the repository down to
     the task is looked up; empty documents are skipped. ``depth`` is -1 for the global one.
     """
     docs = rule_docs.where(strip(clean(F.col("text"))) != "")
     chain = tasks.select("task_id", "repo", F.posexplode(paths.ancestors(F.col("dir"))).alias("depth", "dir"))
     local = chain.join(docs.where(F.col("repo").isNotNull()), ["repo", "dir"]).select("task_id", "repo", "dir", "depth", "text")
-    everywhere = docs.where(F.col("repo").isNull()).select(F.lit("*").alias("_g"), "dir", "text").limit(1)  # one row by definition
-    shared = tasks.select("task_id", "repo", F.lit("*").alias("_g")).join(F.broadcast(everywhere), "_g").select(
+    everywhere = docs.where(F.col("repo").isNull()).select(F.lit("*").alias("_g"), "dir", "text")
+    shared = tasks.select("task_id", "repo", F.lit("*").alias("_g")).join(everywhere, "_g").select(
         "task_id", "repo", "dir", F.lit(-1).alias("depth"), "text"
     )
     return shared.unionByName(local)

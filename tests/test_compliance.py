@@ -125,7 +125,7 @@ def test_evidence_takes_the_cap_before_the_filters(spark, table):
     events = spark.range(700).select(F.lit("l").alias("log"), F.lit("w").alias("workspace"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1767225600) + F.col("id")).alias("ts"))
     events = events.withColumn("workspace", F.when(F.col("event_id") % 2 == 0, "other").otherwise("w"))
     stops = table([("l", "w", 1, at(699), None), ("l", "w", 2, at(300), at(290))], "log string, workspace string, stop_id long, ts timestamp, since timestamp")
-    got = telemetry.evidence_window(stops, events).groupBy("stop_id").agg(F.count("*").alias("n"), F.min("event_id").alias("m")).collect()
+    got = telemetry.evidence_window(stops, events, last=500).groupBy("stop_id").agg(F.count("*").alias("n"), F.min("event_id").alias("m")).collect()
     assert {(r.stop_id, r.n, r.m) for r in got} == {(1, 250, 201), (2, 5, 291)}
 
 
@@ -153,12 +153,13 @@ def test_gates_equal_the_sequential_rule(spark):
     assert [not hits[i] for i in range(700)] == _greedy(times, 60, True)
 
 
-def test_status_lines_stop_at_the_limit(table):
-    text = "\n".join(["x", ""] * 150)
+def test_status_lines_are_whole(table):
+    text = "\n".join(["x", ""] * 1500)
     rows = [(1, i, f"d{i}.md", 10, text) for i in range(4)] + [(1, 9, "big.md", 300_000, "x"), (1, 10, "a.exe", 1, "x")]
-    got = diffs.status_lines(table(rows, "change_id int, pos long, path string, size long, text string")).groupBy("file").agg(F.count("*").alias("n")).collect()
-    # 400 lines, then 250 (125 text lines), 125 (63) and 62 (31) are left
-    assert {r.file: r.n for r in got} == {"d0.md": 150, "d1.md": 125, "d2.md": 63, "d3.md": 31}
+    files = table(rows, "change_id int, pos long, path string, size long, text string")
+    count = lambda df: {r.file: r.n for r in df.groupBy("file").agg(F.count("*").alias("n")).collect()}
+    assert count(diffs.status_lines(files)) == {**{f"d{i}.md": 1500 for i in range(4)}, "big.md": 1}
+    assert "big.md" not in count(diffs.status_lines(files, max_bytes=200_000))
 
 
 def test_sources(spark, tmp_path, table):
@@ -167,7 +168,8 @@ def test_sources(spark, tmp_path, table):
         f = root / name
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text("x" * size)
-    kept, skipped = corpus.scan_corpus(spark, str(root))
+    assert sorted(r.path for r in corpus.scan_corpus(spark, str(root))[0].collect()) == ["big.ts", "src/a.ts"]
+    kept, skipped = corpus.scan_corpus(spark, str(root), max_bytes=512_000, max_files=5)
     assert [(r.repo, r.path, r.truncated, r.text) for r in kept.collect()] == [("r", "src/a.ts", False, "xxxxx")]
     assert [(r.repo, r.n, r.samples) for r in corpus.coverage(skipped).collect()] == [("r", 1, "big.ts")]
     (tmp_path / "h").mkdir()
@@ -180,3 +182,28 @@ def test_sources(spark, tmp_path, table):
     assert [(r.depth, r.text) for r in layers.orderBy("depth").collect()] == [(-1, "global"), (0, "root"), (2, "api")]
     misses = index.cache_misses(table([("a", "f"), ("a", "f"), ("b", "f")], "text string, fingerprint string"), table([], "key string, model string"), "m")
     assert misses.count() == 2
+
+
+def test_marks_hold_for_the_class_of_their_file(table):
+    schema = "repo string, file string, line int, class string, owner_kind string, member string, param string, name string, arg_text string, first_string string"
+    one = lambda file, kind, member, name: ("r", file, 3, "UsersController", kind, member, None, name, "", None)
+    rows = [one(f, "class", None, "Controller") for f in ("a.ts", "b.ts")] + [one(f, "method", "create", "Post") for f in ("a.ts", "b.ts")] + [one("a.ts", "class", None, "UseGuards")]
+    from taskscope.operators import checks_facts
+
+    assert [r.file for r in checks_facts.check_missing_guards(table(rows, schema)).collect()] == ["b.ts"]
+
+
+def test_no_limit_by_default(table):
+    from pyspark.sql import functions as F
+
+    from taskscope.operators import compliance, parsing, select
+
+    rows = table([(1, i, None) for i in range(1500)], "k int, ord long, most int")
+    assert select.apply_limit(rows, ["k"], "most", [F.col("ord")]).count() == 1500
+    big = table([("a", "f", 3_000_000_000), ("b", "g", 5)], "case_id string, fixture string, ord long")
+    assert [r.case_id for r in select.select_cases(big, ["f"], 2).orderBy("rank").collect()] == ["a", "b"]
+    words = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    assert table([(words,)], "t string").select(F.size(compliance.keywords(F.col("t")))).first()[0] == 20
+    text = '{"a": "x rtk \\u0065", "l": [' + ", ".join(f'"v{i}"' for i in range(200)) + '], "z": "query_graph"}'
+    out = parsing.extract_signals(table([(text,), (text[:-1],)], "payload string")).collect()
+    assert [r.signals for r in out] == [["rtk", "query_graph"], []]

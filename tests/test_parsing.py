@@ -123,7 +123,7 @@ def test_catalog_and_workflow_documents(table):
     assert (r.name, r.meta.positive_prompts, r.meta.dependencies, r.meta.files, r.meta.depends_on) == ("PG", ["index"], ["pg"], ["src/x.ts"], [])
     flow = "# My Flow\n\nUse the `planner` then a tester. " + "x" * 80
     w = parsing.parse_workflow_docs(table([("w/my-flow.md", flow), ("w/tiny.md", "# T")], "path string, text string")).collect()
-    assert [(x.name, x.title, x.chain) for x in w] == [("my-flow", "My Flow", ["planner", "tester"])]
+    assert [(x.name, x.title, x.chain) for x in w] == [("my-flow", "My Flow", ["planner", "tester"]), ("tiny", "T", [])]
 
 
 def test_paths(table):

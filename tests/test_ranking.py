@@ -70,7 +70,7 @@ def test_vector_blocks_equal_brute_force(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vector array<float>")
     queries = df.where("id < 40").withColumnRenamed("id", "query_id")
     one = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.similarity_top_k(queries, df, 4).collect()}
-    many = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.similarity_top_k(queries, df, 4, block=16, slice_rows=100).collect()}
+    many = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.similarity_top_k(queries, df, 4, block_bytes=1000, slice_bytes=6000).collect()}
     assert one == many and len(one) == 160
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
@@ -117,3 +117,10 @@ def test_readiness_gold(table):
     meta = table([("r", "positive_triggers:\nevidence:\nnegative_triggers:\nworkflow:\n")], "repo string, text string")
     r = evaluate.readiness(repos, rules, items, flows, meta).first()
     assert (r.rule_score, r.catalog_score, r.workflow_score, r.overall, r.tier, r.override_score) == (90, 100, 100, 97, "Gold", 100)
+
+
+def test_vectors_are_compared_over_the_shorter_length(table):
+    index = table([(1, [1.0, 0.0, 5.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, vector array<float>")
+    queries = table([(7, [1.0, 0.0])], "query_id int, vector array<float>")
+    got = {r.id: r.score for r in retrieval.similarity_top_k(queries, index, 3).collect()}
+    assert got == {1: 1.0, 2: 0.5, 3: 0.5}

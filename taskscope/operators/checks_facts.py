@@ -67,7 +67,7 @@ def check_missing_guards(decorators: DataFrame) -> DataFrame:
     get = F.col("verb") == "Get"
     return finding(
         open_, "SEC-002", "Security", F.when(get, "MEDIUM").otherwise("HIGH"), F.when(get, "low").otherwise("high"), SEC,
-        "Route handler has no authentication guard", F.col("member"),
+        "No guard or public mark on this route", F.col("member"),
     )
 
 
@@ -81,7 +81,7 @@ def check_unthrottled(decorators: DataFrame) -> DataFrame:
         .join(throttled.where(F.col("owner_kind") == "class").select(*_CLASS).distinct(), _CLASS, "left_anti")
         .join(throttled.where(F.col("owner_kind") == "method").select(*_MEMBER).distinct(), _MEMBER, "left_anti")
     )
-    return finding(bare, "SEC-007", "Security", "MEDIUM", "medium", SEC, "Authentication endpoint has no rate limiting", F.col("member"))
+    return finding(bare, "SEC-007", "Security", "MEDIUM", "medium", SEC, "Sign-in route without throttling", F.col("member"))
 
 
 def check_unvalidated_body(decorators: DataFrame, params: DataFrame, members: DataFrame) -> DataFrame:
@@ -90,12 +90,12 @@ def check_unvalidated_body(decorators: DataFrame, params: DataFrame, members: Da
     bodies = decorators.where((F.col("owner_kind") == "param") & (F.col("name") == "Body")).select(*_MEMBER, "param").distinct()
     typed = params.join(bodies, [*_MEMBER, "param"], "left_semi").join(handlers, _MEMBER, "left_semi")
     untyped = F.col("is_any") | F.col("type_name").isNull()
-    loose = finding(typed.where(untyped), "SEC-004", "Security", "MEDIUM", "certain", SEC, "Body parameter has no DTO type", F.col("param"))
+    loose = finding(typed.where(untyped), "SEC-004", "Security", "MEDIUM", "certain", SEC, "Request body of no declared class", F.col("param"))
     validators = decorators.where((F.col("owner_kind") == "property") & F.col("name").rlike(C.VALIDATOR_PATTERN)).select("repo", F.col("class").alias("type_name")).distinct()
     declared = members.where(F.col("kind") == "property").select("repo", F.col("class").alias("type_name")).distinct()
     plain = typed.where(~untyped).join(declared, ["repo", "type_name"], "left_semi").join(validators, ["repo", "type_name"], "left_anti")
     return loose.unionByName(
-        finding(plain, "SEC-004", "Security", "MEDIUM", "high", SEC, "DTO has no class-validator decorators", F.col("type_name"))
+        finding(plain, "SEC-004", "Security", "MEDIUM", "high", SEC, "Body class whose properties are never validated", F.col("type_name"))
     )
 
 
@@ -149,7 +149,7 @@ def check_exposed_entity(decorators: DataFrame, members: DataFrame, returns: Dat
         .join(exposed, ["repo", "entity"], "left_semi")
     )
     return finding(
-        shown, "SEC-001", "Security", "HIGH", "medium", SEC, "Sensitive entity field may be exposed in an API response",
+        shown, "SEC-001", "Security", "HIGH", "medium", SEC, "Handler hands out an entity that holds secrets",
         F.concat_ws(".", "class", "member"), F.col("entity"),
     )
 
@@ -160,7 +160,7 @@ def check_exposed_entity(decorators: DataFrame, members: DataFrame, returns: Dat
 def check_error_exposure(catch_props: DataFrame) -> DataFrame:
     """SEC-005: ``stack`` or ``message`` of the caught error placed in an object."""
     raw = catch_props.where(F.col("prop").isin("stack", "message") & (F.col("value_text") == F.concat_ws(".", "catch_var", "prop")))
-    return finding(raw, "SEC-005", "Security", "MEDIUM", "high", SEC, F.concat(F.lit("Raw error."), "prop", F.lit(" built into a response payload")), F.col("value_text"))
+    return finding(raw, "SEC-005", "Security", "MEDIUM", "high", SEC, F.concat(F.lit("Raw error."), "prop", F.lit(" goes into a response")), F.col("value_text"))
 
 
 def check_cors(object_props: DataFrame) -> DataFrame:
@@ -170,14 +170,14 @@ def check_cors(object_props: DataFrame) -> DataFrame:
         F.max(F.when(F.col("prop") == "credentials", F.col("value_text"))).alias("credentials"),
     )
     wide = per.where((F.col("credentials") == "true") & (F.col("origin").rlike("^[\"'`]\\*[\"'`]$") | (F.col("origin") == "true")))
-    return finding(wide, "SEC-006", "Security", "HIGH", "certain", SEC, "CORS allows any origin together with credentials", F.col("origin"))
+    return finding(wide, "SEC-006", "Security", "HIGH", "certain", SEC, "Credentials are shared with every origin", F.col("origin"))
 
 
 def check_shell(calls: DataFrame) -> DataFrame:
     """SEC-008: a command that is not a literal reaches a shell."""
     dynamic = (F.col("arg0_kind") != "string") & F.col("arg0_kind").isNotNull()
     shell = calls.where(F.col("method").isin(C.SHELL_FUNCTIONS) & dynamic & (F.col("method").isin("exec", "execSync") | F.col("shell_true")))
-    return finding(shell, "SEC-008", "Security", "HIGH", "high", SEC, "Shell command built from a non-literal value", F.col("arg0_text"))
+    return finding(shell, "SEC-008", "Security", "HIGH", "high", SEC, "Command line put together at run time", F.col("arg0_text"))
 
 
 def check_request_path(decorators: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def check_request_path(decorators: DataFrame, calls: DataFrame, functions: DataF
     idents = fs.withColumn("param", F.explode(F.array_distinct(F.regexp_extract_all("arg0_text", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))))
     used = idents.join(request, [*_MEMBER, "param"], "left_semi").drop("param").distinct()
     safe = functions.where(F.col("body_text").rlike(C.PATH_SANITIZER_PATTERN)).select("repo", "fn_id").distinct()
-    return finding(used.join(safe, ["repo", "fn_id"], "left_anti"), "SEC-009", "Security", "HIGH", "medium", SEC, "Filesystem path built from request input", F.col("arg0_text"))
+    return finding(used.join(safe, ["repo", "fn_id"], "left_anti"), "SEC-009", "Security", "HIGH", "medium", SEC, "Request value reaches a file path", F.col("arg0_text"))
 
 
 # --- repositories -------------------------------------------------------------
@@ -234,11 +234,11 @@ def check_repository_calls(calls: DataFrame, members: DataFrame, classes: DataFr
     looped = repo_calls.where(F.col("method").isin(C.REPO_READ_METHODS) & (F.col("loop_depth") > 0))
     writes = repo_calls.where(F.col("method").isin(C.REPO_WRITE_METHODS))
     return union([
-        finding(unbounded, "TORM-001", "Database", "MEDIUM", "certain", TORM, "Unbounded repository read", label),
-        finding(looped, "TORM-002", "Performance", "HIGH", "high", TORM, "Repository query inside a loop (N+1)", label),
+        finding(unbounded, "TORM-001", "Database", "MEDIUM", "certain", TORM, "Read of a whole table", label),
+        finding(looped, "TORM-002", "Performance", "HIGH", "high", TORM, "One repository query for each turn of a loop", label),
         _unbounded_writes(
             writes, functions, r"(?i)\.transaction\s*\(|queryRunner|manager\s*\.\s*(save|remove|insert|update)", "TORM-003", TORM,
-            "Multiple writes without a transaction boundary",
+            "Several writes that can succeed in part",
         ),
     ])
 
@@ -259,9 +259,9 @@ def check_entities(decorators: DataFrame) -> DataFrame:
     lookup = F.col("column") & matches(F.col("member"), C.LOOKUP_COLUMN_PATTERN) & (F.lower("member") != "id")
     label = F.concat_ws(".", "class", "member")
     return union([
-        finding(eager, "TORM-004", "Performance", "MEDIUM", "certain", TORM, "Eager relation loads on every query", label),
-        finding(bare.where("relation"), "TORM-005", "Database", "MEDIUM", "high", TORM, "Foreign key column has no index", label),
-        finding(bare.where(~F.col("relation") & lookup), "TORM-005", "Database", "LOW", "low", TORM, "Likely lookup column has no index", label),
+        finding(eager, "TORM-004", "Performance", "MEDIUM", "certain", TORM, "Relation is always fetched", label),
+        finding(bare.where("relation"), "TORM-005", "Database", "MEDIUM", "high", TORM, "Relation column lacks an index", label),
+        finding(bare.where(~F.col("relation") & lookup), "TORM-005", "Database", "LOW", "low", TORM, "Column that looks like a search key lacks an index", label),
     ])
 
 
@@ -271,13 +271,13 @@ def check_query_builder(calls: DataFrame) -> DataFrame:
         F.col("method").isin("getMany", "getRawMany") & F.col("base_text").rlike(r"createQueryBuilder\s*\(")
         & ~F.col("base_text").rlike(r"\.(take|limit|skip|offset)\s*\(")
     )
-    return finding(chain, "TORM-006", "Database", "MEDIUM", "high", TORM, "QueryBuilder result set is unbounded", F.col("base_text"))
+    return finding(chain, "TORM-006", "Database", "MEDIUM", "high", TORM, "Built query returns every row", F.col("base_text"))
 
 
 def check_synchronize(object_props: DataFrame) -> DataFrame:
     """TORM-007: ``synchronize: true``."""
     on = object_props.where((F.col("prop") == "synchronize") & (F.col("value_text") == "true"))
-    return finding(on, "TORM-007", "Database", "HIGH", "certain", TORM, "TypeORM schema synchronize is enabled", F.col("prop"))
+    return finding(on, "TORM-007", "Database", "HIGH", "certain", TORM, "Schema follows the code at start-up", F.col("prop"))
 
 
 def check_interpolated_sql(calls: DataFrame, constants: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def check_interpolated_sql(calls: DataFrame, constants: DataFrame) -> DataFrame:
     unknown = parts.join(constants.select("repo", "file", "name").distinct(), ["repo", "file", "name"], "left_anti")
     unsafe = unknown.select(*at, "method").distinct().select(*at)
     rows = concat.select(*at).unionByName(unsafe)
-    return finding(rows, "TORM-008", "Security", "CRITICAL", "high", TORM, "SQL built by string interpolation", F.col("arg0_text"))
+    return finding(rows, "TORM-008", "Security", "CRITICAL", "high", TORM, "Values are pasted into SQL", F.col("arg0_text"))
 
 
 # --- Prisma client ------------------------------------------------------------
@@ -324,15 +324,15 @@ def check_prisma_calls(calls: DataFrame, members: DataFrame, classes: DataFrame,
     reads = client.where(F.col("method").isin(C.PRISMA_READ_METHODS))
     return union([
         finding(client.where((F.col("method") == "findMany") & ~_has_key("take", "cursor")), "PRISMA-010", "Database", "MEDIUM", "certain", PRISMA, "Unbounded findMany()", label),
-        finding(reads.where(F.col("loop_depth") > 0), "PRISMA-011", "Performance", "HIGH", "high", PRISMA, "Prisma query inside a loop (N+1)", label),
+        finding(reads.where(F.col("loop_depth") > 0), "PRISMA-011", "Performance", "HIGH", "high", PRISMA, "One client query for each turn of a loop", label),
         finding(
             reads.where((F.col("include_depth") >= 2) & ~_has_key("select")), "PRISMA-012", "Performance", "MEDIUM", "medium", PRISMA,
-            "Deeply nested include with no field selection", label,
+            "Nested include fetches all fields", label,
         ),
         finding(calls.where(F.col("method").isin(C.PRISMA_RAW_METHODS)), "PRISMA-013", "Security", "HIGH", "certain", PRISMA, F.concat(F.lit("Raw SQL through "), "method"), label),
         _unbounded_writes(
             client.where(F.col("method").isin(C.PRISMA_WRITE_METHODS)), functions, r"\$transaction\s*\(|\btx\s*\.", "PRISMA-014", PRISMA,
-            "Multiple Prisma writes without $transaction",
+            "Several client writes that can succeed in part",
         ),
     ])
 
@@ -350,8 +350,8 @@ def check_pools(calls: DataFrame) -> DataFrame:
     pools = calls.where((F.col("method") == "Pool") & (F.col("callee_path") == "new Pool"))
     sized = _has_key(*C.POOL_LIMIT_KEYS)
     return union([
-        finding(pools.where(~sized), "PG-010", "Scalability", "MEDIUM", "high", PG, "Connection pool has no size limit", F.col("callee_path")),
-        finding(pools.where(sized & ~_has_key("idleTimeoutMillis")), "PG-011", "Scalability", "LOW", "medium", PG, "Connection pool has no idle timeout", F.col("callee_path")),
+        finding(pools.where(~sized), "PG-010", "Scalability", "MEDIUM", "high", PG, "Pool may grow without end", F.col("callee_path")),
+        finding(pools.where(sized & ~_has_key("idleTimeoutMillis")), "PG-011", "Scalability", "LOW", "medium", PG, "Pool keeps idle connections", F.col("callee_path")),
     ])
 
 
@@ -362,7 +362,7 @@ def check_inline_sql(strings: DataFrame) -> DataFrame:
     """
     sql = strings.where(F.col("build").isin("concat", "template") & matches(F.col("value"), _SQL_SHAPE) & matches(F.col("value"), r"(?i)\bwhere\b"))
     how = F.when(F.col("build") == "concat", "high").otherwise("medium")
-    title = F.when(F.col("build") == "concat", "SQL statement assembled by string concatenation").otherwise("SQL statement assembled by template interpolation")
+    title = F.when(F.col("build") == "concat", "SQL text joined from pieces").otherwise("SQL text filled in from a template")
     return finding(sql, "PG-012", "Security", "CRITICAL", how, PG, title, F.col("value"), start_line=F.col("line"), end_line=F.col("line"))
 
 
@@ -389,13 +389,13 @@ def check_performance(decorators: DataFrame, calls: DataFrame, loops: DataFrame)
         & ~clean(F.col("field")).rlike(C.BOUNDED_MAP_PATTERN) & matches(F.col("arg0_text"), C.IO_BODY_PATTERN)
     )
     return union([
-        finding(calls.where((F.col("loop_depth") > 0) & network), "PERF-001", "Performance", "HIGH", "high", PERF, "Outbound network call inside a loop", F.concat_ws(".", "base_text", "method")),
-        finding(blocking, "PERF-002", "Performance", F.when(crypto, "HIGH").otherwise("MEDIUM"), "high", PERF, "Synchronous blocking call on a request path", F.col("method")),
+        finding(calls.where((F.col("loop_depth") > 0) & network), "PERF-001", "Performance", "HIGH", "high", PERF, "Remote call for each turn of a loop", F.concat_ws(".", "base_text", "method")),
+        finding(blocking, "PERF-002", "Performance", F.when(crypto, "HIGH").otherwise("MEDIUM"), "high", PERF, "Handler waits for a blocking call", F.col("method")),
         finding(
-            serial, "PERF-003", "Performance", "MEDIUM", "low", PERF, "Awaited work is serialised across loop iterations", F.col("kind"),
+            serial, "PERF-003", "Performance", "MEDIUM", "low", PERF, "Loop awaits its turns one after another", F.col("kind"),
             start_line=F.col("start_line"), end_line=F.col("end_line"),
         ),
-        finding(fan, "PERF-004", "Performance", "MEDIUM", "medium", PERF, "Promise.all over an unbounded collection", F.col("arg0_text")),
+        finding(fan, "PERF-004", "Performance", "MEDIUM", "medium", PERF, "Unlimited number of parallel promises", F.col("arg0_text")),
     ])
 
 
@@ -413,7 +413,7 @@ def check_shared_state(members: DataFrame, decorators: DataFrame) -> DataFrame:
     singletons = _decorated(decorators, "class", ["Injectable"], _CLASS)
     fields = held.where(F.col("kind") == "property").join(singletons, _CLASS, "left_semi")
     rows = held.where(F.col("kind") == "variable").unionByName(fields, allowMissingColumns=True)
-    return finding(rows, "SCALE-001", "Scalability", "MEDIUM", "medium", SCALE, "Request-spanning state held in process memory", F.concat_ws(".", "class", "member"))
+    return finding(rows, "SCALE-001", "Scalability", "MEDIUM", "medium", SCALE, "State shared by requests lives in one process", F.concat_ws(".", "class", "member"))
 
 
 def check_replicas(calls: DataFrame, decorators: DataFrame, sources: DataFrame) -> DataFrame:
@@ -432,10 +432,10 @@ def check_replicas(calls: DataFrame, decorators: DataFrame, sources: DataFrame)
     jobs = decorators.where((F.col("owner_kind") == "method") & F.col("name").isin(C.JOB_DECORATORS)).groupBy(*_MEMBER).agg(F.min("line").alias("line"))
     sessions = calls.where((F.col("method") == "session") & F.col("base_text").isNull() & ~F.col("root_this") & ~_has_key("store"))
     return union([
-        finding(limits, "SCALE-002", "Scalability", "MEDIUM", "high", SCALE, "Rate limiting counts requests per replica", F.col("base_text")),
-        finding(writes, "SCALE-003", "Scalability", "MEDIUM", "medium", SCALE, "User content written to the local filesystem", F.col("arg0_text")),
-        finding(jobs.join(coordinated, key, "left_anti"), "SCALE-004", "Scalability", "MEDIUM", "medium", SCALE, "Scheduled job runs on every replica", F.col("member")),
-        finding(sessions, "SCALE-005", "Scalability", "HIGH", "high", SCALE, "Sessions stored in process memory", F.col("method")),
+        finding(limits, "SCALE-002", "Scalability", "MEDIUM", "high", SCALE, "Each replica counts requests for itself", F.col("base_text")),
+        finding(writes, "SCALE-003", "Scalability", "MEDIUM", "medium", SCALE, "Content is kept on one machine's disk", F.col("arg0_text")),
+        finding(jobs.join(coordinated, key, "left_anti"), "SCALE-004", "Scalability", "MEDIUM", "medium", SCALE, "Every replica runs this job", F.col("member")),
+        finding(sessions, "SCALE-005", "Scalability", "HIGH", "high", SCALE, "Sessions live in one process", F.col("method")),
     ])
 
 

@@ -8,7 +8,7 @@ from .. import constants as C
 from ..operators import checks_facts, findings as fnd
 from . import sql as Q
 from .fact_bindings import BINDINGS, facts
-from .registry import Tables, plain, query
+from .registry import QUERIES, Tables, plain, query
 
 
 def _ctes(*names: str) -> str:
@@ -302,3 +302,37 @@ def registry_findings(t: Tables):
     platforms = t.part.where("p_partkey % 11 % 2 = 0").select((F.col("p_partkey") % 11).alias("repo"), F.lit("typeorm").alias("platform")).distinct()
     found, _, _ = registry.run(f, platforms)
     return found.groupBy("repo", "id").agg(F.count("*").alias("n"))
+
+
+_FAMILIES = {
+    "security": ["route_findings", "exposed_entity_findings", "expression_findings"], "typeorm": ["repository_findings", "entity_findings", "query_text_findings"],
+    "prisma": ["client_findings"], "postgresql": ["postgres_findings"], "performance": ["performance_findings"], "scalability": ["scalability_findings"],
+}
+
+
+def _all_families() -> str:
+    """The rows of all checks; a family with a technology of its own judges even repositories only."""
+    parts = []
+    for family, names in _FAMILIES.items():
+        gate = " WHERE repo % 2 = 0" if family in ("typeorm", "prisma", "postgresql") else ""
+        parts += [f"SELECT repo, file, line, id, severity FROM ({QUERIES[name].sql}){gate}" for name in names]
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("repository_reports", "X1", f"""
+WITH f AS ({_all_families()}),
+d AS (SELECT repo, file, line, id, max(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END) AS w FROM f GROUP BY ALL)
+SELECT repo, id, count(*) AS places, count(*) FILTER (WHERE w >= 4) AS grave FROM d GROUP BY ALL
+""")
+def repository_reports(t: Tables):
+    """From the facts of repositories to their findings: every family of checks, gated by technology, one finding for each place."""
+    registry = fnd.Registry()
+    checks_facts.register_all(registry)
+    repos = t.part.select((F.col("p_partkey") % 11).alias("repo")).distinct().where("repo % 2 = 0")
+    platforms = repos.select("repo", F.explode(F.array(*[F.lit(p) for p in sorted({v for v in C.FAMILY_PLATFORMS.values() if v})])).alias("platform"))
+    found, _, errors = registry.run(facts(t), platforms)
+    if errors:
+        raise ValueError(errors)
+    worst = F.max(F.when(F.col("severity").isin("CRITICAL", "HIGH"), 1).otherwise(0))
+    places = found.groupBy("repo", "file", "line", "id").agg(worst.alias("grave"))
+    return places.groupBy("repo", "id").agg(F.count("*").alias("places"), F.sum("grave").alias("grave"))

@@ -91,11 +91,11 @@ def event_counters(t: Tables):
     return out.groupBy("workspace", "event").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query("event_trends", "W5", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS event, count(*) AS n FROM events WHERE ts < time_bucket(INTERVAL 1 HOUR, (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)) GROUP BY ALL")
+@query("event_trends", "W5", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS event, count(*) AS n FROM events GROUP BY ALL")
 def event_trends(t: Tables):
-    # a window is final once the watermark, ten minutes behind the newest event, has passed it
-    out = ev.run_available(ev.windowed_counts(_stream(t).withColumnRenamed("event_type", "event")))
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    # in update mode each micro-batch gives the counts so far of the windows it touched, open ones too
+    changes = ev.run_available(ev.windowed_counts(_stream(t).withColumnRenamed("event_type", "event")), "update")
+    return changes.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event").agg(F.max("n").alias("n"))
 
 
 def _stream(t: Tables):

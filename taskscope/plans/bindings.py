@@ -106,7 +106,7 @@ SELECT doc_id, source, 'x/pack' || CAST(doc_id AS VARCHAR(20)) || '/SKILL.md' AS
   '---' || chr(10) || 'name: "pack ' || lang || '"' || chr(10) || '---' || chr(10)
   || '# Title' || chr(10) || chr(10) || '## Triggers' || chr(10) || '- alpha' || chr(10) || '- `' || lang || ' build`' || chr(10)
   || '## Evidence' || chr(10) || '- pg' || chr(10) || '- src/' || lang || '.ts' || chr(10) || 'dep' || CAST(doc_id AS VARCHAR(20)) || chr(10)
-  || '## Requires' || chr(10) || '- ' || source || chr(10) || '## Notes' || chr(10) || 'nothing' AS body,
+  || '## Requires' || chr(10) || '- ' || source || chr(10) || '## Notes' || chr(10) || text AS body,
   CASE WHEN doc_id % 2 = 0 THEN 'Use for vercel deploys' ELSE 'Realtime chat of rooms' END AS summary
 FROM {documents}
 """
@@ -115,7 +115,7 @@ WORKFLOW_DOCS = """
 SELECT doc_id, 'w/flow-' || CAST(doc_id AS VARCHAR(20)) || '.md' AS path,
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE '# Plan ' || lang || chr(10) || chr(10) END
   || CASE WHEN doc_id % 2 = 0 THEN 'Ask the `tester-agent`, then a planner.' ELSE 'A planner and a code-reviewer work.' END || chr(10) || chr(10)
-  || '### 1. First' || chr(10) || 'The padding makes every document long enough to be kept by the parser, whatever it says.' AS text
+  || '### 1. First' || chr(10) || text AS text
 FROM {documents}
 """
 # links of a page as relative imports
@@ -127,9 +127,9 @@ FROM {pages}
 MENTION_TASKS = """
 SELECT 'all' AS repo, conv_id * 100 + turn AS task_id,
   'fix ' || CASE conv_id % 3
-    WHEN 0 THEN 'src/modules/m' || CAST((conv_id * 7 + turn) % 50 AS VARCHAR(20)) || '/a.controller.ts:12:3, now'
-    WHEN 1 THEN 'lib/f' || CAST((conv_id * 7 + turn) % 50 AS VARCHAR(20)) || '.ts(3,4). and b.service.ts on GET /users/x'
-    ELSE 'src/modules/m' || CAST((conv_id * 7 + turn) % 50 AS VARCHAR(20)) || ';' END AS prompt, conv_id, turn
+    WHEN 0 THEN 'src/modules/m' || CAST((conv_id * 7 + turn) % 50 AS VARCHAR(20)) || '/a.controller.ts:12:3, now ' || text
+    WHEN 1 THEN 'lib/f' || CAST((conv_id * 7 + turn) % 50 AS VARCHAR(20)) || '.ts(3,4). and b.service.ts on GET /users/x ' || text
+    ELSE 'src/modules/m' || CAST((conv_id * 7 + turn) % 50 AS VARCHAR(20)) || '; ' || text END AS prompt, conv_id, turn
 FROM {conversations} WHERE role = 'user'
 """
 ANSWER_IDS = """

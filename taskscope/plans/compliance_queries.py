@@ -14,13 +14,13 @@ from .registry import Tables, plain, query
 # turns of a conversation: the user's text is the rule, the other turns the changed lines
 _RULES = """
 SELECT conv_id AS change_id, 'r' || CAST(turn AS VARCHAR(20)) AS rule_id, turn,
-  CASE turn % 6 WHEN 0 THEN 'Keep it. Never use ' || split_part(text, ' ', 3) || ' here.' WHEN 2 THEN 'Always call ' || '`' || split_part(text, ' ', 4) || '.x` for ' || split_part(text, ' ', 2)
-    WHEN 4 THEN 'You must run query_graph with ' || split_part(text, ' ', 2) ELSE 'Write `' || split_part(text, ' ', 5) || '` tests and no mocks; Do it.' END AS content FROM {conversations} WHERE role = 'user'
+  CASE turn % 6 WHEN 0 THEN 'Keep it. Never use ' || text WHEN 2 THEN 'Always call ' || '`' || split_part(text, ' ', 4) || '.x` for ' || text
+    WHEN 4 THEN 'You must run query_graph with ' || text ELSE 'Write `' || split_part(text, ' ', 5) || '` tests and no mocks; Do it: ' || text END AS content FROM {conversations} WHERE role = 'user'
 """
 _LINES = """
-SELECT conv_id AS change_id, turn AS ord, 'src/f' || CAST(turn AS VARCHAR(20)) || '.ts' AS file, CAST(turn * 10 AS INT) AS line, text || ' ' || split_part(text, ' ', 4) || '.x ' || role AS content FROM {conversations} WHERE role <> 'user' AND conv_id % 7 > 0
+SELECT conv_id AS change_id, turn AS ord, 'src/f' || CAST(turn AS VARCHAR(20)) || '.ts' AS file, CAST(turn * 10 AS INT) AS line, text || ' ' || split_part(text, ' ', 4) || '.x ' || role AS content FROM {conversations} WHERE role <> 'user'
 """
-_SIGNALS = "SELECT conv_id AS change_id, CASE conv_id % 3 WHEN 0 THEN 'code-review-graph query_graph' ELSE 'rtk ls' END AS signal FROM {conversations} WHERE turn = 0 AND conv_id % 4 < 3"
+_SIGNALS = "SELECT conv_id AS change_id, text || CASE conv_id % 3 WHEN 0 THEN ' code-review-graph query_graph' ELSE ' rtk ls' END AS signal FROM {conversations} WHERE role = 'assistant'"
 
 _STOP = Q.in_list(C.COMPLIANCE_STOP_WORDS)
 _KEYWORD_SQL = f"""

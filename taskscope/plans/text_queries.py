@@ -251,11 +251,11 @@ def catalog_documents(t: Tables):
 
 
 @query("workflow_documents", "T9", """
-WITH d AS (SELECT doc_id, lang, source, regexp_extract(text, '^[^\n]*') AS head FROM documents)
 SELECT doc_id, 'flow-' || doc_id AS name, CASE WHEN doc_id % 4 = 0 THEN 'Flow ' || doc_id ELSE 'Plan ' || lang END AS title,
-  CASE WHEN doc_id % 2 = 0 THEN 'tester,planner' ELSE 'planner,code-reviewer' END AS chain
-FROM d
-""")
+  array_to_string(list_concat(CASE WHEN doc_id % 2 = 0 THEN ['tester'] ELSE [] END, list_filter({AGENTS}, lambda a: NOT (a = 'tester' AND doc_id % 2 = 0)
+     AND (a = 'planner' OR (a = 'code-reviewer' AND doc_id % 2 = 1) OR regexp_matches(text, '(?i)\\b' || a || '\\b')))), ',') AS chain
+FROM documents
+""".replace("{AGENTS}", Q.str_list(C.AGENT_NAMES)))
 def workflow_documents(t: Tables):
     parsed = parsing.parse_workflow_docs(t.derive(B.WORKFLOW_DOCS))
     return parsed.select("doc_id", "name", "title", F.array_join("chain", ",").alias("chain"))

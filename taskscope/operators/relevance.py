@@ -91,55 +91,63 @@ def _open_file_hits(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     return left.join(dotted, ["repo", "window"]).where(hit).select("repo", "task_id", "rule_id", "pos").distinct()
 
 
-def score_rules(tasks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Lexical score of every rule that shares something with a task.
-
-    ``tasks(repo, task_id, prompt, open_files)``, ``rules(repo, rule_id, content, pos)``.
-    Exact overlap counts 1 and alias overlap 0.5 over the number of distinct task
-    tokens; an imperative rule with any overlap gets 0.5 more and a rule naming an
-    open file 0.2 more. Pairs without any signal score 0 and are not emitted;
-    ``zero_counts`` counts them. Tasks without tokens are served by ``idle_rules``.
-    """
-    terms = _task_terms(tasks)
-    tokens = rules.select(
+def _rule_tokens(rules: DataFrame) -> DataFrame:
+    return rules.select(
         "repo", "rule_id", "pos", is_imperative(F.col("content")).alias("imperative"),
         F.explode(F.array_distinct(tokenize(F.col("content")))).alias("token"),
     )
-    lexical = terms.join(tokens, ["repo", "token"]).select(
-        "repo", "task_id", "rule_id", "pos", "n_tokens", "imperative", F.lit(False).alias("opened"),
-        F.when(F.col("kind") == 0, 1.0).otherwise(0.5).alias("weight"), F.struct("kind", "at", "label").alias("why"),
+
+
+def _sums(tasks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Numbers of every pair that shares something: score, and what its reasons need besides the words."""
+    parts = _task_terms(tasks).join(_rule_tokens(rules), ["repo", "token"]).select(
+        "repo", "task_id", "rule_id", "pos", "n_tokens", "imperative", F.lit(False).alias("opened"), F.when(F.col("kind") == 0, 1.0).otherwise(0.5).alias("weight"),
     )
-    parts = lexical
     if "open_files" in tasks.columns:
-        null = F.lit(None)
         files = _open_file_hits(tasks, rules).select(
-            "repo", "task_id", "rule_id", "pos", null.cast("int").alias("n_tokens"), F.lit(False).alias("imperative"),
-            F.lit(True).alias("opened"), F.lit(0.0).alias("weight"), null.cast(lexical.schema["why"].dataType).alias("why"),
+            "repo", "task_id", "rule_id", "pos", F.lit(None).cast("int").alias("n_tokens"), F.lit(False).alias("imperative"),
+            F.lit(True).alias("opened"), F.lit(0.0).alias("weight"),
         )
-        parts = lexical.unionByName(files)
+        parts = parts.unionByName(files)
+    # sums are pre-aggregated before the shuffle, words would not be
     grouped = parts.groupBy("repo", "task_id", "rule_id", "pos").agg(
-        F.sum("weight").alias("overlap"), F.max("n_tokens").alias("n"), F.max("imperative").alias("imperative"),
-        F.max("opened").alias("opened"), F.sort_array(F.collect_list("why")).alias("why"),
+        F.sum("weight").alias("overlap"), F.max("n_tokens").alias("n"), F.max("imperative").alias("imperative"), F.max("opened").alias("opened"),
     )
+    urgent = F.col("imperative") & (F.col("overlap") > 0)
     raw = (
         F.when(F.col("n") > 0, F.col("overlap") / F.col("n")).otherwise(0.0)
-        + F.when(F.col("imperative") & (F.col("overlap") > 0), 0.5).otherwise(0.0)
-        + F.when(F.col("opened"), 0.2).otherwise(0.0)
+        + F.when(urgent, 0.5).otherwise(0.0) + F.when(F.col("opened"), 0.2).otherwise(0.0)
     )
+    return grouped.select("repo", "task_id", "rule_id", "pos", half_up(clamp01(raw), 3).alias("score"), urgent.alias("_urgent"), F.col("opened").alias("_opened"))
+
+
+def _explained(pairs: DataFrame, tasks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``reasons`` to scored pairs; words are looked up for these pairs only."""
+    words = pairs.select("repo", "task_id", "rule_id").join(_task_terms(tasks), ["repo", "task_id"])
+    words = words.join(_rule_tokens(rules).select("repo", "rule_id", "token"), ["repo", "rule_id", "token"])
+    # a task bounds the words of its pair
+    why = words.groupBy("repo", "task_id", "rule_id").agg(F.sort_array(F.collect_list(F.struct("kind", "at", "label"))).alias("why"))
 
     def labels(kind: int, prefix: str) -> Column:
         found = F.transform(F.filter("why", lambda w: w["kind"] == kind), lambda w: w["label"])
         return F.when(F.size(found) > 0, F.concat(F.lit(prefix), F.array_join(found, "/")))
 
-    reasons = F.array_compact(
-        F.array(
-            labels(0, "task:"), labels(1, "semantic:"),
-            F.when(F.col("imperative") & (F.col("overlap") > 0), "imperative"), F.when(F.col("opened"), "open-file"),
-        )
-    )
-    return grouped.select(
-        "repo", "task_id", "rule_id", "pos", half_up(clamp01(raw), 3).alias("score"), reasons.alias("reasons")
-    )
+    reasons = F.array_compact(F.array(
+        labels(0, "task:"), labels(1, "semantic:"), F.when(F.col("_urgent"), "imperative"), F.when(F.col("_opened"), "open-file"),
+    ))
+    return pairs.join(why, ["repo", "task_id", "rule_id"], "left").withColumn("reasons", reasons).drop("why", "_urgent", "_opened")
+
+
+def score_rules(tasks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Lexical score of every rule that shares something with a task.
+
+    ``tasks(repo, task_id, prompt, open_files)``, ``rules(repo, rule_id, content, pos)``.
+    Exact overlap counts 1 and alias overlap 0.5 over the number of distinct task
+    tokens; an imperative rule with any overlap gets 0.5 more and a rule naming an
+    open file 0.2 more. Pairs without any signal score 0 and are not emitted;
+    ``zero_counts`` counts them. Tasks without tokens are served by ``idle_rules``.
+    """
+    return _explained(_sums(tasks, rules), tasks, rules).select("repo", "task_id", "rule_id", "pos", "score", "reasons")
 
 
 def zero_counts(tasks: DataFrame, rules: DataFrame, scored: DataFrame) -> DataFrame:
@@ -169,8 +177,8 @@ def top_rules(tasks: DataFrame, rules: DataFrame, k: int) -> DataFrame:
     When fewer than ``k`` rules scored, the first rules in document order fill the
     list; the first ``2k`` rules of a repository are enough candidates for that.
     """
-    scored = score_rules(tasks, rules)
-    best = top_n(scored, ["repo", "task_id"], [F.desc("score"), F.col("pos"), F.col("rule_id")], k)
+    best = top_n(_sums(tasks, rules), ["repo", "task_id"], [F.desc("score"), F.col("pos"), F.col("rule_id")], k)
+    best = _explained(best, tasks, rules)
     got = best.groupBy("repo", "task_id").agg(F.count("*").alias("_got"), F.collect_list("rule_id").alias("_have"))
     head = top_n(rules.select("repo", "rule_id", "pos"), ["repo"], [F.col("pos"), F.col("rule_id")], 2 * k)
     head = head.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("pos", "rule_id"))).alias("_head"))

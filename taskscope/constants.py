@@ -465,10 +465,6 @@ RUBRIC_WEIGHTS = {
     "detection-quality": 12, "retrieval": 8, "cli": 8, "packaging": 8, "tool-security": 6, "architecture": 8,
 }
 RELEASE_READY_SCORE = 70
-SELECTION_GROUPS = [
-    "expo-eas", "next-vercel", "docker-node", "railway-render", "firebase-hosting", "nest-prisma",
-    "express-mongo-jwt", "oauth-google", "redis-cache", "backend", "frontend-only-next", "static-docs",
-]
 HOME_PATH_PATTERN = r"/home/([a-z_][a-z0-9_-]*)/"
 HOME_PLACEHOLDERS = r"(?i)^(user|username|youruser|your-user|deploy_user|runner|node|app|me|example)$"
 SHELL_TRUE_PATTERN = r"shell:\s*true"

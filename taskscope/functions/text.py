@@ -89,12 +89,6 @@ def squash(col: Column) -> Column:
     return F.trim(F.regexp_replace(clean(col), r"\s+", " "))
 
 
-def truncate(col: Column, limit: int) -> Column:
-    """Collapse whitespace and cut to ``limit`` characters, ending in ``...``."""
-    flat = squash(col)
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
-
-
 # Separators that do not stand between two letters or digits.
 _LOOSE_SEPARATORS = r"(?<![a-z0-9._-])[._-]++|[._-]++(?![a-z0-9])"
 

@@ -1,37 +1,9 @@
-"""Vector similarity as an array expression."""
+"""Vector similarity as an expression."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine over the shorter of the two lengths; 0 when either norm is 0."""
-    n = F.least(F.size(a), F.size(b))
-    left, right = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
-    norms = F.sqrt(_dot(left, left)) * F.sqrt(_dot(right, right))
-    return F.when(norms > 0, _dot(left, right) / norms).otherwise(0.0)
-
-
 def to_score(similarity: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (similarity + 1) / 2))
-
-
-def unit(v: Column) -> Column:
-    """Vector scaled to norm 1 (left as it is when the norm is 0), as doubles."""
-    norm = F.sqrt(_dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(
-        F.transform(v, lambda x: x.cast("double"))
-    )
-
-
-def dot(a: Column, b: Column) -> Column:
-    return _dot(a, b)

@@ -108,10 +108,6 @@ def summarise(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in C.SEVERITIES])
 
 
-def summarise_files(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("repo", "file").agg(F.count("*").alias("n"))
-
-
 # --- registry -----------------------------------------------------------------
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
 from ..functions import paths
-from ..functions.skew import top_n
 from ..functions.text import clean, strip
 
 _FILE = r"^\+\+\+ b/(.+)$"

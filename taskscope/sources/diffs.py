@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import paths
@@ -12,38 +12,39 @@ _FILE = r"^\+\+\+ b/(.+)$"
 _HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
-def _numbered(diffs: DataFrame, text: str) -> DataFrame:
-    """Lines that can advance the line counter, with the file and hunk they belong to.
+def parse_diff(diffs: DataFrame, text: str = "diff") -> DataFrame:
+    """Added lines of ``diffs(change_id, diff)``: ``ord``, ``file``, ``line``, ``content``.
 
-    One diff is one input row, which bounds the window over its lines.
+    A diff is cut at its file and hunk headers inside its row. Lines behind a header take the latest file and hunk up to
+    it, and count on from that hunk's start; removed lines and headers don't count.
     """
     keep = [c for c in diffs.columns if c != text]
     lines = F.filter(
         F.transform(F.split(clean(F.col(text)), "\r?\n"), lambda l, i: F.struct(i.alias("ord"), l.alias("l"))),
         lambda x: ~x["l"].startswith("-"),
     )
-    rows = diffs.select(*keep, F.explode(lines).alias("_x")).select(*keep, "_x.ord", "_x.l")
-    file = F.regexp_extract("l", _FILE, 1)
-    hunk = F.regexp_extract("l", _HUNK, 1)
-    is_file = file != ""
-    is_hunk = ~is_file & (hunk != "")
-    running = Window.partitionBy("change_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select(
-        *keep, "ord", "l", is_file.alias("is_file"), is_hunk.alias("is_hunk"),
-        F.last(F.when(is_file, file), ignorenulls=True).over(running).alias("file"),
-        F.last(F.when(is_hunk, hunk.try_cast("int")), ignorenulls=True).over(running).alias("start"),
-        F.sum(F.when(is_hunk, 1).otherwise(0)).over(running).alias("hunk"),
+    rows = diffs.select(*keep, lines.alias("_l"))
+    found = F.filter(
+        F.transform("_l", lambda x, i: F.struct(
+            i.alias("i"), F.nullif(F.regexp_extract(x["l"], _FILE, 1), F.lit("")).alias("file"), F.regexp_extract(x["l"], _HUNK, 1).try_cast("int").alias("start"),
+        )),
+        lambda h: h["file"].isNotNull() | h["start"].isNotNull(),
     )
-    inside = Window.partitionBy("change_id", "hunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum(F.when(F.col("is_file") | F.col("is_hunk"), 0).otherwise(1)).over(inside), F.lit(0))
-    return rows.withColumn("at", (F.col("start") + seen).cast("int"))
+    top = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("start")))
+    rows = rows.select(*keep, "_l", F.concat(top, found).alias("_h"))
+    rows = rows.select(*keep, "_l", F.transform("_h", lambda h, j: F.struct(h["i"].alias("i"), j.alias("j"), h["file"].alias("file"), h["start"].alias("start"))).alias("_h"))
 
+    def part(h, j):
+        upto = F.slice("_h", F.lit(1), j + 1)
+        last = lambda field: F.try_element_at(F.filter(upto, lambda x: x[field].isNotNull()), F.lit(-1))
+        hunk, after = last("start"), F.coalesce(F.get("_h", j + 1)["i"], F.size("_l"))
+        first = hunk["start"] + (h["i"] - hunk["i"]) - (j - hunk["j"])
+        return F.struct(last("file")["file"].alias("file"), first.alias("first"), F.slice("_l", h["i"] + 2, after - h["i"] - 1).alias("lines"))
 
-def parse_diff(diffs: DataFrame, text: str = "diff") -> DataFrame:
-    """Added lines of ``diffs(change_id, diff)``: ``ord``, ``file``, ``line``, ``content``."""
-    keep = [c for c in diffs.columns if c != text]
-    added = _numbered(diffs, text).where(F.col("l").startswith("+") & ~F.col("l").startswith("+++") & ~F.col("is_file"))
-    return added.select(*keep, "ord", "file", F.col("at").alias("line"), F.substring("l", 2, 2147483647).alias("content"))
+    parts = rows.select(*keep, F.explode(F.transform("_h", part)).alias("_p"))
+    found = parts.select(*keep, F.col("_p.file").alias("file"), F.col("_p.first").alias("_first"), F.posexplode("_p.lines").alias("_k", "_x"))
+    added = found.where(F.col("_x.l").startswith("+") & ~F.col("_x.l").startswith("+++"))
+    return added.select(*keep, F.col("_x.ord").alias("ord"), "file", (F.col("_first") + F.col("_k")).alias("line"), F.substring("_x.l", 2, 2147483647).alias("content"))
 
 
 def changed_files(diffs: DataFrame, text: str = "diff") -> DataFrame:

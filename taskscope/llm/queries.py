@@ -67,6 +67,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_quality_classifier, op4_secret_scan, op5_sharding, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
 }
 
+def _sql_host(url: str) -> str:
+    return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _sql_key(url: str) -> str:
+    rest = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    return f"CASE WHEN contains({url}, '://') THEN {_sql_host(url)} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+def _sql_rule(host: str, path: str) -> str:
+    """The longest of the four rules that fits, as host/path."""
+    rules = [("example.net", "/en/"), ("example.com", "/de/"), ("org", "/fr/"), ("net", "/")]
+    fits = [f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{h}{p}'" for h, p in rules]
+    return f"CASE {' '.join(fits)} END"
+
+
+_OWN = "CASE WHEN {r} IN ('net/', 'example.com/de/') THEN 'block' WHEN {r} IS NOT NULL THEN 'allow' END"
+_HREF = """'(?is)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))'"""
+
 SQL: dict[str, str] = {
     "op7_exact_dedup": """
         WITH rows AS (
@@ -74,4 +97,36 @@ SQL: dict[str, str] = {
         ), classes AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM rows JOIN classes USING (t)
     """,
+    "op9_substring_dedup": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents),
+        starts AS (SELECT r, l, unnest(range(1, len(l) - 33)) AS i FROM d),
+        windows AS (SELECT r, i, md5(array_to_string(l[i:i + 34], ' ')) AS k FROM starts),
+        repeated AS (SELECT r, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM repeated),
+        words AS (SELECT r, unnest(l) AS w, generate_subscripts(l, 1) AS j FROM d),
+        kept AS (SELECT r, string_agg(w, ' ' ORDER BY j) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+        SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
+    "op10_url_filters": f"""
+        WITH RECURSIVE tags AS (
+            SELECT url, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>') AS link,
+              regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>') AS meta FROM pages WHERE contains(url, '://')
+        ), found AS (
+            SELECT url, unnest([regexp_extract(link, {_HREF}, 1) || regexp_extract(link, {_HREF}, 2) || regexp_extract(link, {_HREF}, 3),
+              regexp_extract(meta, '(?is)\\bcontent\\s*=\\s*["''][^"'']*?\\burl\\s*=\\s*[''"]?([^"''>\\s]+)', 1)]) AS t FROM tags WHERE link <> '' OR meta <> ''
+        ), targets AS (
+            SELECT url, replace(t, '&amp;', '&') AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base, {_sql_path('url')} AS p FROM found WHERE t <> ''
+        ), whole AS (
+            SELECT url, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN base || t
+              WHEN t LIKE '#%' THEN url WHEN t LIKE '?%' THEN base || p || t
+              ELSE base || CASE WHEN regexp_replace(p, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END || t END AS w FROM targets
+        ), links AS (SELECT {_sql_key('url')} AS u, {_sql_key('w')} AS v FROM whole),
+        sym AS (SELECT u, v FROM links WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM links WHERE u IS NOT NULL AND v IS NOT NULL),
+        reach AS (SELECT u AS n, u AS m FROM sym UNION SELECT reach.n, sym.v FROM reach JOIN sym ON reach.m = sym.u),
+        told AS (SELECT n, {_sql_rule(_sql_host("('x://' || m)"), _sql_path("('x://' || m)"))} AS r FROM reach),
+        shared AS (SELECT n, CASE WHEN bool_or({_OWN.format(r='r')} = 'allow') THEN 'allow' WHEN bool_or({_OWN.format(r='r')} = 'block') THEN 'block' END AS s FROM told GROUP BY n),
+        parts AS (SELECT page_id, {_sql_host('url')} AS host, {_sql_path('url')} AS path, {_sql_key('url')} AS k FROM pages),
+        ruled AS (SELECT *, {_sql_rule('host', 'path')} AS rule FROM parts)
+        SELECT page_id, host, path, rule, coalesce({_OWN.format(r='rule')}, s, 'allow') AS verdict FROM ruled LEFT JOIN shared ON n = k
+    """,
 }

@@ -38,7 +38,7 @@ from . import tokens as T
 from .quality import bounded, held_out, labelled
 
 #: Labelled documents of each label that training reads at most.
-SAMPLE = 1500
+SAMPLE = 1000
 LANDMARKS = 160
 DECAY, SPAN = 0.5, 9
 _WINDOW, _STRIDE = 28, 8  # bytes of a long unit that are judged together
@@ -231,18 +231,23 @@ def train(docs: list[tuple[str, int]], prior: float, landmarks: int = LANDMARKS,
     if len({y for _, y in docs}) < 2:
         return Model(None, 0.0, 0.0, 1.0, prior if docs else 0.5)
     rng = np.random.default_rng(seed)
-    parsed = [(sentences(t or ""), y) for t, y in docs]
+    pool: dict[bytes, bytes] = {}  # each unit once
+    parsed = [([[pool.setdefault(u, u) for u in s] for s in sentences(t or "")], y) for t, y in docs]
+    del pool
     bags = [({u for s in ss for u in s if len(u) >= 3}, y) for ss, y in parsed]
     n = Counter(y for _, y in bags)
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, y in bags:
-        seen[y].update(set().union(*map(_fragments, bag)) if bag else set())
+    for bag, y in sorted(bags, key=lambda b: -b[1]):
+        found = set().union(*map(_fragments, bag)) if bag else set()
+        # fragments that no toxic document holds tell nothing
+        seen[y].update(found if y else found & seen[1].keys())
     # how much more often a fragment is in toxic documents, where chance doesn't explain it among so many fragments
     odds, least, part = {}, np.log(1 + len(seen[1])), n[1] / (n[0] + n[1])
     for f, c in seen[1].items():
         d = seen[0][f]
         if c / n[1] > d / n[0] and c * np.log(c / (c + d) / part) + (d * np.log(d / (c + d) / (1 - part)) if d else 0) > least:
             odds[f] = np.log((c + 0.1) / n[1] / ((d + 0.5) / n[0]))
+    del seen
     clean = Counter(u for bag, y in bags if not y for u in bag)
     toxic = Counter(u for bag, y in bags if y for u in bag)
     toxic_units = sorted(toxic)
@@ -312,9 +317,12 @@ def hash_of(unit: bytes) -> int:
     return int(T.hashes(np.frombuffer(unit, np.uint8), np.array([0]), np.array([len(unit)]))[0]) if unit else 0
 
 
-def _margin(model: Model, names: list[bytes]) -> np.ndarray:
-    raw, squared = _sums(*_pack(names), model.table)
-    return raw / np.sqrt(np.maximum(squared, 1e-12)) + model.bias
+def _margin(model: Model, names: list[bytes], block: int = 20_000) -> np.ndarray:
+    out = []
+    for k in range(0, len(names), block):
+        raw, squared = _sums(*_pack(names[k:k + block]), model.table)
+        out.append(raw / np.sqrt(np.maximum(squared, 1e-12)) + model.bias)
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:

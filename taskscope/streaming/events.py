@@ -23,15 +23,17 @@ def with_signals(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 
 def correlate(
-    stops: DataFrame, events: DataFrame, lateness: str = "10 minutes", longest: str = "6 hours", per_stop: bool = True
+    stops: DataFrame, events: DataFrame, lateness: str | None = "10 minutes", longest: str = "6 hours", per_stop: bool = True
 ) -> DataFrame:
     """Signals of the events between the prompt of a stop and the stop.
 
     ``stops(workspace, stop_id, ts, since)``, ``events(workspace, ts, signals)`` as streams.
-    ``longest`` bounds the time between prompt and stop, and so the state kept.
+    ``longest`` bounds the time between prompt and stop, and so the state kept. ``lateness`` is null for streams that
+    have their watermark already, as ``ingest`` gives it.
     """
-    s = stops.withWatermark("ts", lateness).select("workspace", "stop_id", F.col("ts").alias("stop_ts"), "since")
-    e = events.withWatermark("ts", lateness).select(F.col("workspace").alias("_w"), F.col("ts").alias("event_ts"), "signals")
+    marked = lambda df: df if lateness is None else df.withWatermark("ts", lateness)
+    s = marked(stops).select("workspace", "stop_id", F.col("ts").alias("stop_ts"), "since")
+    e = marked(events).select(F.col("workspace").alias("_w"), F.col("ts").alias("event_ts"), "signals")
     window = F.expr(f"event_ts >= stop_ts - INTERVAL {longest} AND event_ts <= stop_ts")
     pairs = s.join(e, (F.col("workspace") == F.col("_w")) & window & (F.col("event_ts") >= F.col("since")))
     found = pairs.select("workspace", "stop_id", "stop_ts", "event_ts", F.explode("signals").alias("signal"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -218,8 +219,13 @@ def similarity_top_k(
     return top_n(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def vector_candidates(queries: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame:
-    """Files by vector similarity of at least 0.45, scored ``round(10 * similarity)``."""
+def vector_candidates(queries: DataFrame, index: DataFrame, limit: int = 10, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Files by vector similarity of at least 0.45, scored ``round(10 * similarity)``.
+
+    ``embed`` adds ``vector`` to inputs that come without one, from whatever columns they have.
+    """
+    if embed is not None:
+        queries, index = (df if "vector" in df.columns else embed(df) for df in (queries, index))
     best = similarity_top_k(queries, index, limit, min_score=0.45).withColumnRenamed("query_id", "task_id").withColumnRenamed("id", "path")
     return _candidate(best, F.round(F.col("score") * 10), "embedding", F.concat(F.lit("file-embedding:"), F.format_number("score", 2)))
 

@@ -113,6 +113,22 @@ def streamed_signals(t: Tables):
     return out.select("event_id", F.array_join("signals", "|").alias("signals"))
 
 
+@query("streamed_json_lines", "W1 W6", """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'code-review-graph|query_graph' WHEN 1 THEN 'rtk' WHEN 2 THEN 'agentmemory' ELSE '' END AS signals FROM events WHERE event_id % 10 NOT IN (3, 7)
+""")
+def streamed_json_lines(t: Tables):
+    """Events as JSON lines, some broken and some without a time, read as a stream."""
+    from ..session import shared_folder
+
+    folder = shared_folder(t.spark, "lines")
+    rows = t.events.select("event_id", "ts").join(t.derive(B.PAYLOADS), "event_id")
+    number = F.col("event_id") % 10
+    line = F.when(number == 3, F.lit("{broken")).otherwise(F.to_json(F.struct(F.when(number != 7, F.col("ts")).alias("ts"), "event_id", "payload")))
+    rows.select(line.alias("value")).write.text(folder)
+    out = ev.run_available(ev.ingest(t.spark, folder, "ts TIMESTAMP, event_id LONG, payload STRING", "100 years"))
+    return out.select("event_id", F.array_join("signals", "|").alias("signals"))
+
+
 @query("streamed_stop_signals", "W2", """
 WITH s AS (SELECT user_id AS workspace, event_id AS stop_id, ts FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id AS workspace, ts, CASE WHEN event_id % 2 = 0 THEN 'rtk' ELSE 'query_graph' END AS sig FROM events WHERE event_type IN ('click', 'error'))
 SELECT s.workspace, s.stop_id, e.sig AS signal, count(*) AS n FROM s JOIN e ON s.workspace = e.workspace AND e.ts <= s.ts AND e.ts >= s.ts - INTERVAL 5 HOURS GROUP BY ALL

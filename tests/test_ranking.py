@@ -124,3 +124,13 @@ def test_vectors_are_compared_over_the_shorter_length(table):
     queries = table([(7, [1.0, 0.0])], "query_id int, vector array<float>")
     got = {r.id: r.score for r in retrieval.similarity_top_k(queries, index, 3).collect()}
     assert got == {1: 1.0, 2: 0.5, 3: 0.5}
+
+
+def test_an_embedder_can_be_passed(table):
+    from pyspark.sql import functions as F
+
+    letters = lambda df: df.withColumn("vector", F.array(*[F.length(F.regexp_replace("text", f"[^{c}]", "")).cast("float") for c in "abc"]))
+    index = table([("x", "aaa"), ("y", "bbb")], "id string, text string")
+    queries = table([(1, "aa"), (2, "ccc")], "query_id int, text string")
+    got = {(r.task_id, r.path): r.score for r in retrieval.vector_candidates(queries, index, embed=letters).collect()}
+    assert got == {(1, "x"): 10.0, (1, "y"): 5.0, (2, "x"): 5.0, (2, "y"): 5.0}

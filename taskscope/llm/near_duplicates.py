@@ -187,7 +187,8 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, weigh
 def _once(pairs: DataFrame) -> DataFrame:
     """Each pair once, whichever way round; the end that leads stays behind."""
     pairs = pairs.where("a <> b").select("a", "b", F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g"))
-    return pairs.groupBy("_l", "_g").agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
+    # the least of both ways, so that a task that runs again decides alike
+    return pairs.groupBy("_l", "_g").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def classes(

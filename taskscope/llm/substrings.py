@@ -18,17 +18,18 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as T
 from .store import written
 
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _BATCH = 2_000_000  # windows that a map task holds before it sends them
 _RANGE = 4 << 20  # bytes of text for each hash range
 
@@ -61,7 +62,7 @@ def _pack(batch: str, hashes: list, rows: list, ranges: int) -> Iterator[tuple]:
         low = k.view(np.uint8).reshape(-1, 8)[:, :7]  # the range tells the highest byte
         gaps = np.diff(f, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T
         yield part, batch, _SEEN, len(k).to_bytes(4, "little") + gaps.tobytes() + np.packbits(m).tobytes() + low.tobytes()
-    spread = int(uuid.UUID(batch).int % ranges)
+    spread = zlib.crc32(batch.encode()) % ranges
     if len(repeated):
         yield spread, batch, _PLACES, np.sort(repeated).astype(np.uint32).tobytes()
     yield spread, batch, _ROWS, b"".join(rows)
@@ -72,10 +73,12 @@ _ROW = np.dtype([("null", "u1"), ("id", "<i8"), ("text", "<i8"), ("words", "<i8"
 
 def _hashed(size: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, n = [], [], 0
+        held, rows, n, count = [], [], 0, 0
+        task = TaskContext.get().partitionId()
 
         def out():
-            packed = list(zip(*_pack(str(uuid.uuid4()), held, rows, ranges), strict=True))
+            # a task that runs again, because its output was lost, names its batches as before
+            packed = list(zip(*_pack(f"{task}-{count}", held, rows, ranges), strict=True))
             return pa.RecordBatch.from_arrays(
                 [pa.array(packed[0], pa.int32()), pa.array(packed[1]), pa.array(packed[2], pa.int32()), pa.array(packed[3], pa.binary())],
                 ["part", "batch", "kind", "blob"],
@@ -99,7 +102,7 @@ def _hashed(size: int, ranges: int):
                 n += len(found)
                 if n >= _BATCH or len(rows) >= 256:
                     yield out()
-                    held, rows, n = [], [], 0
+                    held, rows, n, count = [], [], 0, count + 1
         if rows:
             yield out()
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: The white space that separates words: space and the control characters 9 to 13.
 SPACE = np.zeros(256, bool)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import shared_path, written
+from .store import shared_path, write, written
 
 #: Rows of a group that one task compares with a copy of the retained text.
 ROWS_PER_SALT = 1000
@@ -39,11 +39,10 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _state(digests: DataFrame) -> DataFrame:
+def _state(digests: DataFrame, folder: str) -> DataFrame:
     """Stream the digests into keyed state; one row for each digest: its rows, and the id that stays."""
     spark = digests.sparkSession
     out = shared_path(spark, "dedup-state")
-    names = [f for f in digests.inputFiles()]
 
     def keep(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/changes/batch={batch}")
@@ -59,8 +58,7 @@ def _state(digests: DataFrame) -> DataFrame:
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }.items():
         session.conf.set(k, v)
-    if names:
-        folder = names[0].rsplit("/", 1)[0]
+    if digests.inputFiles():
         stream = session.readStream.schema(digests.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
         changes = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "place")).alias("last"))
         changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
@@ -75,8 +73,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     """One row per document: (id, digest, keep_id, group_size)."""
     texts = docs.select(F.col(id_col).alias("id"), folded(F.col(text_col)).alias("text"))
     # the place of a text tells copies of one id apart; it is found again by id and by a second hash
-    digests = written(texts.select("id", digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("place")), "digests")
-    state = written(_state(digests), "dedup-groups")
+    digests = texts.select("id", digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("place"))
+    folder = write(digests, "digests")
+    digests = docs.sparkSession.read.schema(digests.schema).parquet(folder)
+    state = written(_state(digests, folder), "dedup-groups")
     groups = state.where("n > 1").select(F.col("digest").alias("_digest"), "n", F.col("last.id").alias("keep_id"), F.col("last.place").alias("keep_place"))
     # full bytes of every row whose digest was seen before
     hits = written(texts.withColumn("digest", digest(F.col("text"))).join(groups, F.expr("digest = _digest")).select(

@@ -35,10 +35,15 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage is cut, and the job's shuffle files go once it is written."""
+def write(df: DataFrame, name: str) -> str:
+    """Write ``df`` as a table in the shared folder and return its path; the job's shuffle files go once it is written."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     with settings(spark, **{_CLEANUP: "true"}):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` read back from a table in the shared folder: its lineage is cut."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))

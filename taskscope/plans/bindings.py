@@ -63,11 +63,11 @@ FROM {orders}
 SCHEMA_FILES = """
 SELECT p_partkey AS repo, 'prisma/schema.prisma' AS file,
   'datasource db {' || chr(10) || '  provider = "postgresql"' || chr(10) || '  url = ' ||
-  CASE WHEN p_size % 2 = 0 THEN 'env("DATABASE_URL")' ELSE '"postgres:/' || chr(47) || 'app:pw@db:5432/x' || CAST(p_partkey AS VARCHAR(20)) || '"' END || chr(10) || '}' || chr(10) || chr(10)
+  CASE WHEN p_size % 2 = 0 THEN 'env("DATABASE_URL")' ELSE '"postgres://app:pw@db:5432/x' || CAST(p_partkey AS VARCHAR(20)) || '"' END || chr(10) || '}' || chr(10) || chr(10)
   || 'model Item {' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '  id Int @id' || chr(10) END
   || '  email String' || CASE WHEN p_partkey % 4 = 0 THEN ' @unique' ELSE '' END || chr(10) || '  slug String?' || chr(10)
   || '  ownerId Int' || chr(10) || '  owner Owner @relation(fields: [ownerId], references: [id])' || chr(10)
-  || '  price Float /' || '/ money' || chr(10) || '  tags String[]' || chr(10)
+  || '  price Float // money' || chr(10) || '  tags String[]' || chr(10)
   || CASE WHEN p_partkey % 5 = 0 THEN '  @@index([ownerId])' || chr(10) ELSE '' END || '}' || chr(10)
   || 'enum Color {' || chr(10) || '  RED' || chr(10) || '}' || chr(10)
   || 'model Owner {' || chr(10) || '  id Int @id' || chr(10) || '  items Item[]' || chr(10) || '}' AS text
@@ -75,14 +75,14 @@ FROM {part}
 """
 
 # documents carry token = "<hex>" lines; some names become secret-like
-CREDENTIAL_TEXT = """replace(replace(text, 'token = ', CASE WHEN doc_id % 2 = 0 THEN 'secret = ' ELSE 'token = ' END), '@', '@') || chr(10) ||
+CREDENTIAL_TEXT = """replace(text, 'token = ', CASE WHEN doc_id % 2 = 0 THEN 'secret = ' ELSE 'token = ' END) || chr(10) ||
   CASE doc_id % 7 WHEN 0 THEN 'secretOrKey: "supersecret' || CAST(doc_id AS VARCHAR(20)) || '"'
                   WHEN 1 THEN 'secret: "super-secret-jwt-signing-key-' || CAST(doc_id AS VARCHAR(20)) || '"'
                   WHEN 2 THEN 'password: "DB_PASSWORD_' || CAST(doc_id AS VARCHAR(20)) || '"'
-                  WHEN 3 THEN 'url = "postgres:/' || '/app:s3cr3t@db' || CAST(doc_id AS VARCHAR(20)) || '.example.com/x"'
-                  WHEN 4 THEN 'url = "postgres:/' || '/app:s3cr3t@db:5432/x"'
+                  WHEN 3 THEN 'url = "postgres://app:s3cr3t@db' || CAST(doc_id AS VARCHAR(20)) || '.example.com/x"'
+                  WHEN 4 THEN 'url = "postgres://app:s3cr3t@db:5432/x"'
                   WHEN 5 THEN 'apiKey: "config.jwt.secret"'
-                  ELSE 'id = "AKIA' || 'ABCDEFGHIJ' || CAST(100000 + doc_id AS VARCHAR(20)) || '"' END"""
+                  ELSE 'id = "AKIAABCDEFGHIJ' || CAST(100000 + doc_id AS VARCHAR(20)) || '"' END"""
 
 # pages as source files of one repository per language path
 SOURCE_TEXTS = """
@@ -97,7 +97,7 @@ SELECT split_part(url, '/', 3) AS repo, CASE WHEN page_id % 3 = 0 THEN 'Dockerfi
 COUNTER_TEXTS = """
 SELECT lang AS repo, 'd' || CAST(doc_id AS VARCHAR(20)) AS file,
   text || chr(10) || 'cd /home/' || CASE WHEN doc_id % 4 = 0 THEN 'runner' ELSE 'u' || CAST(doc_id % 9 AS VARCHAR(20)) END || '/work' || chr(10)
-  || CASE doc_id % 5 WHEN 0 THEN 'spawn(x, { shell: true })' WHEN 1 THEN '/' || '/ shell: true' WHEN 2 THEN 'log("shell: true")' ELSE 'id: "SEC-' || CAST(doc_id % 13 AS VARCHAR(20)) || '"' END || chr(10)
+  || CASE doc_id % 5 WHEN 0 THEN 'spawn(x, { shell: true })' WHEN 1 THEN '// shell: true' WHEN 2 THEN 'log("shell: true")' ELSE 'id: "SEC-' || CAST(doc_id % 13 AS VARCHAR(20)) || '"' END || chr(10)
   || CASE doc_id % 3 WHEN 0 THEN 'old_a old_b' WHEN 1 THEN 'old_a to new_a' ELSE '' END AS text
 FROM {documents}
 """

@@ -109,7 +109,7 @@ def expand_catalog(
         # one window holds the new items of one task
         order = Window.partitionBy("task_id").orderBy("_o")
         front = firsts.withColumn("place", F.row_number().over(order))
-        if level < depth:
+        if 2 < depth and level < depth:  # a deep search would plan every level anew for each later one
             front = checkpointed(front)
         reached = front.select("task_id", "id", F.lit(level).alias("level"), "_o", "_via")
         found = reached if found is None else found.unionByName(reached)

@@ -8,6 +8,9 @@
    equal hashes are counted. The places of windows that are not alone go back to their batch.
 3. A batch turns the places into maximal intervals of words for each row, and rows that lose words are read once more.
 
+A batch is named by its task and number, so the documents must come from a table, or another source whose tasks give the
+same rows in the same order when they run again.
+
 Windows are compared by hash: among N windows about N^2 / 2^65 false matches are expected (4e-4 for a hundred million).
 
 Defined results: a null or empty text has no words (0, 0, hash of the empty text); fewer words than a window: nothing is

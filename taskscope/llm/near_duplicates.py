@@ -9,9 +9,11 @@ shingles of five words (A-Z as a-z), of weight one, or of the number of their oc
 
 Candidates. Equal texts are one node. Nodes that agree in all coordinates of a band share a bucket. In a bucket, each
 node is paired with the bucket's most central node (whose buckets are the largest together). After these pairs are
-judged, buckets are sorted by the following bands, and a node is paired with those of its next ``NEIGHBOURS`` that are in
-another component so far. Both are linear in the size of a bucket, and the many buckets of a group give a node many
-partners.
+judged, only buckets that still hold several components matter: their members outside the bucket's largest component
+are compared with all members by their signatures, in cells of about ``BLOCK`` by ``BLOCK`` rows. First each is paired
+with the ``CLOSEST`` members of other components in its cell; after that, with every member of another component that
+agrees enough. So no link between two nodes of a bucket is left out unless they are in one class anyway. The work is
+linear in a bucket that is nearly one component, and grows with its square where most members stay apart.
 
 Links. Pairs whose signatures agree in at least ``LEAST_AGREEMENT`` of the coordinates (far below the threshold, so that
 chance doesn't lose a link) are verified on all their shingles. Connected components over the links are the classes.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 LEAST_AGREEMENT = 0.55
-NEIGHBOURS = 8
+BLOCK, CLOSEST = 1024, 8
 _SLICE = 2 << 20
 _ODD, _DART = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
@@ -128,18 +131,58 @@ def _sets(size: int, weighted: bool):
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each row and those of the next rows of its bucket that are in another component."""
-    names = ["key", "node", "root"]
-    key, node, root = (np.zeros(0, np.int64) for _ in names)
-    for b in batches:
-        old = len(key)
-        key, node, root = (np.append(x, b.column(c).to_numpy()) for x, c in zip((key, node, root), names, strict=True))
-        for k in range(1, NEIGHBOURS + 1):
-            same = np.flatnonzero((key[k:] == key[:-k]) & (root[k:] != root[:-k]))
-            same = same[same + k >= old]  # the others were paired with the batch before
-            yield pa.RecordBatch.from_arrays([pa.array(node[same]), pa.array(node[same + k])], ["a", "b"])
-        key, node, root = key[-NEIGHBOURS:], node[-NEIGHBOURS:], root[-NEIGHBOURS:]
+def _cells(k: int, least: float, closest: int | None):
+    """Pairs of a cell's first side with rows of its second that are in another component and agree in ``least`` of the signature, the ``closest`` or all."""
+
+    def pairs(side, node, root, sig):
+        split = int(np.searchsorted(side, 1))
+        x, y = sig[:split], sig[split:]
+        same = np.zeros((len(x), len(y)), np.uint16)
+        for c in range(k):
+            same += x[:, c, None] == y[None, :, c]
+        same[(root[:split, None] == root[None, split:]) | (same < least * k - 1e-9)] = 0
+        if closest is not None and len(y) > closest:
+            at = np.argpartition(same, len(y) - closest, axis=1)[:, -closest:]
+            r, c = np.nonzero(np.take_along_axis(same, at, axis=1))
+            c = at[r, c]
+        else:
+            r, c = np.nonzero(same)
+        return pa.RecordBatch.from_arrays([pa.array(node[:split][r]), pa.array(node[split:][c])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "i", "j", "side", "node", "root"]
+        held, sigs = [np.zeros(0, np.int64) for _ in names], np.zeros((0, k), np.uint32)
+        for b in chain(batches, [None]):
+            if b is not None and b.num_rows:
+                held = [np.append(x, b.column(c).to_numpy()) for x, c in zip(held, names, strict=True)]
+                sigs = np.concatenate([sigs, np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, k)])
+            key, i, j, side, node, root = held
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            # the last cell may go on in the next batch
+            ends = [0, *ends.tolist()] + ([len(key)] if b is None else [])
+            for p, q in zip(ends[:-1], ends[1:], strict=True):
+                yield pairs(side[p:q], node[p:q], root[p:q], sigs[p:q])
+            held, sigs = [x[ends[-1]:] for x in held], sigs[ends[-1]:]
+
+    return run
+
+
+def _apart(shared: DataFrame, links: DataFrame, reps: DataFrame, k: int, least: float, closest: int | None) -> DataFrame:
+    """Pairs of nodes that share a bucket and are in different components over ``links``."""
+    root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("_node"), "root")
+    placed = written(shared.join(root, F.expr("node = _node"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-placed")
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    mixed = parts.where("n > most.n").select(
+        "key", F.col("most.root").alias("_largest"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("_is"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_js"),
+    )
+    rows = placed.join(mixed, "key").join(reps.select(F.col("node").alias("_node"), "sig"), F.expr("node = _node"))
+    # each block of the members outside the largest component meets each block of all members
+    salt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.where("root <> _largest").select("key", salt("_is").alias("i"), every("_js").alias("j"), F.lit(0).alias("side"), "node", "root", "sig")
+    many = rows.select("key", every("_is").alias("i"), salt("_js").alias("j"), F.lit(1).alias("side"), "node", "root", "sig")
+    cells = few.unionAll(many).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    return cells.mapInArrow(_cells(k, least, closest), _PAIR)
 
 
 def _agreeing(least: float):
@@ -168,8 +211,10 @@ def _verified(threshold: float):
 _PAIR = "a long, b long"
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, weighted: bool, threshold: float, least: float) -> DataFrame:
-    """The pairs that are similar enough, judged on all their elements."""
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, weighted: bool, threshold: float, least: float, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs that are similar enough, judged on all their elements, and all pairs that were judged; those in ``tried`` aren't judged again."""
+    if tried is not None:
+        pairs = pairs.join(_ends(tried), F.expr("least(a, b) = _l and greatest(a, b) = _g"), "left_anti")
     kind = dict(reps.dtypes)["id"]
     for end in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("id").alias(f"id_{end}")), end)
@@ -181,7 +226,11 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, weigh
     found = texts.join(wanted.hint("merge"), F.expr("node = _node and id <=> _id")).select("node", "text")
     sets = written(found.mapInArrow(_sets(size, weighted), "node long, elements binary").dropDuplicates(["node"]), "near-elements")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), _PAIR), "near-links")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), _PAIR), "near-links"), likely.select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g"))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -203,26 +252,19 @@ def classes(
     reps = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "near-texts")
     band = [F.xxhash64(F.lit(b), F.substring("sig", b * rows * 4 + 1, rows * 4)) for b in range(bands)]
     keys = reps.where("sig is not null").select("node", F.array(*band).alias("keys"))
-    then = [f"then{k}" for k in range(3)]
-    spread = keys.select("node", F.posexplode("keys").alias("band", "key"), "keys").select(
-        "key", "node", *(F.element_at("keys", (F.col("band") + 1 + k) % bands + 1).alias(c) for k, c in enumerate(then)),
-    )
+    spread = keys.select("node", F.explode("keys").alias("key"))
     sizes = spread.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(spread.join(sizes, "key"), "near-buckets")
     central = shared.groupBy("node").agg(F.sum("n").alias("c"))
     members = written(shared.select("key", "node").join(central, "node"), "near-members")
     leader = members.groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("leader"))
     pairs = members.join(leader, "key").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    links = _links(_once(pairs), reps, texts, size, weighted, threshold, least)
-    root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("_node"), "root")
-    # neighbours in other components
-    order = ["key", *then, "node"]
-    placed = shared.join(root, F.expr("node = _node"), "left").select(*order, F.coalesce("root", "node").alias("root"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    beside = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "node", "root").mapInArrow(_neighbours, _PAIR)
-    more = _links(_once(beside), reps, texts, size, weighted, threshold, least)
-    ends = links.unionAll(more)
-    root = connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links, tried = _links(_once(pairs), reps, texts, size, weighted, threshold, least)
+    for closest in (CLOSEST, None):
+        apart = written(_once(_apart(shared, links, reps, bands * rows, least, closest)), "near-apart")
+        more, judged = _links(apart, reps, texts, size, weighted, threshold, least, tried)
+        links, tried = links.unionAll(more), tried.unionAll(judged)
+    root = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     linked = written(root.unionAll(root.select(F.col("root").alias("node"), "root").distinct()).join(reps.select("node", "id", "copies"), "node"), "near-linked")
     named = linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     linked = linked.select("node", "root").join(named, "root").select(F.col("node").alias("_linked"), "class_id", F.col("class_size").alias("_size"))

@@ -222,6 +222,39 @@ def test_near_duplicates(spark):
     assert near_duplicates.report(odd_docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_a_group_without_a_centre(spark):
+    """Variants of one template that isn't there itself: nearly all share buckets, few are linked; all pairs judged."""
+    random.seed(8)
+    template = [f"t{k}" for k in range(104)]
+    rows = []
+    for i in range(2000):
+        w = list(template)
+        for k in random.sample(range(4, 100), 2):
+            w[k] = f"new{i}_{k}"
+        rows.append((i, " ".join(w)))
+    number = {}
+    sets = [[number.setdefault(tuple(w[j:j + 5]), len(number)) for j in range(100)] for w in (t.split(" ") for _, t in rows)]
+    common = np.zeros((len(rows), len(number)), bool)
+    for i, s in enumerate(sets):
+        common[i, s] = True
+    common = common[:, common.sum(axis=0) > 1].astype(np.float32)
+    both = common @ common.T
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in np.argwhere(both >= 0.8 * (200 - both) - 1e-6).tolist():
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(rows))}
+    assert 1 < len(set(want.values())) < 2000
+    got = near_duplicates.report(spark.createDataFrame(rows, SCHEMA).repartition(7))
+    assert {r.doc_id: r.class_id for r in got.select("doc_id", "class_id").collect()} == want
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     for weighted in (False, True):

@@ -47,16 +47,40 @@ c AS (SELECT stop_id, count(*)::INT AS sources FROM p WHERE sig <> '' GROUP BY s
 SELECT s.stop_id, coalesce(a.signals, '') AS signals, coalesce(sources, 0) AS sources FROM s LEFT JOIN a USING (stop_id) LEFT JOIN c USING (stop_id)
 """)
 def stop_evidence(t: Tables):
+    return _stop_evidence(t, 500)
+
+
+def _stop_evidence(t: Tables, last: int | None):
     none = F.array().cast("array<string>")
     events = t.derive(_EVENTS).withColumn("signals", F.when(F.col("sig") != "", F.array("sig")).otherwise(none))
     events = events.withColumn("tool_signals", none).withColumn("command_signals", none)
-    out = telemetry.runtime_evidence(t.derive(_LOG_STOPS), events, last=500)
+    out = telemetry.runtime_evidence(t.derive(_LOG_STOPS), events, last=last)
     from ..operators.compliance import runtime_summary
 
     united = runtime_summary(F.col("tool_signals"), F.col("command_signals"), F.col("signals"))
     return out.select("stop_id", F.array_join(united, "|").alias("signals"), F.size("sources").alias("sources"))
 
 
+_WHOLE_SQL = f"""
+WITH e AS ({plain(_EVENTS)}), s AS ({plain(_LOG_STOPS)}),
+p AS (SELECT s.stop_id, e.* FROM s JOIN e ON e.log = s.log AND e.ts <= s.ts WHERE (e.workspace IS NULL OR e.workspace = s.workspace) AND (s.since IS NULL OR e.ts >= s.since))
+"""
+
+
+@query("whole_evidence_pairs", "J13", _WHOLE_SQL + "SELECT stop_id, event_id FROM p")
+def whole_evidence_pairs(t: Tables):
+    return telemetry.evidence_window(t.derive(_LOG_STOPS), t.derive(_EVENTS)).select("stop_id", "event_id")
+
+
+@query("whole_stop_evidence", "J13 U5", _WHOLE_SQL + """
+, g AS (SELECT stop_id, sig, min((ts, event_id)) AS pos FROM p WHERE sig <> '' GROUP BY ALL), a AS (SELECT stop_id, string_agg(sig, '|' ORDER BY pos) AS signals FROM g GROUP BY stop_id),
+c AS (SELECT stop_id, count(*)::INT AS sources FROM p WHERE sig <> '' GROUP BY stop_id)
+SELECT s.stop_id, coalesce(a.signals, '') AS signals, coalesce(sources, 0) AS sources FROM s LEFT JOIN a USING (stop_id) LEFT JOIN c USING (stop_id)
+""")
+def whole_stop_evidence(t: Tables):
+    return _stop_evidence(t, None)
+
+
 @query("workspace_stats", "A10", """
 WITH p AS (SELECT user_id AS workspace, count(*) AS prompts, count(*) FILTER (WHERE value > 10) AS injected, round(avg(event_id % 100))::BIGINT AS mean_ms, arg_max(props, (ts, props)) AS last_prompt FROM events WHERE event_type = 'view' GROUP BY 1),
 r AS (SELECT user_id AS workspace, count(*) AS reports, round(avg(CASE WHEN event_id % 4 > 0 THEN event_id % 101 END))::BIGINT AS mean_efficiency, sum(event_id % 5)::BIGINT AS followed, sum(event_id % 3)::BIGINT AS ignored FROM events WHERE event_type = 'purchase' GROUP BY 1),

@@ -207,3 +207,10 @@ def test_no_limit_by_default(table):
     text = '{"a": "x rtk \\u0065", "l": [' + ", ".join(f'"v{i}"' for i in range(200)) + '], "z": "query_graph"}'
     out = parsing.extract_signals(table([(text,), (text[:-1],)], "payload string")).collect()
     assert [r.signals for r in out] == [["rtk", "query_graph"], []]
+
+
+def test_evidence_is_whole_without_a_cap(spark, table):
+    stops = table([("l", "w", 1, 2000, None), ("l", None, 2, 2000, 1000), ("l", "v", 3, 10, None)], "log string, workspace string, stop_id long, ts long, since long").withColumn("ts", F.timestamp_seconds("ts")).withColumn("since", F.timestamp_seconds("since"))
+    events = spark.range(1500).select(F.lit("l").alias("log"), F.expr("CASE id % 3 WHEN 0 THEN 'w' WHEN 1 THEN 'v' END").alias("workspace"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"))
+    got = {r.stop_id: (r.n, r.m) for r in telemetry.evidence_window(stops, events).groupBy("stop_id").agg(F.count("*").alias("n"), F.min("event_id").alias("m")).collect()}
+    assert got == {1: (1000, 0), 2: (500, 1000), 3: (7, 1)}

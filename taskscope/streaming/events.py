@@ -9,6 +9,7 @@ from ..operators.parsing import extract_signals
 from ..operators.telemetry import latest
 from ..session import shared_folder
 
+SALTS = 8
 EVENT_SCHEMA = "ts TIMESTAMP, event STRING, workspace STRING, payload STRING"
 
 
@@ -23,19 +24,29 @@ def with_signals(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 
 def correlate(
-    stops: DataFrame, events: DataFrame, lateness: str | None = "10 minutes", longest: str = "6 hours", per_stop: bool = True
+    stops: DataFrame, events: DataFrame, lateness: str | None = "10 minutes", longest: str | None = None, per_stop: bool = True
 ) -> DataFrame:
     """Signals of the events between the prompt of a stop and the stop.
 
     ``stops(workspace, stop_id, ts, since)``, ``events(workspace, ts, signals)`` as streams.
-    ``longest`` bounds the time between prompt and stop, and so the state kept. ``lateness`` is null for streams that
+    A missing workspace goes with every workspace, and a stop without ``since`` takes all events up to it, as in
+    ``telemetry.evidence_window``. ``longest`` bounds the time between prompt and stop, and so the state kept; without
+    it nothing is dropped, and all events stay in the state. ``lateness`` is null for streams that
     have their watermark already, as ``ingest`` gives it.
     """
     marked = lambda df: df if lateness is None else df.withWatermark("ts", lateness)
     s = marked(stops).select("workspace", "stop_id", F.col("ts").alias("stop_ts"), "since")
     e = marked(events).select(F.col("workspace").alias("_w"), F.col("ts").alias("event_ts"), "signals")
-    window = F.expr(f"event_ts >= stop_ts - INTERVAL {longest} AND event_ts <= stop_ts")
-    pairs = s.join(e, (F.col("workspace") == F.col("_w")) & window & (F.col("event_ts") >= F.col("since")))
+    # keys as (side without a workspace, workspace or salt), so that each pair meets under one key
+    named = lambda c: F.struct(F.lit("").alias("none"), F.col(c).cast("string").alias("at"))
+    salted = lambda none, n: F.struct(F.lit(none).alias("none"), n.cast("string").alias("at"))
+    salts = lambda none: [salted(none, F.lit(k)) for k in range(SALTS)]
+    salt = F.pmod(F.xxhash64("event_ts", "signals"), F.lit(SALTS))
+    s = s.withColumn("_k", F.explode(F.when(F.col("workspace").isNull(), F.array(*salts("stop"))).otherwise(F.array(named("workspace"), *salts("event")))))
+    # a stop without a workspace meets all events, one with a workspace its own and those without
+    e = e.withColumn("_e", F.explode(F.when(F.col("_w").isNull(), F.array(salted("event", salt), salted("stop", salt))).otherwise(F.array(named("_w"), salted("stop", salt)))))
+    window = F.expr("event_ts <= stop_ts" + (f" AND event_ts >= stop_ts - INTERVAL {longest}" if longest is not None else ""))
+    pairs = s.join(e, (F.col("_k") == F.col("_e")) & window & (F.col("since").isNull() | (F.col("event_ts") >= F.col("since"))))
     found = pairs.select("workspace", "stop_id", "stop_ts", "event_ts", F.explode("signals").alias("signal"))
     if not per_stop:
         return found

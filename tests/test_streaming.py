@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from taskscope.operators import telemetry
 from taskscope.streaming import events as ev, gates
 
 
@@ -62,3 +63,20 @@ def test_stream_gate_equals_the_batch_gate(spark, tmp_path):
     streamed = {r.event_id: r.started for r in ev.run_available(gates.stream_cooldown(stream)).collect()}
     batch = {r.event_id: r.started for r in gates.cooldown(spark.read.schema(schema).json(str(folder))).collect()}
     assert streamed == batch == {0: True, 1: False, 2: False, 3: True, 4: False, 5: True, 6: True}
+
+
+def test_stop_signals_equal_the_batch_evidence_over_long_gaps(spark, tmp_path):
+    events, stops = tmp_path / "events", tmp_path / "stops"
+    at = lambda h: f"2024-01-0{1 + h // 24}T{h % 24:02d}:00:00Z"
+    rows = [(1, "w", 0, "a"), (2, None, 1, "b"), (3, "v", 2, "c"), (4, "w", 20, "d"), (5, None, 21, "e"), (6, "w", 30, "f"), (7, "v", 60, "g")]
+    _write(events, "a.json", *[json.dumps({"event_id": i, "workspace": w, "ts": at(h), "signals": [x]}) for i, w, h, x in rows])
+    ends = [(1, "w", 22, 0), (2, "w", 22, None), (3, None, 22, 2), (4, None, 31, None), (5, "v", 22, 1)]
+    _write(stops, "a.json", *[json.dumps({"stop_id": i, "workspace": w, "ts": at(h), "since": at(p) if p is not None else None}) for i, w, h, p in ends])
+    e, s = "event_id LONG, workspace STRING, ts TIMESTAMP, signals ARRAY<STRING>", "stop_id LONG, workspace STRING, ts TIMESTAMP, since TIMESTAMP"
+    stream = lambda schema, folder: spark.readStream.schema(schema).json(str(folder))
+    batch = lambda schema, folder: spark.read.schema(schema).json(str(folder)).withColumn("log", F.lit("l"))
+    found = ev.run_available(ev.correlate(stream(s, stops), stream(e, events), per_stop=False))
+    want = telemetry.evidence_window(batch(s, stops), batch(e, events))
+    got = sorted((r.stop_id, r.signal) for r in found.collect())
+    assert got == sorted((r.stop_id, x) for r in want.collect() for x in r.signals)
+    assert [x for i, x in got if i == 2] == ["a", "b", "d", "e"] and [x for i, x in got if i == 4] == list("abcdef")

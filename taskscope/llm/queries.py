@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, duplicates, near_duplicates, pieces, quality, secrets, shards, substrings, toxicity, urls
+from . import alignment, decontamination, divergence, duplicates, near_duplicates, neighbours, pieces, quality, secrets, shards, substrings, toxicity, urls
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,8 +63,26 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.verdicts(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.report(_docs(spark, folder))
+
+
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.report(_docs(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), _pieces_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_quality_classifier, op4_secret_scan, op5_sharding, op6_toxicity, op7_exact_dedup, op8_sentencepiece, op9_substring_dedup, op10_url_filters)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_near_dedup, op3_quality_classifier, op4_secret_scan, op5_sharding, op6_toxicity, op7_exact_dedup, op8_sentencepiece,
+        op9_substring_dedup, op10_url_filters, op11_source_divergence, op12_nearest_neighbours, op13_tokenizer_alignment,
+    )
 }
 
 def _sql_host(url: str) -> str:
@@ -91,6 +109,29 @@ _OWN = "CASE WHEN {r} IN ('net/', 'example.com/de/') THEN 'block' WHEN {r} IS NO
 _HREF = """'(?is)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))'"""
 
 SQL: dict[str, str] = {
+    "op11_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w FROM d),
+        counted AS (SELECT lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, count(*) AS n, count(DISTINCT r) AS docs FROM words GROUP BY ALL),
+        kept AS (SELECT lang, t, sum(n) AS n FROM counted GROUP BY lang, t HAVING sum(docs) >= 10),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        totals AS (SELECT lang, source, coalesce(sum(n) FILTER (t IN (SELECT k.t FROM kept k WHERE k.lang = g.lang)), 0) AS total FROM groups g LEFT JOIN counted USING (lang, source) GROUP BY lang, source),
+        shares AS (
+            SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.total + 2 * l.v) AS p,
+              1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (l.total + 2 * l.v) AS q
+            FROM totals g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t
+        ), found AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN found f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        ), every AS (
+            SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', t, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q
+        ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
     "op7_exact_dedup": """
         WITH rows AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents

@@ -77,9 +77,10 @@ class Side:
         mark = sp.encode("\n")  # what encoding puts in front, and a line break that joins nothing
 
         def many(texts: list[str]) -> list[list[int]]:
-            # the model itself puts the first space in front; what has none goes behind a line break
-            found = sp.encode([t[1:] if t.startswith(" ") else "\n" + t for t in texts], num_threads=1)
-            return [x if t.startswith(" ") else x[len(mark):] for x, t in zip(found, texts, strict=True)]
+            # the model itself puts the first space in front; what has none, or nothing else, goes behind a line break
+            spaced = [t.startswith(" ") and len(t) > 1 for t in texts]
+            found = sp.encode([t[1:] if s else "\n" + t for t, s in zip(texts, spaced, strict=True)], num_threads=1)
+            return [x if s else x[len(mark):] for x, s in zip(found, spaced, strict=True)]
 
         self._many = many
 
@@ -326,9 +327,9 @@ def _aligned_schema(kind: str) -> str:
     )
 
 
-def _fit(kind: pa.DataType, **columns) -> pa.RecordBatch:
+def _fit(id_type: pa.DataType, **columns) -> pa.RecordBatch:
     names = ["batch", "kind", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times", "place", "a", "b", "n"]
-    types = [pa.string(), pa.int32(), kind, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary(), *[pa.int32()] * 3, pa.int64()]
+    types = [pa.string(), pa.int32(), id_type, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary(), *[pa.int32()] * 3, pa.int64()]
     size = max(len(c) for c in columns.values())
     return pa.RecordBatch.from_arrays([columns[n].cast(t) if n in columns else pa.nulls(size, t) for n, t in zip(names, types, strict=True)], names)
 
@@ -385,7 +386,7 @@ def _align(path_a: str, path_b: str):
     return run
 
 
-def _looked_up(names: list[str], kind: str):
+def _looked_up():
     def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
         place = pairs["place"].to_numpy()
         count, best = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
@@ -414,10 +415,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     counts = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "pair-counts")
     highest = counts.groupBy("a").agg(F.max("count").alias("highest"))
     counts = counts.join(highest, "a").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
-    told = pairs.select("batch", "place", "a", "b").join(counts, ["a", "b"]).select("batch", "place", "count", "best")
+    told = pairs.select("batch", "place", "a", "b").join(counts, ["a", "b"]).select(F.col("batch").alias("of"), "place", "count", "best")
     documents = found.where(F.col("kind") == _DOCUMENT).select("batch", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times")
     schema = f"id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    return documents.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_looked_up([], kind), schema), counts
+    return documents.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(_looked_up(), schema), counts
 
 
 def report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

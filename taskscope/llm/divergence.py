@@ -1,9 +1,9 @@
 """How far the sources of a language are apart in the words they use.
 
-Identical texts of a language collapse to one row, whose copies in each source are counted apart. Each distinct text is
-tokenized once, into its terms and their number; joined with the copies, every (term, source) gets its documents and
-occurrences as sums weighted by copies. All that follows works on these counts, whose number is that of distinct (language,
-source, term).
+Identical texts of a language collapse to one row, whose copies in each source are counted apart and come to it as a list
+(several lists, each with the text, where there are over ``_LIST`` sources). A task tokenizes each text once, weights its
+terms by the copies and sums documents and occurrences by (language, source, term). The sums of all tasks meet by
+(language, term), where terms in too few documents go. All that follows works on the counts of kept terms.
 
 Pairs of sources are evaluated sparsely and exactly. Most terms occur in neither source of a pair, where the value f is
 the same for all: ``f00``. With ``f(p, q)`` for terms in both, and ``p0``, ``q0`` the share of a term that doesn't occur,
@@ -39,42 +39,82 @@ SCALE = 1_000_000_000
 BLOCK = 64  # sources in a block
 CELL = 1 << 16  # counts in a slice of terms, about
 _SLICE = 4 << 20
+_TOGETHER = 32 << 20  # bytes of text whose counts are summed before they are sent
+_LIST = 4096  # sources in a list
 _PAIRS = 1 << 20  # pairs of counts that are evaluated at once
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct terms of each text and how often each occurs."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of the texts of a task, each text tokenized once and weighted by its copies in each source; summed by (lang, source, term)."""
+    held, size = [], 0
+
+    def out():
+        total = pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+        yield from total.select(["lang", "source", "term", "docs_sum", "n_sum"]).rename_columns(["lang", "source", "term", "docs", "n"]).to_batches(1 << 16)
+
     for whole in batches:
         for batch in T.slices(whole, "text", _SLICE):
-            data, offsets = T.flat(batch.column("text"))
-            starts, ends, first = T.words(data, offsets, ~_LETTER)
-            low = T.LOWER[data]
-            size = ends - starts
-            stop = np.append(0, np.cumsum(size))
-            at = np.arange(int(stop[-1])) + np.repeat(starts - stop[:-1], size)
-            words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(stop.astype(np.int64)), pa.py_buffer(low[at])).dictionary_encode()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            key, n = np.unique(row << 32 | words.indices.to_numpy(), return_counts=True)
-            cut = np.searchsorted(key >> 32, np.arange(batch.num_rows + 1))
-            term = pc.take(words.dictionary, pa.array(key & 0xFFFFFFFF)).cast(pa.string())
-            terms = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([term, pa.array(n, pa.int64())], ["term", "n"]))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("digest"), terms], ["lang", "digest", "terms"])
-
-
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, docs, n) of every term, and the (lang, source) groups that occur."""
+            held.append(_weighted(batch))
+            size += batch.column("text").nbytes
+            if size >= _TOGETHER:
+                yield from out()
+                held, size = [], 0
+    if held:
+        yield from out()
+
+
+def _weighted(batch: pa.RecordBatch) -> pa.Table:
+    data, offsets = T.flat(batch.column("text"))
+    starts, ends, first = T.words(data, offsets, ~_LETTER)
+    length = ends - starts
+    stop = np.append(0, np.cumsum(length))
+    at = np.arange(int(stop[-1])) + np.repeat(starts - stop[:-1], length)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(stop.astype(np.int64)), pa.py_buffer(T.LOWER[data][at])).dictionary_encode()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+    key, tf = np.unique(row << 32 | words.indices.to_numpy(), return_counts=True)
+    row, term = key >> 32, key & 0xFFFFFFFF
+    # the sources of each text with their copies
+    sources = batch.column("sources")
+    many = sources.value_lengths().to_numpy().astype(np.int64)
+    flat = sources.flatten()
+    names = pa.StructArray.from_arrays([batch.column("lang").take(pa.array(np.repeat(np.arange(batch.num_rows), many))), flat.field("source")], ["lang", "source"])
+    code = {}
+    group = np.array([code.setdefault((x["lang"], x["source"]), len(code)) for x in names.to_pylist()], np.int64)
+    copies = flat.field("copies").to_numpy()
+    entry = np.repeat(np.arange(len(row)), many[row])
+    which = np.arange(len(entry)) + np.repeat((np.cumsum(many) - many)[row] - (np.cumsum(many[row]) - many[row]), many[row])
+    key = group[which] << 32 | term[entry]
+    docs, n = copies[which], copies[which] * tf[entry]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    docs, n = (np.add.reduceat(x[order], head) if len(key) else x for x in (docs, n))
+    group, term = key[head] >> 32, key[head] & 0xFFFFFFFF
+    of = pa.array(group)
+    lang, source = (pa.array([c[k] for c in code], pa.string()) for k in (0, 1))
+    return pa.table({"lang": lang.take(of), "source": source.take(of), "term": words.dictionary.take(pa.array(term)).cast(pa.string()), "docs": pa.array(docs, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def term_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, n, lang_n) of every term in at least ``least`` documents of its language, and the (lang, source) groups that occur."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     copies = written(rows.groupBy("lang", "digest", "source").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    groups = written(copies.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("texts")), "groups")
+    # a text's sources come in lists of bounded length; nearly always there is one
+    lists = max(1, -(-groups.count() // _LIST))
+    packed = copies.groupBy("lang", "digest", F.pmod(F.xxhash64("source"), F.lit(lists).cast("long")).alias("list")).agg(F.collect_list(F.struct("source", "copies")).alias("sources"))
     texts = rows.groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    split = texts.mapInArrow(_terms, "lang string, digest binary, terms array<struct<term: string, n: long>>")
-    each = split.where(F.size("terms") > 0).join(copies, ["lang", "digest"]).select("lang", "source", "copies", F.inline("terms"))
-    counts = each.groupBy("lang", "source", "term").agg(F.sum("copies").alias("docs"), F.sum(F.col("copies") * F.col("n")).alias("n"))
-    return written(counts, "term-counts"), copies.select("lang", "source").distinct()
+    # texts are shuffled once: they stay where they were collapsed, and only the sums of a task go on
+    parts = texts.join(packed, ["lang", "digest"]).select("lang", "text", "sources").mapInArrow(_counted, "lang string, source string, term string, docs long, n long")
+    counts = parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    of_lang = Window.partitionBy("lang", "term")
+    counts = counts.withColumns({"lang_docs": F.sum("docs").over(of_lang), "lang_n": F.sum("n").over(of_lang)}).where(F.col("lang_docs") >= least)
+    return written(counts.select("lang", "source", "term", "n", "lang_n"), "term-counts"), groups.select("lang", "source")
 
 
 def _share(count: Column, total: Column) -> Column:
@@ -150,13 +190,10 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): every other source of the language, and the ``top`` terms a source uses more than its language."""
-    counts, groups = term_counts(docs, text_col, lang_col, source_col)
-    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least)
-    terms = written(terms.select("lang", "term", "lang_n"), "kept-terms")
-    langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    kept = counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"])
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own_terms"))
-    sizes = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "own_terms", "v", "lang_total"])
+    kept, groups = term_counts(docs, least, text_col, lang_col, source_col)
+    langs = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_total"))
+    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    sizes = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"])
     every = F.col("total") + 2 * F.col("v")
     # the sources of a language get numbers, in blocks
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1

@@ -2,49 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .. import constants as C
 from ..functions import paths
 from ..functions.text import clean, strip
 
-_FILE = r"^\+\+\+ b/(.+)$"
-_HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+_FILE = r"^\+\+\+ b/(?P<x>[^\r\x{85}\x{2028}\x{2029}]+)[\r\x{85}\x{2028}\x{2029}]?$"
+_HUNK = r"^@@ -[0-9]+(?:,[0-9]+)? \+(?P<x>[0-9]+)(?:,[0-9]+)? @@"
+
+
+_ROWS = 256  # diffs whose lines are held at once
+
+
+def _group(lines: pa.Array, pattern: str) -> pa.Array:
+    return pc.struct_field(pc.extract_regex(lines, pattern), "x")
+
+
+def _latest(at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The last place at or before each one that is marked, -1 where its diff has none yet."""
+    place = np.maximum.accumulate(np.where(at, np.arange(len(at)), -1)) if len(at) else np.zeros(0, np.int64)
+    return np.where(place >= first, place, -1)
+
+
+def _added(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+            lists = pc.split_pattern_regex(batch.column("_diff"), "\r?\n")
+            first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            lines, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(first))
+            # removed lines don't count
+            stays = np.flatnonzero(~pc.starts_with(lines, "-").to_numpy(zero_copy_only=False))
+            lines, row, order = lines.take(pa.array(stays)), row[stays], (stays - first[row[stays]])
+            start = np.searchsorted(row, np.arange(batch.num_rows))[row]  # the first line of each line's diff
+            files, hunks = _group(lines, _FILE), _group(lines, _HUNK)
+            number = pc.if_else(pc.less_equal(pc.utf8_length(hunks), 10), hunks, None).cast(pa.int64())
+            number = pc.if_else(pc.less_equal(number, 2147483647), number, None)
+            heads = [x.is_valid().to_numpy(zero_copy_only=False) for x in (files, number)]
+            file_at, hunk_at = (_latest(h, start) for h in heads)
+            # lines count on from the latest hunk; headers don't count
+            counted = np.append(0, np.cumsum(~(heads[0] | heads[1])))
+            line = number.fill_null(0).to_numpy()[hunk_at] + counted[:-1] - counted[hunk_at]
+            is_new = np.flatnonzero(pc.and_not(pc.starts_with(lines, "+"), pc.starts_with(lines, "+++")).to_numpy(zero_copy_only=False))
+            found = {
+                "ord": pa.array(order[is_new], pa.int32()), "file": files.take(pa.array(file_at[is_new], mask=file_at[is_new] < 0)),
+                "line": pa.array(line[is_new], mask=hunk_at[is_new] < 0).cast(pa.int32(), safe=False), "content": pc.utf8_slice_codeunits(lines.take(pa.array(is_new)), 1),
+            }
+            whole = batch.select(keep).take(pa.array(row[is_new]))
+            yield pa.RecordBatch.from_arrays([*whole.columns, *found.values()], [*keep, *found])
+
+    return run
 
 
 def parse_diff(diffs: DataFrame, text: str = "diff") -> DataFrame:
     """Added lines of ``diffs(change_id, diff)``: ``ord``, ``file``, ``line``, ``content``.
 
-    A diff is cut at its file and hunk headers inside its row. Lines behind a header take the latest file and hunk up to
-    it, and count on from that hunk's start; removed lines and headers don't count.
+    One pass over the lines of a batch of diffs: the latest file and hunk header are carried forward, and lines behind
+    them count on from the hunk's start; removed lines and headers don't count. Linear in lines and headers.
     """
     keep = [c for c in diffs.columns if c != text]
-    lines = F.filter(
-        F.transform(F.split(clean(F.col(text)), "\r?\n"), lambda l, i: F.struct(i.alias("ord"), l.alias("l"))),
-        lambda x: ~x["l"].startswith("-"),
-    )
-    rows = diffs.select(*keep, lines.alias("_l"))
-    found = F.filter(
-        F.transform("_l", lambda x, i: F.struct(
-            i.alias("i"), F.nullif(F.regexp_extract(x["l"], _FILE, 1), F.lit("")).alias("file"), F.regexp_extract(x["l"], _HUNK, 1).try_cast("int").alias("start"),
-        )),
-        lambda h: h["file"].isNotNull() | h["start"].isNotNull(),
-    )
-    top = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("start")))
-    rows = rows.select(*keep, "_l", F.concat(top, found).alias("_h"))
-    rows = rows.select(*keep, "_l", F.transform("_h", lambda h, j: F.struct(h["i"].alias("i"), j.alias("j"), h["file"].alias("file"), h["start"].alias("start"))).alias("_h"))
-
-    def part(h, j):
-        upto = F.slice("_h", F.lit(1), j + 1)
-        last = lambda field: F.try_element_at(F.filter(upto, lambda x: x[field].isNotNull()), F.lit(-1))
-        hunk, after = last("start"), F.coalesce(F.get("_h", j + 1)["i"], F.size("_l"))
-        first = hunk["start"] + (h["i"] - hunk["i"]) - (j - hunk["j"])
-        return F.struct(last("file")["file"].alias("file"), first.alias("first"), F.slice("_l", h["i"] + 2, after - h["i"] - 1).alias("lines"))
-
-    parts = rows.select(*keep, F.explode(F.transform("_h", part)).alias("_p"))
-    found = parts.select(*keep, F.col("_p.file").alias("file"), F.col("_p.first").alias("_first"), F.posexplode("_p.lines").alias("_k", "_x"))
-    added = found.where(F.col("_x.l").startswith("+") & ~F.col("_x.l").startswith("+++"))
-    return added.select(*keep, F.col("_x.ord").alias("ord"), "file", (F.col("_first") + F.col("_k")).alias("line"), F.substring("_x.l", 2, 2147483647).alias("content"))
+    rows = diffs.select(*keep, clean(F.col(text)).alias("_diff"))
+    schema = StructType([f for f in rows.schema.fields if f.name != "_diff"]).add("ord", "integer").add("file", "string").add("line", "integer").add("content", "string")
+    return rows.mapInArrow(_added(keep), schema)
 
 
 def changed_files(diffs: DataFrame, text: str = "diff") -> DataFrame:

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -23,6 +25,40 @@ def test_diff_lines(table):
     ]
 
 
+def sequential_diff(text):
+    """Line by line, as a reader would."""
+    out, file, at = [], None, None
+    for k, line in enumerate(re.split(r"\r?\n", text or "")):
+        head, hunk = re.fullmatch(r"\+\+\+ b/(.+)", line), re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", line)
+        if line.startswith("-"):
+            continue
+        if head:
+            file = head[1]
+        elif hunk and int(hunk[1]) < 2**31:
+            at = int(hunk[1])
+        else:
+            if line.startswith("+") and not line.startswith("+++"):
+                out.append((k, file, at, line[1:]))
+            at = None if at is None else at + 1
+    return out
+
+
+def test_diffs_of_many_forms(table):
+    random.seed(4)
+    parts = ["+new", "-old", " same", "", "+++ b/a.ts", "+++ b/dir/b c.py", "+++ c", "--- a/a.ts", "@@ -1 +7 @@ fn", "@@ -1,2 +30,4 @@", "@@ bad @@", "@@ -1 +99999999999 @@", "@@ -3 +2147483648 @@", "+", "++x", "\\ No newline", "+\u00e9\u65e5"]
+    rows = [(k, "\n".join(random.choice(parts) for _ in range(random.randint(0, 30))).replace("\n", "\r\n" if k % 5 == 0 else "\n")) for k in range(600)] + [(900, None), (901, ""), (902, "+loose")]
+    got = diffs.parse_diff(table(rows, "change_id int, diff string")).collect()
+    want = [(k, *x) for k, t in rows for x in sequential_diff(t)]
+    assert sorted(str((r.change_id, r.ord, r.file, r.line, r.content)) for r in got) == sorted(map(str, want))
+    assert diffs.parse_diff(table([], "change_id int, diff string")).count() == 0
+
+
+def test_a_diff_of_many_hunks(table):
+    text = "+++ b/x.ts\n" + "".join(f"@@ -1 +{10 * k} @@\n ctx\n+line {k}\n" for k in range(100_000))
+    rows = diffs.parse_diff(table([(1, text)], "change_id int, diff string")).agg(F.count("*").alias("n"), F.sum("line").alias("s"), F.max("content").alias("m")).first()
+    assert rows.n == 100_000 and rows.s == sum(10 * k + 1 for k in range(100_000))
+
+
 def test_verdicts(table):
     rules = table([
         (1, "zod", "Validate input with `zod` schemas."), (1, "log", "Never commit console.log."), (1, "run", "Always use code-review-graph first."),

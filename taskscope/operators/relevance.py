@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions import vectors
 from ..functions.skew import first_per, top_n
+from ..functions.topk import OFTEN, rank_safe
 from ..functions.text import clean, clamp01, half_up, literal_map, matches, strip, tokenize
 from .parsing import identifiers, is_documentation_only, is_environment_rule, phrases
 
@@ -98,35 +99,17 @@ def _rule_tokens(rules: DataFrame) -> DataFrame:
     )
 
 
-def _sums(tasks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Numbers of every pair that shares something: score, and what its reasons need besides the words."""
-    parts = _task_terms(tasks).join(_rule_tokens(rules), ["repo", "token"]).select(
-        "repo", "task_id", "rule_id", "pos", "n_tokens", "imperative", F.lit(False).alias("opened"), F.when(F.col("kind") == 0, 1.0).otherwise(0.5).alias("weight"),
-    )
-    if "open_files" in tasks.columns:
-        files = _open_file_hits(tasks, rules).select(
-            "repo", "task_id", "rule_id", "pos", F.lit(None).cast("int").alias("n_tokens"), F.lit(False).alias("imperative"),
-            F.lit(True).alias("opened"), F.lit(0.0).alias("weight"),
-        )
-        parts = parts.unionByName(files)
-    # sums are pre-aggregated before the shuffle, words would not be
-    grouped = parts.groupBy("repo", "task_id", "rule_id", "pos").agg(
-        F.sum("weight").alias("overlap"), F.max("n_tokens").alias("n"), F.max("imperative").alias("imperative"), F.max("opened").alias("opened"),
-    )
-    urgent = F.col("imperative") & (F.col("overlap") > 0)
-    raw = (
-        F.when(F.col("n") > 0, F.col("overlap") / F.col("n")).otherwise(0.0)
-        + F.when(urgent, 0.5).otherwise(0.0) + F.when(F.col("opened"), 0.2).otherwise(0.0)
-    )
-    return grouped.select("repo", "task_id", "rule_id", "pos", half_up(clamp01(raw), 3).alias("score"), urgent.alias("_urgent"), F.col("opened").alias("_opened"))
+def _raw(overlap: Column, imperative: Column, n: Column, opened: Column) -> Column:
+    share = F.when(n > 0, overlap / n).otherwise(0.0)
+    return half_up(clamp01(share + F.when(imperative & (overlap > 0), 0.5).otherwise(0.0) + F.when(opened, 0.2).otherwise(0.0)), 3)
 
 
-def _explained(pairs: DataFrame, tasks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``reasons`` to scored pairs; words are looked up for these pairs only."""
-    words = pairs.select("repo", "task_id", "rule_id").join(_task_terms(tasks), ["repo", "task_id"])
-    words = words.join(_rule_tokens(rules).select("repo", "rule_id", "token"), ["repo", "rule_id", "token"])
-    # a task bounds the words of its pair
-    why = words.groupBy("repo", "task_id", "rule_id").agg(F.sort_array(F.collect_list(F.struct("kind", "at", "label"))).alias("why"))
+def _weighted_terms(tasks: DataFrame) -> DataFrame:
+    return _task_terms(tasks).withColumn("weight", F.when(F.col("kind") == 0, 1.0).otherwise(0.5))
+
+
+def _reasons(df: DataFrame) -> DataFrame:
+    """Reasons from the words ``why`` of a pair and its flags."""
 
     def labels(kind: int, prefix: str) -> Column:
         found = F.transform(F.filter("why", lambda w: w["kind"] == kind), lambda w: w["label"])
@@ -135,7 +118,7 @@ def _explained(pairs: DataFrame, tasks: DataFrame, rules: DataFrame) -> DataFram
     reasons = F.array_compact(F.array(
         labels(0, "task:"), labels(1, "semantic:"), F.when(F.col("_urgent"), "imperative"), F.when(F.col("_opened"), "open-file"),
     ))
-    return pairs.join(why, ["repo", "task_id", "rule_id"], "left").withColumn("reasons", reasons).drop("why", "_urgent", "_opened")
+    return df.withColumn("reasons", reasons).drop("why", "_urgent", "_opened")
 
 
 def score_rules(tasks: DataFrame, rules: DataFrame) -> DataFrame:
@@ -147,7 +130,62 @@ def score_rules(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     open file 0.2 more. Pairs without any signal score 0 and are not emitted;
     ``zero_counts`` counts them. Tasks without tokens are served by ``idle_rules``.
     """
-    return _explained(_sums(tasks, rules), tasks, rules).select("repo", "task_id", "rule_id", "pos", "score", "reasons")
+    word = F.struct("kind", "at", "label")
+    parts = _weighted_terms(tasks).join(_rule_tokens(rules), ["repo", "token"]).select(
+        "repo", "task_id", "rule_id", "pos", "n_tokens", "imperative", F.lit(False).alias("opened"), "weight", word.alias("word"),
+    )
+    if "open_files" in tasks.columns:
+        files = _open_file_hits(tasks, rules).select(
+            "repo", "task_id", "rule_id", "pos", F.lit(None).cast("int").alias("n_tokens"), F.lit(False).alias("imperative"),
+            F.lit(True).alias("opened"), F.lit(0.0).alias("weight"), F.lit(None).cast(parts.schema["word"].dataType).alias("word"),
+        )
+        parts = parts.unionByName(files)
+    # all pairs are asked for, so their words are gathered in the same pass; a task bounds the words of its pair
+    grouped = parts.groupBy("repo", "task_id", "rule_id", "pos").agg(
+        F.sum("weight").alias("overlap"), F.max("n_tokens").alias("n"), F.max("imperative").alias("imperative"), F.max("opened").alias("opened"),
+        F.sort_array(F.collect_list("word")).alias("why"),
+    )
+    overlap, imperative, opened = F.col("overlap"), F.col("imperative"), F.col("opened")
+    scored = grouped.select(
+        "repo", "task_id", "rule_id", "pos", _raw(overlap, imperative, F.col("n"), opened).alias("score"), (imperative & (overlap > 0)).alias("_urgent"), opened.alias("_opened"), "why",
+    )
+    return _reasons(scored)
+
+
+def _best(tasks: DataFrame, rules: DataFrame, k: int, often: int) -> DataFrame:
+    """The ``k`` best rules of every task among those that share something with it."""
+    terms = _weighted_terms(tasks).select(F.col("repo").alias("group"), "task_id", F.col("n_tokens").alias("n"), "token", "weight")
+    index = _rule_tokens(rules).select(
+        F.col("repo").alias("group"), F.col("rule_id").alias("item"), F.struct("pos", "rule_id").alias("order"), F.col("imperative").alias("bonus"), "token", F.lit(1).alias("points"),
+    )
+    hits = None
+    if "open_files" in tasks.columns:
+        hits = _open_file_hits(tasks, rules)
+    named = None if hits is None else hits.select(F.col("repo").alias("group"), "task_id", F.col("rule_id").alias("item"))
+    closed = lambda overlap, bonus, n: _raw(overlap, bonus, n, F.lit(False))
+    pairs = rank_safe(terms, index, k, closed, named, often)
+    pairs = pairs.select(F.col("group").alias("repo"), "task_id", F.col("item").alias("rule_id"), "order.pos", F.col("bonus").alias("imperative"), "n", "overlap")
+    if hits is not None:
+        # an open file counts for tasks without tokens too, and for rules that share no token
+        marked = hits.select("repo", "task_id", "rule_id", "pos", F.lit(True).alias("opened"))
+        pairs = pairs.join(marked, ["repo", "task_id", "rule_id", "pos"], "full_outer")
+    else:
+        pairs = pairs.withColumn("opened", F.lit(False))
+    overlap = F.coalesce("overlap", F.lit(0.0))
+    imperative, opened = F.coalesce("imperative", F.lit(False)), F.coalesce("opened", F.lit(False))
+    scored = pairs.select(
+        "repo", "task_id", "rule_id", "pos", _raw(overlap, imperative, F.coalesce("n", F.lit(0)), opened).alias("score"), (imperative & (overlap > 0)).alias("_urgent"), opened.alias("_opened"),
+    )
+    return top_n(scored, ["repo", "task_id"], [F.desc("score"), F.col("pos"), F.col("rule_id")], k)
+
+
+def _explained(pairs: DataFrame, tasks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``reasons`` to scored pairs; words are looked up for these pairs only, inside the row."""
+    words = _task_terms(tasks).groupBy("repo", "task_id").agg(F.sort_array(F.collect_list(F.struct("kind", "at", "label", "token"))).alias("_words"))
+    content = rules.select("repo", "rule_id", F.array_distinct(tokenize(F.col("content"))).alias("_have"))
+    both = pairs.join(content, ["repo", "rule_id"], "left").join(words, ["repo", "task_id"], "left")
+    shared = F.filter(F.coalesce("_words", F.array()), lambda w: F.array_contains("_have", w["token"]))
+    return _reasons(both.withColumn("why", shared)).drop("_words", "_have")
 
 
 def zero_counts(tasks: DataFrame, rules: DataFrame, scored: DataFrame) -> DataFrame:
@@ -171,14 +209,15 @@ def band(col: Column) -> Column:
     return F.when(col >= C.BAND_HIGH, "high").when(col >= C.BAND_MID, "mid").otherwise("dropped")
 
 
-def top_rules(tasks: DataFrame, rules: DataFrame, k: int) -> DataFrame:
+def top_rules(tasks: DataFrame, rules: DataFrame, k: int, often: int = OFTEN) -> DataFrame:
     """Best ``k`` rules per task, zero scores included, ties by ``pos``; adds ``band``.
 
+    Tokens of more than ``often`` rules don't make a row for each pair that shares them (``rank_safe``).
+
     When fewer than ``k`` rules scored, the first rules in document order fill the
     list; the first ``2k`` rules of a repository are enough candidates for that.
     """
-    best = top_n(_sums(tasks, rules), ["repo", "task_id"], [F.desc("score"), F.col("pos"), F.col("rule_id")], k)
-    best = _explained(best, tasks, rules)
+    best = _explained(_best(tasks, rules, k, often), tasks, rules)
     got = best.groupBy("repo", "task_id").agg(F.count("*").alias("_got"), F.collect_list("rule_id").alias("_have"))
     head = top_n(rules.select("repo", "rule_id", "pos"), ["repo"], [F.col("pos"), F.col("rule_id")], 2 * k)
     head = head.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("pos", "rule_id"))).alias("_head"))
@@ -291,25 +330,50 @@ def _prompt_tokens(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.explode(F.array_distinct(tokenize(F.col("prompt"), "eval"))).alias("token"))
 
 
+def _trigger_points(catalog: DataFrame) -> DataFrame:
+    """Points of each trigger token: 2 for each occurrence of one longer than 5, else 1."""
+    text = F.concat_ws(" ", "id", "description", F.array_join("positive_prompts", " "))
+    counted = catalog.select("id", F.explode(tokenize(text, "eval")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+    return counted.select("id", "token", (F.col("n") * F.when(F.length("token") > 5, 2).otherwise(1)).alias("points"))
+
+
 def baseline_score(cases: DataFrame, catalog: DataFrame) -> DataFrame:
     """Raw trigger overlap: 2 per trigger token longer than 5, else 1; repeats count.
 
-    Only pairs with a positive score are emitted.
+    Only pairs with a positive score are emitted: all of them; ``top_baseline`` gives the best ones.
     """
-    text = F.concat_ws(" ", "id", "description", F.array_join("positive_prompts", " "))
-    counted = (
-        catalog.select("id", F.explode(tokenize(text, "eval")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-    )
-    points = F.col("n") * F.when(F.length("token") > 5, 2).otherwise(1)
-    return (
-        _prompt_tokens(cases).join(counted, "token").groupBy("case_id", "id").agg(F.sum(points).alias("score"))
-    )
+    return _prompt_tokens(cases).join(_trigger_points(catalog), "token").groupBy("case_id", "id").agg(F.sum("points").alias("score"))
 
 
-def proxy_semantic(cases: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Stand-in similarity from token overlap, for pairs with any overlap (others: 0.5)."""
+def _top_pairs(cases: DataFrame, index: DataFrame, k: int, score, often: int) -> DataFrame:
+    terms = _prompt_tokens(cases).select(F.lit(0).alias("group"), F.col("case_id").alias("task_id"), F.lit(0).alias("n"), "token", F.lit(1).alias("weight"))
+    items = index.select(F.lit(0).alias("group"), F.col("id").alias("item"), F.col("id").alias("order"), F.lit(False).alias("bonus"), "token", "points")
+    pairs = rank_safe(terms, items, k, score, often=often).select(F.col("task_id").alias("case_id"), F.col("item").alias("id"), "overlap")
+    return top_n(pairs.withColumn("_s", score(F.col("overlap"), F.lit(False), F.lit(0))), ["case_id"], [F.desc("_s"), F.col("id")], k)
+
+
+def top_baseline(cases: DataFrame, catalog: DataFrame, k: int, often: int = OFTEN) -> DataFrame:
+    """The ``k`` best of ``baseline_score`` for each case, ties by id: (case_id, rank, id, score)."""
+    best = _top_pairs(cases, _trigger_points(catalog), k, lambda overlap, bonus, n: overlap, often)
+    return best.select("case_id", "rank", "id", F.col("overlap").cast("bigint").alias("score"))
+
+
+def _proxy(overlap: Column) -> Column:
+    return half_up(F.greatest(F.lit(0.45), F.least(F.lit(0.92), 0.5 + overlap * 0.1)), 6)
+
+
+def _proxy_tokens(catalog: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "id", "description")
-    tokens = catalog.select("id", F.explode(F.array_distinct(tokenize(text, "eval"))).alias("token"))
-    overlap = _prompt_tokens(cases).join(tokens, "token").groupBy("case_id", "id").agg(F.count("*").alias("overlap"))
-    score = F.greatest(F.lit(0.45), F.least(F.lit(0.92), 0.5 + F.col("overlap") * 0.1))
-    return overlap.select("case_id", "id", half_up(score, 6).alias("semantic"))
+    return catalog.select("id", F.explode(F.array_distinct(tokenize(text, "eval"))).alias("token"))
+
+
+def proxy_semantic(cases: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Stand-in similarity from token overlap, for all pairs with any overlap (others: 0.5)."""
+    overlap = _prompt_tokens(cases).join(_proxy_tokens(catalog), "token").groupBy("case_id", "id").agg(F.count("*").alias("overlap"))
+    return overlap.select("case_id", "id", _proxy(F.col("overlap")).alias("semantic"))
+
+
+def top_proxy(cases: DataFrame, catalog: DataFrame, k: int, often: int = OFTEN) -> DataFrame:
+    """The ``k`` best of ``proxy_semantic`` for each case, ties by id: (case_id, rank, id, semantic)."""
+    best = _top_pairs(cases, _proxy_tokens(catalog).withColumn("points", F.lit(1)), k, lambda overlap, bonus, n: _proxy(overlap), often)
+    return best.select("case_id", "rank", "id", F.col("_s").alias("semantic"))

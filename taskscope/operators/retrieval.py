@@ -12,6 +12,7 @@ from .. import constants as C
 from ..functions import paths
 from ..functions.skew import contains_join, top_n
 from ..functions.text import half_up, literal_array, matches, tokenize
+from ..functions.topk import OFTEN, rank_safe
 
 CANDIDATE = ["task_id", "path", "score", "source", "reasons"]
 
@@ -127,9 +128,11 @@ def manifest_candidates(tasks: DataFrame, manifests: DataFrame, limit: int = 6)
 # --- text and vectors ---------------------------------------------------------
 
 
-def text_match(tasks: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame:
+def text_match(tasks: DataFrame, index: DataFrame, limit: int = 10, often: int = OFTEN) -> DataFrame:
     """Indexed files whose path or text contains task tokens: 4 per token, 3 more in the base name.
 
+    Tokens of more than ``often`` files of a repository don't make a row for each pair that shares them (``rank_safe``).
+
     ``tasks(task_id, repo, prompt)``, ``index(repo, path, text)``.
     """
     tokens = tasks.select("task_id", "repo", F.explode(tokenize(F.col("prompt"), "file")).alias("token"))
@@ -142,11 +145,15 @@ def text_match(tasks: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame
     inside = contains_join(words.select("word").distinct().where(F.length("word") >= 3), "word", terms, "token").select("word", "token")
     hits = words.join(inside, "word").select("repo", "path", "token").distinct().join(distinct, ["repo", "token"], "left_semi")
     points = F.lit(4) + F.when(F.lower(paths.basename(F.col("path"))).contains(F.col("token")), 3).otherwise(0)
-    scored = tokens.join(hits.withColumn("points", points), ["repo", "token"]).groupBy("task_id", "path").agg(
-        F.sum("points").alias("score"), F.sort_array(F.collect_set("token")).alias("_tokens")
-    )
-    ranked = top_n(scored, ["task_id"], [F.desc("score"), F.col("path")], limit)
-    return _candidate(ranked, F.col("score"), "indexed-file-text", F.concat(F.lit("indexed-file-text:"), F.array_join(F.slice("_tokens", 1, 5), ",")))
+    found = hits.select(F.col("repo").alias("group"), F.col("path").alias("item"), F.col("path").alias("order"), F.lit(False).alias("bonus"), "token", points.alias("points"))
+    terms = tokens.distinct().select(F.col("repo").alias("group"), "task_id", F.lit(0).alias("n"), "token", F.lit(1).alias("weight"))
+    pairs = rank_safe(terms, found, limit, lambda overlap, bonus, n: overlap, often=often)
+    ranked = top_n(pairs.select(F.col("group").alias("repo"), "task_id", F.col("item").alias("path"), F.col("overlap").cast("bigint").alias("score")), ["task_id"], [F.desc("score"), F.col("path")], limit)
+    # the tokens are looked up for the files that are kept
+    why = ranked.select("repo", "task_id", "path").join(tokens.distinct(), ["repo", "task_id"]).join(hits, ["repo", "path", "token"])
+    why = why.groupBy("repo", "task_id", "path").agg(F.sort_array(F.collect_set("token")).alias("_tokens"))
+    ranked = ranked.join(why, ["repo", "task_id", "path"])
+    return _candidate(ranked, F.col("score"), "indexed-file-text", F.concat(F.lit("indexed-file-text:"), F.array_join("_tokens", ",")))
 
 
 _PAIRS = "query_id {q}, id {i}, similarity double"

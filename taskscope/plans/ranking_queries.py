@@ -128,6 +128,16 @@ def _eval_cases(t: Tables):
     return t.conversations.where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("case_id"), F.col("text").alias("prompt"))
 
 
+@query("top_baseline_scores", "F16", f"""
+WITH c AS ({plain(_EVAL_CATALOG)}), cases AS (SELECT conv_id * 100 + turn AS case_id, list_distinct({Q.eval_tokens('text')}) AS toks FROM conversations WHERE role = 'user'),
+tg AS (SELECT id, unnest({Q.eval_tokens("id || ' ' || description || ' ' || trig")}) AS tok FROM c),
+s AS (SELECT case_id, id, CAST(sum(CASE WHEN length(tok) > 5 THEN 2 ELSE 1 END) AS BIGINT) AS score FROM (SELECT case_id, unnest(toks) AS tok FROM cases) JOIN tg USING (tok) GROUP BY ALL)
+SELECT case_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3
+""")
+def top_baseline_scores(t: Tables):
+    return relevance.top_baseline(_eval_cases(t), t.derive(_EVAL_CATALOG).withColumn("positive_prompts", F.array("trig")), 3, often=8)
+
+
 @query("proxy_similarities", "F17", f"""
 WITH c AS ({plain(_EVAL_CATALOG)}), cases AS (SELECT conv_id * 100 + turn AS case_id, unnest(list_distinct({Q.eval_tokens('text')})) AS tok FROM conversations WHERE role = 'user'),
 tg AS (SELECT id, unnest(list_distinct({Q.eval_tokens("id || ' ' || description")})) AS tok FROM c)
@@ -137,6 +147,16 @@ def proxy_similarities(t: Tables):
     return relevance.proxy_semantic(_eval_cases(t), t.derive(_EVAL_CATALOG))
 
 
+@query("top_proxy_similarities", "F17", f"""
+WITH c AS ({plain(_EVAL_CATALOG)}), cases AS (SELECT conv_id * 100 + turn AS case_id, unnest(list_distinct({Q.eval_tokens('text')})) AS tok FROM conversations WHERE role = 'user'),
+tg AS (SELECT id, unnest(list_distinct({Q.eval_tokens("id || ' ' || description")})) AS tok FROM c),
+s AS (SELECT case_id, id, round(greatest(0.45, least(0.92, CAST(0.5 + count(*) * 0.1 AS DOUBLE))), 6) AS semantic FROM cases JOIN tg USING (tok) GROUP BY ALL)
+SELECT case_id, CAST(rank AS INTEGER) AS rank, id, semantic FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY semantic DESC, id) AS rank FROM s) WHERE rank <= 3
+""")
+def top_proxy_similarities(t: Tables):
+    return relevance.top_proxy(_eval_cases(t), t.derive(_EVAL_CATALOG), 3, often=8)
+
+
 @query("vector_top_k", "J2 K1", """
 WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings),
 s AS (SELECT query_id, vec_id AS id, round(greatest(0, least(1, (list_cosine_similarity(list_transform(v, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)) + 1) / 2)), 3) AS score FROM q, embeddings)

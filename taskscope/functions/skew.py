@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
+
 # Spark keeps only the best n rows of every input partition before a ranking
 # window shuffles, up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
 _GROUP_LIMIT = 1000
@@ -33,55 +35,50 @@ def _hashable(df: DataFrame, name: str) -> bool:
     return "map<" not in df.schema[name].dataType.simpleString()
 
 
-def carry_forward(
-    df: DataFrame, keys: list[str], ts: str, values: list[str], span_seconds: int = 3600, tie: list[str] | None = None
-) -> DataFrame:
-    """Fill each of ``values`` with its latest non-null value at or before ``ts``.
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``_span``: ranges of (keys, order) with about as many rows each, numbered in that order.
 
-    A running window over a whole key would put a hot key in one task. The key is
-    cut in time spans instead: a window inside each span, plus one row per span
-    that carries the last value of the spans before it.
+    A hot key is in many ranges, even if all its rows are of one moment, as long as ``order`` tells them apart. The rows
+    are stored, so that all that is computed on them sees the same ranges.
     """
-    tie = tie or []
-    span = F.floor(F.unix_micros(ts) / F.lit(span_seconds * 1_000_000)).cast("long")
-    cut = df.withColumn("_span", span)
-    inside = Window.partitionBy(*keys, "_span").orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    order = F.struct(ts, *tie)
-    last = cut.groupBy(*keys, "_span").agg(
-        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), order)).alias(f"_last_{v}") for v in values]
-    )
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(
-        *keys, "_span", *[F.last(f"_last_{v}", ignorenulls=True).over(before).alias(f"_in_{v}") for v in values]
-    )
+    return stored(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_span", F.spark_partition_id()), "ranges")
+
+
+def _on(keys: list[str]) -> Column:
+    return F.expr(" AND ".join([f"l.{k} <=> c.{k}" for k in keys] + ["l._span = c._span"]))
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
+    """Fill each of ``values`` with its latest non-null value at or before a row, in the given order.
+
+    A running window over a whole key would put a hot key in one task. The rows are cut in ranges of (key, order)
+    instead: a window inside each range, plus one row per range and key that carries the last value of those before it.
+    """
+    cut = in_ranges(df, keys, order)
+    inside = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.last(v, ignorenulls=True).over(inside).alias(f"_here_{v}") for v in values])
-    out = local.alias("l").join(
-        carried.alias("c"),
-        F.expr(" AND ".join([f"l.{k} <=> c.{k}" for k in keys] + ["l._span = c._span"])),
-        "left",
-    )
+    # the last value of a range, found by its rows' place in it
+    place = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(*order)))
+    last = place.groupBy(*keys, "_span").agg(*[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col("_at"))).alias(f"_last_{v}") for v in values])
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_span", *[F.last(f"_last_{v}", ignorenulls=True).over(before).alias(f"_in_{v}") for v in values])
+    out = local.alias("l").join(carried.alias("c"), _on(keys), "left")
     keep = [F.col(f"l.{c}") for c in df.columns if c not in values]
     return out.select(*keep, *[F.coalesce(f"l._here_{v}", f"c._in_{v}").alias(v) for v in values])
 
 
-def running_count(
-    df: DataFrame, keys: list[str], ts: str, counted: Column, name: str, span_seconds: int = 3600, tie: list[str] | None = None
-) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], order: list[Column], counted: Column, name: str) -> DataFrame:
     """Number of ``counted`` rows of the key at or before each row.
 
-    Like ``carry_forward``: a window inside each time span plus a prefix sum over spans.
+    Like ``carry_forward``: a window inside each range of rows plus a prefix sum over ranges.
     """
-    tie = tie or []
-    cut = df.withColumn("_span", F.floor(F.unix_micros(ts) / F.lit(span_seconds * 1_000_000)).cast("long")).withColumn(
-        "_one", F.when(counted, 1).otherwise(0).cast("long")
-    )
-    inside = Window.partitionBy(*keys, "_span").orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    cut = in_ranges(df.withColumn("_one", F.when(counted, 1).otherwise(0).cast("long")), keys, order)
+    inside = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("_here", F.sum("_one").over(inside))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_span").agg(F.sum("_one").alias("_n"))
     shift = totals.select(*keys, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    on = F.expr(" AND ".join([f"l.{k} <=> c.{k}" for k in keys] + ["l._span = c._span"]))
-    out = local.alias("l").join(shift.alias("c"), on)
+    out = local.alias("l").join(shift.alias("c"), _on(keys))
     return out.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._here") + F.col("c._before")).alias(name))
 
 

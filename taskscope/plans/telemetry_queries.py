@@ -29,42 +29,40 @@ SELECT user_id % 3 AS log, CASE WHEN event_id % 10 = 0 THEN CAST(NULL AS BIGINT)
 _LOG_STOPS = """
 SELECT user_id % 3 AS log, user_id AS workspace, event_id AS stop_id, ts, CASE WHEN event_id % 3 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE ts - INTERVAL 3 DAYS END AS since FROM {events} WHERE event_type = 'purchase'
 """
-_EVIDENCE_SQL = f"""
-WITH e AS ({plain(_EVENTS)}), s AS ({plain(_LOG_STOPS)}), n AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY ts, event_id) AS pos FROM e),
-l AS (SELECT s.*, (SELECT count(*) FROM e WHERE e.log = s.log AND e.ts <= s.ts) AS last FROM s),
-p AS (SELECT l.stop_id, n.* FROM l JOIN n ON n.log = l.log AND n.pos > l.last - 500 AND n.pos <= l.last WHERE (n.workspace IS NULL OR n.workspace = l.workspace) AND (l.since IS NULL OR n.ts >= l.since))
+_WHOLE_SQL = f"""
+WITH e AS ({plain(_EVENTS)}), s AS ({plain(_LOG_STOPS)}),
+p AS (SELECT s.stop_id, e.* FROM s JOIN e ON e.log = s.log AND e.ts <= s.ts WHERE (e.workspace IS NULL OR e.workspace = s.workspace) AND (s.since IS NULL OR e.ts >= s.since))
 """
 
 
-@query("evidence_pairs", "J13", _EVIDENCE_SQL + "SELECT stop_id, event_id FROM p")
+@query("evidence_pairs", "J13", _WHOLE_SQL + "SELECT stop_id, event_id FROM p")
 def evidence_pairs(t: Tables):
-    return telemetry.evidence_window(t.derive(_LOG_STOPS), t.derive(_EVENTS), last=500).select("stop_id", "event_id")
+    return telemetry.evidence_window(t.derive(_LOG_STOPS), t.derive(_EVENTS)).select("stop_id", "event_id")
 
 
-@query("stop_evidence", "J13 U5", _EVIDENCE_SQL + """
-, g AS (SELECT stop_id, min(pos) AS pos, sig FROM p WHERE sig <> '' GROUP BY ALL), a AS (SELECT stop_id, string_agg(sig, '|' ORDER BY pos) AS signals FROM g GROUP BY stop_id),
-c AS (SELECT stop_id, count(*)::INT AS sources FROM p WHERE sig <> '' GROUP BY stop_id)
-SELECT s.stop_id, coalesce(a.signals, '') AS signals, coalesce(sources, 0) AS sources FROM s LEFT JOIN a USING (stop_id) LEFT JOIN c USING (stop_id)
+_STOP_EVIDENCE_SQL = _WHOLE_SQL + """
+, g AS (SELECT stop_id, sig, min((ts, event_id)) AS pos FROM p WHERE sig <> '' GROUP BY ALL), a AS (SELECT stop_id, string_agg(sig, '|' ORDER BY pos) AS signals FROM g GROUP BY stop_id),
+c AS (SELECT stop_id, count(*) AS sources FROM p WHERE sig <> '' GROUP BY stop_id)
+"""
+
+
+@query("stop_evidence", "J13 U5", _STOP_EVIDENCE_SQL + """
+, n AS (SELECT stop_id, event, row_number() OVER (PARTITION BY stop_id ORDER BY ts, event_id) AS k FROM p WHERE sig <> ''), f AS (SELECT stop_id, string_agg(event, '|' ORDER BY k) AS names FROM n WHERE k <= 20 GROUP BY stop_id)
+SELECT s.stop_id, coalesce(a.signals, '') AS signals, coalesce(sources, 0) AS sources, coalesce(names, '') AS names FROM s LEFT JOIN a USING (stop_id) LEFT JOIN c USING (stop_id) LEFT JOIN f USING (stop_id)
 """)
 def stop_evidence(t: Tables):
-    return _stop_evidence(t, 500)
+    return _stop_evidence(t).withColumn("names", F.array_join("names", "|"))
 
 
-def _stop_evidence(t: Tables, last: int | None):
+def _stop_evidence(t: Tables):
     none = F.array().cast("array<string>")
     events = t.derive(_EVENTS).withColumn("signals", F.when(F.col("sig") != "", F.array("sig")).otherwise(none))
     events = events.withColumn("tool_signals", none).withColumn("command_signals", none)
-    out = telemetry.runtime_evidence(t.derive(_LOG_STOPS), events, last=last)
+    out = telemetry.runtime_evidence(t.derive(_LOG_STOPS), events)
     from ..operators.compliance import runtime_summary
 
     united = runtime_summary(F.col("tool_signals"), F.col("command_signals"), F.col("signals"))
-    return out.select("stop_id", F.array_join(united, "|").alias("signals"), F.size("sources").alias("sources"))
-
-
-_WHOLE_SQL = f"""
-WITH e AS ({plain(_EVENTS)}), s AS ({plain(_LOG_STOPS)}),
-p AS (SELECT s.stop_id, e.* FROM s JOIN e ON e.log = s.log AND e.ts <= s.ts WHERE (e.workspace IS NULL OR e.workspace = s.workspace) AND (s.since IS NULL OR e.ts >= s.since))
-"""
+    return out.select("stop_id", F.array_join(united, "|").alias("signals"), F.col("n_sources").alias("sources"), F.col("sources").alias("names"))
 
 
 @query("whole_evidence_pairs", "J13", _WHOLE_SQL + "SELECT stop_id, event_id FROM p")
@@ -72,13 +70,11 @@ def whole_evidence_pairs(t: Tables):
     return telemetry.evidence_window(t.derive(_LOG_STOPS), t.derive(_EVENTS)).select("stop_id", "event_id")
 
 
-@query("whole_stop_evidence", "J13 U5", _WHOLE_SQL + """
-, g AS (SELECT stop_id, sig, min((ts, event_id)) AS pos FROM p WHERE sig <> '' GROUP BY ALL), a AS (SELECT stop_id, string_agg(sig, '|' ORDER BY pos) AS signals FROM g GROUP BY stop_id),
-c AS (SELECT stop_id, count(*)::INT AS sources FROM p WHERE sig <> '' GROUP BY stop_id)
+@query("whole_stop_evidence", "J13 U5", _STOP_EVIDENCE_SQL + """
 SELECT s.stop_id, coalesce(a.signals, '') AS signals, coalesce(sources, 0) AS sources FROM s LEFT JOIN a USING (stop_id) LEFT JOIN c USING (stop_id)
 """)
 def whole_stop_evidence(t: Tables):
-    return _stop_evidence(t, None)
+    return _stop_evidence(t).drop("names")
 
 
 @query("workspace_stats", "A10", """
@@ -165,6 +161,25 @@ def streamed_stop_signals(t: Tables):
     return pairs.groupBy("workspace", "stop_id", "signal").agg(F.count("*").alias("n"))
 
 
+@query("streamed_signal_sets", "W2", """
+WITH s AS (SELECT CASE WHEN event_id % 5 > 0 THEN CAST(user_id AS VARCHAR) END AS workspace, event_id AS stop_id, ts, CASE WHEN event_id % 3 > 0 THEN ts - INTERVAL 2 DAY END AS since FROM events WHERE event_type = 'purchase'),
+e AS (SELECT CASE WHEN event_id % 7 > 0 THEN CAST(user_id AS VARCHAR) END AS workspace, ts, CASE WHEN event_id % 2 = 0 THEN 'rtk' ELSE 'query_graph' END AS sig FROM events WHERE event_type IN ('click', 'error'))
+SELECT DISTINCT s.stop_id, e.sig AS signal FROM s JOIN e ON e.ts <= s.ts AND (s.since IS NULL OR e.ts >= s.since) AND (e.workspace IS NULL OR s.workspace IS NULL OR e.workspace = s.workspace)
+WHERE s.ts < date_trunc('millisecond', least((SELECT max(ts) FROM s), (SELECT max(ts) FROM e)))
+""")
+def streamed_signal_sets(t: Tables):
+    """Evidence of stops over gaps of days, with and without workspaces, from keyed state; stops that the watermark has passed are answered."""
+    named = lambda n: F.when(F.col("event_id") % n > 0, F.col("user_id").cast("string"))
+    stops = _stream(t).where("event_type = 'purchase'").select(
+        named(5).alias("workspace"), F.col("event_id").alias("stop_id"), "ts", F.when(F.col("event_id") % 3 > 0, F.expr("ts - INTERVAL 2 DAYS")).alias("since"),
+    )
+    signal = F.when(F.col("event_id") % 2 == 0, "rtk").otherwise("query_graph")
+    events = _stream(t).where("event_type IN ('click', 'error')").select(named(7).alias("workspace"), "ts", F.array(signal).alias("signals"))
+    with ev.rocksdb(t.spark):
+        found = ev.run_available(ev.stop_signals(stops, events, "0 seconds"))
+    return found.select("stop_id", "signal").distinct()
+
+
 @query("streamed_latest_reports", "W7", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def streamed_latest_reports(t: Tables):
     from ..session import shared_folder

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import contextlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators.parsing import extract_signals
@@ -54,6 +60,120 @@ def correlate(
     return found.groupBy(F.window("stop_ts", "1 minute"), "workspace", "stop_id").agg(F.array_sort(F.collect_set("signal")).alias("signals")).drop("window")
 
 
+class _LastSeen(StatefulProcessor):
+    """The times of each signal of a key that may still matter: the last one the watermark has passed, and all later ones.
+
+    A signal is in the evidence of a stop if and only if its last time up to the stop is not before ``since``. So one time
+    for each signal is enough once no late event can come before it; a stop waits for the watermark, then it is answered.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getMapState("times", "signal string", "us array<long>")
+        self.stops = handle.getListState("stops", "workspace string, stop_id long, until long, since long")
+        self.timer = handle.getValueState("timer", "ms long")
+        self.handle = handle
+
+    def _wake(self, until: int) -> None:
+        """One timer for a key: that of its earliest open stop."""
+        due = until // 1000 + 1
+        now = self.timer.get() if self.timer.exists() else None
+        if now is None or due < now[0]:
+            if now is not None:
+                self.handle.deleteTimer(now[0])
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
+        fresh: dict[str, set[int]] = {}
+        asked = []
+        for batch in rows:
+            marks = batch[batch["signal"].notna()]
+            for signal, times in marks.groupby("signal")["us"]:
+                fresh.setdefault(signal, set()).update(times.tolist())
+            open_ = batch[batch["signal"].isna()]
+            asked += [
+                (None if pd.isna(workspace) else workspace, int(stop), int(until), int(since))
+                for workspace, stop, until, since in zip(open_["workspace"], open_["stop_id"], open_["us"], open_["since"], strict=True)
+            ]
+        if asked:
+            self.stops.appendList(asked)
+            self._wake(min(until for _, _, until, _ in asked))
+        if self.timer.exists():  # the earliest open stop is not answered yet
+            passed = min(passed, (self.timer.get()[0] - 1) * 1000)
+        for signal, new in fresh.items():
+            known = self.times.getValue((signal,)) if self.times.containsKey((signal,)) else None
+            every = sorted(new | set(known[0] if known else ()))
+            old = bisect.bisect_right(every, passed)
+            self.times.updateValue((signal,), (every[max(0, old - 1):],))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        wait, out = [], []
+        seen = [(signal[0], times[0]) for signal, times in self.times.iterator()]
+        for workspace, stop, until, since in self.stops.get():
+            if until >= passed:
+                wait.append((workspace, stop, until, since))
+                continue
+            for signal, times in seen:
+                at = bisect.bisect_right(times, until) - 1
+                if at >= 0 and times[at] >= since:
+                    out.append((workspace, stop, signal))
+        if wait:
+            self.stops.put(wait)
+            self._wake(min(until for _, _, until, _ in wait))
+        else:
+            self.stops.clear()
+        yield pd.DataFrame(out, columns=["workspace", "stop_id", "signal"])
+
+    def close(self) -> None:
+        pass
+
+
+def stop_signals(stops: DataFrame, events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """The signals of each stop's evidence, once the watermark has passed it: (workspace, stop_id, signal).
+
+    ``stops(workspace, stop_id long, ts, since)`` and ``events(workspace, ts, signals)`` as streams; what belongs together
+    is as in ``telemetry.evidence_window``, over gaps of any length. The state of a workspace holds about one time for
+    each of its signal words, not its events. Events without a workspace are dealt to ``SALTS`` keys, and a stop without one
+    asks ``SALTS`` keys that all events are dealt to, so a signal may come more than once; ``distinct`` per stop joins them.
+    Rows without a time have no place.
+    Needs the RocksDB state store, as ``rocksdb`` sets it.
+    """
+    events, stops = (df.where(F.col("ts").isNotNull()) for df in (events, stops))
+    e = events.withWatermark("ts", lateness).select("ts", F.col("workspace").cast("string").alias("workspace"), F.explode("signals").alias("signal"))
+    salt = F.pmod(F.xxhash64("ts", "signal"), F.lit(SALTS)).cast("string")
+    own = lambda c: F.concat(F.lit("own:"), c)
+    known = F.col("workspace").isNotNull()
+    every = F.concat(F.lit("all:"), salt)
+    e = e.withColumn("key", F.explode(F.array(F.when(known, own(F.col("workspace"))).otherwise(F.concat(F.lit("none:"), salt)), every)))
+    s = stops.withWatermark("ts", lateness).withColumn("workspace", F.col("workspace").cast("string"))
+    salts = lambda name: [F.lit(f"{name}:{k}") for k in range(SALTS)]
+    s = s.withColumn("key", F.explode(F.when(known, F.array(own(F.col("workspace")), *salts("none"))).otherwise(F.array(*salts("all")))))
+    null = lambda kind: F.lit(None).cast(kind)
+    zero = F.lit(0).cast("long")  # a null would make pandas read the numbers as floats
+    rows = e.select("key", "ts", F.unix_micros("ts").alias("us"), "signal", null("string").alias("workspace"), zero.alias("stop_id"), zero.alias("since"))
+    rows = rows.unionAll(s.select(
+        "key", "ts", F.unix_micros("ts").alias("us"), null("string").alias("signal"), "workspace", F.col("stop_id").cast("long").alias("stop_id"),
+        F.coalesce(F.unix_micros("since"), F.lit(-(2**62)).cast("long")).alias("since"),
+    ))
+    return rows.groupBy("key").transformWithStateInPandas(_LastSeen(), "workspace string, stop_id long, signal string", "Append", "EventTime")
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that keyed state with timers needs, for streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def running_counts(stream: DataFrame) -> DataFrame:
     """Events by workspace and name; for update mode."""
     return stream.groupBy("workspace", "event").agg(F.count("*").alias("n"))

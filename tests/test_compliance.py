@@ -250,3 +250,40 @@ def test_evidence_is_whole_without_a_cap(spark, table):
     events = spark.range(1500).select(F.lit("l").alias("log"), F.expr("CASE id % 3 WHEN 0 THEN 'w' WHEN 1 THEN 'v' END").alias("workspace"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"))
     got = {r.stop_id: (r.n, r.m) for r in telemetry.evidence_window(stops, events).groupBy("stop_id").agg(F.count("*").alias("n"), F.min("event_id").alias("m")).collect()}
     assert got == {1: (1000, 0), 2: (500, 1000), 3: (7, 1)}
+
+
+def test_stop_evidence_is_linear_and_whole(spark, table):
+    """Signals in the order in which they first came, against every pair; one moment and one workspace hold most rows."""
+    random.seed(9)
+    words = ["a", "b", "c", "d", "e", "f"]
+    lists = lambda: [random.sample(words, random.choice([0, 0, 1, 3])) for _ in range(3)]
+    events = [("l" if k % 9 else "m", random.choice(["w", "w", "w", "v", None]), k, random.choice([500, random.randint(0, 1000)]), f"e{k % 4}", *lists()) for k in range(700)]
+    stops = [("l" if k % 5 else "m", random.choice(["w", "v", "x", None]), 10_000 + k, t := random.choice([500, random.randint(0, 1100)]), random.choice([None, t - random.randint(-5, 600), 500])) for k in range(60)]
+    names = ["signals", "tool_signals", "command_signals"]
+    e = table(events, "log string, workspace string, event_id long, s long, event string, " + ", ".join(f"{n} array<string>" for n in names)).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    s = table(stops, "log string, workspace string, stop_id long, s long, b long").select("log", "workspace", "stop_id", F.timestamp_seconds("s").alias("ts"), F.timestamp_seconds("b").alias("since"))
+    got = {r.stop_id: r for r in telemetry.runtime_evidence(s, e).collect()}
+    assert len(got) == 60
+    for log, w, stop, t, since in stops:
+        mine = sorted((x for x in events if x[0] == log and x[3] <= t and (since is None or x[3] >= since) and (w is None or x[1] is None or x[1] == w)), key=lambda x: (x[3], x[2]))
+        for k, name in enumerate(names):
+            assert got[stop][name] == list(dict.fromkeys(y for x in mine for y in x[5 + k]))
+        said = [x[4] for x in mine if any(x[5:])]
+        assert got[stop].n_sources == len(said) and got[stop].sources == said[:20]
+    assert telemetry.runtime_evidence(s.where("false"), e).count() == 0
+    assert telemetry.runtime_evidence(s, e.where("false")).count() == 60
+
+
+def test_one_moment_of_a_key_is_many_ranges(spark):
+    from taskscope.functions.skew import in_ranges, running_count
+
+    rows = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit(0).alias("ts"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = in_ranges(rows, ["k"], [F.col("ts"), F.col("id")])
+        sizes = [r.n for r in cut.groupBy("_span").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 2 and max(sizes) < 10_000
+        counted = running_count(rows, ["k"], [F.col("ts"), F.col("id")], F.col("id") % 2 == 0, "n")
+        assert counted.where("n <> floor(id / 2) + 1").isEmpty() and counted.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

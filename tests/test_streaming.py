@@ -80,3 +80,29 @@ def test_stop_signals_equal_the_batch_evidence_over_long_gaps(spark, tmp_path):
     got = sorted((r.stop_id, r.signal) for r in found.collect())
     assert got == sorted((r.stop_id, x) for r in want.collect() for x in r.signals)
     assert [x for i, x in got if i == 2] == ["a", "b", "d", "e"] and [x for i, x in got if i == 4] == list("abcdef")
+
+    # the same from keyed state, which holds a time for each signal instead of all events
+    late = [(8, "z", 200, "z")]  # moves the watermark past every stop
+    _write(events, "b.json", *[json.dumps({"event_id": i, "workspace": w, "ts": at(h), "signals": [x]}) for i, w, h, x in late])
+    _write(stops, "b.json", json.dumps({"stop_id": 99, "workspace": "z", "ts": at(205), "since": None}))
+    with ev.rocksdb(spark):
+        kept = ev.run_available(ev.stop_signals(stream(s, stops), stream(e, events)))
+    assert sorted({(r.stop_id, r.signal) for r in kept.collect()}) == got
+
+
+def test_late_events_count_until_the_watermark_has_passed(spark, tmp_path):
+    events, stops = tmp_path / "events", tmp_path / "stops"
+    e, s = "workspace STRING, ts TIMESTAMP, signals ARRAY<STRING>", "stop_id LONG, workspace STRING, ts TIMESTAMP, since TIMESTAMP"
+    event = lambda ts, *x, w="w": json.dumps({"workspace": w, "ts": f"2024-01-01T{ts}Z", "signals": x})
+    stop = lambda i, ts, since, w="w": json.dumps({"stop_id": i, "workspace": w, "ts": f"2024-01-01T{ts}Z", "since": since and f"2024-01-01T{since}Z"})
+    _write(events, "1.json", event("10:00:00", "a"), event("10:20:00", "a", "b"))
+    _write(stops, "1.json", stop(1, "10:10:00", "10:05:00"), stop(2, "10:20:00", "10:15:00"))
+    # after the stop in arrival, before it in time
+    _write(events, "2.json", event("10:06:00", "late"), event("10:30:00", "c"))
+    _write(stops, "2.json", stop(3, "10:12:00", None))
+    _write(events, "3.json", event("14:00:00", "z"))
+    _write(stops, "3.json", stop(4, "14:00:00", "13:00:00"))
+    read = lambda schema, folder: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(folder))
+    with ev.rocksdb(spark):
+        out = ev.run_available(ev.stop_signals(read(s, stops), read(e, events), "30 minutes"))
+    assert sorted((r.stop_id, r.signal) for r in out.collect()) == [(1, "late"), (2, "a"), (2, "b"), (3, "a"), (3, "late")]

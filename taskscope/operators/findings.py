@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
+from ..session import stored
 from ..functions.skew import first_per
 from ..functions.text import weight
 
@@ -114,8 +115,8 @@ def summarise(findings: DataFrame) -> DataFrame:
 class Registry:
     """Named checks ``inputs -> findings``.
 
-    A check that cannot be planned is reported and does not lose the findings of
-    the others.
+    A check that cannot be planned, or fails while it runs, is reported and does not
+    lose the findings of the others: each check's findings are stored on their own.
     """
 
     def __init__(self) -> None:
@@ -148,13 +149,13 @@ class Registry:
                 continue
             try:
                 found = check(inputs)
-                found.schema  # plan it now, so that a broken check is reported here
+                if platform and platforms is not None and not only:
+                    users = platforms.where(F.col("platform") == platform).select("repo").distinct()
+                    found = found.join(users, "repo", "left_semi")
+                found = stored(found, "findings")
             except Exception as error:
                 errors[check_id] = str(error)
                 continue
-            if platform and platforms is not None and not only:
-                users = platforms.where(F.col("platform") == platform).select("repo").distinct()
-                found = found.join(users, "repo", "left_semi")
             out = found if out is None else out.unionByName(found)
             ran.append(check_id)
         return out, ran, errors

@@ -89,13 +89,13 @@ def neighbours(seeds: DataFrame, files: DataFrame, tasks: DataFrame, limit: int
     return _candidate(ranked, F.col("_s"), "module-neighbor", F.lit("same-module"))
 
 
-def schema_candidates(tasks: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
-    """Schema files for tasks that mention schema fields: 820 per way the file is found."""
+def schema_candidates(tasks: DataFrame, files: DataFrame, packages: DataFrame, by_name: int = 6) -> DataFrame:
+    """Schema files for tasks that mention schema fields: 820 per way the file is found; ``by_name`` of a repository are found by name alone."""
     asked = tasks.where(matches(F.col("prompt"), C.SCHEMA_HINT_PATTERN)).select("task_id", "repo")
     found = files.where(paths.basename(F.col("path")) == "schema.prisma").select("repo", "path")
     fixed = found.where(F.col("path").isin("prisma/schema.prisma", "schema.prisma"))
     inside = packages.select("repo", F.concat("dir", F.lit("/prisma/schema.prisma")).alias("path")).distinct().join(found, ["repo", "path"], "left_semi")
-    named = top_n(found, ["repo"], [F.desc(paths.priority(F.col("path"))), F.col("path")], 6).drop("rank")
+    named = top_n(found, ["repo"], [F.desc(paths.priority(F.col("path"))), F.col("path")], by_name).drop("rank")
     ways = fixed.unionByName(inside).unionByName(named).groupBy("repo", "path").agg(F.count("*").alias("n"))
     return _candidate(asked.join(ways, "repo"), F.col("n") * 820, "schema-hint", F.lit("status-time-fields-mentioned"))
 

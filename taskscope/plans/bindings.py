@@ -132,8 +132,9 @@ SELECT 'all' AS repo, conv_id * 100 + turn AS task_id,
     ELSE 'src/modules/m' || CAST((conv_id * 7 + turn) % 50 AS VARCHAR(20)) || '; ' || text END AS prompt, conv_id, turn
 FROM {conversations} WHERE role = 'user'
 """
+# every word of the benchmark is a known id; SPLIT stands for an engine's way to make a row of each word
 ANSWER_IDS = """
-SELECT DISTINCT lower(split_part(text, ' ', 2)) AS id FROM {benchmark} WHERE length(split_part(text, ' ', 2)) > 2
+SELECT DISTINCT lower(w) AS id FROM (SELECT SPLIT AS w FROM {benchmark}) WHERE length(w) > 2
 """
 RUN_LOGS = """
 SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'no summary' ELSE

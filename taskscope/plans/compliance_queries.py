@@ -257,7 +257,7 @@ _READY_SQL = f"""
 WITH p AS ({plain(_READY)}), repos AS (SELECT repo, bool_or(p_size = 7) AS d FROM (SELECT p_partkey % 211 AS repo, p_size FROM part) GROUP BY 1),
 r AS (SELECT repo, count(DISTINCT CASE WHEN source_path NOT LIKE '~%' THEN source_path END) AS src, count(*) AS act, bool_or(content LIKE 'Always%') AS imp FROM p WHERE p_size < 25 GROUP BY 1),
 c AS (SELECT repo, count(*) AS items, count(*) FILTER (WHERE p_size % 4 = 0) AS proj FROM p WHERE p_size BETWEEN 20 AND 40 GROUP BY 1),
-m AS (SELECT repo, count(*) AS meta, count(*) FILTER (WHERE p_size % 2 = 0) AS rich FROM p WHERE p_size > 44 GROUP BY 1),
+m AS (SELECT repo, count(*) AS meta, count(*) FILTER (WHERE p_size % 2 = 0) AS rich FROM p WHERE p_size > 40 GROUP BY 1),
 w AS (SELECT repo, count(*) AS flows, count(*) FILTER (WHERE p_size % 2 = 0) AS ch FROM p WHERE p_size BETWEEN 10 AND 18 GROUP BY 1),
 j AS (SELECT repo, d, coalesce(src, 0) AS src, coalesce(act, 0) AS act, coalesce(imp, false) AS imp, coalesce(items, 0) AS items, coalesce(proj, 0) AS proj, coalesce(meta, 0) AS meta, coalesce(rich, 0) AS rich, coalesce(flows, 0) AS flows, coalesce(ch, 0) AS ch
   FROM repos LEFT JOIN r USING (repo) LEFT JOIN c USING (repo) LEFT JOIN m USING (repo) LEFT JOIN w USING (repo)),
@@ -275,7 +275,7 @@ def readiness(t: Tables):
     repos = t.part.groupBy((F.col("p_partkey") % 211).alias("repo")).agg(F.bool_or(F.col("p_size") == 7).alias("has_rule_dir"))
     rules = p.where("p_size < 25").withColumn("in_project", ~F.col("source_path").startswith("~"))
     items = p.where("p_size BETWEEN 20 AND 40").select("repo", F.lit("x").alias("name"), F.when(F.col("p_size") % 4 == 0, "project").otherwise("global").alias("scope"))
-    meta = p.where("p_size > 44").select("repo", F.expr("CASE WHEN p_size % 2 = 0 THEN concat('positive_triggers:', chr(10), 'evidence:', chr(10), 'negative_triggers:', chr(10), 'workflow: x') ELSE 'evidence:' END").alias("text"))
+    meta = p.where("p_size > 40").select("repo", F.expr("CASE WHEN p_size % 2 = 0 THEN concat('positive_triggers:', chr(10), 'evidence:', chr(10), 'negative_triggers:', chr(10), 'workflow: x') ELSE 'evidence:' END").alias("text"))
     flows = p.where("p_size BETWEEN 10 AND 18").select("repo", F.lit("w").alias("name"), F.expr("CASE WHEN p_size % 2 = 0 THEN array('planner') ELSE array() END").cast("array<string>").alias("chain"))
     return evaluate.readiness(repos, rules, items, flows, meta)
 

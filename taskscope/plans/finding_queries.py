@@ -299,8 +299,11 @@ def registry_findings(t: Tables):
     registry.register("builder", lambda x: checks_facts.check_query_builder(x["calls"]), "typeorm")
     registry.register("config", lambda x: checks_facts.check_synchronize(x["object_props"]))
     registry.register("broken", lambda x: x["missing"])
+    registry.register("failing", lambda x: checks_facts.check_query_builder(x["calls"]).withColumn("line", F.raise_error(F.lit("fails on every row")).cast("int")))
     platforms = t.part.where("p_partkey % 11 % 2 = 0").select((F.col("p_partkey") % 11).alias("repo"), F.lit("typeorm").alias("platform")).distinct()
-    found, _, _ = registry.run(f, platforms)
+    found, _, errors = registry.run(f, platforms)
+    if set(errors) != {"broken", "failing"}:
+        raise ValueError(errors)
     return found.groupBy("repo", "id").agg(F.count("*").alias("n"))
 
 

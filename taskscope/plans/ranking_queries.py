@@ -92,8 +92,8 @@ def expanded_tasks(t: Tables):
 
 @query("graph_queries", "F15", f"""
 WITH r AS ({plain(_SCORED_RULES)}), tasks AS (SELECT DISTINCT conv_id AS task_id, 'find conv ' || conv_id AS prompt FROM r),
-seeds AS (SELECT conv_id AS task_id, 'lib/Seed' || turn || '.spec.ts' AS path, turn + 1 AS rank FROM conversations WHERE conv_id % 2 = 0),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, pos) AS rk FROM r WHERE score >= 0.1 AND conv_id % 2 = 1) WHERE rk <= 4),
+seeds AS (SELECT conv_id AS task_id, 'lib/Seed' || turn || '.spec.ts' AS path, turn - 2 AS rank FROM conversations WHERE turn >= 3),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, pos) AS rk FROM r WHERE score >= 0.1 AND conv_id NOT IN (SELECT task_id FROM seeds)) WHERE rk <= 4),
 terms AS (SELECT conv_id AS task_id, rk, unnest(l) AS q, generate_subscripts(l, 1) AS b FROM (SELECT conv_id, rk, list_concat(regexp_extract_all(content, '`([^`]+)`', 1),
   list_concat(regexp_extract_all(content, '\\b[A-Z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*)+\\b', 0), list_concat(regexp_extract_all(content, '(?i)\\b[a-z0-9]+(?:[-_.][a-z0-9]+)+\\b', 0),
   list_transform(range(1, len({Q.graph_terms('content')})), lambda i: {Q.graph_terms('content')}[i] || ' ' || {Q.graph_terms('content')}[i + 1])))) AS l FROM best)),
@@ -105,8 +105,9 @@ SELECT task_id, CAST(place AS INTEGER) AS place, trim(q) AS query FROM (SELECT *
 def graph_queries(t: Tables):
     rules = t.derive(_SCORED_RULES).drop("task_id").withColumnRenamed("conv_id", "task_id")
     tasks = rules.select("task_id").distinct().select("task_id", F.concat(F.lit("find conv "), F.col("task_id").cast("string")).alias("prompt"))
-    seeds = t.conversations.where("conv_id % 2 = 0").select(
-        F.col("conv_id").alias("task_id"), F.concat(F.lit("lib/Seed"), F.col("turn").cast("string"), F.lit(".spec.ts")).alias("path"), (F.col("turn") + 1).alias("rank")
+    # long conversations have seeds, short ones fall back on their rules
+    seeds = t.conversations.where("turn >= 3").select(
+        F.col("conv_id").alias("task_id"), F.concat(F.lit("lib/Seed"), F.col("turn").cast("string"), F.lit(".spec.ts")).alias("path"), (F.col("turn") - 2).alias("rank")
     )
     return relevance.graph_queries(tasks, seeds, rules)
 

@@ -318,13 +318,13 @@ def project_hint_tokens(t: Tables):
 @query("answer_ids", "T17", f"""
 WITH words AS (SELECT conv_id * 100 + turn AS output_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_.@-]+')) AS w, generate_subscripts(regexp_split_to_array(text, '[^A-Za-z0-9_.@-]+'), 1) AS i FROM conversations),
 keyed AS (SELECT output_id, regexp_replace(lower(w), '[^a-z0-9]+', '', 'g') AS k, min(i) AS i FROM words GROUP BY ALL),
-ids AS ({plain(B.ANSWER_IDS)}),
-hits AS (SELECT output_id, id, row_number() OVER (PARTITION BY output_id ORDER BY i, id) AS place FROM keyed JOIN ids ON regexp_replace(lower(id), '[^a-z0-9]+', '', 'g') = k)
+ids AS ({plain(B.ANSWER_IDS).replace('SPLIT', "unnest(string_split(text, ' '))")}),
+hits AS (SELECT output_id, id, row_number() OVER (PARTITION BY output_id ORDER BY i, id) AS place FROM keyed JOIN ids ON regexp_replace(lower(id), '[^a-z0-9]+', '', 'g') = k WHERE k <> '')
 SELECT output_id, id, CAST(place AS INTEGER) AS place FROM hits WHERE place <= 3
 """)
 def answer_ids(t: Tables):
     outputs = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("output_id"), "text")
-    return parsing.ids_in_text(outputs, t.derive(B.ANSWER_IDS))
+    return parsing.ids_in_text(outputs, t.derive(B.ANSWER_IDS.replace("SPLIT", "explode(split(text, ' '))")))
 
 
 @query("run_log_counts", "T18", """

@@ -121,6 +121,15 @@ def test_registry_isolates_errors(table):
     assert registry.run({"f": base}, other, only=["good"])[0].count() == 1
 
 
+def test_registry_isolates_checks_that_fail_while_running(table):
+    base = table([("r", "a.ts", 1), ("r", "b.ts", 2)], "repo string, file string, line int")
+    good = lambda i: finding(i["f"], "A-1", "Security", "LOW", "low", "x", "t")
+    bad = lambda i: good(i).withColumn("line", F.when(F.col("line") > 1, F.raise_error(F.lit("broke on a row")).cast("int")).otherwise(F.col("line")))
+    found, ran, errors = fnd.Registry().register("good", good).register("bad", bad).register("last", good).run({"f": base})
+    assert found.count() == 4 and ran == ["good", "last"]
+    assert list(errors) == ["bad"] and "broke on a row" in errors["bad"]
+
+
 def test_route_guards(table):
     schema = "repo string, file string, line int, class string, owner_kind string, member string, param string, name string, arg_text string, first_string string, true_keys array<string>"
     row = lambda c, k, m, n, s=None: ("r", "f.ts", 1, c, k, m, None, n, "", s, [])

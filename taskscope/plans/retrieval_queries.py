@@ -245,6 +245,10 @@ def _matched(t: Tables):
     return catalog.match_evidence(t.derive(B.CATALOG_TASKS), t.derive(B.CATALOG_META), t.derive(B.EVIDENCE))
 
 
+def _factored(t: Tables):
+    return catalog.factored_evidence(t.derive(B.CATALOG_TASKS), t.derive(B.CATALOG_META), t.derive(B.EVIDENCE))
+
+
 @query("catalog_evidence", "J8", _CATALOG_SQL + """
 SELECT task_id, id, prompt_hits::INT::BIGINT AS prompt_hits, neg_prompt::INT::BIGINT AS neg_prompt, dependency::INT::BIGINT AS dependency, file::INT::BIGINT AS file FROM pairs WHERE prompt_hits OR neg_prompt OR dependency OR file
 """)
@@ -272,11 +276,11 @@ c6 AS (SELECT *, CASE WHEN negative > 0 THEN least(c5, 0.74) ELSE c5 END AS conf
 SELECT task_id, id, round(s::DOUBLE, 4) AS score, round(conf::DOUBLE, 4) AS confidence, CASE WHEN conf >= 0.85 THEN 'high' WHEN conf >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM c6
 """)
 def hybrid_catalog_scores(t: Tables):
-    tasks, items, matched = t.derive(B.CATALOG_TASKS), t.derive(B.CATALOG_META), _matched(t)
+    tasks, items, matched = t.derive(B.CATALOG_TASKS), t.derive(B.CATALOG_META), _factored(t)
     # similarity hits of a stand-in index, and every item whose trigger the prompt names
     near = tasks.select("task_id", F.explode(F.expr("filter(sequence(0, 9), k -> (k * 3 + task_id) % 10 = 0)")).alias("k"))
     near = near.join(items.select("id", "ord", (F.col("ord") % 10).cast("int").alias("k")), "k").select("task_id", "id")
-    pairs = near.unionByName(matched.where("prompt_hits > 0").select("task_id", "id")).distinct().join(items.select("id", "ord"), "id")
+    pairs = near.unionByName(matched.prompt.where("prompt_hits > 0").select("task_id", "id")).distinct().join(items.select("id", "ord"), "id")
     pairs = pairs.select("task_id", "id", F.least(F.lit(1.0), ((F.col("ord") * 37 + F.col("task_id") * 11) % 101) / 100.0).alias("semantic"), F.lit(False).alias("explicit"), F.lit(0.0).alias("graph_score"))
     out = catalog.hybrid_score(pairs, tasks, items, matched)
     return out.select("task_id", "id", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"), "band")
@@ -291,7 +295,7 @@ f AS (SELECT *, least(1, nh * 0.20 + least(th, 5) * 0.08 + prompt_hits::INT * 0.
 SELECT task_id, id, round(score::DOUBLE, 4) AS semantic FROM f WHERE score >= 0.35
 """)
 def light_catalog_scores(t: Tables):
-    out = catalog.light_score(t.derive(B.CATALOG_TASKS), t.derive(B.CATALOG_META), t.derive(B.EVIDENCE), _matched(t))
+    out = catalog.light_score(t.derive(B.CATALOG_TASKS), t.derive(B.CATALOG_META), t.derive(B.EVIDENCE), _factored(t))
     return out.select("task_id", "id", F.round("semantic", 4).alias("semantic"))
 
 

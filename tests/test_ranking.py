@@ -134,3 +134,81 @@ def test_an_embedder_can_be_passed(table):
     queries = table([(1, "aa"), (2, "ccc")], "query_id int, text string")
     got = {(r.task_id, r.path): r.score for r in retrieval.vector_candidates(queries, index, embed=letters).collect()}
     assert got == {(1, "x"): 10.0, (1, "y"): 5.0, (2, "x"): 5.0, (2, "y"): 5.0}
+
+
+def test_top_rules_equal_all_scores_where_tokens_are_frequent(table):
+    """One token in every rule, several in many; aliases, open files, imperatives and ties."""
+    import random
+
+    from taskscope.operators import relevance
+
+    random.seed(5)
+    words = ["common", "often", "many", "user", "auth", "login", "cache", "x.service.ts", "rare1", "rare2", "database", "db"]
+    rules = table([
+        (f"r{k % 2}", f"id{k}", "common " + " ".join(random.sample(words, random.randint(0, 4))) + (" You must do it" if k % 3 == 0 else ""), k // 2) for k in range(160)
+    ] + [("r0", "lone", "nothing shared here", 900)], "repo string, rule_id string, content string, pos int")
+    tasks = table([
+        (f"r{k % 2}", k, " ".join(random.sample(words, random.randint(0, 5))), random.choice([[], ["src/x.service.ts"]])) for k in range(40)
+    ], "repo string, task_id int, prompt string, open_files array<string>")
+    for often in (0, 3, 20, 1000):
+        got = {}
+        for r in relevance.top_rules(tasks, rules, 4, often=often).collect():
+            got.setdefault(r.task_id, []).append((r["rank"], r.rule_id, r.score, tuple(r.reasons)))
+        if often == 0:
+            every = relevance.score_rules(tasks, rules).collect()
+        for t in tasks.collect():
+            mine = sorted(((-r.score, r.pos, r.rule_id, tuple(r.reasons)) for r in every if r.task_id == t.task_id))[:4]
+            if t.prompt:
+                assert [(i, -s, why) for s, _, i, why in mine] == [x[1:] for x in sorted(got[t.task_id])][: len(mine)], (often, t)
+
+
+def test_text_match_equals_plain_counting_where_tokens_are_frequent(table):
+    from taskscope.operators import retrieval
+
+    files = [("r", f"src/{w}{k}.ts", f"common {w} text{k % 5} {'extra' * (k % 2)}") for k, w in enumerate(["user", "auth", "order", "cart"] * 30)]
+    tasks = [(1, "r", "common user text3"), (2, "r", "common"), (3, "r", "auth order nothing")]
+    want = {}
+    for task, _, prompt in tasks:
+        found = []
+        for _, path, text in files:
+            hay, base = f"{path} {text}".lower(), path.split("/")[-1]
+            points = sum(4 + 3 * (tok in base) for tok in set(prompt.split()) if tok in hay)
+            if points:
+                found.append((-points, path))
+        want[task] = [(p, -s) for s, p in sorted(found)[:10]]
+    index, asked = table(files, "repo string, path string, text string"), table(tasks, "task_id int, repo string, prompt string")
+    for often in (0, 5, 1000):
+        got = {}
+        for r in retrieval.text_match(asked, index, often=often).collect():
+            got.setdefault(r.task_id, []).append((r.path, int(r.score)))
+        assert {t: sorted(v, key=lambda x: (-x[1], x[0])) for t, v in got.items()} == want, often
+
+
+def test_factored_evidence_gives_the_same_scores(spark, table):
+    from taskscope import constants as C
+    from taskscope.operators import catalog
+
+    meta = [(f"item {k}", f"positive_triggers:\n  - {['deploy', 'lint', 'cache'][k % 3]}\nevidence:\n  dependencies:\n    - dep{k % 4}\n  files:\n    - f{k % 5}.ts\n") for k in range(30)]
+    cat = spark.createDataFrame([(n, n, f"about {n}", "project" if k % 2 else "global", "p", t) for k, (n, t) in enumerate(meta)], "id string, name string, description string, scope string, path string, text string")
+    fields = {f: F.array().cast("array<string>") for f in ("positive_prompts", "negative_prompts", "dependencies", "negative_dependencies", "files", "negative_files")}
+    number = F.regexp_extract("id", "[0-9]+", 0).cast("int")
+    fields["positive_prompts"] = F.array(F.element_at(F.array(F.lit("deploy"), F.lit("lint"), F.lit("cache")), number % 3 + 1))
+    fields["dependencies"], fields["files"] = F.array(F.concat(F.lit("dep"), (number % 4).cast("string"))), F.array(F.concat(F.lit("f"), (number % 5).cast("string"), F.lit(".ts")))
+    fields["negative_files"] = F.when(number % 7 == 0, F.array(F.lit("bad.ts"))).otherwise(F.array().cast("array<string>"))
+    for f in C.META_FIELDS:
+        fields.setdefault(f, F.array().cast("array<string>"))
+    cat = cat.withColumn("meta", F.struct(*[v.alias(k) for k, v in fields.items()]))
+    evidence = table([("a", "dependency", "dep1"), ("a", "dependency", "dep2"), ("a", "file", "src/f1.ts"), ("a", "file", "f3.ts"), ("b", "file", "bad.ts"), ("b", "dependency", "dep0")], "repo string, kind string, value string")
+    # one repository with 10,000 tasks
+    tasks = spark.range(10_000).select(
+        F.col("id").cast("int").alias("task_id"), F.when(F.col("id") < 20, "b").otherwise("a").alias("repo"),
+        F.element_at(F.array(F.lit("please deploy the service"), F.lit("fix lint item 7"), F.lit("nothing of note"), F.lit("")), (F.col("id") % 4 + 1).cast("int")).alias("prompt"),
+    )
+    whole, parts = catalog.match_evidence(tasks, cat, evidence), catalog.factored_evidence(tasks, cat, evidence)
+    assert parts.repo.count() < 60
+    rows = lambda df: sorted(map(str, df.collect()))
+    few = tasks.where("task_id < 60")
+    pick = lambda df: df.where("task_id < 60")
+    assert rows(pick(catalog.light_score(tasks, cat, evidence, parts))) == rows(catalog.light_score(few, cat, evidence, pick(whole)))
+    pairs = few.select("task_id").join(cat.select("id")).select("task_id", "id", F.lit(0.5).alias("semantic"), F.lit(False).alias("explicit"), F.lit(0.0).alias("graph_score"))
+    assert rows(catalog.hybrid_score(pairs, few, cat, parts)) == rows(catalog.hybrid_score(pairs, few, cat, whole))

@@ -106,7 +106,13 @@ def _sql_rule(host: str, path: str) -> str:
 
 
 _OWN = "CASE WHEN {r} IN ('net/', 'example.com/de/') THEN 'block' WHEN {r} IS NOT NULL THEN 'allow' END"
-_HREF = """'(?is)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))'"""
+
+
+def _sql_attribute(name: str) -> str:
+    """The value of a tag's attribute, in double, single or no quotes."""
+    forms = [f"""[\\s"''/]{name}\\s*=\\s*"([^"]*)\"""", f"""[\\s"''/]{name}\\s*=\\s*''([^'']*)''""", f"""[\\s"''/]{name}\\s*=\\s*([^\\s>"'']+)"""]
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(tag, '(?is){f}', 1), '')" for f in forms) + ", '')"
+
 
 SQL: dict[str, str] = {
     "op11_source_divergence": """
@@ -149,12 +155,14 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
     """,
     "op10_url_filters": f"""
-        WITH RECURSIVE tags AS (
-            SELECT url, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>') AS link,
-              regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>') AS meta FROM pages WHERE contains(url, '://')
+        WITH RECURSIVE read AS (
+            SELECT url, regexp_replace(html, '(?is)<!--.*?(-->|$)|<script\\b.*?(</script\\s*>|$)|<style\\b.*?(</style\\s*>|$)|<textarea\\b.*?(</textarea\\s*>|$)', ' ', 'g') AS html FROM pages WHERE contains(url, '://')
+        ), tags AS (
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)[\\s/](?:(?:[^>"'']|"[^"]*"|''[^'']*'')*>|[^>]*>)')) AS tag FROM read
         ), found AS (
-            SELECT url, unnest([regexp_extract(link, {_HREF}, 1) || regexp_extract(link, {_HREF}, 2) || regexp_extract(link, {_HREF}, 3),
-              regexp_extract(meta, '(?is)\\bcontent\\s*=\\s*["''][^"'']*?\\burl\\s*=\\s*[''"]?([^"''>\\s]+)', 1)]) AS t FROM tags WHERE link <> '' OR meta <> ''
+            SELECT url, CASE
+              WHEN lower(tag[2:5]) = 'link' AND list_contains(regexp_split_to_array(lower({_sql_attribute('rel')}), '\\s+'), 'canonical') THEN trim({_sql_attribute('href')})
+              WHEN lower(tag[2:5]) = 'meta' AND trim(lower({_sql_attribute('http-equiv')})) = 'refresh' THEN regexp_extract({_sql_attribute('content')}, '(?is)\\burl\\s*=\\s*[''"]?([^"''>\\s]+)', 1) END AS t FROM tags
         ), targets AS (
             SELECT url, replace(t, '&amp;', '&') AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base, {_sql_path('url')} AS p FROM found WHERE t <> ''
         ), whole AS (

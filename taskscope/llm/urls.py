@@ -7,7 +7,9 @@ without a rule is blocked if a url of its component is blocked by a rule, unless
 Pages without rule and links are allowed.
 
 Defined results: null, or a url without "://", has an empty host and path, no rule, no links, and is allowed; null html
-has no links; pages that repeat are judged alike; relative targets are resolved against the page's host (a target that
+has no links; every canonical link and refresh of a page counts, but not what stands in comments, scripts, styles and text
+areas, nor tags without a target; very long urls and pages are read whole; an empty table gives no rows; pages that repeat
+are judged alike; relative targets are resolved against the page's host (a target that
 begins neither with "/" nor with a scheme, "?" or "#" against its folder); other columns are ignored.
 """
 
@@ -23,10 +25,17 @@ from .components import connected_components
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
-_TARGET = r"(?is)\bcontent\s*=\s*[\"'][^\"']*?\burl\s*=\s*['\"]?([^\"'>\s]+)"
+#: What is no markup: comments, and elements whose content is text.
+_UNREAD = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<textarea\b.*?(?:</textarea\s*>|$)"
+#: A link or meta tag; quoted values may hold ">", unless quotes are left open.
+_TAGS = r"(?is)<(?:link|meta)(?=[\s/])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
+_TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'>\s]+)"
+
+
+def _value(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not; empty if there is none."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    return F.concat(*(F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)))
 
 
 def host(url: Column) -> Column:
@@ -54,14 +63,15 @@ def _key(url: Column) -> Column:
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): keys of a page and of the url that it redirects to or names as canonical."""
-    html, url = F.col(html_col), F.col(url_col)
+    """(u, v): keys of a page and of every url that it redirects to or names as canonical, among other relations too."""
     tags = pages.select(
-        url.alias("url"), F.regexp_extract(html, _CANONICAL, 0).alias("link"), F.regexp_extract(html, _REFRESH, 0).alias("meta"),
-    ).where("link <> '' or meta <> ''")
-    targets = tags.select("url", F.explode(F.array(
-        F.concat(*(F.regexp_extract("link", _HREF, g) for g in (1, 2, 3))), F.regexp_extract("meta", _TARGET, 1),
-    )).alias("to")).where("to <> '' and contains(url, '://')")
+        F.col(url_col).alias("url"), F.explode(F.regexp_extract_all(F.regexp_replace(F.col(html_col), _UNREAD, " "), F.lit(_TAGS), F.lit(0))).alias("tag"),
+    ).where(F.contains("url", F.lit("://")))
+    tag = F.col("tag")
+    canonical = tag.rlike(r"(?i)^<link") & _value(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = tag.rlike(r"(?i)^<meta") & _value(tag, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+    target = F.when(canonical, F.trim(_value(tag, "href"))).when(refresh, F.regexp_extract(_value(tag, "content"), _TARGET, 1))
+    targets = tags.select("url", target.alias("to")).where("to <> ''")
     to, base = F.replace("to", F.lit("&amp;"), F.lit("&")), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1), "[^/]*$", "")
     whole = (

@@ -115,6 +115,36 @@ PAGES = [
 ]
 
 
+MORE = [
+    (21, "http://k.edu/1", '<link rel="alternate canonical" href="http://a.net/1">'), (22, "http://k.edu/2", "<!-- <link rel=canonical href=http://ok.edu/> --><LINK REL='Canonical  x' HREF = 'http://a.net/1' >"),
+    (23, "http://k.edu/3", "<link rel=canonical><link rel=canonical title='a>b' href=http://a.net/2>"), (24, "http://k.edu/4", "<link rel=canonical href=http://k.edu/5><link rel=canonical href=http://a.net/4>"),
+    (25, "http://k.edu/5", None), (26, "http://k.edu/6", "<link rel=noncanonical href=http://a.net/><link data-rel=canonical href=http://a.net/><linkrel=canonical href=http://a.net/>"),
+    (27, "http://k.edu/7", "<script>'<link rel=canonical href=http://a.net/>'</script><style><link rel=canonical href=http://a.net/></style>"), (28, "http://k.edu/8", "<!-- open <link rel=canonical href=http://a.net/>"),
+    (29, "http://k.edu/9", '<meta content="0;url=http://k.edu/1" http-equiv="Refresh"><meta name=x content="url=http://z.edu/">'), (30, "http://k.edu/10", "<meta http-equiv=refresh content='5; URL=\"http://a.net/q\"'>"),
+    (31, "http://k.edu/" + "long/" * 40000, "x" * 300000 + "<link rel='canonical' href='http://a.net/'>"), (32, "http://k.edu/11", "<link rel=canonical href=it's.html>"),
+]
+
+
+def test_every_link_of_a_page_counts(spark):
+    pages = spark.createDataFrame(MORE, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.verdicts(pages).collect()}
+    assert got == {i: "allow" if i in (26, 27, 28, 32) else "block" for i, *_ in MORE}
+
+
+def test_url_twin(spark, tmp_path):
+    import duckdb
+
+    from taskscope.llm import queries
+
+    rows = PAGES + MORE
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({queries.SQL['op10_url_filters']})").fetchall()
+    assert rows_of(urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")), *columns) == sorted(want, key=str)
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "'c' AS host", "'c' AS key", "'c' AS rule", "'c' AS root")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.verdicts(pages).collect()}

@@ -1,7 +1,7 @@
 """SentencePiece (BPE) encoding and decoding by vectorised merge rounds.
 
 A text is cut before each space that follows something else; no piece of the vocabulary crosses such a place, so the
-parts are encoded apart, each distinct one once. All parts of a batch lie in one flat array of symbols. A round looks up
+parts are encoded apart, each distinct one (by its bytes) once. All parts of a batch lie in one flat array of symbols. A round looks up
 the rank of every adjacent pair, takes the least rank of each part, merges that pair at every place in the part at once,
 from the left, and closes the gaps; parts without a pair are done and leave the array.
 
@@ -28,6 +28,7 @@ from . import tokens as T
 
 _SLICE = 4 << 20
 _CACHE = 400_000  # distinct parts that a task remembers
+_LONG = 1024  # bytes of a part that hardly comes again; these are forgotten once they fill a slice
 _PATIENCE = 64  # rounds with single merges before the sequential rule takes over
 _NEVER = np.iinfo(np.int32).max
 _SPACE, _MARK = 32, 0x2581
@@ -198,14 +199,16 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.slot = np.zeros(0, T.U), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
+        self.long = 0  # bytes of long parts that are remembered
         self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the offset of each text among them."""
         raw = [b" " + t.replace("▁", " ").encode() if t else b"" for t in texts]
         rows = np.cumsum([0, *map(len, raw)])
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         space = data == _SPACE
@@ -213,40 +216,41 @@ class Encoder:
         head[1:] &= ~space[:-1]
         head[rows[:-1][np.diff(rows) > 0]] = True
         starts = np.flatnonzero(head)
-        ends = np.append(starts[1:], len(data))
-        uniq, first, back = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > _CACHE:
+        if len(self.known) > _CACHE or self.long > _SLICE:
             self.forget()
-        at = np.searchsorted(self.known, uniq)
-        new = np.ones(len(uniq), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != uniq
-        if new.any():
-            self._learn(data, uniq[new], starts[first[new]], ends[first[new]])
-            at = np.searchsorted(self.known, uniq)
-        slot = self.slot[at][back]
+        # the parts tile the texts, so their starts are the offsets of an array; they are told apart by their bytes
+        tiles = [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(joined)]
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), tiles).dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        place = np.empty(len(distinct), np.int64)
+        new = []
+        for k, p in enumerate(distinct):
+            slot = self.known.get(p)
+            if slot is None:
+                slot = self.known[p] = len(self.known)
+                new.append(p)
+            place[k] = slot
+        if new:
+            self._learn(new)
+        slot = place[parts.indices.to_numpy()]
         size = self.size[slot]
         ends_ = np.cumsum(size)
         where = np.arange(int(ends_[-1])) + np.repeat(self.start[slot] - (ends_ - size), size)
         per_row = np.searchsorted(starts, rows)
         return self.ids[where], np.append(0, ends_)[per_row]
 
-    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        size = ends - starts
-        stop = np.cumsum(size)
-        joined = data[np.arange(int(stop[-1])) + np.repeat(starts - (stop - size), size)]
-        lead = (joined & 0xC0) != 0x80
+    def _learn(self, parts: list[bytes]) -> None:
+        size = np.array([len(p) for p in parts])
+        self.long += int(size[size > _LONG].sum())
+        joined = b"".join(parts)
+        lead = (np.frombuffer(joined, np.uint8) & 0xC0) != 0x80
         part = np.repeat(np.arange(len(size)), size)[lead]
-        chars = np.frombuffer(joined.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+        chars = np.frombuffer(joined.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
         chars[chars == _SPACE] = _MARK
         ids, count = encode_parts(self.v, chars, part, len(size))
         self.start = np.append(self.start, len(self.ids) + np.cumsum(count) - count)
-        self.slot = np.append(self.slot, len(self.size) + np.arange(len(size)))
         self.size = np.append(self.size, count)
         self.ids = np.append(self.ids, ids)
-        self.known = np.append(self.known, keys)
-        order = np.argsort(self.known)
-        self.known, self.slot = self.known[order], self.slot[order]
 
 
 def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,10 +8,14 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_MASK = (1 << 64) - 1
+_STEP = 0xD1342543DE82EF95
 PIECE = 1 << 18
 
+#: (prime, base) of the hashes, and of others that are independent of them. Modulo a power of two, some texts of two
+#: letters would share their hashes for every base.
+FIELDS = ((2147483647, 1103515245), (2147483629, 1664525 * 263))
+OTHERS = ((2147483587, 1597334677), (2147483579, 747796405))
+
 #: The white space that separates words: space and the control characters 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -37,21 +41,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, U(b))
-        p[0] = U(1)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+@lru_cache(maxsize=16)
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base^i modulo the prime for i < n."""
+    out = np.ones(1, U)
+    while len(out) < n:
+        out = np.concatenate([out, out * U(pow(base, len(out), prime)) % U(prime)])
+    return out[:n]
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(field: tuple[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a field's base and of its inverse."""
+    prime, base = field
     size = 1 << max(12, (n - 1).bit_length())
-    p, q = _powers(base, size)
-    return p[:n], q[:n]
+    return _powers(base, prime, size)[:n], _powers(pow(base, -1, prime), prime, size)[:n]
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,24 +99,27 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each stretch of bytes, from prefix sums over pieces of bounded size."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fields: tuple = FIELDS) -> np.ndarray:
+    """A hash of each stretch of bytes: its polynomials modulo two primes, from prefix sums over pieces of bounded size."""
     out = np.zeros(len(starts), U)
     i = 0
     while i < len(starts):
         at = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, at + PIECE, "right")))
-        part = data[at:int(ends[j - 1])]
-        p, q = powers(_BASE, len(part) + 1)
-        sums = np.zeros(len(part) + 1, U)
-        np.cumsum((part.astype(U) + U(1)) * p[:-1], out=sums[1:])
+        part = data[at:int(ends[j - 1])].astype(U) + U(1)
         a, b = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[b] - sums[a]) * q[a]
+        for field in fields:
+            prime = U(field[0])
+            p, q = powers(field, len(part) + 1)
+            sums = np.zeros(len(part) + 1, U)
+            terms = part * p[:-1]  # below 2^40, so the sums of a piece fit; those of a longer stretch may not
+            np.cumsum(terms if len(part) <= 1 << 22 else terms % prime, out=sums[1:])
+            out[i:j] = out[i:j] << U(32) | (sums[b] - sums[a]) % prime * q[a] % prime
         i = j
     return mix(out + (ends - starts).astype(U) * U(_STEP))
 
 
-def windows(tokens: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(tokens: np.ndarray, rows: np.ndarray, size: int, fields: tuple = FIELDS) -> tuple[np.ndarray, np.ndarray]:
     """Rolling hash of every ``size`` consecutive tokens of a row, and the first token of each window.
 
     The weighted prefix sums of all tokens give each window by one difference, as a rolling hash does by one step.
@@ -121,11 +127,15 @@ def windows(tokens: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     n = len(tokens)
     if n < size:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    p, q = powers(_STEP, n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(tokens * p[:-1], out=sums[1:])
     at = np.arange(n - size + 1)
     # a window is whole if it ends in the row it starts in
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     at = at[row[size - 1:] == row[: n - size + 1]]
-    return mix((sums[at + size] - sums[at]) * q[at]), at
+    out = np.zeros(len(at), U)
+    for field in fields:
+        prime = U(field[0])
+        p, q = powers(field, n + 1)
+        sums = np.zeros(n + 1, U)
+        np.cumsum(tokens % prime * p[:-1] % prime, out=sums[1:])
+        out = out << U(32) | (sums[at + size] - sums[at]) % prime * q[at] % prime
+    return mix(out), at

@@ -39,7 +39,7 @@ def brute_repeats(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rows", [[], [r for r in ODD if r[0] != 6] + [(20, "q " * 50), (21, "a b c d"), (22, "x a b c d"), (23, "a b c d")]])
+@pytest.mark.parametrize("rows", [[], ODD, ODD + [(20, "q " * 50), (21, "a b c d"), (22, "x a b c d"), (23, "a b c d")]])
 def test_substrings(spark, rows):
     got = substrings.removal_report(odd_docs(spark, rows), 3)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows, 3)
@@ -53,6 +53,49 @@ def test_substrings_across_many_batches(spark, monkeypatch):
     assert rows_of(got) == brute_repeats(rows, 35)
 
 
+def thue_morse(n, letters="ab"):
+    """A word and its complement that have the same value as polynomials modulo a power of two, whatever the base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_substrings_of_words_that_plain_hashes_confuse(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(34)) + " " + w) for n in (1024, 2048) for k, w in enumerate(thue_morse(n), n)]
+    got = substrings.removal_report(spark.createDataFrame(rows, SCHEMA))
+    assert rows_of(got) == brute_repeats(rows, 35) and all(r[2] == 0 for r in rows_of(got))
+    data, offsets = T.flat(pa.array([w for n in (1024, 2048, 4096) for w in thue_morse(n)]))
+    for fields in (T.FIELDS, T.OTHERS):
+        assert len(set(T.hashes(data, offsets[:-1], offsets[1:], fields).tolist())) == 6
+    same = [[hash_ for hash_ in T.hashes(data, offsets[:-1], offsets[1:])[[2, 3]][np.array(w) % 2]] for w in ([bin(k).count("1") for k in range(2048)], [bin(k).count("1") + 1 for k in range(2048)])]
+    a, b = (T.windows(np.array(w, np.uint64), np.array([0, 2048]), 2048)[0][0] for w in same)
+    assert a != b
+
+
+def test_substrings_confirm_windows_by_a_second_hash(spark, monkeypatch):
+    """A first hash of three values flags nearly all windows; the second one alone decides then."""
+    random.seed(12)
+    rows = [(f"id{k}", " ".join(random.choice("abcd") for _ in range(random.randint(0, 30)))) for k in range(60)] + [(None, "a b c d e f"), ("x", "a b c d e f"), ("x", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    weak, real = substrings._hashed, T.windows
+
+    def hashed(size, ranges, fields, again):
+        run = weak(size, ranges, fields, again)
+
+        def poor(batches):
+            if not again:
+                T.windows = lambda tokens, first, n, f=T.FIELDS: (lambda found, at: (found % np.uint64(3), at))(*real(tokens, first, n, f))
+            try:
+                yield from run(batches)
+            finally:
+                T.windows = real
+
+        return poor
+
+    monkeypatch.setattr(substrings, "_hashed", hashed)
+    got = substrings.removal_report(docs, 5)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows, 5)
+
+
 # --- sentencepiece
 
 
@@ -67,6 +110,7 @@ def check_pieces(texts):
 
 
 def test_pieces_equal_the_library():
+    check_pieces([w for n in (1024, 2048) for w in thue_morse(n)])
     check_pieces(["", None, " ", "  a", "a  b\t\nc ", "ﬁ①Ａ", "\u0000x", "▁a", "a▁▁b", "日本 語", " " * 37, " " * 5000 + "ab", "a" * 3000, "=-" * 500, "<s></s><0x41>", "​x"])
     random.seed(1)
     kinds = ["abcde ", "the andtio ", "   ▁a", "aaab ", "\n\t x", "éèçßñ ", "日本語中😀 ", "=-_*#. "]
@@ -304,6 +348,82 @@ def test_classifiers_stand_odd_tables(spark, module, label):
     assert module.report(odd_docs(spark, []), both).count() == 0
 
 
+def plain_kernel(u, z):
+    """Common subsequences of three letters, weighted by what they skip."""
+
+    def weighed(unit):
+        kinds = [int(toxicity._CLASS[b]) for b in unit]
+        found, norm = Counter(), 0.0
+        for i in range(len(kinds)):
+            for j in range(i + 1, len(kinds)):
+                for k in range(j + 1, min(len(kinds), i + toxicity.SPAN)):
+                    if kinds[i] and kinds[j] and kinds[k]:
+                        found[kinds[i], kinds[j], kinds[k]] += toxicity.DECAY ** (k - i - 2)
+                        norm += toxicity.DECAY ** (2 * (k - i - 2))
+        return found, max(norm, 1e-12) ** 0.5
+
+    (a, n), (b, m) = weighed(u), weighed(z)
+    return sum(w * b[f] for f, w in a.items()) / n / m
+
+
+def test_margins_equal_direct_kernel_sums():
+    rng = np.random.default_rng(2)
+    units = [bytes(rng.choice(list(b"aeidot1-. \xc3\xa9"), rng.integers(1, 16))) for _ in range(40)] + [b"idiot", b"ab", b"", b"!?"]
+    units = [u for u in units if u]
+    marks, alpha = units[:9], rng.standard_normal(9)
+    direct = np.array([[plain_kernel(u, z) for z in marks] for u in units])
+    assert np.allclose(toxicity.kernel(units, marks), direct, atol=1e-4)
+    model = toxicity.Model(toxicity._feature_table(marks, alpha), 0.25, 0.0, 1.0, 0.5)
+    assert np.allclose(toxicity._margin(model, units), direct @ alpha + 0.25, atol=1e-3)
+    # a document's margin is the largest of its units'
+    words = [u for u in units if b" " not in u and len(u) > 1 and len(u) < toxicity._WINDOW]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    want = max(sum(a * plain_kernel(u, z) for a, z in zip(alpha, marks, strict=True)) for u in words) + 0.25
+    assert abs(model.margins(data, np.array([0, len(data)]))[0] - want) < 1e-3
+
+
+def test_spaced_letters_of_any_alphabet_are_one_unit():
+    def cut(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        a, b, _ = toxicity.units(data, np.array([0, len(data)]))
+        return [data[x:y].tobytes().decode() for x, y in zip(a, b, strict=True)]
+
+    assert cut("un i m b é c i l ici") == ["un", "i m b é c i l", "ici"]
+    assert cut("д у р а к !") == ["д у р а к", "!"] and cut("a – b 😀 c") == ["a", "–", "b", "😀", "c"]
+    whole, spaced = "imbécil".encode(), "i m b é c i l".encode()
+    assert toxicity.kernel([spaced], [whole])[0, 0] > 0.5
+
+
+def test_training_reads_a_bounded_sample(spark, monkeypatch):
+    rows = [(k, "x" * 1000) for k in range(20)] * 2
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    read = []
+    monkeypatch.setattr(toxicity, "train", lambda docs, prior: read.extend(docs))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 7000)
+    toxicity.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    assert len(read) == 6  # three ids of two rows
+
+
+def test_quality_scores_equal_means_of_vectors():
+    rng = np.random.default_rng(3)
+    texts = ["", "one", "Two two TWO, three!", "é ß 日本 " * 30, " ".join(rng.choice(["alpha", "Beta.", "42", "x"], 500))]
+    vectors, out, bias = rng.standard_normal((quality.BUCKETS, 4)), rng.standard_normal((4, 2)), np.array([0.3, -0.2])
+    data, offsets = T.flat(pa.array(texts))
+    found = [np.concatenate(x) for x in zip(*quality.features(data, offsets), strict=True)]
+    got = quality.score_batch(quality.Model(vectors @ (out[:, 1] - out[:, 0]), bias[1] - bias[0]), data, offsets)
+    for k, score in enumerate(got):
+        mine = found[0][(found[1] >= offsets[k]) & (found[1] < offsets[k + 1])]
+        z = (vectors[mine].mean(axis=0) if len(mine) else np.zeros(4)) @ out + bias
+        assert abs(score - np.exp(z[1]) / np.exp(z).sum()) < 1e-9
+
+
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_take_ids_of_any_type(spark, module, label):
+    docs = spark.createDataFrame([(f"d{k}", f"plain words {k}" if k % 2 else f"odd stupid idiot {k}") for k in range(40)] + [(None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{k}", 1 - k % 2) for k in range(40)], f"doc_id string, {label} int")
+    assert module.score(docs, module.fit(docs, labels)).count() == 41
+
+
 def test_kernel_stands_gaps_and_inserted_letters():
     words = [b"idiot", b"idxiot", b"id-iot", b"i d i o t", b"1d10t", b"theater"]
     near = toxicity.kernel(words, [b"idiot"])[:, 0]

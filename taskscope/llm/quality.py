@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                     [batch.column("id").slice(k, 1), batch.column("y").slice(k, 1), pa.array([at.tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary())], ["id", "y", "at", "part"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.expr("id = _id")).select(F.col("id").cast("long").alias("id"), "y", "text")
-    got = rows.mapInArrow(run, "id long, y int, at binary, part binary").toArrow().to_pylist()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.expr("id = _id")).select("id", "y", "text")
+    got = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, y int, at binary, part binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["id"], r["at"]))
     data = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["part"], np.float32), r["y"]) for r in got]
     return train(data, share if share is not None else 0.5)

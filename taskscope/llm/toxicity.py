@@ -16,7 +16,10 @@ A trained machine is a sum over landmarks, and the kernel a sum over subsequence
 weight for each subsequence. A unit's margin is then a sum of table entries over its norm, and a document's the largest
 of its units.
 
-Training reads at most ``SAMPLE`` labelled documents of each label (those with the least hash of their id).
+Training reads at most ``SAMPLE`` labelled documents of each label (those with the least hash of their id), and of these
+as many as ``SAMPLE_BYTES`` hold. Of their units it takes all that tell of toxicity as witnesses; landmarks are chosen among
+the ``CANDIDATES`` most frequent ones; clean units that it trains on are the ``COMMON`` most frequent, ``OTHERS`` by hash and
+all that come near the margin in a round; ``ALTERED`` common ones join with gaps and inserted letters. Scoring has no limits.
 
 Defined results: a null or empty text has no unit and gets the least score; ids with contradictory or null labels aren't
 learned from; without documents of both labels every score is the frequency of label 1 (0.5 without any); rows that
@@ -32,14 +35,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens as T
 from .quality import bounded, held_out, labelled
 
 #: Labelled documents of each label that training reads at most.
 SAMPLE = 1000
+#: Bytes of text that training reads at most: they are on the driver.
+SAMPLE_BYTES = 64 << 20
 LANDMARKS = 160
+#: Bounds of training: frequent units among which landmarks are chosen; clean units that are frequent, others, and altered.
+CANDIDATES, COMMON, OTHERS, ALTERED = 600, 2000, 4000, 300
 DECAY, SPAN = 0.5, 9
 _WINDOW, _STRIDE = 28, 8  # bytes of a long unit that are judged together
 _SLICE = 2 << 20
@@ -52,6 +59,10 @@ for _k in range(26):
 _CLASS[128:] = 27 + (np.arange(128, 256) & 31)
 for _sign, _letter in ((b"0", b"o"), (b"1", b"i"), (b"3", b"e"), (b"4", b"a"), (b"5", b"s"), (b"7", b"t"), (b"@", b"a"), (b"$", b"s")):
     _CLASS[_sign[0]] = _CLASS[_letter[0]]
+#: First bytes of letters: those of other characters beyond ASCII are mostly signs.
+_ALONE = _CLASS > 0
+_ALONE[128:] = False
+_ALONE[0xC3:0xE0] = _ALONE[0xE3:0xED] = True
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -59,7 +70,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Start and end byte of the units of a batch, and the first unit of each row."""
     starts, ends, first = T.words(data, offsets)
     n = len(starts)
-    single = (ends - starts == 1) & (_CLASS[data[starts]] > 0) if n else np.zeros(0, bool)
+    # one letter, of however many bytes
+    letters = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    single = (letters[ends] - letters[starts] == 1) & _ALONE[data[starts]] if n else np.zeros(0, bool)
     joins = np.zeros(n, bool)  # to the word before it
     if n:
         joins[1:] = single[1:] & single[:-1]
@@ -193,7 +206,7 @@ def _altered(unit: bytes, rng: np.random.Generator) -> list[bytes]:
 
 def _spread(names: list[bytes], count: Counter, k: int) -> list[bytes]:
     """Frequent units, each the farthest from those before it."""
-    names = sorted(names, key=lambda n: (-count[n], n))[:600]
+    names = sorted(names, key=lambda n: (-count[n], n))[:CANDIDATES]
     if len(names) <= k:
         return names
     chosen = [0]
@@ -252,8 +265,8 @@ def train(docs: list[tuple[str, int]], prior: float, landmarks: int = LANDMARKS,
     toxic = Counter(u for bag, y in bags if y for u in bag)
     toxic_units = sorted(toxic)
     worth = {u: max((odds.get(f, -9.0) for f in _fragments(u)), default=-9.0) for u in toxic_units}
-    common = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:2000]]
-    rare = sorted(clean, key=lambda u: hash_of(u))[:4000]
+    common = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]
+    rare = sorted(clean, key=lambda u: hash_of(u))[:OTHERS]
     negatives = sorted(set(common + rare))
     model, found = None, Counter()
     for attempt in range(_ROUNDS):
@@ -279,7 +292,7 @@ def train(docs: list[tuple[str, int]], prior: float, landmarks: int = LANDMARKS,
         white = vectors[:, keep] / np.sqrt(values[keep])
         bad = sorted(found)
         altered = [(v, found[u]) for u in bad for v in _altered(u, rng)]
-        other = [v for u in hard + common[:300] for v in _altered(u, rng)]
+        other = [v for u in hard + common[:ALTERED] for v in _altered(u, rng)]
         names = bad + [v for v, _ in altered] + negatives + other
         y = np.array([1] * (len(bad) + len(altered)) + [-1] * (len(negatives) + len(other)))
         weight = np.array([float(found[u]) for u in bad] + [c / 3 for _, c in altered] + [1.0] * (len(negatives) + len(other)))
@@ -329,7 +342,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     known = labelled(labels, label, id_col)
     share = known.agg(F.avg("y")).first()[0]
     chosen = F.broadcast(bounded(known, sample))  # at most twice the sample
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.expr("id = _id")).select("id", "text", "y").collect()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.expr("id = _id")).select("id", "text", "y")
+    # rows of one id are all read or none
+    before = Window.orderBy("_hash", "id").rangeBetween(Window.unboundedPreceding, 0)
+    small = found.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).withColumn("_hash", F.xxhash64("id"))
+    fits = small.withColumn("_sum", F.sum("bytes").over(before)).where(F.col("_sum") <= SAMPLE_BYTES).select(F.col("id").alias("_fits"))
+    rows = found.join(F.broadcast(fits), F.expr("id = _fits"), "left_semi").collect()
     return train([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.text or ""))], share if share is not None else 0.5)
 
 
@@ -347,7 +365,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents below the threshold, as they are. Each is judged where it lies; nothing is shuffled."""
+    """The documents below the threshold, as they are. Each is judged where it lies; nothing is shuffled. A model that has learned nothing rejects nothing."""
+    if model.table is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,11 @@
 
 Each stage takes the documents that the one before it kept, with all their columns, and returns those that it keeps; the
 last one returns their tokens. Between stages the documents are written as Parquet in the shared folder.
+
+Defined results: a null text counts as empty, and of empty texts one stays; rows with a null id are documents like others,
+of which exact copies and near copies go, and whose class they name only where no row with an id does; of rows that
+repeat one stays; texts are read whole, very long ones too; columns that a stage doesn't know are kept, whatever their
+names; without labels of both kinds nothing is learned and nothing rejected; an empty table gives no rows.
 """
 
 from __future__ import annotations

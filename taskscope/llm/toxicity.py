@@ -49,7 +49,7 @@ LANDMARKS = 160
 CANDIDATES, COMMON, OTHERS, ALTERED = 600, 2000, 4000, 300
 DECAY, SPAN = 0.5, 9
 _WINDOW, _STRIDE = 28, 8  # bytes of a long unit that are judged together
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _ROUNDS = 3
 
 _KINDS = 59  # letters a to z, then bytes beyond ASCII by their low bits, which upper and lower case share

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -153,10 +153,14 @@ _PAIRS = "query_id {q}, id {i}, similarity double"
 
 
 #: Bytes of the vectors of one block of queries, and of one slice of the index.
-_BLOCK_BYTES, _SLICE_BYTES = 4 << 20, 32 << 20
+_BLOCK_BYTES, _SLICE_BYTES = 4 << 20, 8 << 20
+#: Bytes of the similarities that a task holds at once: some queries of its block against its slice.
+_HELD_BYTES = 32 << 20
+#: Rows of a slice whose best one stands for them when the bar is sought.
+_GROUP = 64
 
 
-def _kernels(k: int):
+def _kernels(k: int, held: int):
     """Numpy helpers shipped by value with the tasks."""
 
     def by_length(vectors) -> list:
@@ -168,21 +172,46 @@ def _kernels(k: int):
         norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
-    def best(query_ids, q, ids, x) -> pd.DataFrame:
-        """Best ``k`` rows of ``x`` for each row of ``q`` and every row level with the last of them.
+    def first_of_level(row, sims, at, ids, n):
+        """The first ``n`` by id of the rows that are level for a query."""
+        order = np.lexsort((ids[at], sims, row))
+        row, at, sims = row[order], at[order], sims[order]
+        heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (sims[1:] != sims[:-1])))
+        nth = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row))))
+        return row[nth < n], at[nth < n]
+
+    def best(query_ids, q, ids, x) -> Iterator[pd.DataFrame]:
+        """Best ``k`` rows of ``x`` for each row of ``q`` and every row level with the last of them, some queries at a time.
 
         Two vectors are compared over the length of the shorter one.
         """
-        sims = np.zeros((len(q), len(x)))
-        for at_q, a in by_length(q):
-            for at_x, b in by_length(x):
-                n = min(a.shape[1], b.shape[1])
-                sims[np.ix_(at_q, at_x)] = unit(a[:, :n]) @ unit(b[:, :n]).T
-        n = min(k, len(ids))
-        # scores are compared after rounding to 3 decimals, so the bar leaves room for ties
-        bar = np.partition(sims, len(ids) - n, axis=1)[:, len(ids) - n] - 4e-3
-        row, at = np.nonzero(sims >= bar[:, None])
-        return pd.DataFrame({"query_id": query_ids[row], "id": ids[at], "similarity": sims[row, at]})
+        slices = [(at, m, {m.shape[1]: unit(m)}) for at, m in by_length(x)]
+        step, n = max(1, held // (8 * len(ids))), min(k, len(ids))
+        ordered, groups = not pd.isna(ids).any(), len(ids) // _GROUP
+        for first in range(0, len(q), step):
+            some = q[first:first + step]
+            sims = None
+            for at_q, a in by_length(some):
+                for at_x, b, units in slices:
+                    size = min(a.shape[1], b.shape[1])
+                    if size not in units:
+                        units[size] = unit(b[:, :size])
+                    found = unit(a[:, :size]) @ units[size].T
+                    if found.shape == (len(some), len(ids)):
+                        sims = found
+                    else:
+                        sims = np.zeros((len(some), len(ids))) if sims is None else sims
+                        sims[np.ix_(at_q, at_x)] = found
+            sims = np.zeros((len(some), len(ids))) if sims is None else sims
+            # the n-th best of the heads of groups is no better than the n-th best row
+            tops = sims[:, :groups * _GROUP].reshape(len(some), groups, _GROUP).max(axis=2) if groups >= n else sims
+            # scores are compared after rounding to 3 decimals, so the bar leaves room for ties
+            bar = np.partition(tops, tops.shape[1] - n, axis=1)[:, tops.shape[1] - n] - 4e-3
+            row, at = np.nonzero(sims >= bar[:, None])
+            if ordered and len(row) > 4 * n * len(some):
+                # of rows level with one another only the first can be among the best
+                row, at = first_of_level(row, sims[row, at], at, ids, n)
+            yield pd.DataFrame({"query_id": query_ids[first:first + step][row], "id": ids[at], "similarity": sims[row, at]})
 
     return best
 
@@ -193,16 +222,16 @@ def _parts(df: DataFrame, limit: int) -> int:
 
 
 def similarity_top_k(
-    queries: DataFrame, index: DataFrame, k: int, min_score: float = 0.0, block_bytes: int = _BLOCK_BYTES, slice_bytes: int = _SLICE_BYTES
+    queries: DataFrame, index: DataFrame, k: int, min_score: float = 0.0, block_bytes: int = _BLOCK_BYTES, slice_bytes: int = _SLICE_BYTES, held_bytes: int = _HELD_BYTES,
 ) -> DataFrame:
     """Exact ``k`` most similar index rows per query: ``score = (cosine + 1) / 2``, 3 decimals.
 
     ``queries(query_id, vector)``, ``index(id, vector)``; a vector of norm 0 has similarity 0. Queries are cut in
-    blocks and the index in slices, both bounded in bytes, and each task compares one block with one slice and returns
-    only its best rows. The exact scan costs queries x index.
+    blocks and the index in slices, both bounded in bytes, and each task compares one block with one slice, some queries at
+    a time so that its similarities are bounded too, and returns only its best rows. The exact scan costs queries x index.
     """
     schema = _PAIRS.format(q=queries.schema["query_id"].dataType.simpleString(), i=index.schema["id"].dataType.simpleString())
-    best = _kernels(k)
+    best = _kernels(k, held_bytes)
     blocks, slices = _parts(queries, block_bytes), _parts(index, slice_bytes)
     number = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
     left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).withColumn("s", F.explode(number(slices)))
@@ -211,7 +240,7 @@ def similarity_top_k(
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return best(q["query_id"].to_numpy(), q["vector"].to_numpy(), x["id"].to_numpy(), x["vector"].to_numpy())
+        return pd.concat(best(q["query_id"].to_numpy(), q["vector"].to_numpy(), x["id"].to_numpy(), x["vector"].to_numpy()))
 
     pairs = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, schema)
     score = half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("similarity") + 1) / 2)), 3)

@@ -79,6 +79,26 @@ def test_vector_blocks_equal_brute_force(spark):
         assert np.allclose([one[(q, k)][1] for k in range(1, 5)], best, atol=6e-4)
 
 
+def test_vector_task_holds_some_similarities_at_a_time(spark):
+    vectors = np.random.default_rng(2).normal(size=(400, 6)).round(1)
+    vectors[200:] = vectors[:200]  # each one twice
+    vectors[100:120] = vectors[100]  # and one of them forty times
+    vectors[300:320] = vectors[100]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, vector array<float>")
+    queries = df.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    whole = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.similarity_top_k(queries, df, 4).collect()}
+    some = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.similarity_top_k(queries, df, 4, held_bytes=3 * 8 * 400).collect()}
+    assert whole == some and len(whole) == 4 * 134
+    assert [whole[(102, k)][0] for k in (1, 2, 3, 4)] == [100, 101, 102, 103]
+    best, sizes = retrieval._kernels(4, 3 * 8 * 400), []
+    rows = [np.array(v) for v in vectors]
+    column = np.empty(len(rows), object)
+    column[:] = rows
+    for part in best(np.arange(400), column, np.arange(400), column):
+        sizes.append(part["query_id"].nunique())
+    assert max(sizes) == 3 and sum(sizes) == 400
+
+
 def test_import_resolution(table):
     files = table([("r", "src/a.ts"), ("r", "src/b/index.ts"), ("r", "src/b.ts")], "repo string, path string")
     imports = table([("r", "src/m/x.ts", "../a"), ("r", "src/m/x.ts", "../b"), ("r", "src/m/x.ts", "../gone"), ("r", "src/m/x.ts", "../../../up")], "repo string, path string, specifier string")

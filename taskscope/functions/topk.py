@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .skew import top_n
 
@@ -41,12 +41,15 @@ def rank_safe(
     points = F.map_from_entries("_sig")
     more = F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["weight"] * F.coalesce(F.try_element_at(points, t["token"]), F.lit(0)))
     known = pairs.join(items, ["group", "item"]).join(tasks, ["group", "task_id"]).select("group", "task_id", "item", "order", "bonus", "n", (F.col("_rare") + more).alias("overlap"))
-    alike = top_n(items.where(F.size("_sig") > 0), ["group", "_sig", "bonus"], [F.col("order")], k, rank="_nth")
-    heads = alike.where("_nth = 1").select("group", "_sig", "bonus", F.col("order").alias("_first"), F.explode("_sig").alias("_t"))
-    met = terms.where(frequent).join(heads.select("group", F.col("_t.token").alias("token"), F.col("_t.points").alias("points"), "_sig", "bonus", "_first"), ["group", "token"])
-    met = met.groupBy("group", "task_id", "n", "_sig", "bonus", "_first").agg(F.sum(F.col("weight") * F.col("points")).alias("overlap"))
+    kind = Window.partitionBy("group", "_sig", "bonus").orderBy("order")
+    alike = items.where(F.size("_sig") > 0).select("*", F.row_number().over(kind).alias("_nth"), F.struct(F.first("order").over(kind)).alias("_first")).where(F.col("_nth") <= k)
+    # the first item of a signature stands for it, so that no row for a task and a signature carries the signature's tokens
+    heads = alike.where("_nth = 1").select("group", "bonus", "_first", F.explode("_sig").alias("_t"))
+    members = alike.select("group", "_first", "item", "order")
+    met = terms.where(frequent).join(heads.select("group", F.col("_t.token").alias("token"), F.col("_t.points").alias("points"), "bonus", "_first"), ["group", "token"])
+    met = met.groupBy("group", "task_id", "n", "bonus", "_first").agg(F.sum(F.col("weight") * F.col("points")).alias("overlap"))
     best = top_n(met.withColumn("_s", score(F.col("overlap"), F.col("bonus"), F.col("n"))), ["group", "task_id"], [F.desc("_s"), F.col("_first")], k, rank="_place")
-    others = best.select("group", "task_id", "n", "_sig", "bonus", "overlap").join(alike, ["group", "_sig", "bonus"])
+    others = best.select("group", "task_id", "n", "_first", "bonus", "overlap").join(members, ["group", "_first"])
     others = others.select("group", "task_id", "item", "order", "bonus", "n", F.col("overlap").cast("double").alias("overlap"))
     # a candidate may come both ways; its whole overlap is the larger one
     return known.unionByName(others).groupBy("group", "task_id", "item", "order", "bonus", "n").agg(F.max("overlap").alias("overlap"))

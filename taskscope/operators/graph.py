@@ -96,6 +96,9 @@ def expand_catalog(
     """
     front = seeds.select("task_id", "id", F.col("rank").cast("long").alias("place"))
     visited = front.select("task_id", "id").distinct()
+    # Derived names are far longer than the keys from which their size is estimated: a relation table that grows with the
+    # catalog is never sent whole through the driver.
+    edges, nodes = edges.hint("shuffle_merge"), nodes.select("id").distinct().hint("shuffle_merge")
     found = None
     for level in range(1, depth + 1):
         steps = front.join(edges, front["id"] == edges["src"]).select(
@@ -115,7 +118,7 @@ def expand_catalog(
         found = reached if found is None else found.unionByName(reached)
         visited = visited.unionByName(front.select("task_id", "id"))
         front = front.select("task_id", "id", F.col("place").cast("long").alias("place"))
-    known = found.join(nodes.select("id").distinct(), "id", "left_semi")
+    known = found.join(nodes, "id", "left_semi")
     ranked = top_n(known, ["task_id"], [F.col("level"), F.col("_o")], limit)
     return ranked.select(
         "task_id", "id", "level", "rank", F.lit(0.62).alias("score"), F.lit(1.0).alias("graph_score"),

@@ -99,6 +99,17 @@ def test_vector_task_holds_some_similarities_at_a_time(spark):
     assert max(sizes) == 3 and sum(sizes) == 400
 
 
+def test_top_baseline_joins_signatures_by_their_first_item(table):
+    cases = table([(i, f"alpha beta gamma word{i}") for i in range(6)], "case_id int, prompt string")
+    items = table([(f"i{j}", "alpha beta" if j % 2 else "gamma alpha", ["beta"]) for j in range(9)] + [(None, "alpha", ["alpha"])], "id string, description string, positive_prompts array<string>")
+    out = relevance.top_baseline(cases, items, 3, often=2)
+    every = relevance.baseline_score(cases, items).collect()
+    want = {(c, k): (r.id, r.score) for c in range(6) for k, r in enumerate(sorted((r for r in every if r.case_id == c), key=lambda r: (-r.score, r.id is not None, r.id))[:3], 1)}
+    assert {(r.case_id, r.rank): (r.id, r.score) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join " in line and "_sig" in line]
+
+
 def test_import_resolution(table):
     files = table([("r", "src/a.ts"), ("r", "src/b/index.ts"), ("r", "src/b.ts")], "repo string, path string")
     imports = table([("r", "src/m/x.ts", "../a"), ("r", "src/m/x.ts", "../b"), ("r", "src/m/x.ts", "../gone"), ("r", "src/m/x.ts", "../../../up")], "repo string, path string, specifier string")
@@ -116,6 +127,16 @@ def test_catalog_expansion_visits_once(table):
     assert two == {"b": 1, "d": 2}
 
 
+def test_catalog_expansion_never_broadcasts_relations(table):
+    edges = table([("a", "b", "related_to", 0), ("b", "d", "depends_on", 0)], "src string, dst string, type string, pos int").limit(2)
+    seeds = table([(1, "a", 0)], "task_id int, id string, rank int")
+    out = graph.expand_catalog(seeds, edges, edges.select(F.col("src").alias("id")), depth=2)
+    assert {(r.id, r.level) for r in out.collect()} == {("b", 1)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    joins = [line for line in plan.splitlines() if "Join" in line and ("src#" in line or "[id#" in line) and "LeftAnti" not in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+
+
 def test_calibration_order(table):
     rows = [(0.9, False, False, False, 0.0, 0.9), (0.3, True, False, False, 0.0, 0.8), (0.5, True, True, False, 0.0, 0.5), (0.5, True, True, True, 0.0, 0.5), (0.9, True, True, True, 1.0, 0.5)]
     df = table(rows, "score double, p boolean, d boolean, f boolean, neg double, sem double")

@@ -137,6 +137,17 @@ def test_catalog_expansion_never_broadcasts_relations(table):
     assert joins and not [line for line in joins if "Broadcast" in line]
 
 
+def test_leading_workflows_hold_the_best_ones(table):
+    tasks = table([(1, "please review the upload flow 12"), (2, "add tests for payment and planner"), (3, "")], "task_id int, prompt string")
+    texts = [("Docs update", "testing of reviews"), ("upload flow", "notifications"), ("", "payment"), (None, None)]
+    rows = [(f"flow {i}", *texts[i % 4], ["planner", "payment"] if i % 2 else ["tester"], "project" if i % 3 else "global") for i in range(200)]
+    flows = table(rows + rows[:9] + [("review", "x", "y", [], "global"), (None, "upload flow", "y", [], "global")], "name string, title string, description string, chain array<string>, scope string")
+    best = lambda some: sorted(map(tuple, catalog.choose_workflows(catalog.score_workflows(tasks, some)).select("task_id", "rank", "name", "score").collect()))
+    few = catalog.leading_workflows(tasks, flows)
+    assert best(few) == best(flows) and best(few)
+    assert few.count() < 60
+
+
 def test_calibration_order(table):
     rows = [(0.9, False, False, False, 0.0, 0.9), (0.3, True, False, False, 0.0, 0.8), (0.5, True, True, False, 0.0, 0.5), (0.5, True, True, True, 0.0, 0.5), (0.9, True, True, True, 1.0, 0.5)]
     df = table(rows, "score double, p boolean, d boolean, f boolean, neg double, sem double")

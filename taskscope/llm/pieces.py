@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as T
 
-_SLICE = 4 << 20
+_SLICE = 1 << 20  # bytes of text that are encoded at once; their flat arrays take some hundred times as much
 _CACHE = 400_000  # distinct parts that a task remembers
 _LONG = 1024  # bytes of a part that hardly comes again; these are forgotten once they fill a slice
 _PATIENCE = 64  # rounds with single merges before the sequential rule takes over

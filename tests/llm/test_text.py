@@ -109,6 +109,19 @@ def check_pieces(texts):
         assert decoded[k] == sp.decode(want)
 
 
+def test_pieces_of_a_slice_take_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(pieces._SLICE // 9))
+    coder = pieces.Encoder(pieces.load(MODEL))
+    tracemalloc.start()
+    coder.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+
+
 def test_pieces_equal_the_library():
     check_pieces([w for n in (1024, 2048) for w in thue_morse(n)])
     check_pieces(["", None, " ", "  a", "a  b\t\nc ", "ﬁ①Ａ", "\u0000x", "▁a", "a▁▁b", "日本 語", " " * 37, " " * 5000 + "ab", "a" * 3000, "=-" * 500, "<s></s><0x41>", "​x"])

@@ -465,16 +465,14 @@ def parse_workflow_docs(docs: DataFrame, text: str = "text", path: str = "path",
         F.regexp_extract_all(body, F.lit(r"(?i)`([a-z][a-z0-9-]*(?:-agent)?)`"), F.lit(1)),
         lambda n: F.regexp_replace(F.lower(n), "-agent$", ""),
     )
-    named = F.filter(
-        F.array(*[F.when(matches(body, rf"\b{n}\b", ignore_case=True), n) for n in C.AGENT_NAMES]), lambda n: n.isNotNull()
-    )
+    # a plain search of the lower-cased text comes before each pattern
+    named = _let(F.lower(body), lambda low: F.filter(
+        F.array(*[F.when(low.contains(n) & matches(body, rf"\b{n}\b", ignore_case=True), n) for n in C.AGENT_NAMES]), lambda n: n.isNotNull()
+    ))
     chain = F.array_distinct(F.concat(F.filter(quoted, lambda n: F.array_contains(known, n)), named))
-    first = _first_nonblank(
-        F.transform(
-            F.filter(_paragraphs(body), lambda p: ~p.rlike(r"^\s*#")),
-            lambda p: squash(F.regexp_replace(F.regexp_replace(p, r"(?m)^#+\s*", ""), "[*_`#>-]", "")),
-        )
-    )
+    # the paragraphs that keep something when cleaned; only the first of them is cleaned
+    told = F.get(F.filter(_paragraphs(body), lambda p: p.rlike(r"[^\s*_`#>-]") & ~p.rlike(r"^\s*#")), F.lit(0))
+    first = squash(F.regexp_replace(F.regexp_replace(told, r"(?m)^#+\s*", ""), "[*_`#>-]", ""))
     parsed = docs.where(F.octet_length(raw) >= min_bytes).select(
         *keep, stem.alias("name"), F.coalesce(F.nullif(title, F.lit("")), from_file).alias("title"),
         titles.alias("_titles"), chain.alias("chain"), first.alias("_first"),
@@ -490,8 +488,10 @@ def parse_workflow_docs(docs: DataFrame, text: str = "text", path: str = "path",
         ),
         lambda p: p != "",
     )
-    out = parsed.select(*keep, "name", "title", truncate_description(F.array_join(parts, " — ")).alias("description"), "chain")
-    return out.where(F.col("description") != "")
+    # as elements of an array, so that the test of the description is not pushed down with all that it is made of
+    row = F.struct("name", "title", truncate_description(F.array_join(parts, " — ")).alias("description"), "chain")
+    out = parsed.select(*keep, F.explode(F.filter(F.array(row), lambda r: r["description"] != "")).alias("_r"))
+    return out.select(*keep, "_r.*")
 
 
 # --- mentions and identifiers -------------------------------------------------

@@ -555,13 +555,19 @@ def mentions(tasks: DataFrame, prompt: str = "prompt") -> DataFrame:
     return tasks.select(*keep, F.explode(kinds).alias("_m")).select(*keep, "_m.kind", "_m.mention", "_m.pos")
 
 
+# Words of two capitals or more, and letters or digits with separators between. A run of letters or digits ends where no
+# word goes on, so it is never given back.
+_CAMEL = r"[A-Z](?<![A-Za-z0-9_][A-Z])[a-z0-9]*+[A-Z][A-Za-z0-9]*+(?![A-Za-z0-9_])"
+_JOINED = r"(?<![A-Za-z0-9_])[A-Za-z0-9]++(?:[-_.][A-Za-z0-9]++)+(?![A-Za-z0-9_])"
+
+
 def identifiers(col: Column) -> Column:
     """Backticked, camel-case and separator-joined identifiers, in that order."""
     text = clean(col)
     return F.concat(
         F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(pattern(r"\b[A-Z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*)+\b")), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(pattern(r"(?i)\b[a-z0-9]+(?:[-_.][a-z0-9]+)+\b")), F.lit(0)),
+        F.regexp_extract_all(text, F.lit(_CAMEL), F.lit(0)),
+        F.regexp_extract_all(text, F.lit(_JOINED), F.lit(0)),
     )
 
 
@@ -570,8 +576,12 @@ def phrases(col: Column, limit: int | None = None) -> Column:
     head = tokenize(col, "graph")
     if limit is not None:
         head = F.slice(head, 1, limit + 1)
-    n = F.greatest(F.size(head) - 1, F.lit(0))
-    return F.zip_with(F.slice(head, F.lit(1), n), F.slice(head, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    def pairs(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    return _let(head, pairs)
 
 
 def hint_tokens(manifests: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,3 +14,10 @@ def test_workflow_documents_are_read_once(spark):
     assert set(rows) == {"w/a.md", "w/b.md", "w/.md"}
     assert rows["w/a.md"]["chain"] == ["scout", "scout-external"]
     assert rows["w/a.md"]["description"] == "T — delegates to scout, scout-external agents — Use the ScoutExternal"
+
+
+def test_identifiers_never_give_a_run_back(spark):
+    text = "A" * 300 + "_ " + "B" * 300 + "é FooBar fooBar Foo X2Y a.b.c_ A-1 é.b-c _x.y `q r`"
+    df = spark.createDataFrame([(text,)], "t string")
+    (found,) = df.select(parsing.identifiers(F.col("t")).alias("i")).first()
+    assert found == ["q r", "B" * 300, "FooBar", "X2Y", "a.b", "A-1", "b-c"]

@@ -58,7 +58,7 @@ def _accent_table() -> tuple[str, str]:
 def fold_accents(col: Column) -> Column:
     src, dst = _accent_table()
     folded = F.regexp_replace(F.translate(col, src, dst), "[̀-ͯ]", "")
-    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
+    return F.when(F.octet_length(col) > F.length(col), folded).otherwise(col)
 
 
 def each(name: str) -> Column:
@@ -93,12 +93,22 @@ def squash(col: Column) -> Column:
 _LOOSE_SEPARATORS = r"(?<![a-z0-9._-])[._-]++|[._-]++(?![a-z0-9])"
 
 
+def _runs(text: Column, regex: str) -> Column:
+    """All matches, in order; to look for a class of few characters is several times as fast as to split at all others."""
+    return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+
+
+def _joined(text: Column, first: str, second: str) -> Column:
+    """The two words as one; a text without them meets no pattern."""
+    whole = lambda t: F.when(t.contains(first) & t.contains(second), F.regexp_replace(t, rf"{first}\s+{second}", f"{first}-{second}")).otherwise(t)
+    return F.element_at(F.transform(F.array(text), whole), 1)
+
+
 def _rule_tokens(col: Column) -> Column:
     text = fold_accents(F.lower(clean(col)))
-    joins = [F.regexp_replace(text, rf"{C.PHRASE_JOINS[0][0]}\s+{C.PHRASE_JOINS[0][1]}", "-".join(C.PHRASE_JOINS[0]))]
-    for first, second in C.PHRASE_JOINS[1:]:
-        joins.append(F.regexp_replace(joins[-1], rf"{first}\s+{second}", f"{first}-{second}"))
-    words = F.split(F.regexp_replace(joins[-1], _LOOSE_SEPARATORS, " "), "[^a-z0-9_.-]+")
+    for first, second in C.PHRASE_JOINS:
+        text = _joined(text, first, second)
+    words = _runs(F.regexp_replace(text, _LOOSE_SEPARATORS, " "), "[a-z0-9_.-]+")
 
     def with_parts(word: Column) -> Column:
         return F.when(
@@ -128,7 +138,7 @@ def _eval_tokens(col: Column) -> Column:
 
 def _graph_terms(col: Column) -> Column:
     return F.filter(
-        F.split(fold_accents(F.lower(clean(col))), "[^a-z0-9]+"),
+        _runs(fold_accents(F.lower(clean(col))), "[a-z0-9]+"),
         lambda w: (F.length(w) > 2) & ~w.isin(C.GRAPH_STOP_WORDS),
     )
 

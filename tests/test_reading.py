@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from taskscope.functions.text import tokenize
 from taskscope.operators import parsing
 
 
@@ -21,3 +22,15 @@ def test_identifiers_never_give_a_run_back(spark):
     df = spark.createDataFrame([(text,)], "t string")
     (found,) = df.select(parsing.identifiers(F.col("t")).alias("i")).first()
     assert found == ["q r", "B" * 300, "FooBar", "X2Y", "a.b", "A-1", "b-c"]
+
+
+def test_words_are_looked_for_not_split(spark):
+    texts = ["Kiem  duyet tai\tlen, a.b-c -x- Édition e\u0301t\u00e9 thong bao K\u212a_1 the of", "", None, "  ", "ß ſ x", "kiem duyetai len", "é", "one"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    rows = df.select("n", tokenize(F.col("t")).alias("rule"), tokenize(F.col("t"), "graph").alias("graph"))
+    assert "[^a-z0-9" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["n"]: (r["rule"], r["graph"]) for r in rows.collect()}
+    assert found[0][0] == ["kiem-duyet", "kiem", "duyet", "tai-len", "tai", "len", "a.b-c", "edition", "ete", "thong-bao", "thong", "bao", "kk_1", "kk"]
+    assert found[0][1] == ["kiem", "duyet", "tai", "len", "edition", "ete", "thong", "bao"]
+    assert found[5][0] == ["kiem-duyetai-len", "kiem", "duyetai", "len"]
+    assert all(found[n] == ([], []) for n in (1, 2, 3, 4, 6)) and found[7] == (["one"], ["one"])

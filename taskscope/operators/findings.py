@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from ..session import stored
+from ..session import compiled_methods, stored
 from ..functions.skew import first_per
 from ..functions.text import weight
 
@@ -148,11 +149,12 @@ class Registry:
             if only and check_id not in only:
                 continue
             try:
-                found = check(inputs)
-                if platform and platforms is not None and not only:
-                    users = platforms.where(F.col("platform") == platform).select("repo").distinct()
-                    found = found.join(users, "repo", "left_semi")
-                found = stored(found, "findings")
+                with compiled_methods(next(iter(inputs.values())).sparkSession) if inputs else nullcontext():
+                    found = check(inputs)
+                    if platform and platforms is not None and not only:
+                        users = platforms.where(F.col("platform") == platform).select("repo").distinct()
+                        found = found.join(users, "repo", "left_semi")
+                    found = stored(found, "findings")
             except Exception as error:
                 errors[check_id] = str(error)
                 continue

@@ -310,3 +310,18 @@ def test_evidence_rows_carry_no_texts(table):
     found = compliance.match_runtime(asked, signals)
     assert {tuple(r) for r in found.collect()} == {(1, "a", "Query_graph"), (1, "b", "query_graph")}
     assert "_gram" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checks_run_in_methods_that_java_compiles(spark, table):
+    from taskscope.operators.findings import Registry
+
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+
+    def check(inputs):
+        seen.append(int(spark.conf.get(name)))
+        return inputs["rows"]
+
+    found, ran, errors = Registry().register("one", check).run({"rows": table([("r", 1)], "repo string, line int")})
+    assert seen == [8000] and spark.conf.get(name) == before
+    assert ran == ["one"] and not errors and [tuple(r) for r in found.collect()] == [("r", 1)]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +16,8 @@ from ..operators.telemetry import latest
 from ..session import shared_folder
 
 SALTS = 8
+#: Stops or times of one value of the keyed state.
+_PIECE = 10_000
 EVENT_SCHEMA = "ts TIMESTAMP, event STRING, workspace STRING, payload STRING"
 
 
@@ -68,8 +70,10 @@ class _LastSeen(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getMapState("times", "signal string", "us array<long>")
-        self.stops = handle.getListState("stops", "workspace string, stop_id long, until long, since long")
+        # pieces of bounded size, so that no call and no list holds all times or all stops of a key
+        self.times = handle.getMapState("times", "signal string, piece long", "us array<long>")
+        self.stops = handle.getMapState("stops", "due long, piece long", "workspace array<string>, stop_id array<long>, until array<long>, since array<long>")
+        self.piece = handle.getValueState("piece", "n long")
         self.timer = handle.getValueState("timer", "ms long")
         self.handle = handle
 
@@ -83,50 +87,70 @@ class _LastSeen(StatefulProcessor):
             self.handle.registerTimer(due)
             self.timer.update((due,))
 
+    def _keep(self, workspace, stop_id, until, since) -> int:
+        """Store stops as one more piece; its earliest end."""
+        n = self.piece.get()[0] if self.piece.exists() else 0
+        self.piece.update((n + 1,))
+        due = int(until.min())
+        names = [None if pd.isna(w) else w for w in workspace]
+        self.stops.updateValue((due, n), (names, stop_id.tolist(), until.tolist(), since.tolist()))
+        return due
+
+    def _seen(self) -> dict[str, np.ndarray]:
+        """Sorted times of each signal."""
+        pieces: dict[str, list[tuple[int, np.ndarray]]] = {}
+        for (signal, n), (us,) in self.times.iterator():
+            pieces.setdefault(signal, []).append((n, np.array(us, dtype=np.int64)))
+        return {signal: np.concatenate([us for _, us in sorted(found, key=lambda x: x[0])]) for signal, found in pieces.items()}
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
-        fresh: dict[str, set[int]] = {}
-        asked = []
+        fresh: dict[str, list[np.ndarray]] = {}
+        first = None
         for batch in rows:
             marks = batch[batch["signal"].notna()]
             for signal, times in marks.groupby("signal")["us"]:
-                fresh.setdefault(signal, set()).update(times.tolist())
+                fresh.setdefault(signal, []).append(np.unique(times.to_numpy(dtype=np.int64)))
             open_ = batch[batch["signal"].isna()]
-            asked += [
-                (None if pd.isna(workspace) else workspace, int(stop), int(until), int(since))
-                for workspace, stop, until, since in zip(open_["workspace"], open_["stop_id"], open_["us"], open_["since"], strict=True)
-            ]
-        if asked:
-            self.stops.appendList(asked)
-            self._wake(min(until for _, _, until, _ in asked))
+            for at in range(0, len(open_), _PIECE):
+                some = open_.iloc[at:at + _PIECE]
+                due = self._keep(some["workspace"], *(some[c].astype("int64").to_numpy() for c in ("stop_id", "us", "since")))
+                first = due if first is None else min(first, due)
+        if first is not None:
+            self._wake(first)
         if self.timer.exists():  # the earliest open stop is not answered yet
             passed = min(passed, (self.timer.get()[0] - 1) * 1000)
+        seen = self._seen() if fresh else {}
         for signal, new in fresh.items():
-            known = self.times.getValue((signal,)) if self.times.containsKey((signal,)) else None
-            every = sorted(new | set(known[0] if known else ()))
-            old = bisect.bisect_right(every, passed)
-            self.times.updateValue((signal,), (every[max(0, old - 1):],))
+            known = seen.get(signal, np.empty(0, np.int64))
+            every = np.unique(np.concatenate([known, *new]))
+            every = every[max(0, int(np.searchsorted(every, passed, "right")) - 1):]
+            for n in range(-(-max(len(every), len(known)) // _PIECE)):
+                some = every[n * _PIECE:(n + 1) * _PIECE]
+                self.times.updateValue((signal, n), (some.tolist(),)) if len(some) else self.times.removeKey((signal, n))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        wait, out = [], []
-        seen = [(signal[0], times[0]) for signal, times in self.times.iterator()]
-        for workspace, stop, until, since in self.stops.get():
-            if until >= passed:
-                wait.append((workspace, stop, until, since))
+        seen = self._seen()
+        wait = []
+        for due, n in sorted(tuple(k) for k in self.stops.keys()):
+            if due >= passed:
+                wait.append(due)
                 continue
-            for signal, times in seen:
-                at = bisect.bisect_right(times, until) - 1
-                if at >= 0 and times[at] >= since:
-                    out.append((workspace, stop, signal))
+            workspace, stop_id, until, since = (np.array(v, dtype=t) for v, t in zip(self.stops.getValue((due, n)), (object, np.int64, np.int64, np.int64), strict=True))
+            self.stops.removeKey((due, n))
+            late = until >= passed
+            if late.any():
+                wait.append(self._keep(workspace[late], stop_id[late], until[late], since[late]))
+            for signal, times in seen.items():
+                at = np.searchsorted(times, until, "right") - 1
+                hit = ~late & (at >= 0) & (times[np.maximum(at, 0)] >= since)
+                if hit.any():
+                    yield pd.DataFrame({"workspace": workspace[hit], "stop_id": stop_id[hit], "signal": signal})
         if wait:
-            self.stops.put(wait)
-            self._wake(min(until for _, _, until, _ in wait))
-        else:
-            self.stops.clear()
-        yield pd.DataFrame(out, columns=["workspace", "stop_id", "signal"])
+            self._wake(min(wait))
 
     def close(self) -> None:
         pass

@@ -106,3 +106,74 @@ def test_late_events_count_until_the_watermark_has_passed(spark, tmp_path):
     with ev.rocksdb(spark):
         out = ev.run_available(ev.stop_signals(read(s, stops), read(e, events), "30 minutes"))
     assert sorted((r.stop_id, r.signal) for r in out.collect()) == [(1, "late"), (2, "a"), (2, "b"), (3, "a"), (3, "late")]
+
+
+class _Held(dict):
+    """Keyed state in memory that notes the longest list it was ever given."""
+
+    longest = 0
+
+    def updateValue(self, key, value):
+        _Held.longest = max([_Held.longest, *map(len, value)])
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    removeKey = dict.pop
+    getValue = dict.get
+    containsKey = dict.__contains__
+
+    # a value or a list
+    def update(self, value):
+        self["v"] = value
+
+    def appendList(self, values):
+        _Held.longest = max(_Held.longest, len(values))
+        self.setdefault("l", []).extend(values)
+
+    def exists(self):
+        return "v" in self
+
+    def get(self):
+        return self["v"]
+
+    def clear(self):
+        self.pop("v", None)
+
+
+class _Handle:
+    def getMapState(self, *_):
+        return _Held()
+
+    getListState = getValueState = getMapState
+
+    def registerTimer(self, ms):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_keyed_state_never_holds_all_stops_or_times_in_one_list():
+    import pandas as pd
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    n, clock, processor = 45_000, Clock(), ev._LastSeen()
+    _Held.longest = 0
+    processor.init(_Handle())
+    frame = lambda signal, at, **more: pd.DataFrame({"us": at, "signal": signal, "workspace": None, "stop_id": 0, "since": 0} | more)
+    ticks = [range(k, k + 9_000) for k in range(0, n, 9_000)]
+    rows = [frame("a", [2_000 * t for t in tick]) for tick in ticks] + [frame(None, [2_000 * t + 1 for t in tick], stop_id=list(tick), since=[2_000 * t + t % 2 for t in tick]) for tick in ticks]
+    list(processor.handleInputRows(("k",), iter(rows), clock))
+    assert 0 < _Held.longest <= 10_000
+    clock.now = n  # half of the stops are open still
+    half = pd.concat(processor.handleExpiredTimer(("k",), clock, None))
+    assert sorted(half["stop_id"]) == list(range(0, n // 2, 2))
+    clock.now = 3 * n
+    rest = pd.concat(processor.handleExpiredTimer(("k",), clock, None))
+    assert sorted([*half["stop_id"], *rest["stop_id"]]) == list(range(0, n, 2)) and not processor.stops

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .. import constants as C
 from ..functions import paths
@@ -127,24 +131,183 @@ def manifest_candidates(tasks: DataFrame, manifests: DataFrame, limit: int = 6)
 # --- text and vectors ---------------------------------------------------------
 
 
-def text_match(tasks: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame:
-    """Indexed files whose path or text contains task tokens: 4 per token, 3 more in the base name.
+#: Bytes of the prompts and the best files of one block of tasks, and of the files of one slice.
+_PROMPT_BYTES, _FILE_BYTES = 1 << 20, 8 << 20
+#: Bytes of the counts that a task holds at once: those of some files of its slice for its block.
+_COUNT_BYTES = 32 << 20
+#: Letters of a token that are compared as one number.
+_EXACT = 12
+
+
+def _text_counts(k: int, held: int):
+    """Numpy helper shipped by value with the tasks."""
+
+    def spans(starts, at):
+        """Places of the entries of ``at`` in a list cut at ``starts``, and how many each has."""
+        sizes = starts[at + 1] - starts[at]
+        return np.arange(sizes.sum()) + np.repeat(starts[at] - np.cumsum(sizes) + sizes, sizes), sizes
+
+    def starts_of(sizes):
+        return np.append(0, np.cumsum(np.asarray(sizes, np.int64)))
+
+    def contained(words, tokens):
+        """Numbers of the tokens inside each word, as a list cut at word starts; all words are gone through at once."""
+        text = "\n".join(words)
+        letters = np.zeros(256, np.uint8)
+        letters[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = np.arange(1, 37)
+        # up to _EXACT letters are one number, in which only the end of a word has the digit 0
+        number = lambda digits, at, n: sum(digits[at + j].astype(np.int64) * 37 ** (n - 1 - j) for j in range(n))
+        digits = letters[np.frombuffer((text + "\n" * _EXACT).encode(), np.uint8)]
+        heads = number(digits, np.arange(len(text)), 3)
+        by_size: dict[int, dict[str, list[int]]] = {}
+        for i, t in enumerate(tokens):
+            by_size.setdefault(min(len(t), _EXACT), {}).setdefault(t[:_EXACT], []).append(i)
+        places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n, starts in by_size.items():
+            some = letters[np.frombuffer("".join(starts).encode(), np.uint8)]
+            at = np.arange(len(starts)) * n
+            wanted = np.zeros(37 ** 3, bool)
+            wanted[number(some, at, 3)] = True
+            values = number(some, at, n)
+            order, place = np.argsort(values), np.flatnonzero(wanted[heads])
+            value = number(digits, place, n)
+            which = np.searchsorted(values[order], value)
+            same = values[order][np.minimum(which, len(values) - 1)] == value
+            place, which, groups = place[same], order[which[same]], list(starts.values())
+            if n < _EXACT:
+                places.append(place)
+                found.append(np.array([g[0] for g in groups])[which])
+            else:
+                longer = [(i, t) for i, g in zip(place.tolist(), which.tolist()) for t in groups[g] if text.startswith(tokens[t], i)]
+                places.append(np.array([i for i, _ in longer], np.int64))
+                found.append(np.array([t for _, t in longer], np.int64))
+        begins = starts_of([len(w) + 1 for w in words])
+        word = np.searchsorted(begins, np.concatenate(places), side="right") - 1
+        order = np.argsort(word, kind="stable")
+        return starts_of(np.bincount(word, minlength=len(words))), np.concatenate(found)[order]
+
+    def best(q: pa.Table, x: pa.Table) -> pa.Table:
+        """The ``k`` best files of ``x`` for each task of ``q``, first by path among equals; all files for a task of ``several`` repositories."""
+        words_type = pa.list_(q.schema.field("tokens").type.value_type)
+        if not q.num_rows or not x.num_rows:
+            return pa.table([q["task_id"][:0], x["path"][:0], pa.array([], pa.int64()), pa.array([], words_type)], names=["task_id", "path", "score", "tokens"])
+        listed, counts = q["tokens"].to_pylist(), q["counts"].to_pylist()
+        place = {t: i for i, t in enumerate(sorted(set().union(*listed)))}
+        names, n_tasks, n_tokens = list(place), len(listed), len(place)
+        own = [np.array([place[t] for t in ts], np.int64) for ts in listed]
+        by_token = np.argsort(flat := np.concatenate([*own, np.empty(0, np.int64)]), kind="stable")
+        asks, weights = np.repeat(np.arange(n_tasks), list(map(len, own)))[by_token], np.array([c for cs in counts for c in cs], float)[by_token]
+        ask_starts = np.searchsorted(flat[by_token], np.arange(n_tokens + 1))
+
+        # rows of a path are one file
+        paths_ = x["path"].to_pylist()
+        order = sorted(range(len(paths_)), key=lambda i: (paths_[i] is not None, paths_[i] or ""))
+        fresh = np.array([not n or paths_[i] != paths_[order[n - 1]] for n, i in enumerate(order)])
+        heads, file_of, n_files = np.array(order)[fresh], np.cumsum(fresh) - 1, int(fresh.sum())
+
+        # a word is numbered when it is met, and its tokens are looked up once
+        words = defaultdict()
+        words.default_factory = words.__len__
+        find, number = re.compile("[a-z0-9]{3,}").findall, words.__getitem__
+        hay = x["hay"]
+        rows = [np.fromiter(map(number, set(find(hay[i].as_py()))), np.int64) for i in order]
+        bases = x["name"].to_pylist()
+        bases = [np.fromiter(map(number, set(find(bases[i] or ""))), np.int64) for i in heads]
+        word_starts, in_word = contained(list(words), names)
+        met, met_starts = np.concatenate([*rows, np.empty(0, np.int64)]), starts_of(np.bincount(file_of, weights=list(map(len, rows)), minlength=n_files))
+        base, base_starts = np.concatenate([*bases, np.empty(0, np.int64)]), starts_of(list(map(len, bases)))
+
+        def points(files):
+            """Points of each token in each of some files."""
+            out = np.zeros((len(files), n_tokens), np.uint8)
+            for some, cuts, value in ((met, met_starts, 4), (base, base_starts, 7)):
+                at, each = spans(cuts, files)
+                row, word = np.repeat(np.arange(len(files)), each), some[at]
+                at, each = spans(word_starts, word)
+                out[np.repeat(row, each), in_word[at]] = value
+            return out
+
+        n_best, several = min(k, n_files), np.flatnonzero(q["several"].to_numpy())
+        top, more = np.full((n_tasks, n_best), -1, np.int64), []
+        hits = np.append(0, np.cumsum(np.diff(word_starts)[met]))[met_starts]
+        cost = np.cumsum(32 * np.diff(hits) + 25 * len(flat) + 32 * n_tasks + n_tokens)
+        for files in np.split(np.arange(n_files), np.flatnonzero(np.diff(cost // held)) + 1):
+            some = points(files)
+            file, token = np.nonzero(some)
+            at, each = spans(ask_starts, token)
+            cell = asks[at] * len(files) + np.repeat(file, each)
+            score = np.bincount(cell, weights[at] * np.repeat(some[file, token], each), n_tasks * len(files)).reshape(n_tasks, -1).astype(np.int64)
+            if len(several):
+                t, f = np.nonzero(score[several])
+                more.append((several[t], files[f], score[several[t], f]))
+            # one number that orders by score, then by path
+            top = np.concatenate([top, score * n_files + (n_files - 1 - files)], axis=1)
+            top = np.partition(top, top.shape[1] - n_best, axis=1)[:, -n_best:]
+        top[several] = -1
+        task, at = np.nonzero(top >= n_files)
+        task, file, score = map(np.concatenate, zip((task, n_files - 1 - top[task, at] % n_files, top[task, at] // n_files), *more))
+
+        reasons: list = [None] * len(task)
+        by_file = np.argsort(file, kind="stable")
+        step = max(1, held // max(1, n_tokens))
+        for first in range(0, len(by_file), step):
+            some = by_file[first:first + step]
+            files, row = np.unique(file[some], return_inverse=True)
+            found = points(files) > 0
+            for i, r in zip(some, row):
+                reasons[i] = [names[t] for t in np.sort(own[task[i]][found[r, own[task[i]]]])[:5]]
+        columns = [q["task_id"].take(pa.array(task)), x["path"].take(pa.array(heads[file])), pa.array(score, pa.int64()), pa.array(reasons, words_type)]
+        return pa.table(columns, names=["task_id", "path", "score", "tokens"])
 
-    ``tasks(task_id, repo, prompt)``, ``index(repo, path, text)``.
-    """
-    tokens = tasks.select("task_id", "repo", F.explode(tokenize(F.col("prompt"), "file")).alias("token"))
-    distinct = tokens.select("repo", "token").distinct()
+    return best
+
+
+def _one_row(index: DataFrame, large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``index(repo, path, hay, name)`` where a path of ``large`` is one row, whose text is the tokens found in its rows."""
+    same = [index["repo"] == large["repo"], index["path"].eqNullSafe(large["path"])]
+    rest, many = index.join(F.broadcast(large), same, "left_anti"), index.join(F.broadcast(large), same, "left_semi")
     # A token is one run of letters and digits, so it lies inside one word of a text:
     # tokens are matched with the distinct words once, not with every text.
-    hay = F.lower(F.concat_ws(" ", "path", "text"))
-    words = index.select("repo", "path", F.explode(F.array_distinct(F.regexp_extract_all(hay, F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    terms = tokens.select("token").distinct()
-    inside = contains_join(words.select("word").distinct().where(F.length("word") >= 3), "word", terms, "token").select("word", "token")
-    hits = words.join(inside, "word").select("repo", "path", "token").distinct().join(distinct, ["repo", "token"], "left_semi")
-    points = F.lit(4) + F.when(F.lower(paths.basename(F.col("path"))).contains(F.col("token")), 3).otherwise(0)
-    scored = tokens.join(hits.withColumn("points", points), ["repo", "token"]).groupBy("task_id", "path").agg(
-        F.sum("points").alias("score"), F.sort_array(F.collect_set("token")).alias("_tokens")
-    )
+    words = many.select("repo", "path", "name", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("word"))
+    inside = contains_join(words.select("word").distinct(), "word", tokens.select("token").distinct(), "token").select("word", "token")
+    hits = words.join(inside, "word").groupBy("repo", "path", "name").agg(F.array_join(F.collect_set("token"), " ").alias("hay"))
+    return rest.unionByName(hits)
+
+
+def text_match(
+    tasks: DataFrame, index: DataFrame, limit: int = 10, prompt_bytes: int = _PROMPT_BYTES, file_bytes: int = _FILE_BYTES, held_bytes: int = _COUNT_BYTES,
+) -> DataFrame:
+    """Indexed files whose path or text contains task tokens: 4 per token, 3 more in the base name.
+
+    ``tasks(task_id, repo, prompt)``, ``index(repo, path, text)``. Rows of a task add up, rows of a path are one file. Of each
+    repository the tasks are cut in blocks and the files in slices, both bounded in bytes; each cell of a block and a slice
+    counts some files at a time, and returns only its best rows, so that no row is made for each pair of a task and a file.
+    """
+    tokens = tasks.where(F.col("repo").isNotNull()).select("task_id", "repo", F.explode(tokenize(F.col("prompt"), "file")).alias("token"))
+    asked = tokens.groupBy("repo", "task_id", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("repo", "task_id").agg(F.collect_list(F.struct("token", "n")).alias("_t"))
+    asked = asked.select("repo", "task_id", F.col("_t.token").alias("tokens"), F.col("_t.n").alias("counts"), (F.count(F.lit(1)).over(Window.partitionBy("task_id")) > 1).alias("several"))
+    files = index.where(F.col("repo").isNotNull()).select("repo", "path", F.lower(F.concat_ws(" ", "path", "text")).alias("hay"), F.lower(paths.basename(F.col("path"))).alias("name"))
+
+    # repositories and paths above the bytes of a cell are few, as many as there are such cells at most
+    length = index.where(F.col("repo").isNotNull()).groupBy("repo", "path").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("_n"))
+    files = _one_row(files, length.where(F.col("_n") > file_bytes).select("repo", "path"), tokens)
+    cells = lambda n, most: F.ceil(F.sum(n) / most)
+    blocks = asked.groupBy("repo").agg(cells(F.octet_length(F.array_join("tokens", " ")) + 8 * limit, prompt_bytes).alias("blocks")).where("blocks > 1")
+    slices = length.groupBy("repo").agg(cells(F.col("_n"), file_bytes).alias("slices")).where("slices > 1")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(n, F.lit(1)) - 1))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1)))
+
+    def cut(df: DataFrame, b: Callable[..., Column], b_of: tuple, s: Callable[..., Column], s_of: tuple) -> DataFrame:
+        sized = df.join(F.broadcast(blocks), "repo", "left").join(F.broadcast(slices), "repo", "left")
+        return sized.withColumn("b", b(*b_of, F.col("blocks"))).withColumn("s", s(*s_of, F.col("slices"))).drop("blocks", "slices")
+
+    left, right = cut(asked, one_of, ("task_id",), every, ()), cut(files, every, (), one_of, ("path",))
+    best = _text_counts(limit, held_bytes)
+    schema = StructType([tasks.schema["task_id"], index.schema["path"], StructField("score", LongType()), StructField("tokens", ArrayType(StringType()))])
+
+    found = left.groupBy("repo", "b", "s").cogroup(right.groupBy("repo", "b", "s")).applyInArrow(best, schema)
+    # a task of several repositories may meet a path in each
+    scored = found.groupBy("task_id", "path").agg(F.sum("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("_tokens"))
     ranked = top_n(scored, ["task_id"], [F.desc("score"), F.col("path")], limit)
     return _candidate(ranked, F.col("score"), "indexed-file-text", F.concat(F.lit("indexed-file-text:"), F.array_join(F.slice("_tokens", 1, 5), ",")))
 

@@ -236,6 +236,71 @@ def test_text_match_equals_plain_counting_where_tokens_are_frequent(table):
         assert {t: sorted(v, key=lambda x: (-x[1], x[0])) for t, v in got.items()} == want, often
 
 
+def _plain_text_match(tasks, files, limit):
+    """Best files and first tokens of each task, counted row by row: ``{task: [(path, score, tokens)]}``."""
+    import re
+    from collections import defaultdict
+
+    texts = defaultdict(str)
+    for repo, path, text in files:
+        texts[repo, path] += " \n " + " ".join(x for x in (path, text) if x is not None).lower()
+    points, found = defaultdict(int), defaultdict(set)
+    for task, repo, prompt in tasks:
+        for (r, path), text in texts.items():
+            for tok in {w for w in re.split("[^a-z0-9]+", (prompt or "").lower()) if len(w) >= 3}:
+                if repo is not None and r == repo and tok in text:
+                    points[task, path] += 4 + 3 * (path is not None and tok in path.split("/")[-1].lower())
+                    found[task, path].add(tok)
+    out = {}
+    for (task, path), n in sorted(points.items(), key=lambda x: (-x[1], x[0][1] is not None, x[0][1] or "")):
+        best = out.setdefault(task, [])
+        if len(best) < limit:
+            best.append((path, n, ",".join(sorted(found[task, path])[:5])))
+    return {t: sorted(v, key=str) for t, v in out.items()}
+
+
+def test_text_match_in_blocks_and_slices_equals_plain_counting(table):
+    long = "averyverylongidentifier"
+    files = [("r", f"src/{w}{k}.ts", f"Common {w}s text{k % 5}, {'extra' * (k % 2)}{long if k % 3 else long[:15]}") for k, w in enumerate(["user", "auth", "order", "cart"] * 12)]
+    files += [(repo, f"pkg/Auth{k}.ts", "authority " * k) for repo in ("r", "s") for k in range(9)]
+    # rows of one path, or of none, are one file; repositories that only one side has meet nothing
+    files += [("r", "src/user0.ts", "zebra"), ("r", None, "zebra"), ("r", None, "common zebras"), ("r", "a/empty.md", None), (None, "a/none.md", "common"), ("alone", "a/b.md", "common user")]
+    files += [("s", "big/auth.md", f"zebra {k} word{k} " + "filler " * 40) for k in range(30)]
+    tasks = [(k, "r", p) for k, p in enumerate(["common user text3", "common", "auth order nothing", f"{long} {long[:12]} {long[:15]} {long[:5]}", "zebra empty", "", None, "missingword"])]
+    tasks += [(1, "r", "common user"), (1, "s", "auth word7 word29 zebra"), (20, "s", "auth filler word12"), (None, "r", "cart extra"), (21, None, "common"), (22, "nowhere", "common")]
+    index, asked = table(files, "repo string, path string, text string"), table(tasks, "task_id long, repo string, prompt string")
+    want = _plain_text_match(tasks, files, 4)
+    assert set(want) == {0, 1, 2, 3, 4, 20, None}
+    for sizes in ({}, {"prompt_bytes": 40, "file_bytes": 2000, "held_bytes": 4000}):
+        got = {}
+        for r in retrieval.text_match(asked, index, 4, **sizes).collect():
+            assert r.source == "indexed-file-text" and len(r.reasons) == 1
+            got.setdefault(r.task_id, []).append((r.path, int(r.score), r.reasons[0].removeprefix("indexed-file-text:")))
+        assert {t: sorted(v, key=str) for t, v in got.items()} == want, sizes
+
+
+def test_text_match_makes_no_row_for_each_task_and_file(spark):
+    import re
+
+    tasks = spark.range(100).select(F.col("id").alias("task_id"), F.lit("r").alias("repo"), F.lit("common words").alias("prompt"))
+    index = spark.range(400).select(F.lit("r").alias("repo"), F.format_string("src/f%d.ts", "id").alias("path"), F.lit("common text of words").alias("text"))
+    out = retrieval.text_match(tasks, index, 3)
+    assert out.count() == 300
+    seen, most = [out._jdf.queryExecution().executedPlan()], 0
+    out.collect()
+    while seen:
+        node = seen.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            seen.append(node.executedPlan())
+        elif re.search("QueryStage", name):
+            seen.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        seen += [node.children().apply(i) for i in range(node.children().size())]
+    assert 400 <= most < 100 * 400 / 10
+
+
 def test_factored_evidence_gives_the_same_scores(spark, table):
     from taskscope import constants as C
     from taskscope.operators import catalog

@@ -556,9 +556,12 @@ def mentions(tasks: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 
 # Words of two capitals or more, and letters or digits with separators between. A run of letters or digits ends where no
-# word goes on, so it is never given back.
+# word goes on, so it is never given back; neither is a part that is joined, as each of a greedy repeat would be a frame of
+# Java's stack. A part ends where no underscore follows: an underscore that joins belongs to the part.
 _CAMEL = r"[A-Z](?<![A-Za-z0-9_][A-Z])[a-z0-9]*+[A-Z][A-Za-z0-9]*+(?![A-Za-z0-9_])"
-_JOINED = r"(?<![A-Za-z0-9_])[A-Za-z0-9]++(?:[-_.][A-Za-z0-9]++)+(?![A-Za-z0-9_])"
+_UNDERSCORED = "(?:_[A-Za-z0-9]++)"
+_PARTS = rf"(?:[-.][A-Za-z0-9]++{_UNDERSCORED}*+(?!_))"
+_JOINED = rf"(?<![A-Za-z0-9_])[A-Za-z0-9]++(?:{_UNDERSCORED}++(?!_){_PARTS}*+|(?!_){_PARTS}++)"
 
 
 def identifiers(col: Column) -> Column:

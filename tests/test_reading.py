@@ -1,5 +1,7 @@
 """Texts are read once, by patterns that never go back."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from taskscope.functions.text import tokenize
@@ -24,6 +26,16 @@ def test_identifiers_never_give_a_run_back(spark):
     assert found == ["q r", "B" * 300, "FooBar", "X2Y", "a.b", "A-1", "b-c"]
 
 
+def test_joined_words_of_any_length_are_one_identifier(spark):
+    texts = [sep.join(["ab"] * 100_000) for sep in "._-"] + ["a.b_", "a_b.c_d_ e", "a-b_c-d__f", "a_ b.c", "x_y_z", "a..b", "a.b-_c", "a__b.c", "1.2.3é", "a_b_.c-d"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    found = [r["i"] for r in df.orderBy("n").select(parsing.identifiers(F.col("t")).alias("i")).collect()]
+    assert found[:3] == [[t] for t in texts[:3]]
+    # as a greedy repeat that gives parts back would find them
+    greedy = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9]++(?:[-_.][A-Za-z0-9]++)+(?![A-Za-z0-9_])")
+    assert found[3:] == [greedy.findall(t) for t in texts[3:]]
+
+
 def test_words_are_looked_for_not_split(spark):
     texts = ["Kiem  duyet tai\tlen, a.b-c -x- Édition e\u0301t\u00e9 thong bao K\u212a_1 the of", "", None, "  ", "ß ſ x", "kiem duyetai len", "é", "one"]
     df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")

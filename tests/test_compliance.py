@@ -325,3 +325,24 @@ def test_checks_run_in_methods_that_java_compiles(spark, table):
     found, ran, errors = Registry().register("one", check).run({"rows": table([("r", 1)], "repo string, line int")})
     assert seen == [8000] and spark.conf.get(name) == before
     assert ran == ["one"] and not errors and [tuple(r) for r in found.collect()] == [("r", 1)]
+
+
+def test_evidence_of_no_workspace_is_joined_as_runs(spark):
+    stops = spark.range(200).selectExpr("'l' AS log", "IF(id % 9 = 0, NULL, CONCAT('w', id % 4)) AS workspace", "id AS stop_id", "timestamp_seconds(id * 40) AS ts", "IF(id % 3 = 0, NULL, timestamp_seconds(id * 40 - 900)) AS since")
+    events = spark.range(9000).selectExpr("'l' AS log", "IF(id % 2 = 0, NULL, CONCAT('w', id % 5)) AS workspace", "id AS event_id", "IF(id % 50 = 7, NULL, timestamp_seconds(id)) AS ts", "CONCAT('e', id) AS event")
+    found = telemetry.evidence_window(stops, events)
+    got = sorted((r.stop_id, r.event_id, r.workspace or "", r.event) for r in found.collect())
+    same = "e.workspace IS NULL OR s.workspace IS NULL OR e.workspace = s.workspace"
+    on = F.expr(f"({same}) AND coalesce(e.ts <= s.ts, true) AND (s.since IS NULL OR e.ts >= s.since)")
+    want = sorted((r.stop_id, r.event_id, r.workspace or "", r.event) for r in stops.alias("s").join(events.alias("e"), on).select("stop_id", "event_id", "s.workspace", "event", "e.ts").collect())
+    assert got == want and len(got) > 100_000
+    # a run meets a stop as one row
+    joined, nodes = [], [found._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        nodes += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        if "Join" in name:
+            joined.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert sum(joined) < len(got) / 2
